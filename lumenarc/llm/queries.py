@@ -6,6 +6,7 @@ from lumenarc.llm.bpe import round_trip_digest
 from lumenarc.llm.common import table
 from lumenarc.llm.quality import quality_report
 from lumenarc.llm.sharding import shard_documents
+from lumenarc.llm.simhash import simhash_report
 from lumenarc.llm.tokenfiles import token_file_digest
 
 
@@ -18,6 +19,7 @@ def queries():
         "op1_bpe_round_trip": documents(round_trip_digest),
         "op2_hypergeometric_shards": documents(shard_documents),
         "op3_line_quality": documents(quality_report),
+        "op8_simhash_components": documents(simhash_report),
         "op5_token_files": documents(token_file_digest),
     }
 
