@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from lumenarc.llm.bpe import round_trip_digest
 from lumenarc.llm.common import table
+from lumenarc.llm.decontaminate import contamination
+from lumenarc.llm.langid import language_report
 from lumenarc.llm.quality import quality_report
 from lumenarc.llm.sharding import shard_documents
 from lumenarc.llm.simhash import simhash_report
+from lumenarc.llm.suffixes import repeats_report
 from lumenarc.llm.tokenfiles import token_file_digest
+from lumenarc.llm.toxicity import toxicity_report
 
 
 def documents(query):
@@ -19,8 +23,12 @@ def queries():
         "op1_bpe_round_trip": documents(round_trip_digest),
         "op2_hypergeometric_shards": documents(shard_documents),
         "op3_line_quality": documents(quality_report),
-        "op8_simhash_components": documents(simhash_report),
         "op5_token_files": documents(token_file_digest),
+        "op6_language": documents(language_report),
+        "op7_toxicity": lambda spark, sf_dir: toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op8_simhash_components": documents(simhash_report),
+        "op9_suffix_repeats": documents(repeats_report),
+        "op10_decontamination": lambda spark, sf_dir: contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }
 
 
