@@ -6,6 +6,7 @@ from lumenarc.llm.bpe import round_trip_digest
 from lumenarc.llm.common import table
 from lumenarc.llm.decontaminate import contamination
 from lumenarc.llm.langid import language_report
+from lumenarc.llm.lines import line_report
 from lumenarc.llm.quality import quality_report
 from lumenarc.llm.sharding import shard_documents
 from lumenarc.llm.simhash import simhash_report
@@ -23,6 +24,7 @@ def queries():
         "op1_bpe_round_trip": documents(round_trip_digest),
         "op2_hypergeometric_shards": documents(shard_documents),
         "op3_line_quality": documents(quality_report),
+        "op4_fuzzy_lines": documents(line_report),
         "op5_token_files": documents(token_file_digest),
         "op6_language": documents(language_report),
         "op7_toxicity": lambda spark, sf_dir: toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
