@@ -31,26 +31,32 @@ def str_05(spark, sf):
     return table(spark, sf, "part").select(T.normalize_label(F.concat(F.lit("  "), F.upper("p_type"), F.lit("  "))).alias("label")).distinct()
 
 
-NOISE = F.concat(F.col("text"), F.lit("\n  12  \nshort\n\n\n\nA line with  two   blanks and a hyphen-\nated word\nPage 7 of the report"))
+def noise():
+    return F.concat(F.col("text"), F.lit("\n  12  \nshort\n\n\n\nA line with  two   blanks and a hyphen-\nated word\nPage 7 of the report"))
+
+
 NOISE_SQL = "text || chr(10) || '  12  ' || chr(10) || 'short' || repeat(chr(10), 4) || 'A line with  two   blanks and a hyphen-' || chr(10) || 'ated word' || chr(10) || 'Page 7 of the report'"
 CLEAN_SQL = "regexp_replace(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '(?m)^\\s*\\d+\\s*$', '', 'g'), '(?im)^.{{0,80}}(page \\d+|^\\d+$).{{0,80}}$', '', 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: length(trim(x)) >= 10 OR trim(x) = ''), chr(10)), '^\\s+|\\s+$', '', 'g')"
 
 
 def str_07(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(T.clean_text(NOISE).cast("binary")).alias("clean"), F.length(T.clean_text(NOISE)).alias("chars"))
+    return docs(spark, sf).select("doc_id", F.md5(T.clean_text(noise()).cast("binary")).alias("clean"), F.length(T.clean_text(noise())).alias("chars"))
 
 
 def str_08(spark, sf):
-    s = docs(spark, sf).select("doc_id", T.text_stats(NOISE).alias("s"))
+    s = docs(spark, sf).select("doc_id", T.text_stats(noise()).alias("s"))
     return s.select("doc_id", "s.char_count", "s.word_count", "s.line_count", "s.page_count", F.round("s.avg_line_length", 6).alias("avg_line_length"))
 
 
-MARKS = F.concat(F.when(F.col("doc_id") % 2 == 0, "Abstract. ").otherwise(""), F.col("text"), F.when(F.col("doc_id") % 3 == 0, " Methods and RESULTS; discussion").otherwise(""))
+def marks():
+    return F.concat(F.when(F.col("doc_id") % 2 == 0, "Abstract. ").otherwise(""), F.col("text"), F.when(F.col("doc_id") % 3 == 0, " Methods and RESULTS; discussion").otherwise(""))
+
+
 MARKS_SQL = "CASE WHEN doc_id % 2 = 0 THEN 'Abstract. ' ELSE '' END || text || CASE WHEN doc_id % 3 = 0 THEN ' Methods and RESULTS; discussion' ELSE '' END"
 
 
 def str_09(spark, sf):
-    return docs(spark, sf).select("doc_id", T.section_marker_count(MARKS).alias("markers"), T.is_valid_extraction("text").alias("valid"))
+    return docs(spark, sf).select("doc_id", T.section_marker_count(marks()).alias("markers"), T.is_valid_extraction("text").alias("valid"))
 
 
 def str_10(spark, sf):
@@ -67,12 +73,15 @@ def str_12(spark, sf):
     return docs(spark, sf).select("doc_id", T.truncate_at_word("text", 50).alias("cut"))
 
 
-RATED = F.element_at(F.array(*[F.lit(x) for x in ("rated 4", "3/5 overall", "an Excellent study", "rigorous work", "weak and very weak", "fundamentally flawed", "plain", "")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+def rated():
+    return F.element_at(F.array(*[F.lit(x) for x in ("rated 4", "3/5 overall", "an Excellent study", "rigorous work", "weak and very weak", "fundamentally flawed", "plain", "")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+
+
 RATED_SQL = "['rated 4', '3/5 overall', 'an Excellent study', 'rigorous work', 'weak and very weak', 'fundamentally flawed', 'plain', ''][CAST(p_partkey % 8 + 1 AS INTEGER)]"
 
 
 def str_13(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.quality_rating(RATED).alias("rating"))
+    return table(spark, sf, "part").select("p_partkey", T.quality_rating(rated()).alias("rating"))
 
 
 def str_14(spark, sf):
@@ -112,12 +121,15 @@ def str_19(spark, sf):
     return papers(spark, sf).select("paper_id", T.slug("title", 40).alias("slug"))
 
 
-CITED = F.concat(F.lit("See 12 and 3.5% (Smith, 2019). "), F.substring("text", 1, 200))
+def cited():
+    return F.concat(F.lit("See 12 and 3.5% (Smith, 2019). "), F.substring("text", 1, 200))
+
+
 CITED_SQL = "'See 12 and 3.5% (Smith, 2019). ' || substr(text, 1, 200)"
 
 
 def str_20(spark, sf):
-    return docs(spark, sf).select("doc_id", F.round(T.score_quality(CITED), 6).alias("score"))
+    return docs(spark, sf).select("doc_id", F.round(T.score_quality(cited()), 6).alias("score"))
 
 
 def str_21(spark, sf):
