@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session's Arrow batches to few rows and bytes, so that long texts don't pile up in a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenarc/{name}-{uuid.uuid4().hex}"
 
@@ -45,6 +52,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, those with the smallest hashes of the keys; of a large table only about as many rows reach the sort."""
+    total = df.count()
+    if total > 4 * n:
+        share = -(-2 * n * (1 << 30) // total)
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < share)
+    return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), *keys).limit(n)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two 64-bit hashes of a text (null as empty): rows with the same text share a key."""
     t = F.coalesce(text, F.lit(""))

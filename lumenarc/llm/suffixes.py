@@ -11,7 +11,8 @@ than one suffix array, so:
 3. Left are distinct contexts of one anchor: the ends of repeats. One text of each is fetched; groups
    meet in blocks of bounded size, where a suffix array is built: suffixes smaller than their
    successors are sorted directly, the others are induced by one scan over the buckets, and adjacent
-   common prefixes of LENGTH bytes or more mark repeats.
+   common prefixes of LENGTH bytes or more mark repeats. Only suffixes that long, and those that
+   induce them, are sorted.
 4. An anchor with more contexts than GROUP would outgrow a block; its windows are counted by hash and
    alignment instead (equal windows hold the anchor at equal offsets), which is exact as well.
 
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import Bloom, staged, text_key
+from lumenarc.llm.common import Bloom, bounded_batches, staged, text_key
 
 LENGTH, K = 400, 200
 #: Most contexts of an anchor in a block, and bytes of a block.
@@ -131,20 +132,36 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     return step[at] > 0
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` bytes, by two-stage sorting."""
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes in the order of their first `depth` bytes, by two-stage sorting.
+
+    With `wanted` (a mask) only those suffixes are sorted, and the ones from which they are induced: a
+    larger suffix needs its successors up to the next smaller one.
+    """
     n, raw = len(t), t.tobytes()
     smaller = suffix_types(t)
-    direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:
+        stop = np.where(smaller, np.arange(n), n)
+        stop = np.minimum.accumulate(stop[::-1])[::-1]  # the next smaller suffix, itself included
+        need = np.zeros(n + 2, np.int64)
+        at = np.flatnonzero(wanted)
+        np.add.at(need, at, 1)
+        np.add.at(need, np.minimum(stop[at], n - 1) + 1, -1)
+        wanted = np.cumsum(need)[:n] > 0
+    direct = np.array(sorted(np.flatnonzero(smaller & wanted).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
     first = np.searchsorted(t[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
-    buckets[t[n - 1]].append(np.array([n - 1]))
+    if wanted[n - 1]:
+        buckets[t[n - 1]].append(np.array([n - 1]))
+    induced = wanted & ~smaller
     out = []
 
     def induce(front: np.ndarray, c: int) -> np.ndarray:
         """Puts the larger predecessors of `front` into their buckets; returns those of bucket c."""
         before = front[front > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induced[before]]
         letters = t[before]
         order = np.argsort(letters, kind="stable")
         before, letters = before[order], letters[order]
@@ -166,18 +183,13 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         if len(own):
             out.append(own)
             induce(own, c)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def adjacent_prefixes(hashes: Rolling, order: np.ndarray, n: int, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, up to `depth`: bisection over prefix hashes."""
+def adjacent_prefixes(hashes: Rolling, order: np.ndarray, depth: int) -> np.ndarray:
+    """True where a suffix has the first `depth` bytes in common with the one before it in order; both have as many."""
     a, b = order[:-1], order[1:]
-    lo, hi = np.zeros(len(a), np.int64), np.minimum(depth, n - np.maximum(a, b))
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = hashes.of(a, a + mid) == hashes.of(b, b + mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    return lo
+    return hashes.of(a, a + depth) == hashes.of(b, b + depth)
 
 
 def repeated_in_block(texts: list[bytes], places: list[tuple], many: list[bool], length: int = LENGTH) -> list[np.ndarray]:
@@ -194,14 +206,11 @@ def repeated_in_block(texts: list[bytes], places: list[tuple], many: list[bool],
     doc = np.array([number.setdefault(p[0], len(number)) for p in places], np.int64)
     place = doc[owner] * (1 << 40) + np.array([p[1] for p in places], np.int64)[owner] + inside
     whole = inside + length <= sizes[owner]
-    order = suffix_array(t, length)
-    common = adjacent_prefixes(Rolling(t, 0), order, len(t), length)
-    held = whole[order]
-    run = np.concatenate([[0], np.cumsum(common < length)])
-    order, run = order[held], run[held]
+    order = suffix_array(t, length, whole)
+    order = order[whole[order]]
     if not len(order):
         return [np.empty(0, np.int64) for _ in texts]
-    _, run = np.unique(run, return_inverse=True)
+    run = np.concatenate([[0], np.cumsum(~adjacent_prefixes(Rolling(t, 0), order, length))])
     low, high = np.full(run.max() + 1, 1 << 62), np.full(run.max() + 1, -1)
     np.minimum.at(low, run, place[order])
     np.maximum.at(high, run, place[order])
@@ -224,7 +233,7 @@ def spans(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """k1, k2 (text_key), spans array<struct<s, e>>: per distinct text the byte ranges to remove, merged and in order."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     import pyarrow as pa
 
     def find(rows):
