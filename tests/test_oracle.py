@@ -20,13 +20,13 @@ def duck():
 
 
 def plain(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or (isinstance(x, float) and math.isnan(x)) or type(x).__name__ in ("NaTType", "NAType"):
         return None
     if hasattr(x, "item"):
         x = x.item()
     if isinstance(x, float):
         return int(x) if x == int(x) else round(x, 8)
-    return str(x) if type(x).__name__ in ("NaTType", "NAType") else x
+    return x
 
 
 def rows(df):
