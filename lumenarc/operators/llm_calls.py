@@ -30,5 +30,5 @@ def embed(rows: DataFrame, text: str, out: str = "embedding", width: int = 384)
     from pyspark.ml.functions import vector_to_array
 
     tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
-    tf = HashingTF(width, inputCol="__t", outputCol="__v").transform(rows.withColumn("__t", tokens))
+    tf = HashingTF(numFeatures=width, inputCol="__t", outputCol="__v").transform(rows.withColumn("__t", tokens))
     return Normalizer(inputCol="__v", outputCol="__u").transform(tf).withColumn(out, vector_to_array("__u")).drop("__t", "__v", "__u")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("search_queries", "corpus_queries", "text_queries", "record_queries", "graph_queries", "stream_queries")
+MODULES = ("search_queries", "corpus_queries", "text_queries", "record_queries", "graph_queries", "stream_queries", "view_queries")
 
 
 def _all():

@@ -80,6 +80,15 @@ def mendeley_papers(documents: DataFrame, authors: DataFrame, tags: DataFrame, f
     return out.withColumn("paper_id", F.concat(F.lit("mendeley_"), "document_id"))
 
 
+#: Readers added by the caller: name -> function of (spark, path, options) that returns papers.
+PLUGINS: dict = {}
+
+
+def register_source(name: str, reader) -> None:
+    """Adds a provider for read_source."""
+    PLUGINS[name] = reader
+
+
 def read_source(spark: SparkSession, provider: str, path: str, **options) -> DataFrame:
     """Papers of one provider: bibtex, paperpile, endnote, folder, or a table written by this library (parquet, json)."""
     from lumenarc.sources import bibliography, folder, store
@@ -92,6 +101,7 @@ def read_source(spark: SparkSession, provider: str, path: str, **options) -> Dat
         "parquet": lambda: spark.read.parquet(path),
         "json": lambda: store.read_papers(spark, path),
     }
+    readers |= {name: (lambda r=reader: r(spark, path, options)) for name, reader in PLUGINS.items()}
     if provider not in readers:
         raise ValueError(f"unknown provider {provider!r}; known: {', '.join(sorted(readers))}")
     out = readers[provider]()
