@@ -168,7 +168,7 @@ def rank_questions(questions: DataFrame, relevance: float = 0.6, diversity: floa
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.round("combined", 12).desc(), "pos")))
 
 
-def triage(title: Column | str, url: Column | str = None) -> Column:
+def triage(title: Column | str) -> Column:
     """Repair category of an item without authors: identifier, garbled, no publication, government, other."""
     t = F.coalesce(col(title), F.lit(""))
     return (

@@ -113,8 +113,8 @@ def missing_values(values: DataFrame, name: str) -> DataFrame:
     return ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(name)).join(values, name, "left_anti")
 
 
-def islands(values: DataFrame, name: str, spread: int = 64) -> DataFrame:
-    """Runs of consecutive numbers: start, end, length. Values that begin or end a run are found by self joins, then paired by rank in each block of numbers."""
+def islands(values: DataFrame, name: str) -> DataFrame:
+    """Runs of consecutive numbers: start, end, length. Anti joins find the values that begin or end a run; only those are ranked and paired."""
     v = values.select(F.col(name).alias("v")).distinct()
     starts = v.join(v.select((F.col("v") + 1).alias("v")), "v", "left_anti")
     ends = v.join(v.select((F.col("v") - 1).alias("v")), "v", "left_anti")

@@ -19,7 +19,7 @@ def str_01(spark, sf):
     return papers(spark, sf).select("paper_id", T.normalize_title("title").alias("norm"))
 
 
-def tokens(fn, column, source="papers"):
+def tokens(fn, column):
     def run(spark, sf):
         rows = papers(spark, sf)
         return rows.select("paper_id", F.array_join(F.array_sort(F.array_distinct(fn(column))), " ").alias("tokens"))
