@@ -142,15 +142,20 @@ def merge_results(primary: DataFrame, others: DataFrame, k: int, how: str = "int
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).drop("__second")
 
 
+#: Rows of a block in all-pairs similarity: a task holds two blocks, whatever the table's size.
+BLOCK_ROWS = 512
+
+
 def neighbours(vectors: DataFrame, key: str, n: int = 20, parts: int | None = None, digits: int = 4) -> DataFrame:
     """src, dst, score, rank: the n most similar others of each vector, only positive scores; ties by key.
 
     Blocks of rows meet in pairs as matrices (numpy), each side's n best per block go on, and the
-    per-source choice ends in a window. Every pair of rows is compared once.
+    per-source choice ends in a window that takes n rows from each block. Exact, and so quadratic in
+    the rows; the result is meant to be kept as a table.
     """
     import numpy as np
 
-    parts = parts or max(1, vectors.sparkSession.sparkContext.defaultParallelism // 2)
+    parts = parts or max(1, -(-vectors.count() // BLOCK_ROWS))
     tagged = vectors.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     left = tagged.select(F.col("id").alias("src"), "v", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"), F.lit(0).alias("side"))
     right = tagged.select(F.col("id").alias("src"), "v", F.col("b").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.lit(1).alias("side")).select("src", "v", "b", "o", "side")
