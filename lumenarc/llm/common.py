@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,25 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_caches: dict[str, Callable[[], None]] = {}
+#: Gives freed memory back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def worker_cache(name: str, clear: Callable[[], None]) -> None:
+    """Names what a worker process keeps between tasks and how it is dropped."""
+    _caches[name] = clear
+
+
+def drop_caches(but: str = "") -> None:
+    """Called as a task of another operator begins: workers live on, and their memory is shared by all stages."""
+    for name, clear in _caches.items():
+        if name != but:
+            clear()
+    if _trim is not None:
+        _trim(0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenarc/{name}-{uuid.uuid4().hex}"
 
@@ -96,7 +116,3 @@ class Bloom:
             return pa.array((held[h >> 6] >> (h & 63)) & 1 == 1)
 
         return hit(F.pmod(F.xxhash64(F.lit(11), key), F.lit(bits)))
-
-
-def local_tmp() -> str:
-    return os.environ.get("TMPDIR", "/tmp")

@@ -18,8 +18,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenarc.llm.common import bounded_batches, drop_caches, hash_sample, worker_cache
+
 SAMPLE_DOCS, WORDS_PER_DOC = 2000, 40
-HIDDEN, SEGMENT, EPOCHS, BATCH, RATE = 12, 48, 3, 256, 0.01
+HIDDEN, SEGMENT, BATCH, RATE = 12, 48, 256, 0.01
+#: Training goes over its words as often as it takes for so many steps, three times at least.
+STEPS, EPOCHS = 900, 3
 #: Distinct segments whose sums a worker keeps between batches.
 CACHE_SEGMENTS = 500_000
 
@@ -120,18 +124,18 @@ class BiGru:
                 g["c" + d] += full.sum(axis=0)
         return float(loss), g
 
-    def fit(self, words: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> None:
+    def fit(self, words: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
         order = np.argsort([len(w) for w in words], kind="stable")
         runs = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        step = 0
+        step, epochs = 0, max(EPOCHS, -(-steps // len(runs)))
         for epoch in range(epochs):
             for k in rng.permutation(len(runs)):
                 x, size = grid([words[i] for i in runs[k]])
                 _, g = self.gradients(x, size, y[runs[k]])
                 step += 1
-                rate = RATE / (1 + epoch)
+                rate = RATE / (1 + EPOCHS * epoch / epochs)
                 for key, grad in g.items():
                     m[key] += 0.1 * (grad - m[key])
                     v[key] += 0.01 * (grad * grad - v[key])
@@ -181,11 +185,12 @@ class Labeller:
 
 
 _labellers: dict[int, Labeller] = {}
+worker_cache("languages", _labellers.clear)
 
 
 def train_language_model(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> BiGru | None:
     """rows: doc_id, text, lang; nulls are skipped."""
-    sample = rows.where("text is not null and lang is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "lang").limit(sample_docs).select("text", "lang").toArrow()
+    sample = hash_sample(rows.select("doc_id", "text", "lang").where("text is not null and lang is not null"), sample_docs, "doc_id", "text", "lang").select("text", "lang").toArrow()
     labels = sorted(set(sample.column("lang").to_pylist()))
     words, y = [], []
     for text, lang in zip(sample.column("text"), sample.column("lang").to_pylist(), strict=True):
@@ -211,6 +216,7 @@ def language_column(text: Column, model: BiGru | None) -> Column:
 
         from lumenarc.llm.bpe import batches
 
+        drop_caches(but="languages")
         if mark not in _labellers:
             _labellers.clear()
             _labellers[mark] = Labeller(model)
@@ -230,6 +236,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def predict_languages(df: DataFrame, model: BiGru | None, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score."""
+    bounded_batches(df.sparkSession)
     done = df.withColumn("__l", language_column(F.col(text_col), model))
     return done.withColumns({"lang_pred": F.col("__l.lang_pred"), "score": F.col("__l.score")}).drop("__l")
 

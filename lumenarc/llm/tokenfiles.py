@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.llm.bpe import ChunkEncoder, batches, default_path
-from lumenarc.llm.common import new_path
+from lumenarc.llm.common import drop_caches, hash_sample, new_path, worker_cache
 
 MAGIC = b"LTOK1\n"
 END_ID = 0
 #: The dictionary is trained on so many documents at most, those with the smallest hashes of doc_id.
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 2000, 64 << 10, 1
-#: Documents in a file on average.
-FILE_DOCS = 8000
+#: Documents in a file on average, more where that would make more than MOST_FILES files.
+FILE_DOCS, MOST_FILES = 8000, 10_000
 
 
 class LibraryWords:
@@ -65,6 +65,9 @@ def library_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(words, words.special)
 
 
+worker_cache("tokens", library_encoder.cache_clear)
+
+
 def pack(ids: bytes) -> bytes:
     a = np.frombuffer(ids, "<u4")
     return b"\x04" + ids if len(a) and a.max() > 0xFFFF else b"\x02" + a.astype("<u2").tobytes()
@@ -84,7 +87,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """On a sample of bounded size; where it is too small to train on, the sample itself is the dictionary."""
     import zstandard
 
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).toArrow()
+    rows = hash_sample(docs.select("doc_id", "text"), SAMPLE_DOCS, "doc_id", "text").toArrow()
     encoder, samples = library_encoder(path), []
     for held in batches(t.as_py() for t in rows.column("text")):
         samples += [pack(ids)[:4096] for ids in encoder.encode(held)]  # the dictionary's sample, not the output, is cut
@@ -101,22 +104,30 @@ def load_dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw)
 
 
-def write_file(uri: str, frames, keys: list, sizes: list[int], digest: bytes) -> None:
-    fs, path = filesystem(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    aside = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(aside) as out:
-        out.write(MAGIC + digest)
-        at, offsets = len(MAGIC) + 32, []
-        for frame in frames:
-            offsets.append(at)
-            out.write(frame)
-            at += len(frame)
-        offsets.append(at)
-        index = np.array([offsets[:-1], sizes, range(len(sizes))], "<u8").T.tobytes()
-        names = json.dumps(keys).encode()
-        out.write(index + names + struct.pack("<3Q", at, at + len(index), len(sizes)))
-    fs.move(aside, path)
+class FileWriter:
+    """Writes one file frame by frame; only the index is held in memory. Nothing is seen under its name before close()."""
+
+    def __init__(self, uri: str, digest: bytes):
+        self.fs, self.path = filesystem(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.aside = f"{self.path}.{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.aside)
+        self.out.write(MAGIC + digest)
+        self.at, self.offsets, self.sizes, self.keys = len(MAGIC) + 32, [], [], []
+
+    def add(self, key: list, frame: bytes, n: int) -> None:
+        self.offsets.append(self.at)
+        self.sizes.append(n)
+        self.keys.append(key)
+        self.out.write(frame)
+        self.at += len(frame)
+
+    def close(self) -> None:
+        n = len(self.sizes)
+        index = np.array([self.offsets, self.sizes, range(n)], "<u8").T.tobytes()
+        self.out.write(index + json.dumps(self.keys).encode() + struct.pack("<3Q", self.at, self.at + len(index), n))
+        self.out.close()
+        self.fs.move(self.aside, self.path)
 
 
 class TokenFile:
@@ -154,7 +165,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
         out.write(dictionary)
     shared = spark.sparkContext.broadcast(dictionary)  # DICT_BYTES
     total = docs.count()
-    files = max(1, -(-total // file_docs))
+    files = max(1, min(MOST_FILES, -(-total // file_docs)))
     bounds = docs.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)] or [0.5], 10_000).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
@@ -163,6 +174,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
         import pyarrow as pa
         import zstandard
 
+        drop_caches(but="tokens")
         encoder = library_encoder(path)
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=load_dictionary(shared.value)).compress
         end = END_ID.to_bytes(4, "little")
@@ -186,26 +198,23 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
     def write(rows):
         import pyarrow as pa
 
-        held = {"bucket": None}
+        digest = hashlib.sha256(shared.value).digest()
+        bucket, uri, file = None, None, None
 
         def close():
-            if held["bucket"] is None:
-                return None
-            uri = f"{folder}/range-{held['bucket']:08d}.ltok"
-            write_file(uri, held["frames"], held["keys"], held["sizes"], hashlib.sha256(shared.value).digest())
-            return pa.record_batch({"bucket": pa.array([held["bucket"]], pa.int32()), "uri": [uri], "n_docs": pa.array([len(held["sizes"])], pa.int64()), "n_ids": pa.array([sum(held["sizes"])], pa.int64())})
+            file.close()
+            return pa.record_batch({"bucket": pa.array([bucket], pa.int32()), "uri": [uri], "n_docs": pa.array([len(file.sizes)], pa.int64()), "n_ids": pa.array([sum(file.sizes)], pa.int64())})
 
         for batch in rows:
             for b, k, f, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "frame", "n")), strict=True):
-                if b != held["bucket"]:
-                    if (done := close()) is not None:
-                        yield done
-                    held = {"bucket": b, "keys": [], "frames": [], "sizes": []}
-                held["keys"].append([k])
-                held["frames"].append(f)
-                held["sizes"].append(n)
-        if (done := close()) is not None:
-            yield done
+                if b != bucket:
+                    if file is not None:
+                        yield close()
+                    bucket, uri = b, f"{folder}/range-{b:08d}.ltok"
+                    file = FileWriter(uri, digest)
+                file.add([k], f, n)
+        if file is not None:
+            yield close()
 
     manifest = ranges.mapInArrow(write, "bucket int, uri string, n_docs long, n_ids long").toArrow()  # a row for each file
     spark.createDataFrame(manifest, "bucket int, uri string, n_docs long, n_ids long").coalesce(1).write.parquet(f"{folder}/manifest")

@@ -16,13 +16,13 @@ texts have no clause and get the score of such texts. Without labelled rows of b
 from __future__ import annotations
 
 import re
-from itertools import product
 from math import log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenarc.llm.common import hash_sample
 from lumenarc.llm.langid import held_out
 
 SAMPLE_ROWS, LEXICON = 4000, 400
@@ -216,7 +216,7 @@ class Model:
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (null: skipped; other than 0 and 1: as 1)."""
     marked = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.when(F.col("toxic") == 0, 0).otherwise(1).alias("toxic")).distinct()
-    pick = lambda v: marked.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id")).limit(sample_rows)
+    pick = lambda v: hash_sample(marked.where(F.col("toxic") == v), sample_rows, "doc_id")
     chosen = pick(1).unionByName(pick(0))  # 2 x sample_rows rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
