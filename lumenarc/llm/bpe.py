@@ -19,9 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenarc.llm.common import bounded_batches, drop_caches, worker_cache
+
 #: Fixed values of the vocabulary's format: how its pre-tokenizer cuts words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks whose ids a worker keeps between tasks; beyond this it starts anew (about 250 MB).
+#: Chunks whose ids a worker keeps between tasks (about 250 bytes each). The first seen stay, among
+#: them the frequent ones; what comes beyond is kept for its batch. Fewer cost time, more memory.
 CACHE_CHUNKS = 1_000_000
 #: After a batch with a longer text the cache starts anew, since its chunks may be huge.
 LONG_CHARS = 1_000_000
@@ -200,23 +203,45 @@ class ChunkEncoder:
         self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         self.reset()
 
+    def cut_back(self, most: int) -> None:
+        """Keeps the first `most` chunks."""
+        while len(self.later) > most:
+            self.later.popitem()
+        del self.later_ids[most:]
+
     def reset(self):
         self.first, self.later = Numbered(), Numbered()  # a text's first chunk; the others, without their space
         self.first_ids, self.later_ids, self.word_ids = [], [], {}
 
-    def learn(self, chunks: list[str], ids: list[bytes]) -> None:
-        """Appends the ids of new chunks."""
-        known, cut = self.word_ids, []
-        for c in chunks:
-            m = self.plain(c)
-            cut.append(((m[1], m[2]) if m[2] else (c,)) if m else self.words(c))
-        fresh = list({w for ws in cut for w in ws if w not in known})
-        known.update(zip(fresh, self.encode_words(fresh), strict=True))
-        ids.extend(b"".join(map(known.__getitem__, ws)) for ws in cut)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def cut_words(self, chunk: str):
+        m = self.plain(chunk)
+        return ((m[1], m[2]) if m[2] else (chunk,)) if m else self.words(chunk)
+
+    def learn(self) -> None:
+        """Appends the ids of new chunks. A word that begins with a space is kept as the chunk without it."""
+        later, first, later_ids, others = self.later, self.first, self.later_ids, self.word_ids
+        known = len(later_ids)
+        cut = [self.cut_words(" " + c) for c in later.new]
+        cut_first = [self.cut_words(c) for c in first.new]
+        fresh = set()
+        for w in {w for ws in (*cut, *cut_first) for w in ws}:
+            if w[0] == " ":
+                if later[w[1:]] >= known:
+                    fresh.add(w)
+            elif w not in others:
+                fresh.add(w)
+        cut += [(" " + c,) for c in later.new[len(cut) :]]  # words first seen inside a chunk
+        words = list(fresh)
+        got = dict(zip(words, self.encode_words(words), strict=True))
+        others.update((w, b) for w, b in got.items() if w[0] != " ")
+        find = lambda w: got.get(w) or (later_ids[later[w[1:]]] if w[0] == " " else others[w])
+        self.first_ids.extend(b"".join(map(find, ws)) for ws in cut_first)
+        later_ids.extend([b"".join(map(find, ws)) for ws in cut])
+        later.new, first.new = [], []
+
+    def encode(self, texts: list[str | None], keep: int = CACHE_CHUNKS) -> list[bytes]:
         """Texts of one bounded batch."""
-        if len(self.later) + len(self.first) > CACHE_CHUNKS or self.later.new or self.first.new:
+        if len(self.first) + len(self.word_ids) > keep // 4 or self.later.new or self.first.new:
             self.reset()
         first, later, plan = self.first, self.later.__getitem__, []
         for t in texts:
@@ -228,13 +253,12 @@ class ChunkEncoder:
                     parts = self.cut(p) if self.spaces(p) else p.split(" ")
                     row.append((first[parts[0]], list(map(later, parts[1:]))))
             plan.append(row)
-        self.learn(self.first.new, self.first_ids)
-        self.learn([" " + c for c in self.later.new], self.later_ids)
-        self.first.new, self.later.new = [], []
+        self.learn()
         first_ids, later_ids = self.first_ids, self.later_ids.__getitem__
         out = [b"".join([p.to_bytes(4, "little") if isinstance(p, int) else first_ids[p[0]] + b"".join(map(later_ids, p[1])) for p in row]) for row in plan]
         if max(map(len, (t or "" for t in texts)), default=0) > LONG_CHARS:  # may have brought huge chunks
             self.reset()
+        self.cut_back(keep)
         return out
 
 
@@ -244,9 +268,11 @@ def vocabulary_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(words, words.special)
 
 
-@lru_cache(4)
 def piece_table(path: str) -> dict[int, bytes]:
-    return Vocabulary(path).piece
+    return vocabulary_encoder(path).encode_words.vocabulary.piece
+
+
+worker_cache("bpe", vocabulary_encoder.cache_clear)
 
 
 def batches(values, most_bytes: int = 8 << 20):
@@ -262,7 +288,7 @@ def batches(values, most_bytes: int = 8 << 20):
         yield held
 
 
-def encode_column(text: Column, path: str | None = None) -> Column:
+def encode_column(text: Column, path: str | None = None, keep: int = CACHE_CHUNKS) -> Column:
     """Token ids of a text column, as little-endian unsigned 32-bit integers in one binary value."""
     path = path or default_path()
 
@@ -270,8 +296,9 @@ def encode_column(text: Column, path: str | None = None) -> Column:
     def encode(texts):
         import pyarrow as pa
 
+        drop_caches(but="bpe")
         encoder = vocabulary_encoder(path)
-        return pa.array([ids for held in batches(x.as_py() for x in texts) for ids in encoder.encode(held)], pa.binary())
+        return pa.array([ids for held in batches(x.as_py() for x in texts) for ids in encoder.encode(held, keep)], pa.binary())
 
     return encode(text)
 
@@ -290,8 +317,10 @@ def decode_column(ids: Column, path: str | None = None) -> Column:
     return decode(ids)
 
 
-def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    return df.withColumn(ids_col, encode_column(F.col(text_col), path))
+def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, keep: int = CACHE_CHUNKS) -> DataFrame:
+    """keep: chunks a worker keeps; fewer where other operators share its executor's memory."""
+    bounded_batches(df.sparkSession)
+    return df.withColumn(ids_col, encode_column(F.col(text_col), path, keep))
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenarc.llm.common import bounded_batches, drop_caches
+
 MIN_WORDS = 10
 KEEP_SHARE = 0.5
 #: A line of more words is tested for repeated windows on arrays.
@@ -127,6 +129,7 @@ def quality_column(text: Column, with_text: bool = True) -> Column:
     def rules(texts):
         import pyarrow as pa
 
+        drop_caches()
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
         schema = [pa.field(n, kinds[k]) for n, k in (f.split(" ") for f in RESULT.split(", "))]
         rows = [judge(t.as_py()) for t in texts]
@@ -140,6 +143,7 @@ def quality_column(text: Column, with_text: bool = True) -> Column:
 
 def apply_quality_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with RESULT's columns: counts, verdict and the text without its failing lines."""
+    bounded_batches(df.sparkSession)
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
     judged = df.withColumn("__q", quality_column(F.col(text_col)))
     return judged.withColumns({n: F.col("__q")[n] for n in names}).drop("__q")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import Bloom, staged
+from lumenarc.llm.common import Bloom, bounded_batches, drop_caches, staged
 from lumenarc.llm.components import connected_components, forest
 
 RADIUS = 2
@@ -55,6 +55,7 @@ def fingerprint_column(text: Column) -> Column:
     def simhash(texts):
         import pyarrow as pa
 
+        drop_caches()
         return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
     return simhash(text)
@@ -116,7 +117,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """key, fp, component (smallest key reachable over links), one row per input row."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     printed = staged(spark, docs.select(key, fingerprint_column(F.col(text_col)).alias("fp")), "prints")
     classes = staged(spark, printed.groupBy("fp").agg(F.min(key).alias("first")), "classes")
     comps = connected_components(fingerprint_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
@@ -158,7 +159,7 @@ def without_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 def keep_one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each near-duplicate component: that of the smallest doc_id (nulls last), ties by text hash."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
     rows = staged(spark, docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), fingerprint_column(F.col("text")).alias("fp")), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
