@@ -74,3 +74,29 @@ def test_odd_rows(spark, odd, empty, sf):
     assert got == sorted([("3", "3")] * 4 + [("4", "3")] * 2 + [("6", "None")])
     assert D.contamination(empty, bench).count() == 0
     assert D.contamination(odd, bench.limit(0)).count() == 0
+
+
+def with_edits(text, n):
+    """n substitutions at distinct places, spread over the text."""
+    out = list(text)
+    for x in range(n):
+        out[x * len(text) // n] = "#"
+    return "".join(out)
+
+
+@pytest.mark.parametrize("letters", ["etaoin shrdlu", "天地玄黄宇宙洪荒日月盈昃"])
+def test_every_match_within_the_limit_is_found(letters):
+    rows = [(i, "".join(RNG.choice(letters) for _ in range(RNG.choice([5, 12, 56, 85, 230])))) for i in range(40)]
+    items = D.Items(rows)
+    limits = [len(t) // 5 for t in items.texts]
+    texts = ["0" * 30 + with_edits(t, k) + "0" * 30 for t, k in zip(items.texts, limits, strict=True)]
+    got = {(d, i): dist for d, i, dist, *_ in items.search(texts)}
+    want = {(d, i): hit[0] for d, t in enumerate(texts) for i, p in enumerate(items.texts) if (hit := D.edit_search(p, t, limits[i]))}
+    assert got == want
+    assert all((d, d) in got for d in range(40))
+
+
+def test_a_typo_in_most_words():
+    item = "carbon dioxide concentrations increase through industrial burning activity"
+    text = "carbxn dioxidq concentratzons increaze throuph industriel burning activity"
+    assert [r[:3] for r in D.Items([(0, item)]).search([f"{prose(30)} {text} {prose(30)}"])] == [(0, 0, 6)]
