@@ -159,3 +159,15 @@ def test_odd_rows(odd, empty):
     assert S.keep_one_per_group(odd).columns == odd.columns
     for run in (S.simhash_report, X.repeats_report, L.line_report, S.keep_one_per_group):
         assert run(empty).count() == 0
+
+
+def test_lines_with_a_changed_character_or_word_go(spark):
+    """Lines of usual length: 60 characters with one changed character, 75 with a changed word."""
+    lines = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)).replace(" ", "x") for _ in range(40)]
+    typos = [x[:30] + "#" + x[31:] for x in lines]
+    words = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(75)) for _ in range(40)]
+    changed = [x[:36] + "###" + x[39:] for x in words]
+    df = spark.createDataFrame([(0, "\n".join(lines + words)), (1, "\n".join(typos + changed))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in L.line_report(df).collect()}
+    assert got[0] == 0
+    assert got[1] >= 0.95 * 80
