@@ -171,3 +171,9 @@ def test_lines_with_a_changed_character_or_word_go(spark):
     got = {r["doc_id"]: r["n_removed"] for r in L.line_report(df).collect()}
     assert got[0] == 0
     assert got[1] >= 0.95 * 80
+
+
+def test_short_repeated_lines_go(spark):
+    df = spark.createDataFrame([(0, "Read more\n\nok\nShare this page"), (1, "read more \n\nOK\nsome other words"), (2, "ok\nno")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()}
+    assert got == {0: "Read more\n\nok\nShare this page", 1: "\nsome other words", 2: "no"}
