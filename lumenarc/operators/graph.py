@@ -91,7 +91,7 @@ def sized_nodes(nodes: DataFrame, edges: DataFrame, key: str = "paper_id") -> Da
     return out.withColumn("size", 10 + 5 * F.col("in_degree")).withColumn("hub", F.col("in_degree") >= 5)
 
 
-def capped_edges(pairs: DataFrame, cap: int, rounds: int = 50) -> DataFrame:
+def capped_edges(pairs: DataFrame, cap: int) -> DataFrame:
     """The edges a greedy scan by (score desc, source, target) accepts while both ends have fewer than `cap`.
 
     In rounds: an open edge is accepted when it is among the first (cap - accepted) open edges of both
@@ -99,7 +99,7 @@ def capped_edges(pairs: DataFrame, cap: int, rounds: int = 50) -> DataFrame:
     """
     order = [F.col("score").desc(), "source", "target"]
     open_, taken = pairs.select("source", "target", "score"), None
-    for _ in range(rounds):
+    while True:
         ends = open_.select("*", F.explode(F.array("source", "target")).alias("node"))
         left = ends
         if taken is not None:
@@ -118,12 +118,12 @@ def capped_edges(pairs: DataFrame, cap: int, rounds: int = 50) -> DataFrame:
     return taken
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node): alternating star contraction with checkpoints."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(e)
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()

@@ -146,8 +146,9 @@ def merge_results(primary: DataFrame, others: DataFrame, k: int, how: str = "int
 BLOCK_ROWS = 512
 
 
-def neighbours(vectors: DataFrame, key: str, n: int = 20, parts: int | None = None, digits: int = 4) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, n: int | None = 20, parts: int | None = None, digits: int = 4, least: float = 0.0) -> DataFrame:
     """src, dst, score, rank: the n most similar others of each vector, only positive scores; ties by key.
+    With n None all others whose rounded score is at least `least`, without rank.
 
     Blocks of rows meet in pairs as matrices (numpy), each side's n best per block go on, and the
     per-source choice ends in a window that takes n rows from each block. Exact, and so quadratic in
@@ -174,7 +175,7 @@ def neighbours(vectors: DataFrame, key: str, n: int = 20, parts: int | None = No
             sims = np.round(sims, 12)
             for i, row in enumerate(sims):
                 row = np.where(ids_b == ids_a[i], -1.0, row)
-                top = np.argsort(-row, kind="stable")[:n]
+                top = np.argsort(-row, kind="stable")[:n] if n is not None else np.flatnonzero(row >= least - 10.0**-digits)
                 top = top[row[top] > 0]
                 out["src"] += [ids_a[i]] * len(top)
                 out["dst"] += ids_b[top].tolist()
@@ -183,5 +184,7 @@ def neighbours(vectors: DataFrame, key: str, n: int = 20, parts: int | None = No
 
     kind = dict(vectors.dtypes)[key]
     found = left.unionByName(right).groupBy("b", "o").applyInPandas(block, f"src {kind}, dst {kind}, score double")
+    if n is None:
+        return found.withColumn("score", F.round("score", digits)).where(F.col("score") >= least)
     w = Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("score", F.round("score", digits))

@@ -51,7 +51,7 @@ def join_07_refs(spark, sf):
 
 
 def gr_03(spark, sf):
-    pairs = S.neighbours(table(spark, sf, "embeddings"), "vec_id", 50, digits=9).where("src < dst and score >= 0.35").select(F.col("src").alias("source"), F.col("dst").alias("target"), "score")
+    pairs = S.neighbours(table(spark, sf, "embeddings"), "vec_id", None, digits=9, least=0.35).where("src < dst").select(F.col("src").alias("source"), F.col("dst").alias("target"), "score")
     return with_checkpoints(spark, lambda: G.capped_edges(pairs, 3)).select("source", "target", F.round("score", 6).alias("score"))
 
 
@@ -75,7 +75,7 @@ def ml_01(spark, sf):
 
 
 def ml_02(spark, sf):
-    pairs = S.neighbours(table(spark, sf, "embeddings"), "vec_id", 50, digits=9).where("score >= 0.4").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = S.neighbours(table(spark, sf, "embeddings"), "vec_id", None, digits=9, least=0.4).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"))
     return with_checkpoints(spark, lambda: G.density_clusters(pairs, nodes))
 

@@ -187,3 +187,13 @@ def test_api_validates(spark):
     assert lib.search_group("x", "impact").count() == 0
     with pytest.raises(api.ToolError, match="INDEX_NOT_FOUND"):
         lib.full_text("p1")
+
+
+def test_a_group_of_copies_keeps_its_links(spark, tmp_path):
+    """60 copies fill each other's lists of 50 partners; the vector beside them belongs to the cluster."""
+    from lumenarc.plans import graph_queries as Q
+
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(60 + i, [0.6, 0.8]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert S.neighbours(spark.read.parquet(str(tmp_path / "embeddings.parquet")), "vec_id", None, digits=9, least=0.4).where("src = 0").count() == 119
+    assert {r["label"] for r in Q.ml_02(spark, str(tmp_path)).collect()} == {0}
