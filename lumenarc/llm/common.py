@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees. Only where it is unset (local tests) a temporary folder is set."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Only where it is unset and Spark runs in one process, a temporary folder is set."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lumenarc-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -66,6 +69,24 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables that one job needs only until its own result is staged; `drop` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths = []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -81,6 +102,16 @@ def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), *keys).limit(n)
 
 
+def bounded_sample(df: DataFrame, n: int, most_bytes: int, text_col: str, *keys: str) -> DataFrame:
+    """At most n rows and about most_bytes bytes of text, by the keys' hashes; a text is taken whole or not at all."""
+    from pyspark.sql import Window
+
+    size = F.octet_length(text_col)
+    some = hash_sample(df.where(size <= most_bytes), n, *keys)
+    order = Window.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), *keys).rowsBetween(Window.unboundedPreceding, 0)  # n rows
+    return some.withColumn("__sum", F.sum(size).over(order)).where(F.col("__sum") <= most_bytes).drop("__sum")
+
+
 def text_key(text: Column) -> list[Column]:
     """Two 64-bit hashes of a text (null as empty): rows with the same text share a key."""
     t = F.coalesce(text, F.lit(""))
@@ -88,11 +119,15 @@ def text_key(text: Column) -> list[Column]:
 
 
 class Bloom:
-    """Membership filter of fixed size (bits / 8 bytes, whatever the data). It only spares shuffling rows that cannot match; a full filter lets all pass."""
+    """Membership filter of fixed size (bits / 8 bytes, whatever the data). It only spares shuffling rows that cannot match; a full filter lets all pass.
 
-    def __init__(self, keys: DataFrame, key: Column, bits: int = 1 << 24):
+    hashed: the keys are 64-bit hashes already and name their bits themselves, so that `holds` can test them inside a Python task.
+    """
+
+    def __init__(self, keys: DataFrame, key: Column, bits: int = 1 << 24, hashed: bool = False):
         self.bits = bits
-        h = F.pmod(F.xxhash64(F.lit(11), key), F.lit(bits))
+        self.place = (lambda k: F.pmod(k, F.lit(bits))) if hashed else (lambda k: F.pmod(F.xxhash64(F.lit(11), k), F.lit(bits)))
+        h = self.place(key)
         words = (
             keys.select(h.alias("h"))
             .groupBy(F.shiftright("h", 6).cast("int").alias("w"))
@@ -104,8 +139,15 @@ class Bloom:
         sc = keys.sparkSession.sparkContext
         self.cast = sc.broadcast(filled.tobytes())
 
+    @staticmethod
+    def holds(filled: bytes, keys: np.ndarray) -> np.ndarray:
+        """For a filter of hashed keys: which of these int64 keys may be in it. filled: the value of `cast`."""
+        held = np.frombuffer(filled, np.int64)
+        h = keys & np.int64(len(held) * 64 - 1)
+        return (held[h >> 6] >> (h & 63)) & 1 == 1
+
     def may_contain(self, key: Column) -> Column:
-        cast, bits = self.cast, self.bits
+        cast = self.cast
 
         @F.arrow_udf("boolean")
         def hit(h):
@@ -115,4 +157,4 @@ class Bloom:
             h = h.to_numpy(zero_copy_only=False)
             return pa.array((held[h >> 6] >> (h & 63)) & 1 == 1)
 
-        return hit(F.pmod(F.xxhash64(F.lit(11), key), F.lit(bits)))
+        return hit(self.place(key))

@@ -39,7 +39,7 @@ def brute_components(prints, radius):
     return forest(len(fps), i, j).tolist()
 
 
-@pytest.mark.parametrize(("radius", "tile"), [(2, 2048), (6, 16)])
+@pytest.mark.parametrize(("radius", "tile"), [(2, 2048), (5, 16)])
 def test_simhash_components_equal_all_pairs(spark, near_copies, radius, tile, monkeypatch):
     monkeypatch.setattr(S.fingerprint_links, "__defaults__", (radius, tile))  # small tiles: classes are split
     rows = near_copies.orderBy("doc_id").collect()
@@ -104,6 +104,34 @@ def test_lines_equal_all_pairs(spark, chunk, monkeypatch):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("chars", [30, 60, 150, 350])
+def test_bands_and_marks_recall_pairs_at_the_threshold(chars):
+    """Pairs of Jaccard 0.8 to 0.85: nearly all share a band, and their marks never part them."""
+    shingles = lambda t: {t[k : k + L.SHINGLE] for k in range(len(t) - L.SHINGLE + 1)}
+    pairs = []
+    while len(pairs) < 400:
+        a, new = ("".join(RNG.choice("etaoinshrdlu ") for _ in range(n)) for n in (chars, round(0.08 * chars)))
+        b = a[round(0.1 * chars) :] + new
+        x, y = shingles(a), shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            pairs.append((a, b))
+    one, two = (L.signatures(list(side)) for side in zip(*pairs, strict=True))
+    met = (L.band_hashes(one) == L.band_hashes(two)).any(axis=1) & (L.agreeing(L.marks(one), L.marks(two)) >= L.AGREE)
+    assert met.mean() >= 0.98
+
+
+def test_thinned_lines_stay_linked():
+    """A band with many near copies: thinning loses no connection to lines that are similar."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 3, np.uint64)
+    mark = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 62, 100).astype(np.uint64)) for b in base])
+    line = np.arange(300, dtype=np.int64)
+    links = L.candidates_in(np.zeros(300, np.uint64), line, mark)
+    root = forest(300, *links)
+    assert [len(set(root[i : i + 100])) for i in (0, 100, 200)] == [1, 1, 1]
+    assert len(set(root)) == 3
+
+
 def test_lines_of_documents(documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = {r["doc_id"]: r["text"] for r in L.dedup_lines(documents).collect()}
