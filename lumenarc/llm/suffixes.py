@@ -6,18 +6,22 @@ than one suffix array, so:
 1. Anchors. In each LENGTH-byte window the rightmost smallest K-byte hash is an anchor (winnowing):
    equal windows have equal anchors at equal offsets. About one byte in a hundred is an anchor; its
    context is all bytes that a window around it can hold.
-2. Anchors whose hash occurs once repeat nothing. Equal contexts that occur twice are repeated whole;
-   this settles the inside of copies and of shared passages, and no text moves for it.
+2. Anchors whose hash occurs once repeat nothing. Equal contexts (anchor hash and a 64-bit XXH3 of the
+   bytes) that occur twice are repeated whole; this settles the inside of copies and of shared passages,
+   and no text moves for it.
 3. Left are distinct contexts of one anchor: the ends of repeats. One text of each is fetched; groups
    meet in blocks of bounded size, where a suffix array is built: suffixes smaller than their
-   successors are sorted directly, the others are induced by one scan over the buckets, and adjacent
-   common prefixes of LENGTH bytes or more mark repeats. Only suffixes that long, and those that
-   induce them, are sorted.
-4. An anchor with more contexts than GROUP would outgrow a block; its windows are counted by hash and
-   alignment instead (equal windows hold the anchor at equal offsets), which is exact as well.
-
-Null is the empty text. Texts are compared as UTF-8 bytes and matches never cross documents. Rows of
-equal text are occurrences of their own, whatever their doc_id. All other columns are kept.
+   successors are sorted directly, the others are induced by one scan over the buckets, and common
+   prefixes of neighbours, compared byte by byte, of LENGTH bytes or more mark repeats. Only suffixes
+   that long, and those that induce them, are sorted.
+4. An anchor with more contexts than GROUP would outgrow a block; its windows are counted by their XXH3
+   and alignment instead (equal windows hold the anchor at equal offsets). A task settles what repeats
+   among its own windows and sends one of each kind on, packed by the part that all windows around the
+   same bytes go to, so that a passage in very many texts is no hot key.
+
+Null is the empty text. Texts are compared whole, as UTF-8 bytes, and matches never cross documents. Rows of
+equal text are occurrences of their own, whatever their doc_id. An empty table gives an empty result. All
+other columns are kept; n_bytes, n_removed, n_spans and kept replace columns of these names.
 """
 
 from __future__ import annotations
@@ -28,49 +32,41 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import Bloom, bounded_batches, staged, text_key
+from lumenarc.llm.common import Bloom, Scratch, bounded_batches, drop_caches, staged, text_key
 
 LENGTH, K = 400, 200
 #: Most contexts of an anchor in a block, and bytes of a block.
 GROUP, BLOCK_BYTES = 200, 256 << 10
+#: Windows that a task packs at once, windows to a part, and parts of an anchor's alignments that may go to different parts.
+PACK_WINDOWS, PART_WINDOWS, STEPS = 1 << 19, 1 << 20, 8
 _rng = np.random.default_rng(5)
-_value = _rng.integers(0, 1 << 63, (2, 257), np.uint64) * np.uint64(2) + np.uint64(1)
-_base = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_value = _rng.integers(0, 1 << 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
+_base = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = []
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """base ** i and its inverse ** i modulo 2 ** 64, for i < n at least."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        with np.errstate(over="ignore"):
-            inverse = pow(int(_base[which]), -1, 1 << 64)
-            up = np.full(size, _base[which], np.uint64)
-            down = np.full(size, np.uint64(inverse), np.uint64)
-            up[0] = down[0] = 1
-            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 22:
-            _powers[which] = have
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    size = 1 << max(16, int(n).bit_length())
+    with np.errstate(over="ignore"):
+        up = np.full(size, _base, np.uint64)
+        down = np.full(size, np.uint64(pow(int(_base), -1, 1 << 64)), np.uint64)
+        up[0] = down[0] = 1
+        have = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    if size <= 1 << 22:
+        _powers[:] = have
     return have
 
 
-class Rolling:
-    """Hashes of any substrings of one byte array."""
-
-    def __init__(self, data: np.ndarray, which: int):
-        self.up, self.down = powers(which, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_value[which][data] * self.up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def grams(self, k: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Rolling hashes of all k-byte strings. They choose anchors and group contexts; no match rests on them."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_value[data] * up[: len(data)], out=sums[1:])
+        return mixed((sums[k:] - sums[:-k]) * down[: len(sums) - k])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -109,11 +105,14 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K):
     if len(raw) < length:
         none = np.empty(0, np.int64)
         return none, none, none
+    import xxhash
+
     data = np.frombuffer(raw, np.uint8)
-    h = Rolling(data, 0).grams(k)
+    h = gram_hashes(data, k)
     pos = np.unique(window_minima(h, length - k + 1))
     start, end = context(pos, len(data), length, k)
-    c = Rolling(data, 1).of(start, end) + (pos - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hash_ = xxhash.xxh3_64_intdigest
+    c = np.fromiter((hash_(raw[s:e], p - s) for p, s, e in zip(pos.tolist(), start.tolist(), end.tolist(), strict=True)), np.uint64, len(pos))
     return pos, h[pos].view(np.int64), c.view(np.int64)
 
 
@@ -186,10 +185,15 @@ def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) ->
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def adjacent_prefixes(hashes: Rolling, order: np.ndarray, depth: int) -> np.ndarray:
-    """True where a suffix has the first `depth` bytes in common with the one before it in order; both have as many."""
-    a, b = order[:-1], order[1:]
-    return hashes.of(a, a + depth) == hashes.of(b, b + depth)
+def adjacent_prefixes(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes, `depth` at most, each suffix has in common with the one before it in order; all have as many."""
+    windows = np.lib.stride_tricks.sliding_window_view(t, depth)
+    out = np.empty(max(0, len(order) - 1), np.int64)
+    for lo in range(0, len(out), 4096):
+        a, b = order[lo : lo + 4097][:-1], order[lo + 1 : lo + 4097]
+        unlike = windows[a] != windows[b]
+        out[lo : lo + len(a)] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), depth)
+    return out
 
 
 def repeated_in_block(texts: list[bytes], places: list[tuple], many: list[bool], length: int = LENGTH) -> list[np.ndarray]:
@@ -210,7 +214,7 @@ def repeated_in_block(texts: list[bytes], places: list[tuple], many: list[bool],
     order = order[whole[order]]
     if not len(order):
         return [np.empty(0, np.int64) for _ in texts]
-    run = np.concatenate([[0], np.cumsum(~adjacent_prefixes(Rolling(t, 0), order, length))])
+    run = np.concatenate([[0], np.cumsum(adjacent_prefixes(t, order, length) < length)])
     low, high = np.full(run.max() + 1, 1 << 62), np.full(run.max() + 1, -1)
     np.minimum.at(low, run, place[order])
     np.maximum.at(high, run, place[order])
@@ -231,12 +235,106 @@ def spans(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + length).tolist(), strict=True))
 
 
+RANGES = "h long, c long, s long, e long"
+
+
+def hit_ranges(rows: np.ndarray, length: int) -> list[np.ndarray]:
+    """h, c, s, e of runs of consecutive windows. rows: [h, c, s] of windows that repeat."""
+    h, c, s = rows[:, np.lexsort(rows[::-1])]
+    cut = np.flatnonzero((h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1))
+    first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(h) - 1]])
+    return [h[first], c[first], s[first], s[last] + length]
+
+
+def repeated_windows(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows with hashes w that stand for n occurrences each: one of each kind, how often it occurs (2 means more), and the count of each window's kind."""
+    _, first, back = np.unique(w, return_index=True, return_inverse=True)
+    total = np.minimum(np.bincount(back, n), 2).astype(np.int64)
+    return first, total, total[back]
+
+
+def counted_windows(ends: DataFrame, contexts: int, length: int, k: int) -> DataFrame:
+    """Ranges of contexts of one occurrence whose windows occur elsewhere around the same anchor. ends: h, c, m, pos, s, bytes; contexts: their number."""
+    import pyarrow as pa
+
+    parts = max(1, contexts * (length - k) // PART_WINDOWS)
+    step = -(-(length - k + 1) // STEPS)
+
+    def ranged_rows(rows):
+        return hit_ranges(rows, length) if rows.shape[1] else [np.empty(0, np.int64)] * 4
+
+    def pack(batches):
+        import xxhash
+
+        drop_caches()
+        hash_ = xxhash.xxh3_64_intdigest
+        held, size = [], 0
+
+        def packed():
+            w, part, h, c, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, total, twice = repeated_windows(w, n)
+            found = np.ascontiguousarray(np.stack(ranged_rows(np.stack([h, c, s])[:, (twice > 1) & (n == 1)])))
+            order = first[np.argsort(part[first], kind="stable")]
+            count = total[np.argsort(part[first], kind="stable")]
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            ids, rows = part[order[cuts]], []
+            for b, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                at = order[b:e]
+                rows.append(b"".join(x.tobytes() for x in (w[at].view(np.int64), h[at], c[at], s[at], count[b:e])))
+            return pa.record_batch([pa.array(ids, pa.int32()), pa.array(rows, pa.binary()), pa.array([found.tobytes()] + [b""] * (len(rows) - 1), pa.binary())], names=["part", "rows", "found"])
+
+        for batch in batches:
+            for x in batch.to_pylist():
+                raw, at = x["bytes"], x["pos"] - x["s"]
+                ahead = np.arange(max(0, at + length - len(raw)), min(at, length - k) + 1)
+                if not len(ahead):
+                    continue
+                salt = x["h"] & 0xFFFFFFFFFFFFFFFF
+                w = np.fromiter((hash_(raw[at - a : at - a + length], salt ^ a << 40) for a in ahead.tolist()), np.uint64, len(ahead))
+                kinds = ahead // step
+                core = {j: hash_(raw[at - j * step : at - j * step + length - step + 1], salt) % parts for j in np.unique(kinds).tolist()}
+                each = lambda v, n=len(ahead): np.full(n, v, np.int64)
+                held.append((w, np.array([core[j] for j in kinds.tolist()]), each(x["h"]), each(x["c"]), -ahead, each(min(x["m"], 2))))
+                size += len(ahead)
+                if size >= PACK_WINDOWS:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    def meet(batches):
+        part, held = None, []
+
+        def close():
+            w, h, c, s, n = np.concatenate([np.frombuffer(b, np.int64).reshape(5, -1) for b in held], axis=1)
+            _, _, twice = repeated_windows(w, n)
+            return pa.record_batch([pa.array(x) for x in ranged_rows(np.stack([h, c, s])[:, (twice > 1) & (n == 1)])], names=["h", "c", "s", "e"])
+
+        for batch in batches:
+            for p, rows, found in zip(*(batch.column(x).to_pylist() for x in ("part", "rows", "found")), strict=True):
+                if p != part:
+                    if held:
+                        yield close()
+                    part, held = p, []
+                held.append(rows)
+                if found:
+                    yield pa.record_batch([pa.array(x) for x in np.frombuffer(found, np.int64).reshape(4, -1)], names=["h", "c", "s", "e"])
+        if held:
+            yield close()
+
+    dealt = ends.mapInArrow(pack, "part int, rows binary, found binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, RANGES)
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """k1, k2 (text_key), spans array<struct<s, e>>: per distinct text the byte ranges to remove, merged and in order."""
-    spark = bounded_batches(docs.sparkSession)
     import pyarrow as pa
 
+    spark = bounded_batches(docs.sparkSession)
+    early, scratch = Scratch(spark), Scratch(spark)
+
     def find(rows):
+        drop_caches()
         for batch in rows:
             cols = [[], [], [], [], [], []]
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
@@ -249,23 +347,24 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     k1, k2 = text_key(F.col(text_col))
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
-    found = staged(spark, keyed.mapInArrow(find, "k1 long, k2 long, n long, pos array<long>, h array<long>, c array<long>"), "anchors")
+    found = early.put(keyed.mapInArrow(find, "k1 long, k2 long, n long, pos array<long>, h array<long>, c array<long>"), "anchors")
     each = found.select("k1", "k2", "n", F.explode(F.arrays_zip("pos", "h", "c")).alias("a")).select("k1", "k2", "n", "a.pos", "a.h", "a.c")
     counted = found.select(F.explode(F.arrays_zip("h", "c")).alias("a")).select("a.h", "a.c").groupBy("h").agg(F.count("*").alias("occ"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    shared = staged(spark, counted.where("occ > 1").select("h", (F.col("c0") == F.col("c1")).alias("one")), "shared")
-    held = each.where(Bloom(shared, F.col("h")).may_contain(F.col("h"))).join(shared, "h")
-    held = staged(spark, held, "held")
-    contexts = staged(spark, held.groupBy("h", "c").agg(F.first("one").alias("one"), F.count("*").alias("m"), F.min(F.struct("k1", "k2", "pos", "n")).alias("rep")), "contexts")
+    shared = early.put(counted.where("occ > 1").select("h", (F.col("c0") == F.col("c1")).alias("one")), "shared")
+    held = scratch.put(each.where(Bloom(shared, F.col("h"), hashed=True).may_contain(F.col("h"))).join(shared, "h"), "held")
+    early.drop()
+    contexts = scratch.put(held.groupBy("h", "c").agg(F.first("one").alias("one"), F.count("*").alias("m"), F.min(F.struct("k1", "k2", "pos", "n")).alias("rep")), "contexts")
     left = F.least(F.col("rep.pos"), F.lit(length - k))
     right = F.least(F.col("rep.n") - F.col("rep.pos"), F.lit(length))
     whole = contexts.where((F.col("m") > 1) & (left + right >= length)).select("h", "c", (-left).alias("s"), right.alias("e"))
 
     # One text for each context whose anchor has others.
-    open_ = contexts.where("not one")
-    sizes = open_.groupBy("h").agg(F.count("*").alias("size"))
-    wanted = open_.join(sizes, "h").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("h", "c", "m", "size", F.col("rep.pos").alias("pos"))).alias("want"))
-    wanted = staged(spark, wanted, "wanted")
-    near = keyed.where(Bloom(wanted, F.col("k1")).may_contain(F.col("k1")))
+    open_ = contexts.where("not one").select("h", "c", "m", "rep.*")
+    crowds = scratch.put(open_.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > group), "crowds")
+    n_hot = crowds.agg(F.sum("size")).first()[0] or 0
+    want = F.struct("h", "c", "m", F.col("size").isNotNull().alias("hot"), "pos")
+    wanted = scratch.put(open_.join(crowds, "h", "left").groupBy("k1", "k2").agg(F.collect_list(want).alias("want")), "wanted")
+    near = keyed.where(Bloom(wanted, F.col("k1"), hashed=True).may_contain(F.col("k1")))
     texts = near.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
     def cut(rows):
@@ -276,20 +375,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 for w in want:
                     s, e = max(w["pos"] - (length - k), 0), min(w["pos"] + length, len(raw))
                     if e - s >= length:
-                        out.append((w["h"], w["c"], w["m"], w["size"], k1, k2, w["pos"], s, raw[s:e]))
+                        out.append((w["h"], w["c"], w["m"], w["hot"], k1, k2, w["pos"], s, raw[s:e]))
                     if len(out) >= 4000:
                         yield packed(out)
                         out = []
             if out:
                 yield packed(out)
 
-    schema = "h long, c long, m long, size long, k1 long, k2 long, pos long, s long, bytes binary"
+    schema = "h long, c long, m long, hot boolean, k1 long, k2 long, pos long, s long, bytes binary"
 
     def packed(rows):
-        kinds = [pa.int64()] * 8 + [pa.binary()]
+        kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 4 + [pa.binary()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split(" ")[0] for f in schema.split(", ")])
 
-    ends = staged(spark, texts.join(wanted, ["k1", "k2"]).mapInArrow(cut, schema), "ends")
+    ends = scratch.put(texts.join(wanted, ["k1", "k2"]).mapInArrow(cut, schema), "ends")
 
     def sort_blocks(rows):
         held, size, last = [], 0, None
@@ -311,29 +410,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         if held:
             yield close()
 
-    blocks = ends.where(F.col("size") <= group).repartition("h").sortWithinPartitions("h", "c")
-    by_array = blocks.mapInArrow(sort_blocks, "h long, c long, s long, e long")
-
-    def windows(rows):
-        for batch in rows:
-            for x in batch.to_pylist():
-                data = np.frombuffer(x["bytes"], np.uint8)
-                at = np.arange(len(data) - length + 1)
-                h = Rolling(data, 1).grams(length).view(np.int64)
-                ahead = x["pos"] - x["s"] - at
-                ok = (ahead >= 0) & (ahead <= length - k)
-                m = int(ok.sum())
-                if m:
-                    yield pa.record_batch([pa.array([x["h"]] * m, pa.int64()), pa.array([x["c"]] * m, pa.int64()), pa.array([x["m"]] * m, pa.int64()), pa.array(-ahead[ok]), pa.array(h[ok])], names=["h", "c", "m", "s", "w"])
-
-    hot = staged(spark, ends.where(F.col("size") > group).mapInArrow(windows, "h long, c long, m long, s long, w long"), "windows")
-    twice = staged(spark, hot.groupBy("h", "s", "w").agg(F.sum("m").alias("t")).where("t > 1").drop("t"), "twice")
-    by_hash = hot.where("m = 1").join(twice, ["h", "s", "w"]).select("h", "c", "s", (F.col("s") + length).alias("e"))
-
-    ranges = staged(spark, whole.unionByName(by_array).unionByName(by_hash), "ranges")
+    blocks = ends.where("not hot").repartition("h").sortWithinPartitions("h", "c")
+    ranges = whole.unionByName(blocks.mapInArrow(sort_blocks, RANGES))
+    if n_hot:
+        ranges = ranges.unionByName(counted_windows(ends.where("hot"), n_hot, length, k))
+    ranges = scratch.put(ranges, "ranges")
     placed = held.join(ranges, ["h", "c"]).select("k1", "k2", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e")).distinct()
     listed = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    return staged(spark, listed, "spans")
+    listed = staged(spark, listed, "spans")
+    scratch.drop()
+    return listed
 
 
 def remove_spans(raw: bytes, found: list[dict] | None) -> tuple[int, int, bytes]:
