@@ -1,13 +1,14 @@
 """Operator 10: benchmark decontamination, all substrings within the allowed edit distance.
 
 An item of m characters matches a document if a substring of it is within k = (1 - SIMILARITY) m edits,
-rounded down in integers. The search loses none. An item is cut into k + 1 leaves of at most five
-characters, so that k edits leave a leaf whole; likewise a group of n leaves that is left with at most
-n - 1 edits holds a smaller group of which the same is true. So each match has a leaf that stands in the text
-exactly, a pair of leaves around it with at most one edit, and a group of up to MID leaves with fewer
-edits than leaves. Leaves are looked up by rolling hashes at every place of the text, pairs are tested by
-comparing characters, groups by Myers' bit vectors side by side, and what is left is verified by Myers'
-algorithm on the whole item, the ends of the window free. White space and words play no part.
+rounded down in integers. The search loses none. An item is cut into k + 1 leaves (of five characters, the
+last few of four), so that k edits leave a leaf whole; likewise a group of n leaves that is left with at
+most n - 1 edits holds a smaller group of which the same is true. So each match holds a group of up to MID
+leaves, in it a section of about four and in that a pair of leaves with fewer edits than leaves. A pair
+with one edit keeps two of three parts of it whole: seven characters in a row, or its first and last
+three, one character nearer or farther apart at most. These seeds are looked up by hash at every place of
+the text; pairs, sections and groups are tested by Myers' bit vectors side by side, and what is left is
+verified by Myers' algorithm on the whole item, the ends of the window free. White space and words play no part.
 
 The benchmark is read in blocks of bounded size, each carried to all tasks; documents are mapped in
 place. Texts are compared in lower case with single spaces. Items that are null or blank match
@@ -23,22 +24,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import bounded_batches, drop_caches
+from lumenarc.llm.common import bounded_batches, drop_caches, staged
 
 SIMILARITY = 0.8
-#: Leaves of a group: its characters fit 64 bits at LEAF characters a leaf.
-MID = 12
+#: Leaves of a group (its characters fit 64 bits) and of a section, about.
+MID, SECTION = 12, 4
 #: Starts of candidates are rounded to so many characters.
 STEP = 8
 #: Ranges of at most so many characters are tested by the groups of the item before it is verified.
 LONG = 1500
-#: Hits that are tested at once.
-HITS = 1 << 19
+#: Patterns that are tested side by side.
+LANES = 1 << 13
 #: Characters of the items that are carried to the tasks at once, and of the texts that are hashed at once.
-BLOCK_CHARS, TEXT_CHARS = 2 << 20, 1 << 18
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: What stands around texts and after the end of short patterns; no characters.
-_GAP, _END = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
+BLOCK_CHARS, TEXT_CHARS = 1 << 20, 1 << 18
+#: Symbols that filters tell apart; the last is no character.
+SYMBOLS = 128
+_ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+#: What stands around texts; no character.
+_GAP = np.uint32(0xFFFFFFFF)
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -49,46 +52,94 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def leaf_size(m: int, most: int) -> int:
-    """The longest leaf of an item of m characters."""
-    return -(-m // (most + 1))
+def short(chars: np.ndarray) -> np.ndarray:
+    """A symbol for each character; unlike characters may share one, which no filter minds, and what is none is told apart."""
+    return np.where(chars < _GAP, chars % np.uint32(SYMBOLS - 1), np.uint32(SYMBOLS - 1)).astype(np.uint8)
 
 
-def one_edit_table(size: int) -> np.ndarray:
-    """Whether a pattern of `size` characters is a text's start but for one edit: by bits of equality at equal places, the text's one before and one behind."""
-    at = np.arange(1 << 3 * size)
-    same, before, behind = ([(at >> (size * t + i)) & 1 == 1 for i in range(size)] for t in range(3))
+def even_parts(n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of nearly equal length that cover n things, `most` at most in each."""
+    many = -(-n // most)
+    return [(n * p // many, n * (p + 1) // many) for p in range(many)]
 
-    def tails(bits):
-        out = [np.ones(len(at), bool)]
-        for b in reversed(bits):
-            out.append(out[-1] & b)
-        return out[::-1]
 
-    s0, sm, sp = tails(same), tails(before), tails(behind)
-    ok, head = np.zeros(len(at), bool), np.ones(len(at), bool)
-    for i in range(size):
-        ok |= head & (s0[i + 1] | sm[i + 1] | sp[i])
-        head = head & same[i]
-    return ok | head
+def leaf_sizes(m: int, most: int) -> list[int]:
+    """most + 1 leaves of an item of m characters, the longer ones first."""
+    size = -(-m // (most + 1))
+    short_ones = size * (most + 1) - m
+    return [size] * (most + 1 - short_ones) + [size - 1] * short_ones
 
 
-def distances(patterns: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Smallest edit distance of each pattern (64 places, _END behind it) to a substring of its text: Myers' bit vectors side by side."""
-    n, one = len(patterns), np.uint64(1)
-    plus, minus = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(n, np.uint64)
-    last = (sizes - 1).astype(np.uint64)
-    score = sizes.astype(np.int64)
+def three_codes(symbols: np.ndarray) -> np.ndarray:
+    """Of all windows of three symbols."""
+    wide = symbols.astype(np.uint32)
+    return wide[:-2] | wide[1:-1] << np.uint32(7) | wide[2:] << np.uint32(14)
+
+
+def seed_keys(symbols: np.ndarray, threes: np.ndarray, kind: tuple[int, int], n: int) -> np.ndarray:
+    """Hashes of the seeds that begin at the first n places. kind: characters in a row, 0; or 3, and how far behind them three more begin."""
+    size, apart = kind
+    with np.errstate(over="ignore"):
+        if apart:
+            key = threes[:n] * _ODD[0] + threes[apart : apart + n] * _ODD[1]
+        elif size < 3:
+            key = (symbols[:n] + symbols[size - 1 : size - 1 + n] * np.uint32(SYMBOLS)) * _ODD[0]
+        else:
+            key = threes[:n] * _ODD[0] + threes[size - 3 : size - 3 + n] * _ODD[1]
+            if size == 7:
+                key += symbols[3 : 3 + n] * _ODD[2]
+        key ^= key >> np.uint32(15)
+        key *= _ODD[3]
+    return key
+
+
+def seeds_of(text: str, cut: int) -> list[tuple[tuple[int, int], int, np.ndarray]]:
+    """(kind, place in the text, key) of seeds one of which stands wherever the text stands with one edit, cut being where its two leaves meet; with cut 0, without an edit."""
+    n = len(text)
+    if cut and n >= 8:
+        size = min(7, n - 3)
+        asked = [((size, 0), 0), ((size, 0), 3), *(((3, n - 3 + d), 0) for d in (-1, 0, 1))]
+    elif cut:
+        asked = [((cut, 0), 0), ((n - cut, 0), cut)]
+    else:
+        asked = [((min(n, 7), 0), 0)]
+    symbols = np.concatenate([short(codes(text)), np.zeros(8, np.uint8)])
+    out = []
+    for (size, apart), at in asked:
+        own = symbols[at:].astype(np.uint32) if not apart else np.zeros(apart + 8, np.uint32)
+        if apart:
+            own[:3], own[apart : apart + 3] = symbols[:3], symbols[n - 3 : n]
+        out.append(((size, apart), at, seed_keys(own, three_codes(own), (size, apart), 1)[0]))
+    return out
+
+
+def match_bits(patterns: list[str]) -> np.ndarray:
+    """[pattern, symbol]: the places of a pattern that hold the symbol, as bits of 16, 32 or 64."""
+    longest = max(map(len, patterns), default=0)
+    kind = np.uint16 if longest <= 16 else np.uint32 if longest <= 32 else np.uint64
+    out = np.zeros((len(patterns), SYMBOLS), kind)
+    for x, p in enumerate(patterns):
+        np.bitwise_or.at(out[x], short(codes(p)), kind(1) << np.arange(len(p), dtype=kind))
+    return out
+
+
+def distances(bits: np.ndarray, sizes: np.ndarray, which: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Smallest edit distance of each pattern (bits[which], of sizes[which] characters) to a substring of its text, as symbols: Myers' bit vectors side by side."""
+    n, kind = len(which), bits.dtype.type
+    one, bits, row = kind(1), bits.ravel(), which * SYMBOLS
+    plus, minus = np.full(n, ~kind(0), kind), np.zeros(n, kind)
+    top = one << (sizes[which] - 1).astype(kind)
+    score = sizes[which].astype(np.int16)
     best = score.copy()
     with np.errstate(over="ignore"):
-        for j in range(texts.shape[1]):
-            eq = np.packbits(patterns == texts[:, j, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        for column in np.ascontiguousarray(texts.T):
+            eq = bits[row + column]
             xv = eq | minus
             xh = (((eq & plus) + plus) ^ plus) | eq
             up = minus | ~(xh | plus)
             down = plus & xh
-            score += (up >> last & one).astype(np.int64)
-            score -= (down >> last & one).astype(np.int64)
+            score += (up & top) != 0
+            score -= ((down & top) != 0).view(np.int8)
             up, down = up << one, down << one
             plus = down | ~(xv | up)
             minus = up & xv
@@ -135,86 +186,59 @@ class Items:
                 self.texts.append(" ".join(words))
         loss = 1 - Fraction(str(similarity))
         self.most = [int(len(t) * loss) for t in self.texts]
-        longest = max((leaf_size(len(t), k) for t, k in zip(self.texts, self.most, strict=True)), default=1)
-        self.leaf, self.group = min(longest, 5), max(1, min(MID, 64 // longest))
+        sizes = [leaf_sizes(len(t), k) for t, k in zip(self.texts, self.most, strict=True)]
+        longest = max((c[0] for c in sizes), default=1)
         if longest > 64:
             raise ValueError(f"similarity {similarity} asks for leaves of more than 64 characters")
-        leaves, mids, patterns = [], [], []
-        for i, (t, k) in enumerate(zip(self.texts, self.most, strict=True)):
-            cut = [len(t) * x // (k + 1) for x in range(k + 2)]
-            for lo in range(0, k + 1, self.group):
-                hi = min(lo + self.group, k + 1)
+        self.group = max(2, min(MID, 64 // longest))
+        units, parts, mids, texts = [], [], [], ([], [], [])
+        seeds: dict[tuple[int, int], list[tuple[np.ndarray, int, int]]] = defaultdict(list)
+        for i, (t, leaves) in enumerate(zip(self.texts, sizes, strict=True)):
+            cut = np.cumsum([0, *leaves]).tolist()
+            pairs = [*range(0, len(leaves), 2), len(leaves)]  # where pairs of leaves begin; an odd last leaf stands alone
+            for g0, g1 in even_parts(len(pairs) - 1, max(1, self.group // 2)):
+                lo, hi = pairs[g0], pairs[g1]
                 mids.append((i, cut[lo], cut[hi] - cut[lo], hi - lo - 1))
-                patterns.append(t[cut[lo] : cut[hi]])
-                for x in range(lo, hi):
-                    y = x + 1 if (x - lo) % 2 == 0 else x - 1
-                    beside = t[cut[y] : cut[y + 1]] if y < hi else ""
-                    size = min(cut[x + 1] - cut[x], self.leaf)
-                    ahead = y > x
-                    leaves.append((len(mids) - 1, cut[x] - cut[lo], t[cut[x] : cut[x] + size], cut[x + 1] - cut[x], beside if ahead else beside[::-1], 1 if ahead else -1))
+                texts[0].append(t[cut[lo] : cut[hi]])
+                for p0, p1 in even_parts(g1 - g0, SECTION // 2):
+                    a, b = pairs[g0 + p0], pairs[g0 + p1]
+                    parts.append((len(mids) - 1, cut[a] - cut[lo], cut[b] - cut[a], b - a - 1))
+                    texts[1].append(t[cut[a] : cut[b]])
+                    for x in range(a, b, 2):
+                        y = min(x + 2, b)
+                        units.append((len(parts) - 1, cut[x] - cut[a], cut[y] - cut[x], y - x - 1))
+                        texts[2].append(t[cut[x] : cut[y]])
+                        for kind, at, key in seeds_of(texts[2][-1], cut[x + 1] - cut[x] if y - x == 2 else 0):
+                            seeds[kind].append((key, len(units) - 1, at))
         self.mid_item, self.mid_start, self.mid_size, self.mid_most = np.array(mids, np.int64).reshape(-1, 4).T
-        self.patterns = np.full((len(mids), 64), _END, np.uint32)
-        for x, p in enumerate(patterns):
-            self.patterns[x, : len(p)] = codes(p)
-        beside = np.full((len(leaves), self.leaf), _END, np.uint32)
-        for x, leaf in enumerate(leaves):
-            part = leaf[4][: self.leaf]
-            beside[x, : len(part)] = codes(part)
-        self.one_edit = one_edit_table(self.leaf)
+        self.part_mid, self.part_start, self.part_size, self.part_most = np.array(parts, np.int64).reshape(-1, 4).T
+        self.unit_part, self.unit_start, self.unit_size, self.unit_most = np.array(units, np.int64).reshape(-1, 4).T
+        self.groups, self.parts, self.units = map(match_bits, texts)
         self.tables = []
-        for size in sorted({len(leaf[2]) for leaf in leaves}):
-            own = np.array([x for x, leaf in enumerate(leaves) if len(leaf[2]) == size], np.int64)
-            h = self.hashes(codes("".join(leaves[x][2] for x in own)), size)[::size]
-            bits = max(16, len(own).bit_length() + 3)
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+        for kind, own in sorted(seeds.items()):
+            key, unit, at = (np.array(c) for c in zip(*own, strict=True))
+            bits = max(16, len(key).bit_length() + 6)
+            slot = (key >> np.uint32(32 - bits)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
-            own, h, slot = own[order], h[order], slot[order]
             count = np.bincount(slot, minlength=1 << bits).astype(np.int32)
             first = (np.cumsum(count) - count).astype(np.int32)
-            mid, at, full, ahead = (np.array([leaves[x][c] for x in own], np.int64) for c in (0, 1, 3, 5))
-            self.tables.append((size, bits, count, first, h, mid, at, np.where(ahead > 0, full, -1), ahead, beside[own]))
-
-    @staticmethod
-    def hashes(chars: np.ndarray, size: int) -> np.ndarray:
-        """Of all windows of `size` characters."""
-        wide = chars.astype(np.uint64)
-        n = len(chars) - size + 1
-        with np.errstate(over="ignore"):
-            h = wide[:n]
-            for i in range(1, size):
-                h = h * _ODD + wide[i : n + i]
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            return h ^ (h >> np.uint64(32))
-
-    def hits(self, chars: np.ndarray, lo: int, hi: int):
-        """(place of the group, group, place of the leaf) where a leaf stands that begins in lo..hi and its neighbour has one edit at most."""
-        for size, bits, count, first, full, mid, at, step, ahead, beside in self.tables:
-            h = self.hashes(chars[lo : hi + size - 1], size)
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            many = count[slot]
-            spots = np.flatnonzero(many)
-            many = many[spots]
-            upto = np.cumsum(many, dtype=np.int64)
-            begin = 0
-            while begin < len(spots):
-                base = upto[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(upto, base + HITS, "right")))
-                n = many[begin:end]
-                spot = np.repeat(spots[begin:end], n)
-                leaf = np.arange(len(spot)) - np.repeat(upto[begin:end] - n - base, n) + np.repeat(first[slot[spots[begin:end]]], n)
-                begin = end
-                ok = full[leaf] == h[spot]
-                spot, leaf = spot[ok] + lo, leaf[ok]
-                head, way, key = spot + step[leaf], ahead[leaf], np.zeros(len(spot), np.int64)
-                seen = [chars[head + way * i] for i in range(self.leaf + 1)]
-                for i in range(self.leaf):
-                    p = beside[leaf, i]
-                    rest = p == _END
-                    for t, x in ((0, i), (1, i - 1), (2, i + 1)):
-                        key |= ((rest | (p == seen[x])) if x >= 0 else rest).astype(np.int64) << (self.leaf * t + i)
-                ok = self.one_edit[key]
-                spot, leaf = spot[ok], leaf[ok]
-                yield spot - at[leaf], mid[leaf], spot
+            self.tables.append((kind, bits, count > 0, count, first, key[order], unit[order].astype(np.int32), at[order].astype(np.int32)))
+
+    def hits(self, symbols: np.ndarray, lo: int, hi: int):
+        """(place, unit): where a seed of the unit stands in lo..hi, the unit's start by it."""
+        threes = three_codes(symbols[lo : hi + 128])
+        near = symbols[lo : hi + 128].astype(np.uint32)
+        for kind, bits, held, count, first, full, unit, at in self.tables:
+            key = seed_keys(near, threes, kind, hi - lo)
+            slot = key >> np.uint32(32 - bits)
+            spots = np.flatnonzero(held[slot]).astype(np.int32)
+            slot = slot[spots]
+            many, begins = count[slot], first[slot]
+            seed = np.arange(int(many.sum()), dtype=np.int32) + np.repeat(begins - (np.cumsum(many, dtype=np.int32) - many), many)
+            spot = np.repeat(spots, many)
+            ok = full[seed] == key[spot]
+            seed, spot = seed[ok], spot[ok]
+            yield spot - at[seed] + np.int64(lo), unit[seed]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of each item's best match in each text; offsets in the normal text."""
@@ -260,11 +284,11 @@ class Items:
             part = lanes[at : at + 256]
             mid = np.concatenate([np.arange(lo, hi) for _, lo, hi in part])
             owner = np.repeat(np.arange(len(part)), [hi - lo for _, lo, hi in part])
-            text = np.full((len(part), max(asked[x][3] - asked[x][2] for x, *_ in part)), _GAP, np.uint32)
+            text = np.full((len(part), max(asked[x][3] - asked[x][2] for x, *_ in part)), SYMBOLS - 1, np.uint8)
             for r, (x, *_) in enumerate(part):
                 d, _, begin, end = asked[x]
-                text[r, : end - begin] = codes(normal[d][begin:end])
-            sums = np.bincount(owner, distances(self.patterns[mid], self.mid_size[mid], text[owner]), len(part))
+                text[r, : end - begin] = short(codes(normal[d][begin:end]))
+            sums = np.bincount(owner, distances(self.groups, self.mid_size, mid, text[owner]), len(part))
             for r, (x, *_) in enumerate(part):
                 out[x] = bool(sums[r] <= self.most[asked[x][1]])
         return out
@@ -272,54 +296,79 @@ class Items:
     def candidates(self, texts: list[str], d0: int, found: dict) -> None:
         """Adds, for each text (numbered from d0) and item, the ranges that can hold a match."""
         pad = 256
-        gap = np.full(pad, _GAP, np.uint32)
-        chars = np.concatenate([gap, *(x for t in texts for x in (codes(t), gap[:1])), gap])
+        gap = np.full(1, _GAP, np.uint32)
+        symbols = np.concatenate([np.full(pad, SYMBOLS - 1, np.uint8), short(np.concatenate([x for t in texts for x in (codes(t), gap)])), np.full(pad, SYMBOLS - 1, np.uint8)])
         begins = pad + np.cumsum([0, *(len(t) + 1 for t in texts)])
-        keys = []
-        rows, places = len(texts), (len(chars) + pad) // STEP + 1
+        rows, places = len(texts), (len(symbols) + pad) // STEP + 1
         stop = int(begins[-1])
-        for lo in range(pad, stop, TEXT_CHARS):
-            for start, mid, spot in self.hits(chars, lo, min(stop, lo + TEXT_CHARS)):
-                doc = np.searchsorted(begins, spot, "right") - 1
-                keys.append(np.unique((mid * rows + doc) * places + (start + pad) // STEP))
-        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        reach = int(self.mid_most.max())
-        across = np.arange(int(self.mid_size.max()) + 2 * reach + STEP)
-        for lo in range(0, len(keys), 4096):
-            mid, rest = np.divmod(keys[lo : lo + 4096], rows * places)
-            doc, place = np.divmod(rest, places)
-            start = place * STEP - pad
-            cut = chars[np.clip(start[:, None] - self.mid_most[mid][:, None] + across, 0, len(chars) - 1)]
-            ok = distances(self.patterns[mid], self.mid_size[mid], cut) <= self.mid_most[mid]
-            for m, d, s in zip(mid[ok].tolist(), doc[ok].tolist(), start[ok].tolist(), strict=True):
-                i = int(self.mid_item[m])
-                at = s - int(self.mid_start[m]) - int(begins[d])
-                found[d0 + d, i].append((max(0, at - self.most[i]), min(len(texts[d]), at + STEP + len(self.texts[i]) + self.most[i])))
 
+        def near_enough(group, start, bits, sizes, most, slack):
+            """Which groups are near enough to what stands from start on. slack: how far behind its start a group may begin."""
+            across = np.arange(int(sizes.max()) + 2 * int(most.max()) + slack)
+            ok = np.zeros(len(group), bool)
+            for lo in range(0, len(group), LANES):
+                g = group[lo : lo + LANES]
+                cut = symbols[np.clip((start[lo : lo + LANES] - most[g])[:, None] + across, 0, len(symbols) - 1)]
+                ok[lo : lo + LANES] = distances(bits, sizes, g, cut) <= most[g]
+            return ok
+
+        def keyed(group, doc, start):
+            return np.unique((group * rows + doc) * places + (start + pad) // STEP)
+
+        def taken(keys):
+            group, rest = np.divmod(keys, rows * places)
+            doc, place = np.divmod(rest, places)
+            return group, doc, place * STEP - pad
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
-    """The benchmark's rows, block by block."""
+        keys = []
+        for lo in range(pad, stop, TEXT_CHARS):
+            for start, unit in self.hits(symbols, lo, min(stop, lo + TEXT_CHARS)):
+                ok = near_enough(unit, start, self.units, self.unit_size, self.unit_most, 1)
+                start, unit = start[ok], unit[ok]
+                doc = np.searchsorted(begins, start + self.unit_size[unit] // 2, "right") - 1
+                keys.append(keyed(self.unit_part[unit], np.clip(doc, 0, rows - 1), start - self.unit_start[unit]))
+        part, doc, start = taken(np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
+        ok = near_enough(part, start, self.parts, self.part_size, self.part_most, STEP)
+        part, doc, start = part[ok], doc[ok], start[ok]
+        mid, doc, start = taken(keyed(self.part_mid[part], doc, start - self.part_start[part]))
+        ok = near_enough(mid, start, self.groups, self.mid_size, self.mid_most, 2 * STEP)
+        for m, d, s in zip(mid[ok].tolist(), doc[ok].tolist(), start[ok].tolist(), strict=True):
+            i = int(self.mid_item[m])
+            at = s - int(self.mid_start[m]) - int(begins[d])
+            found[d0 + d, i].append((max(0, at - self.most[i]), min(len(texts[d]), at + 2 * STEP + len(self.texts[i]) + self.most[i])))
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int | None = None):
+    """The number of blocks and, block by block, the benchmark's rows; a block holds about half of `block_chars` (BLOCK_CHARS), and all rows if they fit one."""
+    block_chars = block_chars or BLOCK_CHARS
     size = benchmark.agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + 16)).first()[0] or 0
-    n = max(1, -(-size // block_chars) * (1 if size <= block_chars else 2))
+    n = 1 if size <= block_chars else -(-size // block_chars) * 2
     part = F.pmod(F.xxhash64(item_col, text_col), F.lit(n))
-    for b in range(n):
-        rows = benchmark.where(part == b).select(item_col, text_col).toArrow()
-        yield sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+    def each():
+        for b in range(n):
+            rows = benchmark.where(part == b).select(item_col, text_col).toArrow()
+            yield sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), key=lambda r: (r[0] is None, str(r[0]), r[1] or ""))
+
+    return n, each()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
-    """A row for each document and item that match: the columns `keep` (doc_id), item_id, distance, start, end."""
+    """A row for each document and item that match: the columns `keep` (doc_id), item_id (of the benchmark's type), distance, start, end.
+
+    A benchmark of more than one block is searched block by block, each result staged, so that the driver and the tasks hold one block at a time.
+    """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark, keep = bounded_batches(docs.sparkSession), keep or ["doc_id"]
     plain = docs.select(*keep, "text")
-    kept = plain.select(*keep).schema
-    schema = kept.simpleString()[7:-1] + ("," if keep else "") + "item_id:bigint,distance:int,start:int,end:int"
-    parts = []
-    for rows in benchmark_blocks(benchmark):
-        block = spark.sparkContext.broadcast(rows)  # BLOCK_CHARS
+    kind = benchmark.schema["item_id"].dataType
+    item_type = to_arrow_type(kind)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema), f"item_id {kind.simpleString()}", "distance int", "start int", "end int"])
 
-        def find(batches, block=block):
+    def searched(block):
+        def find(batches):
             drop_caches()
             items = Items(block.value, similarity)
             for batch in batches:
@@ -329,11 +378,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
                     if got:
                         d, i, dist, s, e = zip(*got, strict=True)
                         at = pa.array(d)
-                        cols = [part.column(c).take(at) for c in keep] + [pa.array([items.ids[x] for x in i], pa.int64()), pa.array(dist, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
+                        cols = [part.column(c).take(at) for c in keep] + [pa.array([items.ids[x] for x in i], item_type), pa.array(dist, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
                         yield pa.record_batch(cols, names=[*keep, "item_id", "distance", "start", "end"])
 
-        parts.append(plain.mapInArrow(find, schema.replace(",", ", ")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        return plain.mapInArrow(find, schema)
+
+    n, blocks = benchmark_blocks(benchmark)
+    if n == 1:
+        return searched(spark.sparkContext.broadcast(next(blocks)))  # BLOCK_CHARS
+    out = None
+    for rows in blocks:
+        block = spark.sparkContext.broadcast(rows)  # BLOCK_CHARS
+        found = staged(spark, searched(block), "matches")
+        block.destroy()
+        out = found if out is None else out.unionByName(found)
     return out

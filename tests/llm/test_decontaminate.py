@@ -59,15 +59,23 @@ def test_rows_equal_brute_force_on_documents(spark, documents, sf):
     assert want
 
 
-def test_blocks_of_items_find_the_same(spark, documents, sf):
+def test_blocks_of_items_find_the_same(spark, documents, sf, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    one = {tuple(r) for r in D.contamination(documents, bench).select("doc_id", "item_id").collect()}
-    held = [x for rows in D.benchmark_blocks(bench, block_chars=2000) for x in rows]
-    assert len(held) == bench.count()
-    assert len(list(D.benchmark_blocks(bench, block_chars=2000))) > 3
+    one = {tuple(r) for r in D.contamination(documents, bench).collect()}
+    monkeypatch.setattr(D, "BLOCK_CHARS", 4000)
+    n, blocks = D.benchmark_blocks(bench)
+    assert n > 3
+    assert sum(map(len, blocks)) == bench.count()
+    assert {tuple(r) for r in D.contamination(documents, bench).collect()} == one
     assert one
 
 
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "so the quick brown fox jumps over the lazy dog again", "z")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([("fox", "The quick brown fox jumps over the lazy dog")], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in D.contamination(docs, bench).collect()] == [(1, "fox", 0)]
+
+
 def test_odd_rows(spark, odd, empty, sf):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "A b c d e."), (3, "A b c d e."), (None, "x" * 5000)], "item_id long, text string")
     got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in D.contamination(odd, bench).collect())
