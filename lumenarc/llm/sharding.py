@@ -1,6 +1,8 @@
 """Operator 2 [native]: a uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows lie in source partitions by a hash of their identity. The numbers of rows that each partition
+Rows whose identity occurs more than once get a number each, and all rows are written once to the shared
+folder, so that every count and every draw sees the same numbers and a lost task draws the same again.
+They lie in source partitions by a hash of identity and number. The numbers of rows that each partition
 sends to each shard are drawn from the law they have under a uniform permutation of all rows
 (multivariate hypergeometric, row by row of the matrix), so shard sizes are exact: `rows` law, counts
 at most one apart. Each partition permutes its rows locally and cuts them by its matrix row; after the
@@ -8,11 +10,12 @@ exchange the shard permutes again, which gives the slots.
 
 A shard's permutation is a distributed sort by a random key: rows are ranked in cells (shard, high
 bits of the key), and a cell's first slot is the count of rows in the shard's earlier cells. No task
-holds a shard. Random keys are hashes of seed and row identity, so a lost task draws the same again.
+holds a shard. Random keys are hashes of seed, identity and number: the copies of a row that is a third of
+the table fall into as many cells as any other rows.
 
-Nulls count as values. Repeated rows are placed one by one; rows equal in identity lie side by side in
-any order, which no result shows. An empty table gives an empty result. All columns are kept; `shard`
-and `slot` replace columns of these names.
+Nulls count as values, texts are whole. Repeated rows are placed one by one. An empty table gives an empty
+result. All columns are kept; `shard` and `slot` replace columns of these names. Beyond MOST_PARTITIONS or
+MOST_CELLS partitions and cells hold more rows each, which their sorts spill to disk.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenarc.llm.common import staged
+
 #: Rows that a source partition or a cell holds on average.
 CELL_ROWS = 20_000
 #: Most source partitions, and most cells of a shard: the matrix and the offsets stay small on the driver.
@@ -76,14 +81,17 @@ def shard_sizes(n: int, shards: int) -> list[int]:
 def shuffle_into_shards(df: DataFrame, shards: int, identity: list[str], seed: int = 20240229, cell_rows: int = CELL_ROWS) -> DataFrame:
     """df with `shard` (0 to shards - 1, sizes at most one apart) and `slot` (gapless from 0 in each shard).
 
-    identity: columns that tell rows apart; a row's place depends on them, the seed and the table alone.
+    identity: columns that tell rows apart; the place of a row without copies depends on them, the seed and the table's identities alone.
     """
     spark = df.sparkSession
-    key = lambda salt: F.xxhash64(F.lit(seed + salt), *[F.struct(F.col(c).isNull(), F.col(c)) for c in identity])
-    rows = df.drop("shard", "slot")
+    key = lambda salt: F.xxhash64(F.lit(seed + salt), "__row", *[F.struct(F.col(c).isNull(), F.col(c)) for c in identity])
+    marked = df.drop("shard", "slot").withColumn("__id", F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in identity]))
+    again = staged(spark, marked.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1"), "copies")
+    number = F.when(F.col("__n").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
+    rows = staged(spark, marked.join(again, "__id", "left").withColumn("__row", number).drop("__id", "__n"), "rows")
     total = rows.count()
     if not total:
-        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return rows.drop("__row").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     parts = max(1, min(MOST_PARTITIONS, -(-total // cell_rows)))
     cells = max(1, min(MOST_CELLS, -(-total // (shards * cell_rows))))
     rows = rows.withColumn("__p", F.pmod(key(1), F.lit(parts)).cast("int"))
@@ -98,8 +106,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, identity: list[str], seed: i
             end.append(run)
         ends.append(end)
     cuts = spark.createDataFrame([(p, e) for p, e in enumerate(ends)], "__p int, __ends array<long>")
-    ordered = [F.col(c) for c in identity]
-    local = Window.partitionBy("__p").orderBy(key(2), *ordered)
+    local = Window.partitionBy("__p").orderBy(key(2), "__row")
     sent = (
         rows.withColumn("__i", F.row_number().over(local))
         .join(F.broadcast(cuts), "__p")  # MOST_PARTITIONS rows of `shards` numbers at most
@@ -111,12 +118,12 @@ def shuffle_into_shards(df: DataFrame, shards: int, identity: list[str], seed: i
     found = sent.groupBy("shard", "__cell").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = found.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__cell").orderBy("__key", *ordered)
+    inside = Window.partitionBy("shard", "__cell").orderBy("__key", "__row")
     return (
         sent.withColumn("__r", F.row_number().over(inside))
         .join(F.broadcast(starts), ["shard", "__cell"])  # shards x MOST_CELLS rows of three numbers at most
         .withColumn("slot", (F.col("__start") + F.col("__r") - 1).cast("long"))
-        .drop("__cell", "__key", "__r", "__start")
+        .drop("__cell", "__key", "__r", "__row", "__start")
     )
 
 
