@@ -12,7 +12,8 @@ frame's content: 2 or 4). The dictionary lies beside the files as `<sha256>.dict
 under a name of their own and renamed, and a range's content depends on its rows alone, so a task that
 runs again leaves the same file.
 
-Null and empty texts have the end id only. Ties in doc_id are all written. An empty table writes no file.
+Null and empty texts have the end id only, texts are whole. Ties in doc_id and repeated rows are all written;
+a doc_id of more rows than a file holds gets several files. An empty table writes no file.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.llm.bpe import ChunkEncoder, batches, default_path
-from lumenarc.llm.common import drop_caches, hash_sample, new_path, worker_cache
+from lumenarc.llm.common import bounded_sample, drop_caches, new_path, worker_cache
 
 MAGIC = b"LTOK1\n"
 END_ID = 0
-#: The dictionary is trained on so many documents at most, those with the smallest hashes of doc_id.
-SAMPLE_DOCS, DICT_BYTES, LEVEL = 2000, 64 << 10, 1
+#: Where rows without a doc_id stand.
+NULL_ID = -(1 << 63)
+#: The dictionary is trained on so many whole documents and bytes at most, those with the smallest hashes of doc_id.
+SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 2000, 4 << 20, 64 << 10, 1
 #: Documents in a file on average, more where that would make more than MOST_FILES files.
 FILE_DOCS, MOST_FILES = 8000, 10_000
 
@@ -87,10 +90,10 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """On a sample of bounded size; where it is too small to train on, the sample itself is the dictionary."""
     import zstandard
 
-    rows = hash_sample(docs.select("doc_id", "text"), SAMPLE_DOCS, "doc_id", "text").toArrow()
+    rows = bounded_sample(docs.select("doc_id", "text"), SAMPLE_DOCS, SAMPLE_BYTES, "text", "doc_id", "text").toArrow()
     encoder, samples = library_encoder(path), []
     for held in batches(t.as_py() for t in rows.column("text")):
-        samples += [pack(ids)[:4096] for ids in encoder.encode(held)]  # the dictionary's sample, not the output, is cut
+        samples += [pack(ids) for ids in encoder.encode(held)]
     encoder.reset()
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -166,9 +169,12 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
     shared = spark.sparkContext.broadcast(dictionary)  # DICT_BYTES
     total = docs.count()
     files = max(1, min(MOST_FILES, -(-total // file_docs)))
-    bounds = docs.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)] or [0.5], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
+    key = F.coalesce("doc_id", F.lit(NULL_ID))
+    bounds = docs.select(F.percentile_approx(key, [i / files for i in range(1, files)] or [0.5], 10_000).alias("b")).first()["b"] or []
+    cuts, shares = np.unique(np.array(bounds, np.int64), return_counts=True)
+    # A bound that comes twice or more is a doc_id of as many files' rows: these get files of their own.
+    shares = np.where(shares > 1, shares, 0)
+    first = np.concatenate([[0], np.cumsum(1 + shares)])
 
     def compress(rows):
         import pyarrow as pa
@@ -184,16 +190,21 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
                 for ids in encoder.encode(held):
                     frames.append(zip_(pack(ids + end)))
                     sizes.append(len(ids) // 4 + 1)
-            yield pa.record_batch([batch.column("bucket"), batch.column("doc_id"), batch.column("tie"), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64())], names=["bucket", "doc_id", "tie", "frame", "n"])
+            key, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt"))
+            at = np.searchsorted(cuts, key)
+            share = np.where(np.append(cuts, 0)[at] == key, np.append(shares, 0)[at], 0)
+            bucket = first[at] + np.where(share > 0, 1 + salt % np.maximum(share, 1), 0)
+            yield pa.record_batch([pa.array(bucket, pa.int32()), batch.column("doc_id"), batch.column("tie"), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64())], names=["bucket", "doc_id", "tie", "frame", "n"])
 
     keyed = docs.select(
-        F.size(F.filter(cuts, lambda b: b < F.coalesce("doc_id", F.lit(-(1 << 63))))).alias("bucket") if bounds else F.lit(0).alias("bucket"),
+        key.alias("key"),
+        F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("salt"),
         "doc_id",
         F.xxhash64("text").alias("tie"),
         "text",
     )
     packed = keyed.mapInArrow(compress, "bucket int, doc_id long, tie long, frame binary, n long")
-    ranges = packed.repartition(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
+    ranges = packed.repartition(int(first[-1]) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
 
     def write(rows):
         import pyarrow as pa
