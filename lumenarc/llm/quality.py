@@ -1,14 +1,16 @@
 """Operator 3: line-first quality rules.
 
-Every line is judged alone: no letters, too few letters for its length, a symbol after nearly each
-word, navigation (menus, breadcrumbs, link lists), boilerplate phrases, all capitals with shouting
-marks, a line that repeats an earlier one, one word said over and over. Failing lines go. A document
+Every line is judged alone. Punctuation: no end of a sentence in a line of LONG_LINE words or more, a
+symbol or a shouting mark after nearly each word. Navigation: menus, breadcrumbs, link lists, in English,
+German, French and Spanish. Boilerplate: notices and invitations in these languages, one phrase for
+every PHRASE_WORDS words or more. Besides: no letters, too few letters for its length, a line that
+repeats an earlier one, one word said over and over. Failing lines go. A document
 fails if the lines left hold less than KEEP_SHARE of its words or fewer than MIN_WORDS words; the base
 rules (short texts, repeated 5-word windows) hold besides.
 
 A null or empty text has no words: all counts 0, base_failed, not kept, cleaned text empty. Repeated
-rows are judged one by one, texts are whole, other columns stay; output columns replace input columns
-of their names.
+rows are judged one by one, texts are whole, an empty table gives an empty result, other columns stay;
+output columns replace input columns of their names.
 """
 
 from __future__ import annotations
@@ -23,17 +25,41 @@ from lumenarc.llm.common import bounded_batches, drop_caches
 
 MIN_WORDS = 10
 KEEP_SHARE = 0.5
+#: Words from which a line must end like a sentence, and words of a line to one phrase of boilerplate.
+LONG_LINE, PHRASE_WORDS = 12, 30
 #: A line of more words is tested for repeated windows on arrays.
 MANY_WORDS = 20_000
 
-#: What navigation and boilerplate lines say.
-NAVIGATION = r"(?i)^\W*(?:(?:home|menu|search|login|log in|sign in|sign up|register|next|previous|prev|back|top|skip to (?:main )?content|contact|about|about us|share|tweet|print|sitemap|faq|help)\b\W*)+$"
-BOILERPLATE = r"(?i)all rights reserved|cookie policy|privacy policy|terms (?:of|and) (?:use|service|conditions)|subscribe to our|sign up for our newsletter|click here|enable javascript|javascript is disabled|powered by|copyright (?:\(c\)|©)|lorem ipsum"
+#: What navigation and boilerplate lines say (English, German, French, Spanish), and how sentences end.
+NAVIGATION = (
+    "home menu search login register next previous prev back top contact about share tweet print sitemap faq help "
+    "startseite menü suche anmelden registrieren weiter zurück kontakt impressum hilfe teilen drucken "
+    "accueil recherche connexion inscription suivant précédent retour partager imprimer aide "
+    "inicio buscar entrar registrarse siguiente anterior volver contacto compartir imprimir ayuda"
+)
+NAVIGATION_PHRASES = (
+    "log in|sign in|sign up|skip to content|skip to main content|contact us|about us|nach oben|über uns|plan du site|"
+    "à propos|haut de page|se connecter|mapa del sitio|quiénes somos|iniciar sesión"
+)
+BOILERPLATE = (
+    "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|terms and conditions|subscribe to our|sign up for our newsletter|click here|enable javascript|javascript is disabled|powered by|copyright ©|copyright (c)|lorem ipsum|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|newsletter abonnieren|hier klicken|cookies zu|javascript aktivieren|"
+    "tous droits réservés|politique de confidentialité|conditions d'utilisation|mentions légales|abonnez-vous|cliquez ici|utilise des cookies|activer javascript|"
+    "todos los derechos reservados|política de privacidad|política de cookies|términos y condiciones|aviso legal|suscríbete|haga clic aquí|utiliza cookies|habilitar javascript"
+)
+ENDS = ".!?…:;。！？；：।؟\"'»”’)]}"
 SYMBOLS = b"#*$%&|<>"
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_bad_lines long, kept_words long, kept boolean, clean_text string"
 
-_navigation, _boilerplate = re.compile(NAVIGATION).search, re.compile(BOILERPLATE).search
+
+
+def _choice(phrases: list[str]) -> str:
+    return "|".join(re.escape(p) for p in sorted(phrases, key=len, reverse=True))
+
+
+_navigation = re.compile(r"(?i)\W*(?:(?:" + _choice([*NAVIGATION.split(), *NAVIGATION_PHRASES.split("|")]) + r")\b\W*)+").fullmatch
+_boilerplate = re.compile("(?i)" + _choice(BOILERPLATE.split("|"))).findall
 _not_symbols = bytes(b for b in range(256) if b not in SYMBOLS)
 _continuing = bytes(range(128, 192))
 _ascii_space = bytes([9, 10, 11, 12, 13, 32])
@@ -88,7 +114,9 @@ def bad_line(line: str, raw: bytes, words: list[bytes]) -> bool:
         return True
     if n >= 4 and raw.count(b"http") * 2 >= n:
         return True
-    return bool(n <= 30 and (_navigation(line) or _boilerplate(line)))
+    if n >= LONG_LINE and line.rstrip()[-1] not in ENDS:
+        return True
+    return bool(_navigation(line)) or len(_boilerplate(line)) * PHRASE_WORDS >= n
 
 
 def judge(text: str | None) -> tuple:
