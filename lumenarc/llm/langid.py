@@ -1,15 +1,16 @@
 """Operator 6: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads segments: runs of bytes between white space, a space put on either side, longer runs
-cut every SEGMENT bytes; its state starts anew at each. It labels every byte position, and a document's
-probabilities are the mean over all positions of the whole text. Since a segment's labels depend on its
-bytes alone, a worker evaluates each distinct segment once and keeps the sums.
+The network reads the whole text, across words, in windows of WINDOW bytes with CONTEXT bytes more on either
+side, which set its state and are not counted. It labels every byte position, and a document's probabilities
+are the mean over all positions of the text.
 
-Training, on the driver in numpy, is backpropagation through time with Adam on words drawn evenly from
-whole texts of a bounded sample (SAMPLE_DOCS documents with the smallest hashes of doc_id).
+Training, on the driver in numpy, is backpropagation through time with Adam over all of the whole texts
+of a bounded sample: SAMPLE_DOCS documents and SAMPLE_BYTES bytes at most, those with the smallest hashes
+of doc_id; a text is taken whole or not at all.
 
-Null texts and those without a letter are `und` with score 0. With no labelled row everything is `und`.
-Repeated rows are judged one by one; other columns stay.
+Null texts and those without a letter are `und` with score 0. With no labelled row, as in an empty table,
+everything is `und`. Repeated rows are judged one by one; other columns stay, lang_pred and score replace
+columns of these names.
 """
 
 from __future__ import annotations
@@ -18,29 +19,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import bounded_batches, drop_caches, hash_sample, worker_cache
+from lumenarc.llm.common import bounded_batches, bounded_sample, drop_caches
 
-SAMPLE_DOCS, WORDS_PER_DOC = 2000, 40
-HIDDEN, SEGMENT, BATCH, RATE = 12, 48, 256, 0.01
-#: Training goes over its words as often as it takes for so many steps, three times at least.
-STEPS, EPOCHS = 900, 3
-#: Distinct segments whose sums a worker keeps between batches.
-CACHE_SEGMENTS = 500_000
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 20
+HIDDEN, BATCH, RATE = 12, 128, 0.01
+#: Bytes of a window and of the context on either side, and bytes of a training window.
+WINDOW, CONTEXT, LESSON = 256, 16, 64
+#: Training goes over its windows as often as it takes for so many steps, twice at least.
+STEPS, EPOCHS = 400, 2
+#: Windows that are read side by side.
+LANES = 1024
 
 
-def segments(raw: bytes) -> list[bytes]:
-    out = raw.split()
-    if any(len(w) > SEGMENT for w in out):
-        out = [w[i : i + SEGMENT] for w in out for i in range(0, len(w), SEGMENT)]
-    return out
-
-
-def grid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Padded bytes [time, word] with a space on either side, and the lengths."""
-    size = np.array([len(w) + 2 for w in words])
+def grid(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Padded bytes [time, window] and the lengths."""
+    size = np.array([len(w) for w in windows])
     width = int(size.max())
-    flat = b"".join([b" " + w + b" " * (width - 1 - len(w)) for w in words])
-    return np.frombuffer(flat, np.uint8).reshape(len(words), width).T, size
+    flat = b"".join([w.ljust(width) for w in windows])
+    return np.frombuffer(flat, np.uint8).reshape(len(windows), width).T, size
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -124,91 +120,110 @@ class BiGru:
                 g["c" + d] += full.sum(axis=0)
         return float(loss), g
 
-    def fit(self, words: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 4) -> None:
+    def fit(self, windows: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
-        order = np.argsort([len(w) for w in words], kind="stable")
+        order = np.argsort([len(w) for w in windows], kind="stable")
         runs = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         step, epochs = 0, max(EPOCHS, -(-steps // len(runs)))
         for epoch in range(epochs):
             for k in rng.permutation(len(runs)):
-                x, size = grid([words[i] for i in runs[k]])
+                x, size = grid([windows[i] for i in runs[k]])
                 _, g = self.gradients(x, size, y[runs[k]])
                 step += 1
-                rate = RATE / (1 + EPOCHS * epoch / epochs)
+                rate = RATE / (1 + 3 * epoch / epochs)
                 for key, grad in g.items():
                     m[key] += 0.1 * (grad - m[key])
                     v[key] += 0.01 * (grad * grad - v[key])
                     self.p[key] -= (rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """Per segment: the label probabilities summed over its positions, and the number of positions."""
-        out = np.empty((len(words), len(self.labels) + 1), np.float32)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for lo in range(0, len(order), 4096):
-            at = order[lo : lo + 4096]
-            x, size = grid([words[i] for i in at])
-            out[at, :-1] = self.forward(x, size).sum(axis=0)
-            out[at, -1] = size
+    def states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """As `direction`, of whole windows, in place on few arrays."""
+        h, n = self.h, x.shape[1]
+        inputs = self.p["x" + d] + self.p["c" + d]
+        u_gates, u_cand = np.ascontiguousarray(self.p["u" + d][:, : 2 * h]), np.ascontiguousarray(self.p["u" + d][:, 2 * h :])
+        state = np.zeros((n, h), np.float32)
+        out = np.empty((len(x), n, h), np.float32)
+        for t in range(len(x)):
+            g = inputs[x[t]]
+            gates = g[:, : 2 * h]
+            gates += state @ u_gates
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            cand = g[:, 2 * h :]
+            cand += (gates[:, h:] * state) @ u_cand
+            cand *= -2
+            np.exp(cand, out=cand)
+            cand += 1
+            np.divide(2, cand, out=cand)
+            cand -= 1  # the hyperbolic tangent
+            state = out[t]
+            np.subtract(out[t - 1] if t else 0, cand, out=state)
+            state *= gates[:, :h]
+            state += cand
         return out
 
-
-class Labeller:
-    """A trained network with the sums of the segments it has seen."""
-
-    def __init__(self, model: BiGru):
-        self.model = model
-        self.known: dict[bytes, int] = {}
-        self.table = np.empty((0, len(model.labels) + 1), np.float32)
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """[text, label]: the probabilities of all positions of each text, summed."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        gap = b" " * CONTEXT
+        buffer = np.frombuffer(b"".join([gap + t + gap for t in texts]) + b" " * WINDOW, np.uint8)
+        begin = np.cumsum(sizes + 2 * CONTEXT) - sizes - 2 * CONTEXT
+        many = -(-sizes // WINDOW)
+        owner = np.repeat(np.arange(len(texts)), many)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        start = begin[owner] + place * WINDOW
+        size = np.minimum(sizes[owner] - place * WINDOW, WINDOW)
+        out = np.zeros((len(texts), len(self.labels)))
+        order = np.argsort(size, kind="stable")
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(order), LANES):
+                at = order[lo : lo + LANES]
+                width = int(size[at[-1]]) + 2 * CONTEXT
+                x = buffer[start[at] + np.arange(width)[:, None]]
+                logits = self.states("f", x)[CONTEXT : width - CONTEXT] @ self.p["o"][: self.h]
+                logits += self.states("b", x[::-1])[::-1][CONTEXT : width - CONTEXT] @ self.p["o"][self.h :]
+                logits += self.p["oc"]
+                logits -= logits.max(axis=2, keepdims=True)
+                np.exp(logits, out=logits)
+                logits *= (np.arange(width - 2 * CONTEXT)[:, None] < size[at])[:, :, None] / logits.sum(axis=2, keepdims=True)
+                np.add.at(out, owner[at], logits.sum(axis=0))
+        return out
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known, self.table = {}, self.table[:0]
-        cut = [segments(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
-        known = self.known
-        fresh = {w for ws in cut for w in ws}.difference(known)
-        if fresh:
-            new = sorted(fresh)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.sums(new)])
-        names, scores = [], []
-        for t, ws in zip(texts, cut, strict=True):
-            if not ws or not any(map(str.isalpha, t)):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            s = self.table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
-            p = s[:-1] / s[-1]
-            names.append(self.model.labels[int(p.argmax())])
-            scores.append(float(min(1.0, p.max())))
+        """The likeliest label of each text and its probability."""
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        raws = [texts[i].encode("utf-8", "surrogatepass") for i in some]
+        for i, raw, sums in zip(some, raws, self.pooled(raws) if some else [], strict=True):
+            names[i] = self.labels[int(sums.argmax())]
+            scores[i] = float(min(1.0, sums.max() / len(raw)))
         return names, scores
 
 
-_labellers: dict[int, Labeller] = {}
-worker_cache("languages", _labellers.clear)
-
-
-def train_language_model(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> BiGru | None:
+def train_language_model(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> BiGru | None:
     """rows: doc_id, text, lang; nulls are skipped."""
-    sample = hash_sample(rows.select("doc_id", "text", "lang").where("text is not null and lang is not null"), sample_docs, "doc_id", "text", "lang").select("text", "lang").toArrow()
+    given = rows.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    sample = bounded_sample(given, sample_docs, sample_bytes, "text", "doc_id", "text", "lang").select("text", "lang").toArrow()
     labels = sorted(set(sample.column("lang").to_pylist()))
-    words, y = [], []
-    for text, lang in zip(sample.column("text"), sample.column("lang").to_pylist(), strict=True):
-        ws = segments(text.as_py().encode("utf-8", "surrogatepass"))
-        some = ws if len(ws) <= WORDS_PER_DOC else [ws[int((i + 0.5) * len(ws) / WORDS_PER_DOC)] for i in range(WORDS_PER_DOC)]
-        words += some
-        y += [labels.index(lang)] * len(some)
-    if not words:
+    windows, y = [], []
+    for text, lang in zip(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), strict=True):
+        raw = text.encode("utf-8", "surrogatepass")
+        own = [raw[i : i + LESSON] for i in range(0, len(raw), LESSON)]
+        windows += own
+        y += [labels.index(lang)] * len(own)
+    if not windows:
         return None
     model = BiGru(labels)
-    model.fit(words, np.array(y))
+    model.fit(windows, np.array(y))
     return model
 
 
 def language_column(text: Column, model: BiGru | None) -> Column:
     if model is None:
         return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    mark = hash(b"".join(v.tobytes() for v in model.p.values()))
 
     @F.arrow_udf("lang_pred string, score double")
     def label(texts):
@@ -216,13 +231,10 @@ def language_column(text: Column, model: BiGru | None) -> Column:
 
         from lumenarc.llm.bpe import batches
 
-        drop_caches(but="languages")
-        if mark not in _labellers:
-            _labellers.clear()
-            _labellers[mark] = Labeller(model)
+        drop_caches()
         names, scores = [], []
-        for held in batches(t.as_py() for t in texts):
-            n, s = _labellers[mark].label(held)
+        for held in batches((t.as_py() for t in texts), 1 << 20):
+            n, s = model.label(held)
             names += n
             scores += s
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
