@@ -1,16 +1,19 @@
 """Operator 7: toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer maps words to symbols: insult (words and stems learned from labelled rows, with
-their log odds as weights), threat, target, negation, report, other. Clause transducers read the
-symbols of one clause and pass on a factor: negation damps what follows within three words, reported
-speech damps the whole rest of its clause, a target beside an insult or a threat raises it. The
-transducers are composed once into one machine; clauses that hold an insult or a threat are run
-through it whole, and the clause scores are pooled and calibrated by logistic regression.
+their log odds as weights), threat, target, copula, intent, negation, report, other. Clause transducers
+read the symbols of one clause and pass on a factor for each insult and threat: the insult transducer
+raises what a copula says of someone, the threat transducer what is meant to be done, negation damps what
+follows within three words, reported speech the whole rest of its clause. These four are composed once
+into one machine. The target transducer is run over the clause in both directions, since the one meant may
+stand before or behind; the greater factor counts, and a threat without a target nearby weighs little.
+Only clauses that hold an insult or a threat are run, whole; their scores are pooled and calibrated by
+logistic regression, so isolated words outside of any pattern do not decide.
 
 The lexicon is learned from SAMPLE_ROWS labelled rows at most of either label (those with the smallest
-hashes of doc_id); at most LEXICON entries are kept. Scores depend on the text alone. Null and empty
+hashes of doc_id); at most LEXICON entries are kept. Scores depend on the whole text alone. Null and empty
 texts have no clause and get the score of such texts. Without labelled rows of both labels the score is
-0. Repeated rows are judged one by one; other columns stay.
+0. Repeated rows are judged one by one, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,15 +37,18 @@ TARGETS = "you your yours he him his she her they them their du dich dein deine
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún"
 REPORTS = "said says say claimed claims wrote writes called calls quoted reported sagte schrieb behauptete dit écrit affirme dijo escribió afirma"
 THREATS = "kill murder destroy hurt strangle töten umbringen vernichten tuer détruire matar destruir"
+COPULAS = "is are am was were be being bist ist sind war seid es est êtes sont était eres son era sois"
+INTENTS = "will shall gonna going should must werde wird werden soll muss vais va vas allons dois voy vas vamos debo debe"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SYMBOLS = {w: s for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COPULA, INTENT = range(8)
+KINDS = 8
+SYMBOLS = {w: s for s, ws in ((COPULA, COPULAS), (INTENT, INTENTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
 words_of = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?").findall
 clauses_of = re.compile(r"[^.!?;:\n]+").finditer
 
 
 class Transducer:
-    """Deterministic, over the six symbols: step[state][symbol] = (next state, factor on that word's weight)."""
+    """Deterministic, over the symbols: step[state][symbol] = (next state, factor on that word's weight)."""
 
     def __init__(self, step: list[list[tuple[int, float]]]):
         self.step = step
@@ -52,7 +58,7 @@ class Transducer:
         number, order, step = {(0, 0): 0}, [(0, 0)], []
         for a, b in order:
             row = []
-            for s in range(6):
+            for s in range(KINDS):
                 (na, fa), (nb, fb) = self.step[a][s], other.step[b][s]
                 if (na, nb) not in number:
                     number[na, nb] = len(order)
@@ -61,39 +67,54 @@ class Transducer:
             step.append(row)
         return Transducer(step)
 
-    def run(self, symbols: list[int], weights: list[float]) -> float:
-        state, total = 0, 0.0
-        for s, w in zip(symbols, weights, strict=True):
+    def run(self, symbols: list[int]) -> list[float]:
+        """The factor of each symbol."""
+        state, out = 0, []
+        for s in symbols:
             state, f = self.step[state][s]
-            total += f * w
-        return total
+            out.append(f)
+        return out
+
+
+def within(trigger: int, words: int, near: dict[int, float], far: dict[int, float] | None = None) -> Transducer:
+    """Symbols within so many words after the trigger get the factors of `near`, others those of `far`."""
+    far = far or {}
+    return Transducer([[(words if s == trigger else max(0, left - 1), (near if left else far).get(s, 1.0)) for s in range(KINDS)] for left in range(words + 1)])
+
+
+def insult() -> Transducer:
+    """An insult that a copula says of someone, within three words, counts 1.2."""
+    return within(COPULA, 3, {INSULT: 1.2})
+
+
+def threat() -> Transducer:
+    """A threat that is meant to be done, within three words, counts 1.3."""
+    return within(INTENT, 3, {THREAT: 1.3})
 
 
 def negation() -> Transducer:
     """Insults and threats count 0.4 within three words after a negation."""
-    rows = []
-    for left in range(4):
-        rest = max(0, left - 1)
-        rows.append([(3 if s == NEGATION else rest, 0.4 if left and s in (INSULT, THREAT) else 1.0) for s in range(6)])
-    return Transducer(rows)
+    return within(NEGATION, 3, {INSULT: 0.4, THREAT: 0.4})
 
 
 def reported() -> Transducer:
     """After a verb of saying the rest of the clause counts 0.6."""
-    return Transducer([[(1 if at or s == REPORT else 0, 0.6 if at and s in (INSULT, THREAT) else 1.0) for s in range(6)] for at in range(2)])
+    return Transducer([[(1 if at or s == REPORT else 0, 0.6 if at and s in (INSULT, THREAT) else 1.0) for s in range(KINDS)] for at in range(2)])
 
 
 def target() -> Transducer:
-    """A target within four words before makes an insult 1.3 and a threat 1.5 times as heavy."""
-    rows = []
-    for left in range(5):
-        rest = max(0, left - 1)
-        factor = {INSULT: 1.3, THREAT: 1.5} if left else {THREAT: 0.3}
-        rows.append([(4 if s == TARGET else rest, factor.get(s, 1.0)) for s in range(6)])
-    return Transducer(rows)
+    """A target within four words makes an insult 1.3 and a threat 1.5 times as heavy; without one a threat counts 0.3."""
+    return within(TARGET, 4, {INSULT: 1.3, THREAT: 1.5}, {THREAT: 0.3})
+
+
+GRAMMAR = insult().compose(threat()).compose(negation()).compose(reported())
+NEAR = target()
 
 
-GRAMMAR = negation().compose(reported()).compose(target())
+def clause_score(symbols: list[int], weights: list[float]) -> float:
+    """The weights of a clause's words by the composed machine and the target transducer of both directions."""
+    sides = zip(NEAR.run(symbols), NEAR.run(symbols[::-1])[::-1], strict=True)
+    return sum(w * f * max(t) for w, f, t in zip(weights, GRAMMAR.run(symbols), sides, strict=True))
 
 
 class Lexicon:
@@ -134,7 +155,7 @@ class Lexicon:
             if ends[k] < m.end():
                 got = [self.read(w) for w in words_of(m[0])]
                 if any(s in (INSULT, THREAT) for s, _ in got):
-                    score = GRAMMAR.run([s for s, _ in got], [w for _, w in got])
+                    score = clause_score([s for s, _ in got], [w for _, w in got])
                     total += score
                     most = max(most, score)
         return float(np.log1p(total)), float(np.log1p(most)), float(total > 0)

@@ -27,12 +27,28 @@ def test_gradients_equal_differences():
             assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[key][at], abs=2e-3)
 
 
-def test_segments_do_not_depend_on_their_batch():
+def test_pooling_equals_the_plain_network():
     net = L.BiGru(["a", "b"])
-    words = [b"one", b"three", b"seventeen", b"x" * 40]
-    alone = np.concatenate([net.sums([w]) for w in words])
-    assert np.allclose(net.sums(words), alone, atol=1e-4)
-    assert b"".join(L.segments(b"ab " + b"c" * 130)) == b"ab" + b"c" * 130
+    texts = [b"one two three", b"x", b"several words, and more of them", b"seven " * 40]
+    gap = b" " * L.CONTEXT
+    want = []
+    for t in texts:
+        x, size = L.grid([gap + t + gap])
+        want.append(net.forward(x, size)[L.CONTEXT : L.CONTEXT + len(t), 0].sum(axis=0))
+    assert np.allclose(net.pooled(texts), want, atol=1e-3)
+
+
+def test_windows_carry_the_state_across_words_and_their_own_borders():
+    net = L.BiGru(["a", "b"])
+    net.p["o"] *= 5
+    text = b"ab cd efg " * 100
+    whole = net.pooled([text])[0]
+    assert whole.sum() == pytest.approx(len(text), rel=1e-3)
+    x, size = L.grid([b" " * L.CONTEXT + text + b" " * L.CONTEXT])
+    plain = net.forward(x, size)[L.CONTEXT : -L.CONTEXT, 0].sum(axis=0)
+    assert np.allclose(whole, plain, rtol=0.02)
+    by_word = net.pooled(text.split()).sum(axis=0)
+    assert not np.allclose(by_word / by_word.sum(), whole / whole.sum(), rtol=1e-3)
 
 
 def test_languages_on_held_out_documents(documents):
@@ -52,29 +68,30 @@ def test_grammar_weighs_context():
     lex = T.Lexicon({"scum": 4.0}, {"lowei": 3.0})
     score = lambda s: lex.features(s)[0]
     plain = score("such scum here")
-    assert score("you are scum") > plain > score("this is not scum") > 0
+    assert score("you are scum") > score("you scum") > plain > score("this was not scum") > 0
     assert score("people said he is gone. such scum here") == plain
-    assert score("they said it was scum") < score("they think it was scum")
+    assert score("they said it looked like scum") < score("they think it looked like scum")
     assert score("a loweian thing") > 0
     assert score("scumbag slowei") == 0
-    assert score("i will kill you") < score("you i will kill")
     assert score(None) == score("") == score("nothing here") == 0
 
 
+def test_a_target_may_stand_on_either_side():
+    lex = T.Lexicon({"scum": 4.0}, {})
+    score = lambda s: lex.features(s)[0]
+    assert score("i will kill you") == score("you i will kill") > score("i will kill time")
+    assert score("i will kill you") > score("kill you") > score("kill time")
+    assert score("scum like him") == score("him and scum") > score("scum like that")
+    assert score("i will not kill you") < score("i will kill you")
+
+
 def test_composition_runs_like_its_parts():
     rng = random.Random(1)
-    parts = (T.negation(), T.reported(), T.target())
+    parts = (T.insult(), T.threat(), T.negation(), T.reported())
     for _ in range(200):
-        symbols = [rng.randrange(6) for _ in range(12)]
-        want = 0.0
-        states = [0, 0, 0]
-        for s in symbols:
-            f = 1.0
-            for k, p in enumerate(parts):
-                states[k], x = p.step[states[k]][s]
-                f *= x
-            want += f
-        assert T.GRAMMAR.run(symbols, [1.0] * 12) == pytest.approx(want)
+        symbols = [rng.randrange(T.KINDS) for _ in range(12)]
+        want = [np.prod(x) for x in zip(*(p.run(symbols) for p in parts), strict=True)]
+        assert T.GRAMMAR.run(symbols) == pytest.approx(want)
 
 
 def test_toxicity_on_held_out_documents(spark):
