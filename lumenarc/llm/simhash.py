@@ -14,6 +14,7 @@ doc_id that is not, else null.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -77,10 +78,14 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
     sizes = signed.groupBy("sig").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # 17 ** 4 rows at most
     cut = signed.join(F.broadcast(sizes), "sig").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     tiles = staged(prints.sparkSession, cut.groupBy("sig", "sub").agg(F.collect_list("fp").alias("fps"), *[F.first(f"q{k}").alias(f"q{k}") for k in range(4)]), "tiles")
-    shifts = near_shifts(radius)
-    near = F.array(*[F.when(F.expr(" AND ".join(f"q{k} + {d} BETWEEN 0 AND 16" for k, d in enumerate(s))), F.col("sig") + sum(d * 17**k for k, d in enumerate(s))) for s in shifts])
+    # Shifts of the four counts, each as one number with a digit (plus radius) for a count.
+    base = 2 * radius + 1
+    shifts = F.lit([sum((d + radius) * base**k for k, d in enumerate(s)) for s in near_shifts(radius)])
+    digit = lambda c, k: F.floor(c / base**k).cast("int") % base - radius
+    inside = lambda c: reduce(lambda x, y: x & y, [(F.col(f"q{k}") + digit(c, k)).between(0, 16) for k in range(4)])
+    near = F.transform(F.filter(shifts, inside), lambda c: F.col("sig") + sum((digit(c, k) * 17**k for k in range(4)), F.lit(0)))
     other = (
-        tiles.select(F.col("sub").alias("their"), "fps", "sig", F.explode(F.filter(near, lambda c: c.isNotNull() & (c <= F.col("sig")))).alias("at"))
+        tiles.select(F.col("sub").alias("their"), "fps", "sig", F.explode(F.filter(near, lambda c: c <= F.col("sig"))).alias("at"))
         .join(F.broadcast(sizes.withColumnRenamed("sig", "at")), "at")
         .select("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("own"), "their", "fps")
         .groupBy("at", "own", "their")
