@@ -275,7 +275,7 @@ def piece_table(path: str) -> dict[int, bytes]:
 worker_cache("bpe", vocabulary_encoder.cache_clear)
 
 
-def batches(values, most_bytes: int = 8 << 20):
+def batches(values, most_bytes: int = 2 << 20):
     """Runs of texts of bounded size; one longer text stands alone."""
     held, size = [], 0
     for v in values:
@@ -317,6 +317,26 @@ def decode_column(ids: Column, path: str | None = None) -> Column:
     return decode(ids)
 
 
+def round_trip_column(text: Column, path: str | None = None, keep: int = CACHE_CHUNKS) -> Column:
+    """A struct: the ids, and whether they decode to the text's bytes."""
+    path = path or default_path()
+
+    @F.arrow_udf("ids binary, same boolean")
+    def both(texts):
+        import pyarrow as pa
+
+        drop_caches(but="bpe")
+        encoder, piece = vocabulary_encoder(path), piece_table(path).__getitem__
+        ids, same = [], []
+        for held in batches(x.as_py() for x in texts):
+            for t, x in zip(held, encoder.encode(held, keep), strict=True):
+                ids.append(x)
+                same.append(b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) == (t or "").encode())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=["ids", "same"])
+
+    return both(text)
+
+
 def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, keep: int = CACHE_CHUNKS) -> DataFrame:
     """keep: chunks a worker keeps; fewer where other operators share its executor's memory."""
     bounded_batches(df.sparkSession)
