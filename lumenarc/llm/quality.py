@@ -16,6 +16,7 @@ output columns replace input columns of their names.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -59,7 +60,21 @@ def _choice(phrases: list[str]) -> str:
 
 
 _navigation = re.compile(r"(?i)\W*(?:(?:" + _choice([*NAVIGATION.split(), *NAVIGATION_PHRASES.split("|")]) + r")\b\W*)+").fullmatch
-_boilerplate = re.compile("(?i)" + _choice(BOILERPLATE.split("|"))).findall
+_navigation_starts = {re.match(r"\w*", p)[0] for p in (*NAVIGATION.split(), *NAVIGATION_PHRASES.split("|"))}
+_first_word = re.compile(r"\W*(\w*)").match
+
+
+@lru_cache(1)
+def phrase_scan():
+    import ahocorasick
+
+    scan = ahocorasick.Automaton()
+    for p in BOILERPLATE.split("|"):
+        scan.add_word(p, p)
+    scan.make_automaton()
+    return scan.iter
+
+
 _not_symbols = bytes(b for b in range(256) if b not in SYMBOLS)
 _continuing = bytes(range(128, 192))
 _ascii_space = bytes([9, 10, 11, 12, 13, 32])
@@ -96,8 +111,8 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge)[: len(words)] > 0).sum())
 
 
-def bad_line(line: str, raw: bytes, words: list[bytes]) -> bool:
-    """A line that has words: does it fail a rule?"""
+def bad_line(line: str, raw: bytes, words: list[bytes], phrases: bool = True) -> bool:
+    """A line that has words: does it fail a rule? phrases: its text may hold phrases of boilerplate."""
     n = len(words)
     marks = len(raw.translate(None, _not_symbols))
     if 2 * marks >= n and marks >= 3:  # symbols in every second word
@@ -116,7 +131,9 @@ def bad_line(line: str, raw: bytes, words: list[bytes]) -> bool:
         return True
     if n >= LONG_LINE and line.rstrip()[-1] not in ENDS:
         return True
-    return bool(_navigation(line)) or len(_boilerplate(line)) * PHRASE_WORDS >= n
+    if _first_word(line)[1].lower() in _navigation_starts and _navigation(line):
+        return True
+    return phrases and sum(1 for _ in phrase_scan()(line.lower())) * PHRASE_WORDS >= n
 
 
 def judge(text: str | None) -> tuple:
@@ -128,6 +145,7 @@ def judge(text: str | None) -> tuple:
     dup = bad = lines = kept_words = 0
     seen: set[bytes] = set()
     clean = []
+    phrases = next(phrase_scan()((text or "").lower()), None) is not None
     for line in raw.split(b"\n"):
         own = line.split()
         if not own:
@@ -139,7 +157,7 @@ def judge(text: str | None) -> tuple:
             bad += 1
             continue
         seen.add(line)
-        if bad_line(line.decode("utf-8", "replace"), line, own):
+        if bad_line(line.decode("utf-8", "replace"), line, own, phrases):
             bad += 1
             continue
         kept_words += len(own)

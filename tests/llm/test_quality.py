@@ -36,7 +36,7 @@ def test_unicode_white_space_is_no_border():
 GOOD = "The river ran past the old mill and into the valley below the town."
 
 
-@pytest.mark.parametrize("line", ["Home | About | Contact | Login | Help", "Copyright (c) 2020 All rights reserved by us", "AND!! OR!! NOT!! BUT!! SO!! YET!! FOR!!", "a# b* c$ d% e& f|", "spam spam spam spam spam spam spam spam spam spam", "12 345 678 9 10 11 12"])
+@pytest.mark.parametrize("line", ["Startseite | Über uns | Impressum | Anmelden", "Accueil > Recherche > Aide", "Inicio | Quiénes somos | Iniciar sesión", "Alle Rechte vorbehalten, 2020 bis 2024, Verlag", "Pour lire plus, cliquez ici", "Todos los derechos reservados", " ".join(f"link{i} target{i}" for i in range(20)), " ".join(["Home", "About", "Help"] * 15), "Home | About | Contact | Login | Help", "Copyright (c) 2020 All rights reserved by us", "AND!! OR!! NOT!! BUT!! SO!! YET!! FOR!!", "a# b* c$ d% e& f|", "spam spam spam spam spam spam spam spam spam spam", "12 345 678 9 10 11 12"])
 def test_failing_lines_go(line):
     got = Q.judge(f"{GOOD}\n{line}\nAnother plain sentence stands here for good measure.")
     assert got[7] == 1
@@ -44,6 +44,12 @@ def test_failing_lines_go(line):
     assert GOOD in got[10]
 
 
+def test_one_phrase_does_not_fail_a_long_sentence():
+    line = " ".join(f"word{i}" for i in range(60)) + " and our privacy policy says so."
+    assert line in Q.judge(f"{GOOD}\n{line}")[10]
+    assert GOOD in Q.judge(GOOD + "\nThe home of the old menu maker was searched.")[10]
+
+
 def test_documents_that_lose_too_much_are_rejected():
     junk = "\n".join(f"x{i}# y* z$ w%" for i in range(20))
     assert Q.judge(GOOD)[9]
