@@ -137,33 +137,36 @@ class BiGru:
                     v[key] += 0.01 * (grad * grad - v[key])
                     self.p[key] -= (rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def states(self, d: str, x: np.ndarray) -> np.ndarray:
-        """As `direction`, of whole windows, in place on few arrays."""
+    def logits(self, d: str, x: np.ndarray, out: np.ndarray, keep: range) -> None:
+        """Adds what one direction says of whole windows to out [time, label, window], for the times in `keep`; in place on few arrays."""
         h, n = self.h, x.shape[1]
-        inputs = self.p["x" + d] + self.p["c" + d]
-        u_gates, u_cand = np.ascontiguousarray(self.p["u" + d][:, : 2 * h]), np.ascontiguousarray(self.p["u" + d][:, 2 * h :])
-        state = np.zeros((n, h), np.float32)
-        out = np.empty((len(x), n, h), np.float32)
-        for t in range(len(x)):
-            g = inputs[x[t]]
-            gates = g[:, : 2 * h]
-            gates += state @ u_gates
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            cand = g[:, 2 * h :]
-            cand += (gates[:, h:] * state) @ u_cand
-            cand *= -2
-            np.exp(cand, out=cand)
-            cand += 1
-            np.divide(2, cand, out=cand)
-            cand -= 1  # the hyperbolic tangent
-            state = out[t]
-            np.subtract(out[t - 1] if t else 0, cand, out=state)
-            state *= gates[:, :h]
-            state += cand
-        return out
+        factor = (-1, -1, -2)  # of update, reset and candidate, so that exponentials take them as they are
+        part = lambda a: [np.ascontiguousarray(f * a[:, i * h : (i + 1) * h]) for i, f in enumerate(factor)]
+        (x_z, x_r, x_c), (u_z, u_r, u_c) = part(self.p["x" + d] + self.p["c" + d]), part(self.p["u" + d])
+        o = np.ascontiguousarray((self.p["o"][: self.h] if d == "f" else self.p["o"][self.h :]).T)
+        state, said = np.zeros((n, h), np.float32), np.empty((len(o), n), np.float32)
+        z, r, c, by = (np.empty((n, h), np.float32) for _ in range(4))
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            at = x[t]
+            for gate, table, u in ((z, x_z, u_z), (r, x_r, u_r)):
+                np.take(table, at, axis=0, out=gate, mode="clip")
+                gate += np.matmul(state, u, out=by)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            r *= state
+            np.take(x_c, at, axis=0, out=c, mode="clip")
+            c += np.matmul(r, u_c, out=by)
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1  # the hyperbolic tangent
+            state -= c
+            state *= z
+            state += c
+            if t in keep:
+                np.matmul(o, state.T, out=said)
+                out[t - keep.start] += said
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """[text, label]: the probabilities of all positions of each text, summed."""
@@ -183,13 +186,14 @@ class BiGru:
                 at = order[lo : lo + LANES]
                 width = int(size[at[-1]]) + 2 * CONTEXT
                 x = buffer[start[at] + np.arange(width)[:, None]]
-                logits = self.states("f", x)[CONTEXT : width - CONTEXT] @ self.p["o"][: self.h]
-                logits += self.states("b", x[::-1])[::-1][CONTEXT : width - CONTEXT] @ self.p["o"][self.h :]
-                logits += self.p["oc"]
-                logits -= logits.max(axis=2, keepdims=True)
+                keep = range(CONTEXT, width - CONTEXT)
+                logits = np.repeat(self.p["oc"][None, :, None], len(keep), axis=0) + np.zeros((1, 1, len(at)), np.float32)
+                for d in "fb":
+                    self.logits(d, x, logits, keep)
+                logits -= logits.max(axis=1, keepdims=True)
                 np.exp(logits, out=logits)
-                logits *= (np.arange(width - 2 * CONTEXT)[:, None] < size[at])[:, :, None] / logits.sum(axis=2, keepdims=True)
-                np.add.at(out, owner[at], logits.sum(axis=0))
+                share = (np.arange(len(keep))[:, None] < size[at]) / logits.sum(axis=1)
+                np.add.at(out, owner[at], np.einsum("tln,tn->nl", logits, share.astype(np.float32)))
         return out
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
