@@ -13,7 +13,8 @@ ITEM_TYPES = {
     "bookSection": "book_monograph", "thesis": "thesis", "report": "report", "magazineArticle": "non_academic", "newspaperArticle": "non_academic",
     "blogPost": "non_academic", "presentation": "non_academic",
 }
-REVIEW = r"(?i)\b(systematic\s+review|meta-analysis|literature\s+review|scoping\s+review|narrative\s+review|integrative\s+review|rapid\s+review|umbrella\s+review)\b"
+#: Phrases and thresholds of the rules below.
+REVIEW = r"(?i)\b(systematic\s+review|meta[-\s]?analysis|literature\s+review|scoping\s+review|narrative\s+review|integrative\s+review|rapid\s+review|umbrella\s+review)\b"
 ACADEMIC = r"(?i)\b(we\s+hypothesiz|this\s+study|our\s+findings|this\s+paper\s+(?:presents|examines|investigates)|the\s+results\s+(?:show|indicate|suggest|demonstrate)|we\s+(?:propose|argue|demonstrate|analyze|examine|investigate)|our\s+(?:analysis|results|approach|method|contribution))\b"
 BRACKET_CITE, NAME_CITE = r"\[\d+\]", r"\([A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z]))?,?\s*\d{4}\)"
 WEB_TITLES = r"(?i)\b(guideline|guidance|position statement|framework|report|white paper|policy|technology transfer|regulatory science|standard|reference|adaptive cycle)\b"

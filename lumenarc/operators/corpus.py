@@ -87,7 +87,7 @@ def topic_counts(rows: DataFrame, field: str, evidence: int = 3) -> DataFrame:
 
 
 def nearest_rank(counts: DataFrame, value: str, q: float) -> DataFrame:
-    """The value at index round((n - 1) q), half to even, of the sorted values: one row `threshold`. Distinct values only are gathered."""
+    """The value at index round((n - 1) q), half to even, of the sorted values: one row `threshold`. Only distinct values meet in a task; of counts there are at most about the square root of twice their sum."""
     hist = counts.groupBy(value).agg(F.count("*").alias("__c"))
     run = hist.withColumn("__end", F.sum("__c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__c").over(Window.partitionBy()))
     at = F.bround((F.col("__all") - 1) * q)
@@ -113,12 +113,24 @@ def missing_values(values: DataFrame, name: str) -> DataFrame:
     return ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(name)).join(values, name, "left_anti")
 
 
+def numbered(values: DataFrame, name: str, out: str, ranges: int = 1024) -> DataFrame:
+    """Distinct whole numbers with their place in order: places inside ranges of values plus the counts of earlier ranges, so no task holds them all."""
+    lo, hi = values.agg(F.min(name), F.max(name)).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // ranges + 1)
+    keyed = values.withColumn("__b", F.floor((F.col(name) - F.lit(lo or 0)) / width))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("__b").agg(F.count("*").alias("__before"))
+    before = counts.select("__b", F.coalesce(F.sum("__before").over(earlier), F.lit(0)).alias("__before"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(name))
+    return keyed.withColumn("__r", inside).join(F.broadcast(before), "__b").withColumn(out, F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
+
+
 def islands(values: DataFrame, name: str) -> DataFrame:
-    """Runs of consecutive numbers: start, end, length. Anti joins find the values that begin or end a run; only those are ranked and paired."""
+    """Runs of consecutive numbers: start, end, length. Anti joins find the values that begin or end a run; only those are numbered and paired."""
     v = values.select(F.col(name).alias("v")).distinct()
     starts = v.join(v.select((F.col("v") + 1).alias("v")), "v", "left_anti")
     ends = v.join(v.select((F.col("v") - 1).alias("v")), "v", "left_anti")
-    n = lambda df, out: df.select(F.col("v").alias(out), F.row_number().over(Window.orderBy("v")).alias("__n"))
+    n = lambda df, out: numbered(df.select(F.col("v").alias(out)), out, "__n")
     return n(starts, "start").join(n(ends, "end"), "__n").drop("__n").withColumn("length", F.col("end") - F.col("start") + 1)
 
 
@@ -139,11 +151,21 @@ def directions(rows: DataFrame, field: str, first_tokens: int = 4) -> DataFrame:
 
 
 def direction_coverage(found: DataFrame, index: DataFrame) -> DataFrame:
-    """found (norm, tokens) with `covered`: papers that hold all the tokens (relational division)."""
-    need = found.select("norm", F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("need"))
-    full = need.join(index, "token").groupBy("norm", "need", "paper_id").agg(F.count("*").alias("have")).where("have = need")
-    counts = full.groupBy("norm").agg(F.count("*").alias("covered"))
-    return found.join(counts, "norm", "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
+    """found (norm, tokens) with `covered`: papers that hold all the tokens (relational division).
+
+    Each distinct token set meets the index with its rarest token only; the few papers that hold it are then asked for the other tokens.
+    """
+    own = F.array_sort(F.array_distinct("tokens"))
+    sets = found.select(own.alias("set")).where("size(set) > 0").distinct()
+    df = index.groupBy("token").agg(F.count("*").alias("n"))
+    each = sets.select("set", F.explode("set").alias("token")).join(df, "token", "left")
+    rarest = each.groupBy("set").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    first = rarest.join(index, "token").select("set", "paper_id", F.array_remove("set", F.col("token")).alias("rest"))
+    others = first.select("set", "paper_id", F.explode("rest").alias("token")).join(index, ["token", "paper_id"])
+    all_ = others.groupBy("set", "paper_id").agg(F.count("*").alias("have")).where("have = size(set) - 1")
+    held = all_.select("set", "paper_id").unionByName(first.where("size(rest) = 0").select("set", "paper_id"))
+    counts = held.groupBy("set").agg(F.count("*").alias("covered"))
+    return found.withColumn("set", own).join(counts, "set", "left").drop("set").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, mark: str, forced: DataFrame | None = None) -> DataFrame:

@@ -62,20 +62,50 @@ def reference_edges(references: DataFrame, papers: DataFrame, threshold: float =
     by_doi = refs.join(known, "d").select(F.col("paper_id").alias("source"), "ref_pos", "target", F.lit(1.0).alias("confidence")).distinct()
     rest = refs.join(known.select("d"), "d", "left_anti").select("paper_id", "ref_pos", F.array_sort(title_tokens("title")).alias("r")).where("size(r) > 0").distinct()
     index = papers.select("pos", F.col("paper_id").alias("target"), title_tokens("title").alias("t")).where("size(t) > 0")
-    meet = rest.select("paper_id", "ref_pos", F.xxhash64("r").alias("h"), F.size("r").alias("nr"), F.explode("r").alias("w")).join(index.select("pos", "target", F.size("t").alias("nt"), F.explode("t").alias("w")), "w")
-    near = meet.where((F.col("nr") >= threshold * F.col("nt")) & (F.col("nt") >= threshold * F.col("nr"))).groupBy("paper_id", "ref_pos", "h", "pos", "target", "nr", "nt").agg(F.count("*").alias("k"))
-    first = near.where(F.col("k") / (F.col("nr") + F.col("nt") - F.col("k")) >= threshold).groupBy("paper_id", "ref_pos").agg(F.min_by("target", "pos").alias("target"))
+    # Equal titles are asked once, by as many of their rarest tokens as a match cannot lack.
+    tokens = index.select("pos", "target", "t", F.explode("t").alias("w"))
+    each = rest.select("r").distinct().select("r", F.explode("r").alias("w")).join(tokens.groupBy("w").agg(F.count("*").alias("df")), "w", "left")
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    probe = each.withColumn("__n", place).where(F.col("__n") <= F.size("r") - F.ceil(F.size("r") * threshold) + 1)
+    near = probe.join(tokens, "w").where((F.size("r") >= threshold * F.size("t")) & (F.size("t") >= threshold * F.size("r"))).select("r", "pos", "target", "t").distinct()
+    both = F.size(F.array_intersect("r", "t"))
+    first = near.where(both / (F.size("r") + F.size("t") - both) >= threshold).groupBy("r").agg(F.min_by("target", "pos").alias("target")).join(rest, "r")
     by_title = first.select(F.col("paper_id").alias("source"), "ref_pos", "target", F.lit(0.95).alias("confidence"))
     return by_doi.unionByName(by_title).where("source <> target")
 
 
 def part_of(papers: DataFrame) -> DataFrame:
-    """child, parent: chapters of titles "chapter N" and the first paper of the same author and first three title words."""
-    start = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(normalize_title("title"), CHAPTER, "")), r"\s+"), 1, 3), " ")
-    keyed = papers.withColumn("__p", start).where("__p <> ''")
-    chapters = keyed.where(F.col("title").rlike(CHAPTER)).select(F.col("paper_id").alias("child"), "author_string", "__p")
-    wholes = keyed.where(~F.col("title").rlike(CHAPTER)).groupBy("author_string", "__p").agg(F.min_by("paper_id", "pos").alias("parent"))
-    return chapters.join(wholes, ["author_string", "__p"]).select("child", "parent")
+    """child, parent, kind, by three rules; a child of one rule is not asked by the next.
+
+    Book sections belong to the books that share their library_key. Titles that three papers or more
+    share, with two different theses at least, make a virtual collection. A title "chapter N" belongs to the
+    first paper of the same authors and first three title words that is no chapter. Columns library_key,
+    item_type and thesis may be missing.
+    """
+    names = papers.columns
+    p = papers.where("paper_id is not null").withColumn("__n", normalize_title(F.coalesce("title", F.lit(""))))
+    found = []
+    if {"library_key", "item_type"} <= set(names):
+        keyed = p.where("coalesce(library_key, '') <> ''")
+        books = keyed.where("item_type = 'book'").select("library_key", F.col("paper_id").alias("parent"))
+        parts = keyed.where("item_type = 'bookSection'").select("library_key", F.col("paper_id").alias("child"))
+        found.append(parts.join(books, "library_key").where("child <> parent").select("child", "parent", F.lit("chapter_in_book").alias("kind")))
+        p = p.join(found[0].select(F.col("child").alias("paper_id")).distinct(), "paper_id", "left_anti")
+    if "thesis" in names:
+        named = papers.withColumn("__n", normalize_title(F.coalesce("title", F.lit("")))).where("__n not in ('', 'untitled')")
+        thesis = F.nullif(F.trim("thesis"), F.lit(""))
+        shared = named.groupBy("__n").agg(F.count("*").alias("__c"), F.count_distinct(thesis).alias("__t")).where("__c >= 3 and __t >= 2").select("__n")
+        parent = F.concat(F.lit("virtual_collection_"), F.replace(F.substring("__n", 1, 40), F.lit(" "), F.lit("_")))
+        readings = p.join(shared, "__n").select(F.col("paper_id").alias("child"), parent.alias("parent"), F.lit("reading_in_syllabus").alias("kind")).distinct()
+        found.append(readings)
+        p = p.join(shared, "__n", "left_anti")
+    start = F.slice(F.split("__n", " "), 1, 3)
+    chapter = F.coalesce(F.col("title").rlike(CHAPTER), F.lit(False))
+    tagged = p.withColumn("__a", normalize_title(F.coalesce("author_string", F.lit("")))).withColumn("__p", start).where("__a <> '' and size(__p) = 3")
+    wholes = papers.withColumn("__n", normalize_title(F.coalesce("title", F.lit("")))).where(~chapter).withColumn("__a", normalize_title(F.coalesce("author_string", F.lit("")))).withColumn("__p", start)
+    firsts = wholes.where("size(__p) = 3 and paper_id is not null").groupBy("__a", "__p").agg(F.min_by("paper_id", "pos").alias("parent"))
+    found.append(tagged.where(chapter).join(firsts, ["__a", "__p"]).select(F.col("paper_id").alias("child"), "parent", F.lit("chapter_in_book").alias("kind")))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def first_edges(*ranked: DataFrame) -> DataFrame:

@@ -80,9 +80,11 @@ def enrich(hits: DataFrame, papers: DataFrame, extractions: DataFrame | None = N
     return out.join(extractions, "paper_id", "left") if extractions is not None else out
 
 
-def fuse_rankings(rankings: DataFrame, k: int = 60, key: str = "paper_id") -> DataFrame:
-    """Reciprocal rank fusion of (variant, rank, key): score, rank; ties by key."""
+def fuse_rankings(rankings: DataFrame, k: int = 60, key: str = "paper_id", limit: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of (variant, rank, key): score, rank; ties by key. With a limit only the best are ranked."""
     fused = rankings.groupBy(key).agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"))
+    if limit is not None:
+        fused = fused.orderBy(F.col("score").desc(), key).limit(limit)
     return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), key)))
 
 
@@ -90,7 +92,7 @@ def search_fused(chunks: DataFrame, queries: DataFrame, k: int, rrf_k: int = 60,
     """Each query's nearest chunks, one per paper, fused; the k best papers with the chunk first seen (lowest query, then rank)."""
     hits = first_per_key(nearest_batch(chunks, queries, overfetch * k), "paper_id", within=["query_id"])
     lists = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    fused = fuse_rankings(lists, rrf_k).where(F.col("rank") <= k)
+    fused = fuse_rankings(lists, rrf_k, limit=k)
     seen = lists.groupBy("paper_id").agg(F.min_by("chunk_id", F.struct("query_id", "rank")).alias("chunk_id"))
     return fused.join(seen, "paper_id")
 

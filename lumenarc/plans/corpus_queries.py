@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenarc.functions.ids import normalize_doi
 from lumenarc.functions.text import jaccard, title_tokens, topic_tokens, word_count
 from lumenarc.operators import corpus as C
+from lumenarc.operators import views as V
 from lumenarc.plans.inputs import ANSWERS, PAPERS, answers, papers, sql_title_tokens, sql_topic_tokens, sql_words, table
 
 NORM_DOI = "regexp_replace(lower(trim(doi)), '^(https?://(dx\\.)?doi\\.org/|(dx\\.)?doi\\.org/|doi:)\\s*', '')"
@@ -51,7 +52,7 @@ def flt_09(spark, sf):
 
 
 def flt_11(spark, sf):
-    return papers(spark, sf).select("paper_id").join(answers(spark, sf).select("paper_id").distinct(), "paper_id", "left_anti")
+    return V.missing_from(papers(spark, sf), answers(spark, sf), "paper_id")
 
 
 def flt_12(spark, sf):
@@ -65,16 +66,12 @@ def flt_14(spark, sf):
 
 
 def flt_16(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    done, failed = o.where("o_orderstatus = 'F'"), o.where("o_orderkey % 11 = 0")
-    left = o.join(done, "o_orderkey", "left_anti").join(failed, "o_orderkey", "left_anti").select("o_orderkey")
-    return left.orderBy("o_orderkey").limit(100)
+    o = table(spark, sf, "orders")
+    return V.pending_ids(o, "o_orderkey", o.where("o_orderstatus = 'F'"), o.where("o_orderkey % 11 = 0"), 100)
 
 
 def flt_17(spark, sf):
-    li = table(spark, sf, "lineitem")
-    split = li.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("paths")).where("paths > 1")
-    return split
+    return V.split_parents(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 def flt_18(spark, sf):
@@ -84,8 +81,7 @@ def flt_18(spark, sf):
 
 
 def flt_19(spark, sf):
-    a = answers(spark, sf).select("paper_id").distinct()
-    return a.join(papers(spark, sf).select("paper_id"), "paper_id", "left_anti")
+    return V.missing_from(answers(spark, sf), papers(spark, sf), "paper_id")
 
 
 def flt_22(spark, sf):
@@ -95,16 +91,17 @@ def flt_22(spark, sf):
 
 
 def join_01(spark, sf):
+    from lumenarc.operators.search import enrich
+
     hits = table(spark, sf, "labels").select(F.concat(F.lit("p"), "doc_id").alias("paper_id"), "quality")
-    p = papers(spark, sf).select("paper_id", "title", "year")
     ext = answers(spark, sf).groupBy("paper_id").agg(F.count("value").alias("dims"))
-    return hits.join(p, "paper_id", "left").join(ext, "paper_id", "left")
+    return enrich(hits, papers(spark, sf).select("paper_id", "title", "year"), ext)
 
 
 def join_03(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("pos"))
     p = table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("dst"), "p_name")
-    return li.join(p, "dst").select("src", "pos", "dst", "p_name")
+    return V.enrich_pairs(li, p, "dst").select("src", "pos", "dst", "p_name")
 
 
 def join_04(spark, sf):
@@ -117,10 +114,8 @@ def join_04(spark, sf):
 def join_05(spark, sf):
     o = table(spark, sf, "orders")
     seen = o.where("o_orderkey % 9 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit("not a date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("held"))
-    both = seen.withColumn("i", F.lit(1)).join(o.where("o_orderkey % 8 <> 0").select("o_orderkey", "o_orderdate").withColumn("j", F.lit(1)), "o_orderkey", "full_outer")
-    old = F.try_to_timestamp("held", F.lit("yyyy-MM-dd"))
-    change = F.when(F.col("i").isNull(), "new").when(F.col("j").isNull(), "deleted").when(F.coalesce(F.col("o_orderdate").cast("timestamp") > old + F.expr("INTERVAL 1 DAY"), F.lit(False)), "modified").otherwise("unchanged")
-    return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+    now = o.where("o_orderkey % 8 <> 0").select("o_orderkey", "o_orderdate")
+    return V.date_changes(seen, now, "o_orderkey", "held", "o_orderdate").groupBy("change").agg(F.count("*").alias("n"))
 
 
 def join_07(spark, sf):
@@ -157,24 +152,21 @@ def join_11(spark, sf):
 
 
 def join_12(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    pairs = c.where("c_custkey <= 200").join(s, F.col("c_nationkey") == F.col("s_nationkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    score = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    return pairs.select("c_custkey", "s_suppkey", "n_name", F.round(score, 2).alias("score")).orderBy(F.col("score").desc(), "c_custkey", "s_suppkey").limit(40)
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
+    return V.widest_pairs(c, s, "nation", "c_acctbal", "s_acctbal", ["c_custkey", "s_suppkey"], 40).join(n, "nation").select("c_custkey", "s_suppkey", "n_name", "score")
 
 
 def join_13(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    reason = F.when(F.col("o_orderkey") % 10 == 0, "new").when(F.col("o_orderstatus") == "P", "modified").when(F.col("o_orderpriority").startswith("1"), "forced").when(F.col("o_orderkey") % 13 == 0, "pending")
-    return o.select("o_orderkey", reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+    key = F.col("o_orderkey")
+    reason = V.first_reason(new=key % 10 == 0, modified=F.col("o_orderstatus") == "P", forced=F.col("o_orderpriority").startswith("1"), pending=key % 13 == 0)
+    return table(spark, sf, "orders").select("o_orderkey", reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
 def join_14(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count("*").alias("lines"))
-    return o.join(li, "o_orderkey", "left").select("o_orderkey", F.coalesce("returned", F.lit(0)).alias("returned"), F.coalesce("lines", F.lit(0)).alias("lines"))
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return V.related_counts(table(spark, sf, "orders").select("o_orderkey"), li, "o_orderkey", returned=F.col("l_returnflag") == "R", lines=F.lit(True))
 
 
 def join_15(spark, sf):
@@ -186,9 +178,8 @@ def join_15(spark, sf):
 
 
 def join_16(spark, sf):
-    o = table(spark, sf, "orders")
-    cust = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return o.where("o_orderstatus = 'O'").join(cust, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    cust = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "o_custkey")
+    return V.kept_by(table(spark, sf, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey"), cust, "o_custkey").select("o_orderkey", "o_custkey")
 
 
 def agg_01(spark, sf):
@@ -206,32 +197,25 @@ def agg_01_total(spark, sf):
 
 
 def agg_02(spark, sf):
-    e = table(spark, sf, "embeddings").where("label <> 3")
     kinds = spark.range(10).select(F.col("id").cast("int").alias("label"))
-    n = e.groupBy("label").agg(F.count("*").alias("n"))
-    return kinds.join(F.broadcast(n), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+    return V.counts_of_kinds(table(spark, sf, "embeddings").where("label <> 3"), kinds, "label")
 
 
 def agg_03(spark, sf):
-    p = papers(spark, sf)
-    return p.agg(F.count_distinct("collection").alias("collections"), F.count_distinct("item_type").alias("types"), F.min("year").alias("first"), F.max("year").alias("last"))
+    return V.corpus_range(papers(spark, sf))
 
 
 def agg_04(spark, sf):
     o = table(spark, sf, "orders").withColumn("open", F.when(F.col("o_orderstatus") == "O", "yes").otherwise("no"))
-    g = o.groupingSets([["o_orderstatus"], ["o_orderpriority"], ["open"]], "o_orderstatus", "o_orderpriority", "open").agg(F.count("*").alias("n"))
-    return g.select(F.coalesce(F.concat(F.lit("status:"), "o_orderstatus"), F.concat(F.lit("priority:"), "o_orderpriority"), F.concat(F.lit("open:"), "open")).alias("key"), "n")
+    return V.counts_by_each(o, status="o_orderstatus", priority="o_orderpriority", open="open")
 
 
 def agg_05(spark, sf):
-    e = table(spark, sf, "events").withColumn("c", F.col("value") / 100)
-    band = F.when(F.col("c") >= 0.8, "high").when(F.col("c") >= 0.5, "medium").otherwise("low")
-    return e.groupBy("event_type", band.alias("band")).agg(F.count("*").alias("n"))
+    return V.confidence_bands(table(spark, sf, "events"), "event_type", F.col("value") / 100)
 
 
 def agg_06(spark, sf):
-    p = table(spark, sf, "part")
-    return p.groupBy("p_brand").agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("p_partkey")), 1, 5), ",").alias("first_ids"))
+    return V.group_heads(table(spark, sf, "part"), "p_brand", "p_partkey").withColumnRenamed("__g", "p_brand")
 
 
 def agg_07(spark, sf):
@@ -240,7 +224,7 @@ def agg_07(spark, sf):
 
 
 def agg_08(spark, sf):
-    return papers(spark, sf).where("year is not null").groupBy("year").agg(F.count("*").alias("n"))
+    return C.count_by(papers(spark, sf).where("year is not null"), "year").select(F.col("key").cast("int").alias("year"), "n")
 
 
 def agg_09(spark, sf):
@@ -269,8 +253,7 @@ def agg_13(spark, sf):
 
 
 def agg_14(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    return e.groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("mean"))
+    return V.centroids(table(spark, sf, "embeddings"), "label").withColumn("mean", F.round("mean", 6))
 
 
 def agg_15(spark, sf):
@@ -279,40 +262,36 @@ def agg_15(spark, sf):
 
 
 def agg_16(spark, sf):
-    a = answers(spark, sf)
-    return a.groupBy("dimension").agg(F.count("*").alias("total"), F.count("value").alias("given"), F.round(F.count("value") / F.count("*"), 6).alias("rate"))
+    return V.field_rates(answers(spark, sf)).withColumn("rate", F.round("rate", 6))
 
 
 def agg_17(spark, sf):
-    n = table(spark, sf, "part").where("p_partkey <= 500").select("p_partkey")
-    deg = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("d"))
-    d = F.coalesce("d", F.lit(0))
-    return n.join(deg, "p_partkey", "left").select("p_partkey", d.alias("in_degree"), (10 + 5 * d).alias("size"), (d >= 5).alias("hub"))
+    from lumenarc.operators.graph import sized_nodes
+
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("target"))
+    return sized_nodes(table(spark, sf, "part").select("p_partkey"), edges, "p_partkey").select("p_partkey", "in_degree", "size", "hub")
 
 
 def agg_21(spark, sf):
-    o = table(spark, sf, "orders")
-    ok = F.count_if(F.col("o_orderstatus") == "F")
-    return o.groupBy("o_orderpriority").agg(F.count("*").alias("runs"), ok.alias("done"), F.round(F.try_divide(ok, F.count("*")), 6).alias("rate"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
+    out = V.run_statistics(table(spark, sf, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F", "o_totalprice")
+    return out.withColumns({"rate": F.round("rate", 6), "cost": F.round("cost", 2)})
 
 
 def agg_22(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("cluster", F.when(F.col("label") == 9, -1).otherwise(F.col("label")))
-    return e.groupBy("cluster").agg(F.count("*").alias("size"), F.array_join(F.slice(F.sort_array(F.collect_list("vec_id")), 1, 5), ",").alias("first"))
+    cluster = F.when(F.col("label") == 9, -1).otherwise(F.col("label"))
+    return V.group_heads(table(spark, sf, "embeddings"), cluster, "vec_id", size="size", heads="first").withColumnRenamed("__g", "cluster")
 
 
 def agg_25(spark, sf):
     a = answers(spark, sf)
     u = a.where("provider = 'user'").select("conv_id", "dimension", F.col("value").alias("a"))
     b = a.where("provider = 'assistant'").select("conv_id", F.concat(F.lit("q"), F.lpad(F.col("turn").cast("string"), 2, "0")).alias("dimension"), F.col("value").alias("b"))
-    both = u.join(b, ["conv_id", "dimension"], "full_outer")
-    x, y = F.col("a").isNotNull(), F.col("b").isNotNull()
-    return both.groupBy("dimension").agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"), F.count_if(F.length("a") > F.length("b")).alias("a_longer"))
+    return V.compare_answers(u, b, ["conv_id", "dimension"])
 
 
 def agg_26(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linestatus = 'F'")
-    return li.groupBy("l_returnflag").agg(F.count("*").alias("runs"), F.round(F.avg("l_discount"), 6).alias("confidence"), F.round(F.avg("l_quantity"), 6).alias("seconds"))
+    out = V.batch_summary(table(spark, sf, "lineitem").where("l_linestatus = 'F'"), "l_returnflag", "l_discount", "l_quantity")
+    return out.withColumns({"confidence": F.round("confidence", 6), "seconds": F.round("seconds", 6)})
 
 
 def agg_27(spark, sf):
@@ -320,11 +299,11 @@ def agg_27(spark, sf):
     return p.agg(F.count("*").alias("papers"), F.count_if(normalize_doi("doi").isNotNull()).alias("with_doi"))
 
 
-DAYS = "(SELECT DISTINCT datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders WHERE o_orderkey % 3 = 0)"
+DAYS = "(SELECT DISTINCT datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)"
 
 
 def order_days(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).alias("day")).distinct()
+    return table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000").select(F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).alias("day")).distinct()
 
 
 def win_03(spark, sf):
@@ -344,20 +323,19 @@ def ml_14(spark, sf):
 
 def set_01(spark, sf):
     o = table(spark, sf, "orders")
-    part = lambda i, c: o.where(c).select("o_orderkey", F.lit(i).alias("p"))
-    return part(0, "o_orderkey % 10 = 0").unionByName(part(1, "o_orderkey % 6 = 0")).unionByName(part(2, "o_orderstatus = 'P'")).groupBy("o_orderkey").agg(F.min("p").alias("first"))
+    return V.first_source("o_orderkey", o.where("o_orderkey % 10 = 0"), o.where("o_orderkey % 6 = 0"), o.where("o_orderstatus = 'P'"))
 
 
 def set_03(kind):
     def run(spark, sf):
         a, b = papers(spark, sf).select("paper_id"), answers(spark, sf).select("paper_id")
-        return a.subtract(b) if kind == "minus" else a.intersect(b) if kind == "and" else a.union(b).distinct()
+        return V.key_set(a, b, kind)
 
     return run
 
 
 def set_04(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 400")
+    p = table(spark, sf, "part")
     dim = lambda q, e: [F.concat(F.lit("d"), "p_partkey").alias("dimension"), F.col("p_brand").alias("section"), q.alias("question"), e.alias("enabled")]
     old = p.where("p_partkey % 9 <> 0").select(*dim(F.col("p_name"), F.lit(True)))
     new = p.where("p_partkey % 11 <> 0").select(*dim(F.when(F.col("p_partkey") % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name")), F.col("p_partkey") % 13 != 0))
@@ -365,9 +343,7 @@ def set_04(spark, sf):
 
 
 def set_05(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_partkey <= 300")
-    best = F.struct(F.length("l_shipmode") if "l_shipmode" in li.columns else F.col("l_quantity"), F.col("l_orderkey"))
-    return li.groupBy("l_partkey").agg(F.max("l_discount").alias("confidence"), F.max_by("l_orderkey", best).alias("longest"), F.count_distinct("l_suppkey").alias("sources")).orderBy(F.col("confidence").desc(), "l_partkey").limit(100)
+    return V.merge_proposals(table(spark, sf, "lineitem"), "l_partkey", "l_discount", F.col("l_quantity"), "l_orderkey", "l_suppkey")
 
 
 def set_06(spark, sf):
@@ -377,23 +353,22 @@ def set_06(spark, sf):
 
 
 def set_07(spark, sf):
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return c.select(F.col("c_name").alias("name"), F.lit("primary").alias("source")).unionByName(s.select(F.col("s_name").alias("name"), F.lit("other").alias("source")))
+    name = lambda t, c: table(spark, sf, t).select(F.col(c).alias("name"))
+    return V.tagged_union(primary=name("customer", "c_name"), other=name("supplier", "s_name"))
 
 
 def set_08(spark, sf):
-    p = papers(spark, sf).select("title", F.explode("collections").alias("c")).groupBy("title").agg(F.array_join(F.array_sort(F.collect_set("c")), "|").alias("collections"))
-    return p
+    return V.merged_lists(papers(spark, sf), "title", "collections")
 
 
 def set_09(spark, sf):
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return c.select(F.col("c_nationkey").alias("key")).union(s.select("s_nationkey")).distinct()
+    key = lambda t, c: table(spark, sf, t).select(F.col(c).alias("key"))
+    return V.key_set(key("customer", "c_nationkey"), key("supplier", "s_nationkey"), "or")
 
 
 def str_06(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", title_tokens("text").alias("t"))
-    pairs = b.alias("a").join(F.broadcast(b).alias("b"), F.col("a.item_id") < F.col("b.item_id"))
+    pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id"))
     return pairs.select(F.col("a.item_id").alias("i"), F.col("b.item_id").alias("j"), F.round(jaccard("a.t", "b.t"), 6).alias("similarity"))
 
 
@@ -428,7 +403,7 @@ QUERIES = {
     "join_08_title_containment": (join_08, f"WITH i AS (SELECT item_id, {T('text')} AS t FROM benchmark), e AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM i), d AS (SELECT doc_id, unnest({T('text')}) AS w FROM documents), h AS (SELECT doc_id, item_id, n, count(*) AS k FROM d JOIN e USING (w) GROUP BY ALL) SELECT doc_id, item_id, CAST(CASE WHEN k / n > 0.9 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence FROM h WHERE k >= least(3, n) AND k / n >= 0.85"),
     "join_10_direction_coverage": (join_10, f"WITH {PAPERS}, src AS (SELECT pos, paper_id, string_split(text, chr(10))[1] AS t FROM papers WHERE item_type = 'en'), {DIRECTIONS}, need AS (SELECT norm, unnest(list_distinct(tokens)) AS token, len(list_distinct(tokens)) AS need FROM d WHERE len(tokens) >= 2), idx AS (SELECT DISTINCT paper_id, unnest({sql_topic_tokens('text')}) AS token FROM papers WHERE item_type = 'en'), h AS (SELECT norm, need, paper_id, count(*) AS have FROM need JOIN idx USING (token) GROUP BY ALL HAVING have = need), k AS (SELECT norm, count(*) AS c FROM h GROUP BY 1) SELECT norm, mentions, array_to_string(tokens, ' ') AS tokens, coalesce(c, 0) AS covered FROM d LEFT JOIN k USING (norm) WHERE len(tokens) >= 2"),
     "join_11_doi_overlap": (join_11, f"WITH {PAPERS}, p AS (SELECT {NORM_DOI} AS d FROM papers), k AS (SELECT '10.1000/x' || s_suppkey AS d, true AS hit FROM supplier) SELECT count(*) AS total, count(*) FILTER (p.d IS NULL) AS without, count(*) FILTER (hit) AS overlap, count(*) FILTER (p.d IS NOT NULL AND hit IS NULL) AS fresh FROM p LEFT JOIN k ON p.d = k.d"),
-    "join_12_similarity_context": (join_12, "SELECT c_custkey, s_suppkey, n_name, round(abs(c_acctbal - s_acctbal), 2) AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey <= 200 ORDER BY score DESC, c_custkey, s_suppkey LIMIT 40"),
+    "join_12_similarity_context": (join_12, "SELECT c_custkey, s_suppkey, n_name, round(abs(c_acctbal - s_acctbal), 2) AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey ORDER BY score DESC, c_custkey, s_suppkey LIMIT 40"),
     "join_13_requirement_reasons": (join_13, "WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' WHEN o_orderstatus = 'P' THEN 'modified' WHEN starts_with(o_orderpriority, '1') THEN 'forced' WHEN o_orderkey % 13 = 0 THEN 'pending' END AS reason FROM orders) SELECT reason, count(*) AS n, max(o_orderkey) AS last FROM r WHERE reason IS NOT NULL GROUP BY 1"),
     "join_14_scalar_subqueries": (join_14, "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders"),
     "join_15_title_check": (join_15, f"WITH {PAPERS}, x AS (SELECT paper_id, {T('title')} AS t, {T('substr(text, 1, 1000)')} AS x FROM papers), s AS (SELECT *, CASE WHEN len(t) > 0 THEN len(list_intersect(t, x)) / len(t) ELSE 0 END AS share FROM x) SELECT paper_id, CASE WHEN len(t) < 3 THEN true ELSE share >= 0.3 END AS matches, round(share, 6) AS share FROM s"),
@@ -450,7 +425,7 @@ QUERIES = {
     "agg_14_centroids": (agg_14, "SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY ALL"),
     "agg_15_text_tokens": (agg_15, f"WITH {PAPERS} SELECT collection, count(DISTINCT w) AS tokens FROM (SELECT collection, unnest({sql_topic_tokens('title')}) AS w FROM papers) GROUP BY 1"),
     "agg_16_field_rates": (agg_16, f"WITH {ANSWERS} SELECT dimension, count(*) AS total, count(value) AS given, round(count(value) / count(*), 6) AS rate FROM answers GROUP BY 1"),
-    "agg_17_in_degree": (agg_17, "SELECT p_partkey, count(l_partkey) AS in_degree, 10 + 5 * count(l_partkey) AS size, count(l_partkey) >= 5 AS hub FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey <= 500 GROUP BY 1"),
+    "agg_17_in_degree": (agg_17, "SELECT p_partkey, count(l_partkey) AS in_degree, 10 + 5 * count(l_partkey) AS size, count(l_partkey) >= 5 AS hub FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"),
     "agg_21_run_statistics": (agg_21, "SELECT o_orderpriority, count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS done, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS rate, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1"),
     "agg_22_clusters": (agg_22, "SELECT CASE WHEN label = 9 THEN -1 ELSE label END AS cluster, count(*) AS size, array_to_string(list(vec_id ORDER BY vec_id)[1:5], ',') AS first FROM embeddings GROUP BY 1"),
     "agg_25_compare_dimensions": (agg_25, f"WITH {ANSWERS}, u AS (SELECT conv_id, dimension, value AS a FROM answers WHERE provider = 'user'), b AS (SELECT conv_id, 'q' || lpad(CAST(turn AS VARCHAR), 2, '0') AS dimension, value AS b FROM answers WHERE provider = 'assistant') SELECT dimension, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS only_a, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS only_b, count(*) FILTER (a IS NULL AND b IS NULL) AS neither, count(*) FILTER (length(a) > length(b)) AS a_longer FROM u FULL JOIN b USING (conv_id, dimension) GROUP BY 1"),
@@ -463,11 +438,11 @@ QUERIES = {
     "set_03_difference": (set_03("minus"), f"WITH {PAPERS}, {ANSWERS} SELECT paper_id FROM papers EXCEPT SELECT paper_id FROM answers"),
     "set_03_intersection": (set_03("and"), f"WITH {PAPERS}, {ANSWERS} SELECT paper_id FROM papers INTERSECT SELECT paper_id FROM answers"),
     "set_03_union": (set_03("or"), f"WITH {PAPERS}, {ANSWERS} SELECT paper_id FROM papers UNION SELECT paper_id FROM answers"),
-    "set_04_profile_diff": (set_04, "WITH p AS (SELECT * FROM part WHERE p_partkey <= 400), o AS (SELECT 'd' || p_partkey AS dimension, p_brand AS s, p_name AS q, true AS e FROM p WHERE p_partkey % 9 <> 0), n AS (SELECT 'd' || p_partkey AS dimension, p_brand AS s, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS q, p_partkey % 13 <> 0 AS e FROM p WHERE p_partkey % 11 <> 0) SELECT dimension, CASE WHEN o.e IS NULL THEN 'added' WHEN n.e IS NULL THEN 'removed' WHEN o.e AND NOT n.e THEN 'disabled' WHEN o.q <> n.q OR o.s <> n.s THEN 'reworded' ELSE 'same' END AS change, coalesce(n.s, o.s) AS section FROM o FULL JOIN n USING (dimension)"),
-    "set_05_merge_proposals": (set_05, "SELECT l_partkey, max(l_discount) AS confidence, arg_max(l_orderkey, (l_quantity, l_orderkey)) AS longest, count(DISTINCT l_suppkey) AS sources FROM lineitem WHERE l_partkey <= 300 GROUP BY 1 ORDER BY confidence DESC, l_partkey LIMIT 100"),
+    "set_04_profile_diff": (set_04, "WITH p AS (SELECT * FROM part), o AS (SELECT 'd' || p_partkey AS dimension, p_brand AS s, p_name AS q, true AS e FROM p WHERE p_partkey % 9 <> 0), n AS (SELECT 'd' || p_partkey AS dimension, p_brand AS s, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS q, p_partkey % 13 <> 0 AS e FROM p WHERE p_partkey % 11 <> 0) SELECT dimension, CASE WHEN o.e IS NULL THEN 'added' WHEN n.e IS NULL THEN 'removed' WHEN o.e AND NOT n.e THEN 'disabled' WHEN o.q <> n.q OR o.s <> n.s THEN 'reworded' ELSE 'same' END AS change, coalesce(n.s, o.s) AS section FROM o FULL JOIN n USING (dimension)"),
+    "set_05_merge_proposals": (set_05, "SELECT l_partkey, max(l_discount) AS confidence, arg_max(l_orderkey, (l_quantity, l_orderkey)) AS longest, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY 1"),
     "set_06_overlay": (set_06, f"WITH {ANSWERS}, o AS (SELECT paper_id, dimension, length(value) AS v FROM answers WHERE value IS NOT NULL AND turn < 4), n AS (SELECT paper_id, dimension, length(value) * 2 AS v FROM answers WHERE value IS NOT NULL AND turn >= 2) SELECT * FROM n UNION ALL SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.paper_id = o.paper_id AND n.dimension = o.dimension)"),
     "set_07_result_union": (set_07, "SELECT c_name AS name, 'primary' AS source FROM customer UNION ALL SELECT s_name, 'other' FROM supplier"),
     "set_02_08_collections_union": (set_08, f"WITH {PAPERS} SELECT title, string_agg(DISTINCT c, '|' ORDER BY c) AS collections FROM (SELECT title, unnest(collections) AS c FROM papers) GROUP BY 1"),
     "set_09_distinct_union": (set_09, "SELECT c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier"),
-    "str_06_jaccard": (str_06, f"WITH b AS (SELECT item_id, {T('text')} AS t FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, round(CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) ELSE 0 END, 6) AS similarity FROM b a JOIN b ON a.item_id < b.item_id"),
+    "str_06_jaccard": (str_06, f"WITH b AS (SELECT item_id, {T('text')} AS t FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, round(CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) ELSE 0 END, 6) AS similarity FROM b a JOIN b ON a.item_id + 1 = b.item_id"),
 }

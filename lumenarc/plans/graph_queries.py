@@ -11,7 +11,7 @@ from lumenarc.plans.inputs import PAPERS, papers, sql_title_tokens, table
 
 
 def join_06(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 4000")
+    li = table(spark, sf, "lineitem")
     text = F.concat(F.lit("see https://doi.org/10.1000/S"), "l_suppkey", F.lit(". and 10.1000/P"), F.col("l_partkey"), F.lit(","))
     texts = li.select(F.col("l_orderkey").alias("paper_id"), text.alias("text"))
     known = table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("paper_id"), F.concat(F.lit("DOI:10.1000/s"), "s_suppkey").alias("doi"))
@@ -19,10 +19,20 @@ def join_06(spark, sf):
 
 
 def join_09(spark, sf):
-    p = table(spark, sf, "part")
-    books = p.where("p_size > 25").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("b"), "p_partkey").alias("paper_id"), F.concat("p_brand", F.lit(" of the world and more")).alias("title"), F.col("p_type").alias("author_string"))
-    parts = p.where("p_size <= 10").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("c"), "p_partkey").alias("paper_id"), F.concat(F.lit("Chapter 3: "), "p_brand", F.lit(" of the moon")).alias("title"), F.col("p_type").alias("author_string"))
-    return G.part_of(books.unionByName(parts))
+    """Books, sections, readings of one title and chapters, made of parts by size."""
+    p, size = table(spark, sf, "part"), F.col("p_size")
+    kind = lambda book, section, reading, chapter: F.when(size > 25, book).when(size > 20, None).when(size > 15, reading).when(size > 10, section).otherwise(chapter)
+    none = F.lit(None).cast("string")
+    shown = p.select(
+        F.col("p_partkey").alias("pos"),
+        F.concat(kind(F.lit("b"), F.lit("s"), F.lit("r"), F.lit("c")), "p_partkey").alias("paper_id"),
+        kind(F.concat("p_brand", F.lit(" of the world and more")), F.concat(F.lit("Section "), "p_name"), F.col("p_brand"), F.concat("p_brand", F.lit(" of the moon, chapter "), size)).alias("title"),
+        kind(F.lit("book"), F.lit("bookSection"), F.lit("document"), F.lit("document")).alias("item_type"),
+        kind(F.concat("p_brand", "p_type"), F.concat("p_brand", "p_type"), none, none).alias("library_key"),
+        kind(F.col("p_type"), none, none, F.col("p_type")).alias("author_string"),
+        kind(none, none, F.col("p_name"), none).alias("thesis"),
+    )
+    return G.part_of(shown)
 
 
 def gr_02(spark, sf):
@@ -46,7 +56,7 @@ def gr_01_nodes(spark, sf):
 def join_07_refs(spark, sf):
     p = table(spark, sf, "part")
     known = p.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("p"), "p_partkey").alias("paper_id"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type").alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("10.1000/"), "p_partkey")).alias("doi"))
-    refs = table(spark, sf, "lineitem").where("l_orderkey <= 800").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("o"), "l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("ref_pos"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type").alias("title"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("10.1000/"), "l_partkey")).alias("doi"))
+    refs = table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("o"), "l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("ref_pos"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type").alias("title"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("10.1000/"), "l_partkey")).alias("doi"))
     return G.reference_edges(refs, known)
 
 
@@ -56,11 +66,9 @@ def gr_03(spark, sf):
 
 
 def with_checkpoints(spark, run):
-    import tempfile
+    from lumenarc.sources.store import shared_folder
 
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenarc-"))
+    shared_folder(spark)
     return run()
 
 
@@ -87,7 +95,7 @@ def ml_03(spark, sf):
 
 def gr_components(spark, sf):
     """Customers tied by shared suppliers of small orders: connected components."""
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 600").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
     return with_checkpoints(spark, lambda: G.components(li))
 
 
@@ -95,17 +103,19 @@ V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s A
 REACH = "r AS (SELECT node, node AS comp FROM n UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node)"
 EDGES_SQL = f"""WITH {PAPERS}, i AS (SELECT item_id, {sql_title_tokens('text')} AS t FROM benchmark WHERE length(text) >= 15), e AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM i WHERE len(t) >= 3), x AS (SELECT paper_id, pos, text || CASE WHEN pos % 9 = 0 THEN ' 10.1000/b' || (pos % 40) ELSE '' END AS text FROM papers), d AS (SELECT paper_id, unnest({sql_title_tokens('text')}) AS w FROM x), h AS (SELECT paper_id, item_id, n, count(*) AS k FROM d JOIN e USING (w) GROUP BY ALL HAVING k >= least(3, n) AND k / n >= 0.85), u AS (SELECT paper_id AS source, 'b' || (pos % 40) AS target, CAST(1.0 AS DOUBLE) AS confidence, 0 AS rank FROM x WHERE pos % 9 = 0 AND pos % 40 IN (SELECT item_id FROM benchmark) UNION ALL SELECT paper_id, 'b' || item_id, CASE WHEN k / n > 0.9 THEN 0.9 ELSE 0.7 END, 1 FROM h), edges AS (SELECT source, target, arg_min(confidence, rank) AS confidence, min(rank) AS rank FROM u GROUP BY 1, 2)"""
 
+CLUSTERS = "WITH RECURSIVE " + V + ", e AS (SELECT src AS a, dst AS b FROM s WHERE round(score, 9) >= 0.4), n AS (SELECT vec_id AS node FROM embeddings), " + REACH + ", c AS (SELECT node, min(comp) AS comp FROM r GROUP BY 1), z AS (SELECT comp, count(*) AS k FROM c GROUP BY 1) SELECT node, CASE WHEN k >= 5 THEN comp ELSE -1 END AS label FROM c JOIN z USING (comp)"
+
 QUERIES = {
-    "join_06_doi_matches": (join_06, "SELECT DISTINCT l_orderkey AS source, l_suppkey * 3 AS target, CAST(1.0 AS DOUBLE) AS confidence FROM lineitem WHERE l_orderkey <= 4000 AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_orderkey <> l_suppkey * 3"),
-    "join_07_reference_matches": (join_07_refs, f"WITH k AS (SELECT *, {sql_title_tokens(chr(39).join(['p_name || ', ' ', ' || p_brand || ', ' ', ' || p_type']))} AS t FROM part), r AS (SELECT l_orderkey, l_linenumber, l_partkey, k.t AS r FROM lineitem JOIN k ON p_partkey = l_partkey WHERE l_orderkey <= 800), d AS (SELECT DISTINCT 'o' || l_orderkey AS source, l_linenumber AS ref_pos, 'p' || l_partkey AS target, CAST(1.0 AS DOUBLE) AS confidence FROM r WHERE l_linenumber % 2 = 0 AND l_partkey % 2 = 0), j AS (SELECT l_orderkey, l_linenumber, min(p_partkey) AS m FROM r JOIN k ON len(list_intersect(r.r, k.t)) / (len(r.r) + len(k.t) - len(list_intersect(r.r, k.t))) >= 0.85 WHERE NOT (l_linenumber % 2 = 0 AND l_partkey % 2 = 0) GROUP BY 1, 2) SELECT * FROM d UNION ALL SELECT 'o' || l_orderkey, l_linenumber, 'p' || m, 0.95 FROM j"),
-    "join_09_part_of": (join_09, "WITH b AS (SELECT 'b' || p_partkey AS id, p_partkey AS pos, p_type, p_brand FROM part WHERE p_size > 25), w AS (SELECT p_type, p_brand, arg_min(id, pos) AS parent FROM b GROUP BY 1, 2) SELECT 'c' || p_partkey AS child, parent FROM part JOIN w USING (p_type, p_brand) WHERE p_size <= 10"),
+    "join_06_doi_matches": (join_06, "SELECT DISTINCT l_orderkey AS source, l_suppkey * 3 AS target, CAST(1.0 AS DOUBLE) AS confidence FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_orderkey <> l_suppkey * 3"),
+    "join_07_reference_matches": (join_07_refs, f"WITH k AS (SELECT *, {sql_title_tokens(chr(39).join(['p_name || ', ' ', ' || p_brand || ', ' ', ' || p_type']))} AS t FROM part), r AS (SELECT l_orderkey, l_linenumber, l_partkey, k.t AS r FROM lineitem JOIN k ON p_partkey = l_partkey), d AS (SELECT DISTINCT 'o' || l_orderkey AS source, l_linenumber AS ref_pos, 'p' || l_partkey AS target, CAST(1.0 AS DOUBLE) AS confidence FROM r WHERE l_linenumber % 2 = 0 AND l_partkey % 2 = 0), j AS (SELECT l_orderkey, l_linenumber, min(p_partkey) AS m FROM r JOIN k ON len(list_intersect(r.r, k.t)) / (len(r.r) + len(k.t) - len(list_intersect(r.r, k.t))) >= 0.85 WHERE NOT (l_linenumber % 2 = 0 AND l_partkey % 2 = 0) GROUP BY 1, 2) SELECT * FROM d UNION ALL SELECT 'o' || l_orderkey, l_linenumber, 'p' || m, 0.95 FROM j"),
+    "join_09_part_of": (join_09, "WITH b AS (SELECT 'b' || p_partkey AS id, p_partkey AS pos, p_type, p_brand FROM part WHERE p_size > 25), w AS (SELECT p_type, p_brand, arg_min(id, pos) AS parent FROM b GROUP BY 1, 2), g AS (SELECT p_brand FROM part WHERE p_size BETWEEN 16 AND 20 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT trim(p_name)) >= 2) SELECT 'c' || p_partkey AS child, parent, 'chapter_in_book' AS kind FROM part JOIN w USING (p_type, p_brand) WHERE p_size <= 10 UNION ALL SELECT 's' || s.p_partkey, b.id, 'chapter_in_book' FROM part s JOIN b ON b.p_type = s.p_type AND b.p_brand = s.p_brand WHERE s.p_size BETWEEN 11 AND 15 UNION ALL SELECT 'r' || p_partkey, 'virtual_collection_' || replace(lower(p_brand), '#', ''), 'reading_in_syllabus' FROM part JOIN g USING (p_brand) WHERE p_size BETWEEN 16 AND 20"),
     "gr_01_citation_edges": (gr_01, EDGES_SQL + " SELECT * FROM edges"),
     "gr_01_agg_17_citation_nodes": (gr_01_nodes, EDGES_SQL + " SELECT 'b' || item_id AS paper_id, count(source) AS in_degree, 10 + 5 * count(source) AS size, count(source) >= 5 AS hub FROM benchmark LEFT JOIN edges ON target = 'b' || item_id GROUP BY 1"),
     "gr_02_title_index": (gr_02, f"WITH {PAPERS}, t AS (SELECT paper_id, {sql_title_tokens('title')} AS t FROM papers WHERE length(title) >= 15) SELECT paper_id, array_to_string(list_sort(t), ' ') AS tokens FROM t WHERE len(t) >= 3"),
     "gr_03_similarity_graph": (gr_03, None),
     "gr_05_ego_network": (gr_05, f"WITH {V}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM s WHERE score > 0) SELECT dst, round(score, 4) AS score, CAST(15 + floor(15 * round(score, 4)) AS INTEGER) AS size FROM r WHERE src = 7 AND k <= 20"),
-    "gr_components": (gr_components, "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey <= 600), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT DISTINCT a AS node FROM e), " + REACH + " SELECT node, min(comp) AS component FROM r GROUP BY 1"),
+    "gr_components": (gr_components, "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, comp) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(r.comp) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS h ON h.node = e.b WHERE r.comp < h.comp GROUP BY e.b)) SELECT node, comp AS component FROM r"),
     "ml_01_projection": (ml_01, None),
-    "ml_02_density_clusters": (ml_02, "WITH RECURSIVE " + V + ", e AS (SELECT src AS a, dst AS b FROM s WHERE round(score, 9) >= 0.4), n AS (SELECT vec_id AS node FROM embeddings), " + REACH + ", c AS (SELECT node, min(comp) AS comp FROM r GROUP BY 1), z AS (SELECT comp, count(*) AS k FROM c GROUP BY 1) SELECT node, CASE WHEN k >= 5 THEN comp ELSE -1 END AS label FROM c JOIN z USING (comp)"),
-    "ml_03_cluster_summary": (ml_03, None),
+    "ml_02_density_clusters": (ml_02, CLUSTERS),
+    "ml_03_cluster_summary": (ml_03, f"SELECT label, count(*) AS size, min(node) AS first FROM ({CLUSTERS}) GROUP BY 1"),
 }

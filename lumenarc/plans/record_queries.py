@@ -10,6 +10,7 @@ from lumenarc.functions.text import overlap_coefficient, title_tokens, word_coun
 from lumenarc.operators import chunks as CH
 from lumenarc.operators import classify as K
 from lumenarc.operators import dedup as E
+from lumenarc.operators import views as V
 from lumenarc.plans.inputs import ANSWERS, PAPERS, answers, papers, sql_normal_title, sql_title_tokens, sql_words, table
 from lumenarc.sources import bibliography as B
 from lumenarc.sources import library as L
@@ -66,12 +67,12 @@ def src_08(spark, sf):
 
 
 def src_09(spark, sf):
-    return papers(spark, sf).where("paper_id = 'p17'").select("paper_id", "title", "year", "doi")
+    return V.rows_with(papers(spark, sf), "paper_id", "p17").select("paper_id", "title", "year", "doi")
 
 
 def src_11(dialect):
     def run(spark, sf):
-        p = table(spark, sf, "part").where("p_partkey <= 300")
+        p = table(spark, sf, "part")
         body = F.concat(F.lit("@article{k"), "p_partkey", F.lit(",\n  title = {The {Big} "), "p_name", F.lit(" \\& \\emph{more}},\n  author = {Lee, Ann and Bob B. Stone},\n  year = "), (F.lit(1990) + F.col("p_size") % 30).cast("string"), F.lit(",\n  keywords = \"x, y; x\",\n  mendeley-tags = {z},\n  groups = {A/B, A}\n}\n@comment{c, note = {no}\n}\n"))
         return B.parse_bibtex(p.select(body.alias("value")), dialect=dialect).select("paper_id", "title", F.array_join(F.transform("authors", lambda a: F.concat(a["first_name"], F.lit("/"), a["last_name"])), ";").alias("authors"), "publication_year", F.array_join("tags", ",").alias("tags"), F.array_join("collections", ",").alias("folders"), "item_type")
 
@@ -79,7 +80,7 @@ def src_11(dialect):
 
 
 def src_14(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 300")
+    p = table(spark, sf, "part")
     xml = F.concat(F.lit("<record><rec-number>"), "p_partkey", F.lit("</rec-number><titles><title> "), "p_name", F.lit("</title></titles><contributors><authors><author>Lee, Ann</author><author>Roe, J.</author></authors></contributors><dates><year>c. 2004</year></dates><keywords><keyword>a</keyword><keyword>b</keyword></keywords></record>"))
     r = B.parse_endnote(p.select(xml.alias("value")))
     return r.select("paper_id", "title", F.array_join(F.transform("authors", lambda a: F.concat(a["first_name"], F.lit(" "), a["last_name"])), ";").alias("authors"), "publication_year", F.size("tags").alias("tags"))
@@ -87,7 +88,7 @@ def src_14(spark, sf):
 
 def src_15(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    docs = o.where("o_orderkey <= 500").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit(2001).alias("year"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 4000).alias("added"))
+    docs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit(2001).alias("year"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 4000).alias("added"))
     au = li.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("order_index"), F.col("l_returnflag").alias("first_name"), F.col("l_suppkey").cast("string").alias("last_name"))
     tags = li.select(F.col("l_orderkey").alias("document_id"), F.col("l_linestatus").alias("tag"))
     out = L.mendeley_papers(docs, au, tags, tags.select("document_id", F.col("tag").alias("path")))
@@ -95,7 +96,7 @@ def src_15(spark, sf):
 
 
 def src_18(spark, sf):
-    return papers(spark, sf).orderBy("paper_id").limit(25).select("paper_id", "title")
+    return V.first_rows(papers(spark, sf), ["paper_id"], 25).select("paper_id", "title")
 
 
 def src_19(spark, sf):
@@ -106,7 +107,7 @@ def src_19(spark, sf):
 
 
 def src_20(spark, sf):
-    return table(spark, sf, "documents").where("doc_id = 3").select("doc_id", F.length("text").alias("chars"))
+    return V.rows_with(table(spark, sf, "documents"), "doc_id", 3).select("doc_id", F.length("text").alias("chars"))
 
 
 def src_21(spark, sf):
@@ -124,7 +125,7 @@ def src_23(spark, sf):
 
 
 def src_24(spark, sf):
-    return table(spark, sf, "embeddings").where("label = 4").select("vec_id", F.size("embedding").alias("width"))
+    return V.rows_with(table(spark, sf, "embeddings"), "label", 4).select("vec_id", F.size("embedding").alias("width"))
 
 
 def src_26(spark, sf):
@@ -166,18 +167,18 @@ def snk_05(spark, sf):
 
 
 def snk_08(spark, sf):
-    e = table(spark, sf, "part").where("p_partkey <= 200").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "=").otherwise(""), F.col("p_name")).alias("name"), F.col("p_size").cast("string").alias("size"))
+    e = table(spark, sf, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "=").otherwise(""), F.col("p_name")).alias("name"), F.col("p_size").cast("string").alias("size"))
     return ST.export_csv(e)
 
 
 def snk_09(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 200")
+    p = table(spark, sf, "part")
     entry = ST.bibtex_entry(F.lit("article"), F.concat(F.lit("k"), "p_partkey"), title=F.concat("p_name", F.lit(" & co")), year=F.col("p_size").cast("string"), journal=F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")))
     return p.select("p_partkey", entry.alias("entry"))
 
 
 def snk_11(spark, sf):
-    p = papers(spark, sf).where("pos < 100")
+    p = papers(spark, sf)
     return p.select("paper_id", F.md5(ST.markdown_result(F.col("pos"), F.col("title"), F.col("year"), F.lit(0.5), F.col("text")).cast("binary")).alias("md"))
 
 
@@ -198,7 +199,7 @@ def er_02(spark, sf):
 
 
 def er_03(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 3000")
+    li = table(spark, sf, "lineitem")
     edges = li.select(F.col("l_orderkey").alias("source"), (F.col("l_partkey")).alias("target"), F.col("l_linenumber").alias("rank"))
     moved = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("paper_id"), (F.col("p_partkey") - 1).alias("survivor"))
     return E.redirect(edges, moved).groupBy("source").agg(F.count("*").alias("edges"), F.min("target").alias("first"))
@@ -211,14 +212,14 @@ def er_04(spark, sf):
 
 
 def er_05(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 100")
+    p = table(spark, sf, "part")
     return p.select("p_partkey", F.round(E.title_ratio("p_name", F.concat("p_name", F.lit(" x"))), 6).alias("ratio"), F.length("p_name").alias("n")).where("ratio > 0")
 
 
 def er_06(spark, sf):
     from lumenarc.functions.text import normalize_title
 
-    q = table(spark, sf, "part").where("p_partkey <= 400").select("p_brand", "p_partkey", normalize_title("p_name").alias("t"))
+    q = table(spark, sf, "part").select("p_brand", "p_partkey", normalize_title("p_name").alias("t"))
     same = lambda a, b: len(set(a["t"].split()) & set(b["t"].split())) >= 0.7 * len(set(a["t"].split()) | set(b["t"].split()))
     return E.greedy_distinct(q, ["p_brand"], ["p_partkey"], same, ["t"])
 
@@ -233,29 +234,26 @@ def er_07(spark, sf):
 
 
 def er_08(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 2000").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("cand"), (F.col("l_quantity") / 50).alias("ratio"), (F.col("l_linenumber") % 3).alias("cand_year"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("cand"), (F.col("l_quantity") / 50).alias("ratio"), (F.col("l_linenumber") % 3).alias("cand_year"))
     return E.best_candidate(li, 0.85, F.lit(1))
 
 
 def er_09(spark, sf):
-    p = table(spark, sf, "part")
-    src = F.coalesce(F.when(F.col("p_size") < 10, F.struct(F.lit("doi").alias("s"), F.lit(0.95).alias("c"))), F.when(F.col("p_size") < 20, F.struct(F.lit("isbn").alias("s"), F.lit(0.85).alias("c"))), F.when(F.col("p_size") < 30, F.struct(F.lit("title").alias("s"), F.lit(0.75).alias("c"))), F.struct(F.lit("none").alias("s"), F.lit(0.0).alias("c")))
-    return p.select(src.alias("x")).groupBy(F.col("x.s").alias("source"), F.col("x.c").alias("confidence")).agg(F.count("*").alias("n"))
+    size = F.col("p_size")
+    x = V.by_precedence((size < 10, "doi", 0.95), (size < 20, "isbn", 0.85), (size < 30, "title", 0.75))
+    return table(spark, sf, "part").select(x.alias("x")).select("x.*").groupBy("source", "confidence").agg(F.count("*").alias("n"))
 
 
 def er_10(spark, sf):
-    b = table(spark, sf, "benchmark").where("item_id < 40").select("item_id", title_tokens("text").alias("t"))
-    pairs = b.alias("a").join(F.broadcast(b).alias("b"), F.col("a.item_id") < F.col("b.item_id"))
+    b = table(spark, sf, "benchmark").select("item_id", title_tokens("text").alias("t"))
+    pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id"))
     return pairs.select(F.col("a.item_id").alias("i"), F.col("b.item_id").alias("j"), F.round(overlap_coefficient("a.t", "b.t"), 6).alias("overlap"))
 
 
 def er_11(spark, sf):
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    want = c.select("c_custkey")
-    cur = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("a", F.lit(True))
-    old = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("b", F.lit(True))
-    j = want.join(cur, "c_custkey", "left").join(old, "c_custkey", "left")
-    return j.groupBy(F.when(F.col("a"), "current").when(F.col("b"), "deleted").otherwise("unmatched").alias("state")).agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    found = V.resolve_targets(table(spark, sf, "customer"), o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), "c_custkey")
+    return found.groupBy("state").agg(F.count("*").alias("n"))
 
 
 def council(name):
@@ -267,21 +265,19 @@ def council(name):
 
 
 def agg_18(spark, sf):
-    a = answers(spark, sf).select("paper_id", "provider", F.concat(F.lit("q"), F.floor(F.col("turn") / 2).cast("string")).alias("dimension"), F.substring("value", 1, 40).alias("value"), "turn")
+    a = answers(spark, sf).select("paper_id", "provider", F.concat(F.lit("q"), F.floor(F.col("turn") / 2).cast("string")).alias("dimension"), "value", "turn")
     a = a.groupBy("paper_id", "provider", "dimension").agg(F.max_by("value", "turn").alias("value"))
     return K.consensus(a, ["q0", "q1"], 40, 3).select("paper_id", "responses", F.round("confidence", 6).alias("confidence"))
 
 
 def agg_20(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 500")
+    p = table(spark, sf, "part")
     q = p.select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "?").otherwise("")).alias("question"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("rationale"), F.lit(None).cast("string").alias("hints"), F.element_at(F.array(*[F.lit(s) for s in ("causal", "comparative", "odd")]), (F.col("p_partkey") % 3 + 1).cast("int")).alias("style"), F.col("p_brand").alias("gap_type"))
     return K.rank_questions(q).select("pos", F.round("combined", 6).alias("combined"), F.col("place").cast("long").alias("place"))
 
 
 def agg_24(spark, sf):
-    c = table(spark, sf, "conversations").where("text is not null")
-    hits = c.select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(how|what|why|the)\b"), F.lit(1))).alias("k"))
-    return hits.groupBy("k").agg(F.count_distinct("conv_id").alias("sessions"), F.count("*").alias("hits"))
+    return V.find_patterns(table(spark, sf, "conversations"), r"\b(how|what|why|the)\b", "conv_id")
 
 
 def ml_06(spark, sf):
@@ -324,15 +320,12 @@ def ml_12(spark, sf):
 
 
 def ml_13(spark, sf):
-    a = answers(spark, sf)
-    have = a.groupBy("paper_id", "dimension").agg(F.count("value").alias("n"))
-    return have.where("n = 0").groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("dimension")), ",").alias("ask_again"))
+    return V.ask_again(answers(spark, sf))
 
 
 def ml_15(spark, sf):
-    r = table(spark, sf, "part").where("p_partkey <= 300").select("p_partkey", F.concat(F.lit('{"questions": ["Why '), "p_name", F.lit('?", "not a question", "How '), "p_brand", F.lit('?"]}')).alias("reply"))
-    qs = F.filter(F.from_json("reply", "questions array<string>")["questions"], lambda q: F.endswith(q, F.lit("?")))
-    return r.select("p_partkey", F.explode(qs).alias("question"))
+    r = table(spark, sf, "part").select("p_partkey", F.concat(F.lit('{"questions": ["Why '), "p_name", F.lit('?", "not a question", "How '), "p_brand", F.lit('?"]}')).alias("reply"))
+    return r.select("p_partkey", F.explode(V.reply_questions("reply")).alias("question"))
 
 
 def ml_17(spark, sf):
@@ -354,15 +347,12 @@ def ml_19(spark, sf):
 def udf_02(spark, sf):
     from lumenarc.operators.llm_calls import call_model
 
-    p = table(spark, sf, "part").where("p_partkey <= 200").select("p_partkey", F.col("p_name").alias("prompt"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("prompt"))
     return call_model(p, "prompt", "reply")
 
 
 def udf_08(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'user'")
-    ent = c.select(F.concat(F.lit("session"), "conv_id").alias("name"), F.lit("session").alias("kind")).distinct()
-    rel = c.select(F.concat(F.lit("session"), "conv_id", F.lit("->"), F.col("turn").cast("string")).alias("name"), F.lit("relation").alias("kind"))
-    return ent.unionByName(rel)
+    return V.memory_rows(table(spark, sf, "conversations").where("role = 'user'"), "conv_id", "turn")
 
 
 W = f"len({sql_words('text')})"
@@ -372,6 +362,15 @@ META_TEXT = f"CASE WHEN {W} < 200 THEN 'non_academic' WHEN {W} > 40000 AND m = '
 META_CONF = f"CASE WHEN {W} < 200 THEN 0.85 WHEN {W} > 40000 AND m = 'book_monograph' THEN 0.95 WHEN {W} > 40000 THEN 0.7 WHEN m IS NOT NULL THEN 0.8 WHEN {W} > 5000 THEN 0.5 ELSE 0.6 END"
 NORM_DOI = "regexp_replace(lower(trim(doi)), '^(https?://(dx\\.)?doi\\.org/|(dx\\.)?doi\\.org/|doi:)\\s*', '')"
 
+QUALITY = "least((CASE WHEN n BETWEEN 2 AND 5 THEN 0.3 WHEN n = 1 THEN 0.15 WHEN n > 5 THEN 0.2 ELSE 0 END + least(len(regexp_extract_all(value, '\\b\\d+(?:\\.\\d+)?%?\\b')) * 0.05, 0.2) + least(len(regexp_extract_all(value, '\\([A-Z][a-z]+(?:\\s+et\\s+al\\.?)?,?\\s*\\d{4}\\)')) * 0.1, 0.3)) * CASE WHEN length(value) < 50 THEN 0.5 ELSE 1 END, 1)"
+CONSENSUS = f"""WITH {ANSWERS}, a AS (SELECT paper_id, provider, 'q' || (turn // 2) AS dimension, arg_max(value, turn) FILTER (value IS NOT NULL) AS value FROM answers GROUP BY ALL),
+t AS (SELECT *, list_distinct(regexp_split_to_array(lower(value), '\\s+')) AS t FROM a WHERE value IS NOT NULL AND value <> '' AND dimension IN ('q0', 'q1')),
+g AS (SELECT x.paper_id, x.dimension, avg(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t)))) AS s FROM t x JOIN t y ON x.paper_id = y.paper_id AND x.dimension = y.dimension AND x.provider < y.provider GROUP BY ALL),
+f AS (SELECT paper_id, provider, count(*) FILTER (value IS NOT NULL AND value <> '') AS n FROM a GROUP BY ALL),
+d AS (SELECT paper_id, count(*) AS responses, CASE WHEN max(n) > 0 THEN 1 - (max(n) - min(n)) / 40 ELSE 0.5 END AS spread FROM f GROUP BY 1),
+m AS (SELECT paper_id, avg(s) AS agreement FROM (SELECT paper_id, s FROM g UNION ALL SELECT paper_id, spread FROM d WHERE responses >= 2) GROUP BY 1)
+SELECT paper_id, responses, round(least(0.6 * responses / 3 + 0.4 * coalesce(agreement, 0.5), 1), 6) AS confidence FROM d LEFT JOIN m USING (paper_id)"""
+
 QUERIES = {
     "src_01_items_with_attachments": (src_01, "SELECT o_orderkey AS item_id, l_orderkey * 10 + l_linenumber AS attachment_id, o_orderpriority AS type_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT starts_with(o_orderpriority, '5') AND l_returnflag IN ('R', 'A') AND o_orderkey % 20 <> 0 AND l_orderkey * 10 + l_linenumber NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 20 = 0)"),
     "src_02_first_attachment": (src_02, "SELECT l_orderkey AS item_id, l_returnflag AS path, l_linenumber AS attachment_id, count(*) OVER w - 1 AS skipped FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_returnflag) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) = 1"),
@@ -382,10 +381,10 @@ QUERIES = {
     "src_07_collections_tags": (src_07, "SELECT s_suppkey AS item_id, n_name AS names FROM supplier JOIN nation ON n_nationkey = s_nationkey"),
     "src_08_attachment_paths": (src_08, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '/store/K' || p_partkey || '/' || p_name || '.pdf' WHEN 3 THEN '/home/' || p_brand END AS file FROM part"),
     "src_09_get_paper": (src_09, f"WITH {PAPERS} SELECT paper_id, title, year, doi FROM papers WHERE paper_id = 'p17'"),
-    "src_11_12_bibtex": (src_11("bibtex"), "SELECT 'bibtex_k' || p_partkey AS paper_id, 'The {Big} ' || p_name || ' & more' AS title, 'Ann/Lee;Bob B./Stone' AS authors, CAST(1990 + p_size % 30 AS INTEGER) AS publication_year, 'x,y' AS tags, '' AS folders, 'journalArticle' AS item_type FROM part WHERE p_partkey <= 300"),
-    "src_13_paperpile": (src_11("paperpile"), None),
-    "src_14_endnote": (src_14, "SELECT 'endnote_' || p_partkey AS paper_id, trim(p_name) AS title, 'Ann Lee;J. Roe' AS authors, 2004 AS publication_year, 2 AS tags FROM part WHERE p_partkey <= 300"),
-    "src_15_mendeley": (src_15, "SELECT 'mendeley_' || o_orderkey AS paper_id, o_orderpriority AS title, CAST(epoch(o_orderdate) AS BIGINT) * 4 AS added, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM lineitem WHERE l_orderkey = o_orderkey) AS authors, (SELECT string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FROM lineitem WHERE l_orderkey = o_orderkey) AS tags FROM orders WHERE o_orderkey <= 500"),
+    "src_11_12_bibtex": (src_11("bibtex"), "SELECT 'bibtex_k' || p_partkey AS paper_id, 'The {Big} ' || p_name || ' & more' AS title, 'Ann/Lee;Bob B./Stone' AS authors, CAST(1990 + p_size % 30 AS INTEGER) AS publication_year, 'x,y' AS tags, '' AS folders, 'journalArticle' AS item_type FROM part"),
+    "src_13_paperpile": (src_11("paperpile"), "SELECT 'bibtex_k' || p_partkey AS paper_id, 'The {Big} ' || p_name || ' & more' AS title, 'Ann/Lee;Bob B./Stone' AS authors, CAST(1990 + p_size % 30 AS INTEGER) AS publication_year, 'x,y' AS tags, 'A,B' AS folders, 'journalArticle' AS item_type FROM part"),
+    "src_14_endnote": (src_14, "SELECT 'endnote_' || p_partkey AS paper_id, trim(p_name) AS title, 'Ann Lee;J. Roe' AS authors, 2004 AS publication_year, 2 AS tags FROM part"),
+    "src_15_mendeley": (src_15, "SELECT 'mendeley_' || o_orderkey AS paper_id, o_orderpriority AS title, CAST(epoch(o_orderdate) AS BIGINT) * 4 AS added, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM lineitem WHERE l_orderkey = o_orderkey) AS authors, (SELECT string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FROM lineitem WHERE l_orderkey = o_orderkey) AS tags FROM orders"),
     "src_18_iterate_limit": (src_18, f"WITH {PAPERS} SELECT paper_id, title FROM papers ORDER BY paper_id LIMIT 25"),
     "src_19_keep_last": (src_19, "SELECT l_orderkey AS paper_id, l_linenumber AS pos, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1"),
     "src_20_text_snapshot": (src_20, "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE doc_id = 3"),
@@ -399,26 +398,26 @@ QUERIES = {
     "snk_03_add_chunks": (snk_03, "WITH n AS (SELECT vec_id + 2 AS chunk_id FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 8 <> 0) SELECT chunk_id, 99 AS label FROM n UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM n)"),
     "snk_04_delete_papers": (snk_04, f"WITH {PAPERS} SELECT paper_id, collection FROM papers WHERE collection <> 'src1'"),
     "snk_05_replace_papers": (snk_05, f"WITH {PAPERS} SELECT paper_id, CASE WHEN collection = 'src2' THEN 'new' ELSE collection END AS collection FROM papers WHERE collection <> 'src3'"),
-    "snk_08_csv_export": (snk_08, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '''=' ELSE '' END || p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part WHERE p_partkey <= 200"),
-    "snk_09_10_bibtex_export": (snk_09, "SELECT p_partkey, '@article{k' || p_partkey || ',' || chr(10) || '  title = {' || p_name || ' \\& co},' || chr(10) || '  year = {' || p_size || '}' || CASE WHEN p_partkey % 2 = 0 THEN ',' || chr(10) || '  journal = {' || replace(p_brand, '#', '\\#') || '}' ELSE '' END || chr(10) || '}' AS entry FROM part WHERE p_partkey <= 200"),
-    "snk_11_markdown": (snk_11, f"WITH {PAPERS} SELECT paper_id, md5('### ' || pos || '. ' || title || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || ')' || chr(10) || chr(10) || 'Score: 50.0%' || chr(10) || chr(10) || '> ' || CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END) AS md FROM papers WHERE pos < 100"),
+    "snk_08_csv_export": (snk_08, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '''=' ELSE '' END || p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part"),
+    "snk_09_10_bibtex_export": (snk_09, "SELECT p_partkey, '@article{k' || p_partkey || ',' || chr(10) || '  title = {' || p_name || ' \\& co},' || chr(10) || '  year = {' || p_size || '}' || CASE WHEN p_partkey % 2 = 0 THEN ',' || chr(10) || '  journal = {' || replace(p_brand, '#', '\\#') || '}' ELSE '' END || chr(10) || '}' AS entry FROM part"),
+    "snk_11_markdown": (snk_11, f"WITH {PAPERS} SELECT paper_id, md5('### ' || pos || '. ' || title || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || ')' || chr(10) || chr(10) || 'Score: 50.0%' || chr(10) || chr(10) || '> ' || CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END) AS md FROM papers"),
     "snk_13_skipped_report": (snk_13, f"WITH {PAPERS} SELECT paper_id, pos % 3 = 0 AS success, 'No PDF found' AS error, title FROM papers WHERE pos % 3 <> 0 AND pos % 2 = 0"),
     "snk_01_15_metadata": (snk_15, f"WITH {PAPERS} SELECT count(*) AS total, CAST(sum(length(text)) AS BIGINT) AS chars, max(year) AS latest, '1.0' AS schema_version FROM papers"),
     "er_02_survivors": (er_02, f"WITH {PAPERS}, k AS (SELECT *, CASE WHEN {sql_normal_title('title')} IN ('', 'untitled') THEN chr(1) || paper_id ELSE {sql_normal_title('title')} END AS norm, CASE WHEN doi IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN year IS NOT NULL THEN 1 ELSE 0 END + 2 AS s FROM papers), b AS (SELECT norm, arg_min(paper_id, (-s, pos)) AS survivor, count(*) AS group_size FROM k GROUP BY 1) SELECT paper_id, survivor, group_size FROM k JOIN b USING (norm)"),
-    "er_03_redirect_edges": (er_03, "WITH e AS (SELECT CASE WHEN l_orderkey % 3 = 0 AND l_orderkey IN (SELECT p_partkey FROM part) THEN l_orderkey - 1 ELSE l_orderkey END AS source, CASE WHEN l_partkey % 3 = 0 AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey - 1 ELSE l_partkey END AS target FROM lineitem WHERE l_orderkey <= 3000) SELECT source, count(DISTINCT target) AS edges, min(target) AS first FROM e WHERE source <> target GROUP BY 1"),
+    "er_03_redirect_edges": (er_03, "WITH e AS (SELECT CASE WHEN l_orderkey % 3 = 0 AND l_orderkey IN (SELECT p_partkey FROM part) THEN l_orderkey - 1 ELSE l_orderkey END AS source, CASE WHEN l_partkey % 3 = 0 AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey - 1 ELSE l_partkey END AS target FROM lineitem) SELECT source, count(DISTINCT target) AS edges, min(target) AS first FROM e WHERE source <> target GROUP BY 1"),
     "er_04_merge_by_doi": (er_04, f"WITH {PAPERS}, r AS (SELECT paper_id, collection AS source, lower(doi) AS doi, (pos % 100) / 100 * CASE WHEN pos % 2 = 0 THEN 1.0 ELSE 0.5 END AS w FROM papers) SELECT paper_id, doi FROM r QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY doi ORDER BY w DESC, source, paper_id) = 1"),
-    "er_05_title_ratio": (er_05, "SELECT p_partkey, round(2 * length(p_name) / (2 * length(p_name) + 2), 6) AS ratio, CAST(length(p_name) AS INTEGER) AS n FROM part WHERE p_partkey <= 100"),
+    "er_05_title_ratio": (er_05, "SELECT p_partkey, round(2 * length(p_name) / (2 * length(p_name) + 2), 6) AS ratio, CAST(length(p_name) AS INTEGER) AS n FROM part"),
     "er_06_greedy_questions": (er_06, None),
     "er_07_duplicate_groups": (er_07, f"WITH {PAPERS}, g AS (SELECT *, coalesce({NORM_DOI}, {sql_normal_title('title')}) AS g FROM papers) SELECT g, paper_id, count(*) OVER (PARTITION BY g) AS n FROM g QUALIFY n > 1 AND row_number() OVER (PARTITION BY g ORDER BY year DESC NULLS LAST, length(text) DESC, pos) = 1"),
-    "er_08_best_candidate": (er_08, "WITH c AS (SELECT l_orderkey AS item, l_partkey AS cand, l_quantity / 50 AS ratio, l_linenumber % 3 AS y FROM lineitem WHERE l_orderkey <= 2000), t AS (SELECT item, arg_max(cand, (ratio, cand)) AS ac, max(ratio) AS ar, arg_max(cand, (ratio, cand)) FILTER (y = 1) AS sc, max(ratio) FILTER (y = 1) AS sr FROM c GROUP BY 1) SELECT item, CASE WHEN sr >= 0.85 - 0.1 THEN sc WHEN ar >= 0.85 THEN ac END AS cand, CASE WHEN sr >= 0.85 - 0.1 THEN sr WHEN ar >= 0.85 THEN ar END AS ratio FROM t"),
+    "er_08_best_candidate": (er_08, "WITH c AS (SELECT l_orderkey AS item, l_partkey AS cand, l_quantity / 50 AS ratio, l_linenumber % 3 AS y FROM lineitem), t AS (SELECT item, arg_max(cand, (ratio, cand)) AS ac, max(ratio) AS ar, arg_max(cand, (ratio, cand)) FILTER (y = 1) AS sc, max(ratio) FILTER (y = 1) AS sr FROM c GROUP BY 1) SELECT item, CASE WHEN sr >= 0.85 - 0.1 THEN sc WHEN ar >= 0.85 THEN ac END AS cand, CASE WHEN sr >= 0.85 - 0.1 THEN sr WHEN ar >= 0.85 THEN ar END AS ratio FROM t"),
     "er_09_source_precedence": (er_09, "SELECT CASE WHEN p_size < 10 THEN 'doi' WHEN p_size < 20 THEN 'isbn' WHEN p_size < 30 THEN 'title' ELSE 'none' END AS source, CAST(CASE WHEN p_size < 10 THEN 0.95 WHEN p_size < 20 THEN 0.85 WHEN p_size < 30 THEN 0.75 ELSE 0 END AS DOUBLE) AS confidence, count(*) AS n FROM part GROUP BY ALL"),
-    "er_10_overlap_coefficient": (er_10, f"WITH b AS (SELECT item_id, {sql_title_tokens('text')} AS t FROM benchmark WHERE item_id < 40) SELECT a.item_id AS i, b.item_id AS j, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS overlap FROM b a JOIN b ON a.item_id < b.item_id"),
+    "er_10_overlap_coefficient": (er_10, f"WITH b AS (SELECT item_id, {sql_title_tokens('text')} AS t FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS overlap FROM b a JOIN b ON a.item_id + 1 = b.item_id"),
     "er_11_resolve_targets": (er_11, "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'current' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'deleted' ELSE 'unmatched' END AS state, count(*) AS n FROM customer GROUP BY 1"),
-    "agg_18_consensus": (agg_18, None),
+    "agg_18_consensus": (agg_18, CONSENSUS),
     "agg_19_council_longest": (council("longest"), f"WITH {ANSWERS} SELECT paper_id, md5({LONGEST}) AS value FROM answers WHERE value IS NOT NULL AND value <> '' GROUP BY 1"),
-    "agg_19_council_quality_weighted": (council("quality_weighted"), None),
+    "agg_19_council_quality_weighted": (council("quality_weighted"), f"WITH {ANSWERS}, s AS (SELECT *, {QUALITY} * CASE WHEN provider = 'assistant' THEN 1.0 ELSE 0.8 END AS q FROM (SELECT *, len(list_filter(regexp_split_to_array(value, '[.!?]+'), lambda x: trim(x) <> '')) AS n FROM answers WHERE value IS NOT NULL AND value <> '')) SELECT paper_id, md5(arg_max(value, (round(q, 12), length(value), -turn))) AS value FROM s GROUP BY 1"),
     "agg_19_udf_01_council_union": (council("union"), None),
-    "agg_20_rank_questions": (agg_20, "WITH q AS (SELECT p_partkey AS pos, p_name || CASE WHEN p_size % 2 = 0 THEN '?' ELSE '' END AS q, p_size, ['causal', 'comparative', 'odd'][CAST(p_partkey % 3 + 1 AS INTEGER)] AS style, p_brand AS gap FROM part WHERE p_partkey <= 500), s AS (SELECT pos, 0.6 * least(0.3 + CASE WHEN p_size % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN p_size > 25 THEN 0.2 ELSE 0 END + CASE WHEN length(q) BETWEEN 50 AND 200 THEN 0.2 WHEN length(q) BETWEEN 30 AND 250 THEN 0.1 ELSE 0 END + CASE style WHEN 'causal' THEN 0.15 WHEN 'comparative' THEN 0.12 ELSE 0 END, 1) + 0.4 * (1 / count(*) OVER (PARTITION BY gap) + 1 / count(*) OVER (PARTITION BY style)) / 2 AS c FROM q) SELECT pos, round(c, 6) AS combined, row_number() OVER (ORDER BY round(c, 12) DESC, pos) AS place FROM s"),
+    "agg_20_rank_questions": (agg_20, "WITH q AS (SELECT p_partkey AS pos, p_name || CASE WHEN p_size % 2 = 0 THEN '?' ELSE '' END AS q, p_size, ['causal', 'comparative', 'odd'][CAST(p_partkey % 3 + 1 AS INTEGER)] AS style, p_brand AS gap FROM part), s AS (SELECT pos, 0.6 * least(0.3 + CASE WHEN p_size % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN p_size > 25 THEN 0.2 ELSE 0 END + CASE WHEN length(q) BETWEEN 50 AND 200 THEN 0.2 WHEN length(q) BETWEEN 30 AND 250 THEN 0.1 ELSE 0 END + CASE style WHEN 'causal' THEN 0.15 WHEN 'comparative' THEN 0.12 ELSE 0 END, 1) + 0.4 * (1 / count(*) OVER (PARTITION BY gap) + 1 / count(*) OVER (PARTITION BY style)) / 2 AS c FROM q) SELECT pos, round(c, 6) AS combined, row_number() OVER (ORDER BY round(c, 12) DESC, pos) AS place FROM s"),
     "agg_24_find_patterns": (agg_24, "SELECT k, count(DISTINCT conv_id) AS sessions, count(*) AS hits FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '\\b(how|what|why|the)\\b', 1)) AS k FROM conversations) GROUP BY 1"),
     "ml_06_classify_metadata": (ml_06, "WITH p AS (SELECT *, ['journalArticle', 'book', 'webpage', 'document', 'thesis', 'other', 'report'][CAST(p_partkey % 7 + 1 AS INTEGER)] AS k, p_size % 3 = 0 AS d, p_size % 2 = 0 AS j, p_size % 5 = 0 AS r FROM part) SELECT p_partkey, CASE k WHEN 'journalArticle' THEN CASE WHEN r THEN 'review_paper' ELSE 'research_paper' END WHEN 'book' THEN 'book_monograph' WHEN 'webpage' THEN CASE WHEN d THEN 'research_paper' ELSE 'reference_material' END WHEN 'document' THEN CASE WHEN d THEN 'research_paper' END WHEN 'thesis' THEN 'thesis' WHEN 'report' THEN 'report' ELSE CASE WHEN d AND j THEN 'research_paper' END END AS type, CAST(CASE k WHEN 'journalArticle' THEN CASE WHEN r THEN 0.9 ELSE round(0.85 + CASE WHEN d THEN 0.05 ELSE 0 END + CASE WHEN j THEN 0.05 ELSE 0 END, 2) END WHEN 'webpage' THEN CASE WHEN d THEN 0.7 ELSE 0.55 END WHEN 'document' THEN CASE WHEN d THEN 0.6 ELSE 0.3 END WHEN 'other' THEN CASE WHEN d AND j THEN 0.7 ELSE 0.2 END ELSE 0.85 END AS DOUBLE) AS confidence FROM p"),
     "ml_07_classify_text": (ml_07, f"WITH {PAPERS}, x AS (SELECT *, CASE item_type WHEN 'en' THEN 'research_paper' WHEN 'de' THEN 'book_monograph' END AS m FROM papers) SELECT paper_id, {META_TEXT} AS type, CAST({META_CONF} AS DOUBLE) AS confidence FROM x"),
@@ -428,10 +427,10 @@ QUERIES = {
     "ml_11_template_summaries": (ml_11, None),
     "ml_12_highlights": (ml_12, f"WITH {PAPERS} SELECT paper_id, substr(CASE WHEN pos % 3 = 0 AND trim(title) <> '' THEN title WHEN pos % 2 = 0 AND trim(substr(text, 1, 600)) <> '' THEN substr(text, 1, 600) ELSE 'No summary available' END, 1, 500) AS summary FROM papers"),
     "ml_13_gap_fill_scope": (ml_13, f"WITH {ANSWERS}, h AS (SELECT paper_id, dimension FROM answers GROUP BY ALL HAVING count(value) = 0) SELECT paper_id, string_agg(dimension, ',' ORDER BY dimension) AS ask_again FROM h GROUP BY 1"),
-    "ml_15_parse_questions": (ml_15, "SELECT p_partkey, 'Why ' || p_name || '?' AS question FROM part WHERE p_partkey <= 300 UNION ALL SELECT p_partkey, 'How ' || p_brand || '?' FROM part WHERE p_partkey <= 300"),
+    "ml_15_parse_questions": (ml_15, "SELECT p_partkey, 'Why ' || p_name || '?' AS question FROM part UNION ALL SELECT p_partkey, 'How ' || p_brand || '?' FROM part"),
     "ml_17_validation": (ml_17, "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 > 0 THEN 'missing_required' END, CASE WHEN p_size / 50 < 0.5 THEN 'low_confidence' WHEN p_size / 50 < 0.7 THEN 'medium_confidence' END, CASE WHEN p_partkey % 10 < 5 THEN 'few_dimensions' END, CASE WHEN p_size / 100 < 0.3 THEN 'title_mismatch' END) AS issues FROM part"),
     "ml_18_triage": (ml_18, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'E' WHEN 2 THEN 'D' WHEN 3 THEN 'C' ELSE 'B' END AS category FROM part"),
     "ml_19_providers": (ml_19, "SELECT CASE p_partkey % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'google' WHEN 2 THEN 'ollama' END AS provider, count(*) AS n FROM part GROUP BY 1"),
-    "udf_02_model_calls": (udf_02, "SELECT p_partkey, p_name AS prompt, 'echo: ' || p_name AS reply FROM part WHERE p_partkey <= 200"),
+    "udf_02_model_calls": (udf_02, "SELECT p_partkey, p_name AS prompt, 'echo: ' || p_name AS reply FROM part"),
     "udf_08_memory_rows": (udf_08, "SELECT DISTINCT 'session' || conv_id AS name, 'session' AS kind FROM conversations WHERE role = 'user' UNION ALL SELECT 'session' || conv_id || '->' || turn, 'relation' FROM conversations WHERE role = 'user'"),
 }

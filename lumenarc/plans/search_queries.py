@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenarc.operators import search as S
+from lumenarc.operators import views as V
 from lumenarc.plans.inputs import CHUNKS, PAPERS, chunks, papers, table
 
 Q0 = "SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0"
@@ -44,8 +45,7 @@ def topk_06(spark, sf_dir):
 
 
 def topk_07_top(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return p.orderBy(F.col("year").desc_nulls_last(), F.lower("title"), "pos").limit(50).select("paper_id", "year")
+    return V.sort_results(papers(spark, sf_dir), "year", 50).select("paper_id", "year")
 
 
 def topk_08(spark, sf_dir):
@@ -99,51 +99,40 @@ both_ AS (SELECT * FROM mine UNION ALL SELECT * FROM theirs)"""
 
 
 def topk_13(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    rich = p.where("text is not null").select("paper_id", F.size(F.split("text", "\n")).alias("lines"), F.length("text").alias("chars"), F.coalesce("year", F.lit(0)).alias("y"))
-    return rich.orderBy(F.col("lines").desc(), F.col("chars").desc(), F.col("y").desc(), F.col("paper_id").desc()).limit(25)
+    return V.richest_papers(papers(spark, sf_dir), 25)
 
 
 def topk_15(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return p.where(F.col("pos") % 2 == 0).orderBy(F.coalesce("year", F.lit(0)).desc(), "paper_id").limit(10).select("paper_id", "year")
+    return V.newest(papers(spark, sf_dir).where(F.col("pos") % 2 == 0), "year", "paper_id", 10).select("paper_id", "year")
 
 
 def topk_17(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    sizes = Window.partitionBy("collection")
-    ranked = p.select("collection", "paper_id", "pos", F.count("*").over(sizes).alias("size"), F.row_number().over(sizes.orderBy("pos")).alias("n"))
-    return ranked.where("n <= 5").select("collection", "paper_id", F.col("n").cast("long").alias("n"), "size", F.greatest(F.col("size") - 5, F.lit(0)).cast("long").alias("more"))
+    return V.plan_groups(papers(spark, sf_dir), "collection", "pos", "paper_id")
 
 
 def win_01(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber")
-    return li.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    ranked = V.rank_within(li, "l_orderkey", [F.col("l_extendedprice").desc(), "l_linenumber"])
+    return S.first_per_key(ranked, "l_orderkey").drop("rank")
 
 
 def win_02(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    return o.select("o_orderpriority", "o_orderkey", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 25")
+    return V.rank_within(o, "o_orderpriority", [F.col("o_totalprice").desc(), "o_orderkey"], 25).select("o_orderpriority", "o_orderkey", "rank")
 
 
 def win_05(spark, sf_dir):
     o = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 7).alias("style"))
-    rare = (1 / F.count("*").over(Window.partitionBy("event_type")) + 1 / F.count("*").over(Window.partitionBy("style"))) / 2
-    return o.select("event_id", F.round(rare, 9).alias("diversity"))
+    return o.select("event_id", F.round(V.rarity("event_type", "style"), 9).alias("diversity"))
 
 
 def win_07(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 2)
-    return c.select("conv_id", "turn", F.sum(F.length("text")).over(w).cast("long").alias("context_chars"), F.count("*").over(w).alias("rows_seen"))
+    return V.context_window(table(spark, sf_dir, "conversations"), "conv_id", "turn", 1, 2).select("conv_id", "turn", "context_chars", "rows_seen")
 
 
 def win_08(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return e.withColumn("back", F.row_number().over(w)).where("back <= 5").select("user_id", "event_id", F.col("back").cast("long").alias("back"))
+    return V.rank_within(e, "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 5, "back").select("user_id", "event_id", "back")
 
 
 QUERIES = {

@@ -62,7 +62,7 @@ def stm_06(spark, sf):
 
 
 def stm_08(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 600")
+    p = table(spark, sf, "part")
     row = lambda v: p.select(F.concat(F.lit("p"), F.col("p_partkey") % 50).alias("paper_id"), F.concat(F.lit("d"), "p_partkey").alias("dimension"), F.col("p_brand").alias("section"), v.alias("value"))
     changed = p.where("p_size > 48").select(F.col("p_brand").alias("section"))
     return SY.backfill(row(F.col("p_name")), row(F.lower("p_type")), changed)
@@ -92,7 +92,7 @@ QUERIES = {
     "stm_04_07_resume": (stm_04_resume, "SELECT c_custkey AS paper_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) = 'click')"),
     "stm_05_history": (stm_05, "SELECT o_orderkey AS pos, o_orderstatus FROM orders ORDER BY 1 DESC LIMIT 100"),
     "stm_06_digest_state": (stm_06, "SELECT 'p' || doc_id AS paper_id FROM documents WHERE NOT contains('p' || doc_id, '7')"),
-    "stm_08_backfill": (stm_08, "SELECT 'p' || (p_partkey % 50) AS paper_id, 'd' || p_partkey AS dimension, p_brand AS section, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_partkey <= 600 AND p_size > 48) THEN lower(p_type) ELSE p_name END AS value FROM part WHERE p_partkey <= 600"),
+    "stm_08_backfill": (stm_08, "SELECT 'p' || (p_partkey % 50) AS paper_id, 'd' || p_partkey AS dimension, p_brand AS section, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size > 48) THEN lower(p_type) ELSE p_name END AS value FROM part"),
     "stm_09_batch_plan": (stm_09, "SELECT 'p' || doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'already extracted' WHEN doc_id % 4 = 0 THEN 'in a running batch' WHEN doc_id % 20 = 0 THEN 'no text' END AS skip FROM documents"),
     "stm_10_classification_index": (stm_10, "SELECT 'p' || doc_id AS paper_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 0 THEN 'old' ELSE lang END AS document_type FROM documents WHERE doc_id % 5 <> 0"),
 }

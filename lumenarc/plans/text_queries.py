@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions import ids as I
 from lumenarc.functions import text as T
+from lumenarc.functions.dims import ALIASES
+from lumenarc.operators import views as V
 from lumenarc.plans.inputs import ANSWERS, PAPERS, answers, papers, sql_normal_title, sql_title_tokens, sql_topic_tokens, sql_words, table
 
 
@@ -60,7 +62,7 @@ def str_09(spark, sf):
 
 
 def str_10(spark, sf):
-    body = F.concat(F.lit("Abstract: "), F.substring("text", 1, 80), F.lit("\n\nNext"))
+    body = F.concat(F.lit("Abstract: "), "text", F.lit("\n\nNext"))
     found = docs(spark, sf).select("doc_id", T.extract_sections(body).alias("m"))
     return found.select("doc_id", F.length(F.col("m")["abstract"]).alias("chars"))
 
@@ -122,10 +124,10 @@ def str_19(spark, sf):
 
 
 def cited():
-    return F.concat(F.lit("See 12 and 3.5% (Smith, 2019). "), F.substring("text", 1, 200))
+    return F.concat(F.lit("See 12 and 3.5% (Smith, 2019). "), "text")
 
 
-CITED_SQL = "'See 12 and 3.5% (Smith, 2019). ' || substr(text, 1, 200)"
+CITED_SQL = "'See 12 and 3.5% (Smith, 2019). ' || text"
 
 
 def str_20(spark, sf):
@@ -205,29 +207,26 @@ def hash_03(spark, sf):
 def math_01(spark, sf):
     from lumenarc.operators.search import cosine, norm, squared_distance
 
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where("vec_id < 60")
-    pairs = e.alias("a").join(F.broadcast(e).alias("b"), F.col("a.vec_id") < F.col("b.vec_id"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    pairs = e.alias("a").join(e.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id"))
     d = squared_distance("a.e", "b.e")
     return pairs.select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(cosine("a.e", "b.e"), 6).alias("cosine"), F.round(F.sqrt(d), 6).alias("l2"), F.round(1 / (1 + d), 6).alias("score"), F.round(norm("a.e"), 6).alias("norm"))
 
 
 def math_02(spark, sf):
     price = spark.createDataFrame([("R", 3.0, 15.0), ("A", 0.8, 4.0), ("N", 0.1, 0.4)], "l_returnflag string, inp double, out double")
-    li = table(spark, sf, "lineitem").join(F.broadcast(price), "l_returnflag")
-    cost = F.col("l_quantity") * F.col("inp") / 1000 + F.col("l_linenumber") * F.col("out") / 1000
-    return li.groupBy("l_returnflag").agg(F.round(F.sum(cost), 4).alias("cost"), F.count("*").alias("calls"))
+    return V.call_costs(table(spark, sf, "lineitem"), price, "l_returnflag", "l_quantity", "l_linenumber").withColumn("cost", F.round("cost", 4))
 
 
 def prj_01(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("n.d.").alias("y"), F.concat("p_brand", F.lit(" , ,"), "p_type").alias("c"))
-    year = F.when(F.col("y").rlike("^[0-9]+$"), F.col("y").cast("int"))
-    colls = F.filter(F.transform(F.split("c", ","), lambda x: F.trim(x)), lambda x: x != "")
-    return p.select("p_partkey", year.alias("year"), F.array_join(colls, "|").alias("collections"))
+    got = V.parsed_metadata("y", "c")
+    return p.select("p_partkey", got["year"].alias("year"), F.array_join(got["collections"], "|").alias("collections"))
 
 
 def prj_02(spark, sf):
-    a = answers(spark, sf).where("value is not null").withColumn("section", F.when(F.col("dimension") <= "q05", "core").when(F.col("dimension") <= "q10", "methodology").otherwise("rest"))
-    return a.groupBy("paper_id", "section").agg(F.count("*").alias("fields"), F.array_join(F.array_sort(F.collect_list("dimension")), ",").alias("names"))
+    section = F.when(F.col("dimension") <= "q05", "core").when(F.col("dimension") <= "q10", "methodology").otherwise("rest")
+    return V.answers_by_section(answers(spark, sf), section)
 
 
 def prj_03(spark, sf):
@@ -246,7 +245,7 @@ def prj_05(spark, sf):
 def prj_07(spark, sf):
     from lumenarc.operators.chunks import make_chunks
 
-    p = papers(spark, sf).where("pos < 40").select("paper_id", F.substring("text", 1, 300).alias("abstract"), "year")
+    p = papers(spark, sf).select("paper_id", F.col("text").alias("abstract"), "year")
     dims = answers(spark, sf).where("value is not null").groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "value"))).alias("dimensions"))
     return make_chunks(p.join(dims, "paper_id", "left")).select("chunk_id", "chunk_type", F.length("text").alias("chars"), "year")
 
@@ -274,17 +273,15 @@ def json_06(spark, sf):
 
 def json_07(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("q01_name"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("q02_brand"), F.col("p_type").alias("q03_type"))
-    long = p.unpivot("p_partkey", ["q01_name", "q02_brand", "q03_type"], "dimension", "value").where("value is not null")
-    return long
+    return V.flat_to_dimensions(p, "p_partkey", ["q01_name", "q02_brand", "q03_type"])
 
 
 def json_08(spark, sf):
-    p = table(spark, sf, "part")
-    ident = F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return p.select("p_partkey", ident.alias("id"), F.least(F.greatest((F.col("p_size") - 10) / 30, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    return table(spark, sf, "part").select("p_partkey", V.proposal_id("p_name").alias("id"), V.clamped((F.col("p_size") - 10) / 30).alias("confidence"))
 
 
 Q = sql_words("text")
+ALIAS_ROWS = ", ".join(f"('{a}', '{d}')" for a, d in ALIASES.items())
 DIMS_LIMIT = ANSWERS
 HTML_BASE = "regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs')"
 for _names in (T.UNREAD, T.FRAME):
@@ -337,15 +334,15 @@ QUERIES = {
     "hash_01_fingerprint": (hash_01, f"WITH {PAPERS} SELECT paper_id, sha256(coalesce('=' || title, '~') || '|' || coalesce('=' || year, '~') || '|' || coalesce('=' || doi, '~')) AS mark FROM papers"),
     "hash_02_content_hash": (hash_02, "SELECT p_partkey, substr(sha256(p_name || ':model:1.0:' || p_size), 1, 16) AS mark FROM part"),
     "hash_03_src_21_text_hash": (hash_03, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
-    "math_01_gr_04_vector_math": (math_01, "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 60) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS cosine, round(list_distance(a.e, b.e), 6) AS l2, round(1 / (1 + pow(list_distance(a.e, b.e), 2)), 6) AS score, round(sqrt(list_dot_product(a.e, a.e)), 6) AS norm FROM e a JOIN e b ON a.vec_id < b.vec_id"),
+    "math_01_gr_04_vector_math": (math_01, "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS cosine, round(list_distance(a.e, b.e), 6) AS l2, round(1 / (1 + pow(list_distance(a.e, b.e), 2)), 6) AS score, round(sqrt(list_dot_product(a.e, a.e)), 6) AS norm FROM e a JOIN e b ON a.vec_id + 1 = b.vec_id"),
     "math_02_cost_estimate": (math_02, "SELECT l_returnflag, round(sum(l_quantity * i / 1000 + l_linenumber * o / 1000), 4) AS cost, count(*) AS calls FROM lineitem JOIN (VALUES ('R', 3.0::DOUBLE, 15.0::DOUBLE), ('A', 0.8, 4.0), ('N', 0.1, 0.4)) p(f, i, o) ON f = l_returnflag GROUP BY 1"),
     "prj_01_enriched_projection": (prj_01, "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS year, p_brand || '|' || trim(p_type) AS collections FROM part"),
     "prj_02_sections": (prj_02, f"WITH {ANSWERS} SELECT paper_id, CASE WHEN dimension <= 'q05' THEN 'core' WHEN dimension <= 'q10' THEN 'methodology' ELSE 'rest' END AS section, count(*) AS fields, string_agg(dimension, ',' ORDER BY dimension) AS names FROM answers WHERE value IS NOT NULL GROUP BY ALL"),
     "prj_03_dimension_value": (prj_03, f"WITH {ANSWERS} SELECT paper_id, CAST(max(length(value)) FILTER (dimension = 'q02') AS INTEGER) AS thesis_chars, CAST(max(length(value)) FILTER (dimension = 'q03') AS INTEGER) AS claims_chars FROM answers WHERE value IS NOT NULL GROUP BY 1"),
     "prj_05_derived_columns": (prj_05, f"WITH {PAPERS} SELECT paper_id || '_' || collection AS id, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END AS title, year FROM papers"),
-    "prj_07_udf_05_chunks": (prj_07, f"WITH {PAPERS}, {ANSWERS}, p AS (SELECT paper_id, year, substr(text, 1, 300) AS abstract FROM papers WHERE pos < 40) SELECT paper_id || '_abstract' AS chunk_id, 'abstract' AS chunk_type, CAST(length(abstract) AS INTEGER) AS chars, year FROM p UNION ALL SELECT p.paper_id || '_dim_' || dimension, 'dim_' || dimension, CAST(CASE WHEN length(value) > 2048 THEN NULL ELSE length(value) END AS INTEGER), year FROM p JOIN answers a ON a.paper_id = p.paper_id WHERE value IS NOT NULL"),
+    "prj_07_udf_05_chunks": (prj_07, f"WITH {PAPERS}, {ANSWERS}, c AS (SELECT paper_id || '_abstract' AS chunk_id, 'abstract' AS chunk_type, text AS t, year FROM papers UNION ALL SELECT p.paper_id || '_dim_' || dimension, 'dim_' || dimension, value, year FROM papers p JOIN answers a ON a.paper_id = p.paper_id), g AS (SELECT *, substr(t, 1, 2048) AS cut FROM c WHERE trim(t) <> ''), h AS (SELECT *, CASE WHEN contains(cut, ' ') THEN 2048 - instr(reverse(cut), ' ') ELSE -1 END AS gap FROM g) SELECT chunk_id, chunk_type, CAST(CASE WHEN length(t) <= 2048 THEN length(t) WHEN gap > 2048 * 0.8 THEN gap + 3 ELSE 2051 END AS INTEGER) AS chars, year FROM h"),
     "json_01_normalize_value": (json_01, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'a; b' WHEN 2 THEN 'x: 1; y: true' WHEN 3 THEN NULL ELSE '12' END AS value FROM part"),
-    "json_02_prj_04_canonical_map": (json_02, None),
+    "json_02_prj_04_canonical_map": (json_02, f"WITH {ANSWERS}, k AS (SELECT * FROM (VALUES {ALIAS_ROWS}) k(alias, name)) SELECT paper_id, CAST(count(DISTINCT name) AS INTEGER) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM answers JOIN k ON dimension = alias WHERE value IS NOT NULL GROUP BY 1"),
     "json_06_parse_props": (json_06, "WITH k AS (SELECT event_id, list_sort(json_keys(props)) AS k FROM events) SELECT event_id, CAST(len(k) AS INTEGER) AS n, array_to_string(k[1:3], ',') AS names FROM k"),
     "json_07_migrate_flat": (json_07, "SELECT p_partkey, 'q01_name' AS dimension, p_name AS value FROM part UNION ALL SELECT p_partkey, 'q02_brand', p_brand FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, 'q03_type', p_type FROM part"),
     "json_08_proposals": (json_08, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS id, least(greatest((p_size - 10) / 30, 0), 1) AS confidence FROM part"),

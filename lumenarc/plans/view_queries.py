@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lumenarc import api
 from lumenarc.operators import search as S
+from lumenarc.operators import views as V
 from lumenarc.operators.llm_calls import embed
 from lumenarc.plans.inputs import ANSWERS, CHUNKS, PAPERS, answers, chunks, papers, table
 from lumenarc.plans.search_queries import NEAR, query_vector
 from lumenarc.sources import library as L
+from lumenarc.sources import store as ST
 
 
 def src_17(spark, sf):
@@ -43,23 +45,22 @@ def flt_15(spark, sf):
 
 def flt_20(spark, sf):
     p = papers(spark, sf).withColumn("tags", F.when(F.col("pos") % 3 == 0, F.array().cast("array<string>")).when(F.col("pos") % 3 == 1, F.col("collections")))
-    return p.where(F.coalesce(F.size("tags"), F.lit(0)) <= 0).select("paper_id")
+    return V.missing_list(p, "tags").select("paper_id")
 
 
 def flt_21(spark, sf):
-    o, li, c = table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "customer")
-    gone = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    with_lines = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return o.where(F.col("o_orderstatus").isin("F", "P")).join(gone, "o_custkey", "left_anti").join(with_lines, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    gone = table(spark, sf, "customer").where("c_acctbal < 0").withColumnRenamed("c_custkey", "o_custkey")
+    with_lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "o_orderkey")
+    o = table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_custkey", "o_totalprice")
+    return V.without_any(o, (gone, "o_custkey"), (with_lines, "o_orderkey")).select("o_orderkey", "o_totalprice")
 
 
 def prj_06(spark, sf):
-    return papers(spark, sf).select("paper_id", "title", "year", "doi", "item_type", F.array_join("collections", "; ").alias("collections"))
+    return V.index_projection(papers(spark, sf))
 
 
 def prj_08(spark, sf):
-    p = papers(spark, sf)
-    return p.select("paper_id", F.length(F.substring("text", 1, 700)).alias("abstract_chars"), F.substring("title", 1, 48).alias("title"))
+    return V.paper_briefs(papers(spark, sf)).select("paper_id", F.length("abstract").alias("abstract_chars"), "title")
 
 
 def join_02(spark, sf):
@@ -85,19 +86,16 @@ def topk_09(spark, sf):
 
 
 def topk_14(spark, sf):
-    return table(spark, sf, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(10).select("o_orderkey")
+    return V.newest(table(spark, sf, "orders"), "o_orderdate", "o_orderkey", 10).select("o_orderkey")
 
 
 def topk_18(spark, sf):
     p = papers(spark, sf)
-    part = lambda name, df, order: df.withColumn("section", F.lit(name)).withColumn("place", F.row_number().over(Window.orderBy(*order))).where("place <= 10").select("section", "key", "n", F.col("place").cast("long").alias("place"))
-    counts = lambda c: p.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("key")).agg(F.count("*").alias("n"))
-    by_count = [F.col("n").desc(), "key"]
-    return part("type", counts("item_type"), by_count).unionByName(part("year", counts("year"), [F.col("key").desc()])).unionByName(part("collection", counts("collection"), by_count))
+    return V.section_counts(p, "type", "item_type").unionByName(V.section_counts(p, "year", "year", newest_first=True)).unionByName(V.section_counts(p, "collection", "collection"))
 
 
 def ml_04(spark, sf):
-    e = embed(table(spark, sf, "documents").where("doc_id < 200").select("doc_id", "text"), "text", width=64)
+    e = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", width=64)
     return e.select("doc_id", F.size("embedding").alias("width"), F.round(S.norm("embedding"), 6).alias("norm"))
 
 
@@ -129,14 +127,62 @@ def udf_06_collections(spark, sf):
 
 
 def json_03(spark, sf):
-    p = table(spark, sf, "part")
-    flat = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.struct(F.col("p_name").alias("thesis"))).alias("extraction"), F.lower("p_type").alias("thesis"))
-    return flat.select("p_partkey", F.coalesce("extraction", F.struct("thesis"))["thesis"].alias("thesis"))
+    flat = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.struct(F.col("p_name").alias("thesis"))).alias("extraction"), F.lower("p_type").alias("thesis"))
+    return flat.select("p_partkey", V.unwrapped("extraction", "thesis").alias("thesis"))
 
 
 def json_04(spark, sf):
-    p = papers(spark, sf)
-    return p.select("paper_id", F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"), F.array_join("collections", ",").alias("collections"), F.coalesce("doi", F.lit("")).alias("doi"))
+    return papers(spark, sf).select("paper_id", *[c.alias(n) for n, c in V.metadata_texts().items()])
+
+
+def src_25(spark, sf):
+    from lumenarc.sources.lookup import openalex_fields
+
+    work = F.struct(
+        F.concat(F.lit("https://doi.org/10.1000/"), "p_partkey").alias("doi"),
+        F.col("p_name").alias("display_name"),
+        (F.lit(1990) + F.col("p_size") % 30).alias("publication_year"),
+        F.array(F.struct(F.struct(F.lit("Ann B. Lee").alias("display_name")).alias("author")), F.struct(F.struct(F.col("p_type").alias("display_name")).alias("author"))).alias("authorships"),
+        F.struct(F.struct(F.col("p_brand").alias("display_name"), F.lit("House").alias("host_organization_name")).alias("source")).alias("primary_location"),
+        F.struct(F.col("p_size").cast("string").alias("volume"), F.lit("7").alias("first_page"), F.when(F.col("p_size") % 2 == 0, "19").alias("last_page")).alias("biblio"),
+    )
+    got = table(spark, sf, "part").select("p_partkey", F.to_json(work).alias("json")).select("p_partkey", openalex_fields("json").alias("w"))
+    names = F.array_join(F.transform("w.authors", lambda a: F.concat_ws("/", a["given"], a["family"])), ";")
+    return got.select("p_partkey", "w.doi", "w.title", names.alias("authors"), "w.year", "w.journal", "w.publisher", "w.volume", "w.pages")
+
+
+def snk_06(spark, sf):
+    import uuid
+
+    root = f"{ST.shared_folder(spark)}/lumenarc/snapshot-{uuid.uuid4().hex}"
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    part.write.parquet(f"{root}/papers")
+    held = ST.Snapshot(spark, root, ["papers", "chunks"])
+    part.where("p_partkey % 2 = 0").write.mode("overwrite").parquet(f"{root}/papers")
+    part.write.parquet(f"{root}/chunks")
+    held.restore()
+    held.drop()
+    return spark.read.schema(part.schema).parquet(f"{root}/papers")
+
+
+def snk_07(spark, sf):
+    import uuid
+
+    path = f"{ST.shared_folder(spark)}/lumenarc/summary-{uuid.uuid4().hex}.json"
+    rows = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).collect()  # five segments
+    for data in ({"segments": []}, {"segments": [r.asDict() for r in rows]}):
+        if not ST.write_json(spark, path, data):
+            raise OSError(path)
+    read = spark.read.schema("segments array<struct<c_mktsegment: string, n: long>>").option("multiLine", True).json(path)
+    return read.select(F.explode("segments").alias("s")).select("s.*")
+
+
+def ml_05(spark, sf):
+    from lumenarc.operators.batching import choose_batch_size
+
+    li = table(spark, sf, "lineitem")
+    probes = li.select(F.col("l_suppkey").alias("backend"), F.col("l_quantity").cast("int").alias("size"), (F.col("l_extendedprice") / 500).alias("seconds"), (F.col("l_returnflag") != "R").alias("ok"))
+    return choose_batch_size(probes, "backend")
 
 
 BEST = f"WITH {CHUNKS}, {PAPERS}, {ANSWERS}, {NEAR}, top AS (SELECT * FROM near ORDER BY distance, chunk_id LIMIT 15), best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY distance, chunk_id) = 1 ORDER BY distance, chunk_id LIMIT 5), e AS (SELECT paper_id, count(value) AS dims FROM answers GROUP BY 1)"
@@ -145,6 +191,10 @@ QUERIES = {
     "src_17_factory": (src_17, "SELECT p_partkey, p_name FROM part"),
     "udf_03_source_plugin": (udf_03, "SELECT 'o' || o_orderkey AS paper_id, o_orderpriority AS title FROM orders ORDER BY 1 LIMIT 200"),
     "snk_12_graph_json": (snk_12, "SELECT n_nationkey, '{\"id\":' || n_nationkey || ',\"label\":\"' || n_name || '\"}' AS node FROM nation"),
+    "src_25_lookup_fields": (src_25, "SELECT p_partkey, '10.1000/' || p_partkey AS doi, p_name AS title, 'Ann B./Lee;' || CASE WHEN contains(p_type, ' ') THEN regexp_extract(p_type, '^(.*) [^ ]*$', 1) || '/' || regexp_extract(p_type, '([^ ]*)$', 1) ELSE p_type END AS authors, CAST(1990 + p_size % 30 AS INTEGER) AS year, p_brand AS journal, 'House' AS publisher, CAST(p_size AS VARCHAR) AS volume, CASE WHEN p_size % 2 = 0 THEN '7-19' ELSE '7' END AS pages FROM part"),
+    "snk_06_snapshot_restore": (snk_06, "SELECT p_partkey, p_name FROM part"),
+    "snk_07_json_write": (snk_07, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1"),
+    "ml_05_batch_size": (ml_05, "SELECT l_suppkey AS backend, coalesce(max(CAST(l_quantity AS INTEGER)) FILTER (l_returnflag <> 'R' AND l_extendedprice / 500 <= 75), arg_min(CAST(l_quantity AS INTEGER), (l_extendedprice / 500, CAST(l_quantity AS INTEGER))) FILTER (l_returnflag <> 'R'), 1) AS size FROM lineitem GROUP BY 1"),
     "flt_13_chunk_filter": (flt_13, f"WITH {CHUNKS} SELECT count(*) FILTER (chunk_type IN ('dim_q01', 'dim_q02')) AS some, count(*) AS every FROM chunks"),
     "flt_15_target_match": (flt_15, "SELECT o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS matches_target, count(*) AS n FROM orders GROUP BY 1"),
     "flt_20_missing_tags": (flt_20, f"WITH {PAPERS} SELECT paper_id FROM papers WHERE pos % 3 <> 1"),
@@ -157,7 +207,7 @@ QUERIES = {
     "topk_09_ranked_rows": (topk_09, f"WITH {CHUNKS}, {PAPERS}, {NEAR}, top AS (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near ORDER BY distance, chunk_id LIMIT 15) SELECT rank, round(1 / (1 + distance), 4) AS score, CAST(length(substr(text, 1, 500)) AS INTEGER) AS chars FROM top LEFT JOIN papers USING (paper_id)"),
     "topk_14_recent": (topk_14, "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10"),
     "topk_18_format_summary": (topk_18, f"WITH {PAPERS} SELECT * FROM (SELECT 'type' AS section, item_type AS key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item_type) AS place FROM papers GROUP BY 2) WHERE place <= 10 UNION ALL SELECT * FROM (SELECT 'year', CAST(year AS VARCHAR) AS k, count(*), row_number() OVER (ORDER BY CAST(year AS VARCHAR) DESC) AS place FROM papers WHERE year IS NOT NULL GROUP BY year) WHERE place <= 10 UNION ALL SELECT * FROM (SELECT 'collection', collection, count(*), row_number() OVER (ORDER BY count(*) DESC, collection) AS place FROM papers GROUP BY 2) WHERE place <= 10"),
-    "ml_04_embeddings": (ml_04, "SELECT doc_id, 64 AS width, CAST(1.0 AS DOUBLE) AS norm FROM documents WHERE doc_id < 200"),
+    "ml_04_embeddings": (ml_04, "SELECT doc_id, 64 AS width, CAST(1.0 AS DOUBLE) AS norm FROM documents"),
     "ml_16_deep_review": (ml_16, None),
     "udf_06_search_tool": (udf_06, BEST + " SELECT row_number() OVER (ORDER BY distance, chunk_id) AS rank, best.paper_id, p.title, round(1 / (1 + distance), 4) AS score, dims FROM best LEFT JOIN papers p USING (paper_id) LEFT JOIN e USING (paper_id)"),
     "udf_06_fulltext_tool": (udf_06_text, "SELECT 'p3' AS paper_id, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE doc_id = 3"),

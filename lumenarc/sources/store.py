@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +84,71 @@ class Versions:
         return self.spark.read.parquet(self._pointer("current"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset and Spark runs in one process."""
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        held = "file://" + tempfile.mkdtemp(prefix="lumenarc-")
+        spark.sparkContext.setCheckpointDir(held)
+    return held.rstrip("/")
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The path as Hadoop names it, its file system and the settings."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(conf), conf
+
+
+def write_json(spark: SparkSession, path: str, data, indent: int = 2) -> bool:
+    """Writes data as JSON under another name and renames it, so that readers see the old file or the new one whole; False if it can't be written."""
+    jvm = spark.sparkContext._jvm
+    target, fs, conf = hadoop(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".write_{uuid.uuid4().hex}.tmp")
+    try:
+        out = fs.create(aside, True)
+        out.write(bytearray(json.dumps(data, indent=indent, ensure_ascii=False, default=str).encode()))
+        out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, target, how)
+        return True
+    except Py4JJavaError:
+        fs.delete(aside, False)
+        return False
+
+
+class Snapshot:
+    """Copies of several artifacts (folders or files under one root), to bring them back after a failed update."""
+
+    def __init__(self, spark: SparkSession, root: str, names: list[str]):
+        self.spark, self.root, self.names = spark, root.rstrip("/"), list(names)
+        self.backup = f"{self.root}/snapshot-{uuid.uuid4().hex}"
+        for name in self.names:
+            self._copy(f"{self.root}/{name}", f"{self.backup}/{name}")
+
+    def _copy(self, source: str, target: str) -> None:
+        a, fs, conf = hadoop(self.spark, source)
+        b, _, _ = hadoop(self.spark, target)
+        if fs.exists(a):
+            fs.mkdirs(b.getParent())
+            self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, fs, b, False, True, conf)
+
+    def restore(self) -> None:
+        """Every artifact as it was; those that did not exist go."""
+        for name in self.names:
+            target, fs, _ = hadoop(self.spark, f"{self.root}/{name}")
+            fs.delete(target, True)
+            self._copy(f"{self.backup}/{name}", f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        path, fs, _ = hadoop(self.spark, self.backup)
+        fs.delete(path, True)
+
+
 def export_csv(results: DataFrame) -> DataFrame:
     """Results as guarded text columns, scores to four places, lists joined."""
     out = []
