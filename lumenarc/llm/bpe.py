@@ -275,7 +275,7 @@ def piece_table(path: str) -> dict[int, bytes]:
 worker_cache("bpe", vocabulary_encoder.cache_clear)
 
 
-def batches(values, most_bytes: int = 2 << 20):
+def batches(values, most_bytes: int = 8 << 20):
     """Runs of texts of bounded size; one longer text stands alone."""
     held, size = [], 0
     for v in values:
@@ -328,7 +328,7 @@ def round_trip_column(text: Column, path: str | None = None, keep: int = CACHE_C
         drop_caches(but="bpe")
         encoder, piece = vocabulary_encoder(path), piece_table(path).__getitem__
         ids, same = [], []
-        for held in batches(x.as_py() for x in texts):
+        for held in batches((x.as_py() for x in texts), 2 << 20):
             for t, x in zip(held, encoder.encode(held, keep), strict=True):
                 ids.append(x)
                 same.append(b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) == (t or "").encode())
