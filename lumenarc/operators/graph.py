@@ -69,7 +69,8 @@ def reference_edges(references: DataFrame, papers: DataFrame, threshold: float =
     probe = each.withColumn("__n", place).where(F.col("__n") <= F.size("r") - F.ceil(F.size("r") * threshold) + 1)
     near = probe.join(tokens, "w").where((F.size("r") >= threshold * F.size("t")) & (F.size("t") >= threshold * F.size("r"))).select("r", "pos", "target", "t").distinct()
     both = F.size(F.array_intersect("r", "t"))
-    first = near.where(both / (F.size("r") + F.size("t") - both) >= threshold).groupBy("r").agg(F.min_by("target", "pos").alias("target")).join(rest, "r")
+    first = near.where(both / (F.size("r") + F.size("t") - both) >= threshold).groupBy("r").agg(F.min(F.struct("pos", "target")).alias("hit"))
+    first = first.join(rest, "r").groupBy("paper_id", "ref_pos").agg(F.min("hit")["target"].alias("target"))
     by_title = first.select(F.col("paper_id").alias("source"), "ref_pos", "target", F.lit(0.95).alias("confidence"))
     return by_doi.unionByName(by_title).where("source <> target")
 
