@@ -55,15 +55,11 @@ class Versions:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self, name: str) -> str | None:
-        try:
-            return self.spark.read.text(f"{self.root}/{name}").first()["value"]
-        except Exception as e:  # no pointer yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        path, fs, _ = hadoop(self.spark, f"{self.root}/{name}")
+        return self.spark.read.text(f"{self.root}/{name}").first()["value"] if fs.exists(path) else None
 
     def _point(self, name: str, path: str) -> None:
-        self.spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}")
+        replace_file(self.spark, f"{self.root}/{name}", path.encode())
 
     def exists(self) -> bool:
         return self._pointer("current") is not None
@@ -102,22 +98,37 @@ def hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(conf), conf
 
 
-def write_json(spark: SparkSession, path: str, data, indent: int = 2) -> bool:
-    """Writes data as JSON under another name and renames it, so that readers see the old file or the new one whole; False if it can't be written."""
+def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
+    path = f"{shared_folder(spark)}/lumenarc/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a file under another name and renames it, so that readers see the old file or the new one whole."""
     jvm = spark.sparkContext._jvm
     target, fs, conf = hadoop(spark, path)
     aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".write_{uuid.uuid4().hex}.tmp")
     try:
         out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(data, indent=indent, ensure_ascii=False, default=str).encode()))
+        out.write(bytearray(data))
         out.close()
         rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         how = spark.sparkContext._gateway.new_array(rename, 1)
         how[0] = rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, target, how)
-        return True
     except Py4JJavaError:
         fs.delete(aside, False)
+        raise
+
+
+def write_json(spark: SparkSession, path: str, data, indent: int = 2) -> bool:
+    """Replaces a file by data as JSON; False if it can't be written."""
+    try:
+        replace_file(spark, path, json.dumps(data, indent=indent, ensure_ascii=False, default=str).encode())
+        return True
+    except Py4JJavaError:
         return False
 
 
