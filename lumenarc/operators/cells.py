@@ -131,8 +131,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def nearest_others(cells: Cells, k: int, asked: DataFrame | None = None) -> DataFrame:
-    """id, other, distance, rank: the k nearest rows of each query but itself; ties by id. asked (id, v): the rows themselves unless given."""
+def nearest_others(cells: Cells, k: int, asked: DataFrame | None = None, themselves: bool = False) -> DataFrame:
+    """id, other, distance, rank: the k nearest rows of each query; ties by id. asked (id, v): the rows themselves unless given. A row of the query's id counts only with `themselves`."""
     width, kind = cells.pivots.shape[1], cells.kind
 
     def best(a, b):
@@ -142,7 +142,7 @@ def nearest_others(cells: Cells, k: int, asked: DataFrame | None = None) -> Data
         theirs, mine = b.column("id"), a.column("id")
         order = np.argsort(np.array(theirs.to_pylist(), object), kind="stable")
         d, theirs = d[:, order], theirs.take(order)
-        place = {i: n for n, i in enumerate(theirs.to_pylist())}
+        place = {} if themselves else {i: n for n, i in enumerate(theirs.to_pylist())}
         for i, own in enumerate(mine.to_pylist()):
             if own in place:
                 d[i, place[own]] = np.inf

@@ -175,13 +175,18 @@ def density_clusters(pairs: DataFrame, nodes: DataFrame, min_size: int = 5) -> D
     return nodes.join(big, "node", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
-def project_2d(vectors: DataFrame, key: str) -> DataFrame:
-    """key, x, y: the first two principal components, from Spark ML."""
+def principal_components(vectors: DataFrame, key: str, vector_col: str, k: int) -> DataFrame:
+    """key, p: the first k principal components, from Spark ML."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    done = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select(key, vector_to_array("p").alias("p"))
+    rows = vectors.select(key, array_to_vector(F.col(vector_col).cast("array<double>")).alias("v"))
+    return PCA(k=k, inputCol="v", outputCol="p").fit(rows).transform(rows).select(key, vector_to_array("p").alias("p"))
+
+
+def project_2d(vectors: DataFrame, key: str) -> DataFrame:
+    """key, x, y: the first two principal components."""
+    done = principal_components(vectors, key, "embedding", 2)
     return done.select(key, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
