@@ -93,6 +93,50 @@ def ml_03(spark, sf):
     return c.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first"))
 
 
+def unit_cells(spark, sf):
+    from lumenarc.operators import cells as C
+
+    return C.Cells(C.unit_rows(table(spark, sf, "embeddings"), "vec_id"))
+
+
+def gr_04_join(spark, sf):
+    from lumenarc.operators import cells as C
+
+    return C.similar_pairs(unit_cells(spark, sf), 0.35, digits=9).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+def topk_06_cells(spark, sf):
+    """The ten nearest others of each vector by Euclidean distance."""
+    from lumenarc.operators import cells as C
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = C.nearest_others(C.Cells(e), 10)
+    return near.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def ml_01_layout(spark, sf):
+    from lumenarc.operators.layout import reduce_dimensions
+
+    at = reduce_dimensions(table(spark, sf, "embeddings"), "vec_id").rows
+    return at.select(F.col("id").alias("vec_id"), F.round(F.col("at")[0], 6).alias("x"), F.round(F.col("at")[1], 6).alias("y"))
+
+
+def ml_02_hdbscan(spark, sf):
+    from lumenarc.operators.density import hdbscan
+
+    return hdbscan(table(spark, sf, "embeddings"), "vec_id")
+
+
+def ml_03_run(spark, sf):
+    """Layout, then clusters of the layout, with sizes."""
+    from lumenarc.operators.density import hdbscan
+    from lumenarc.operators.layout import reduce_dimensions
+
+    at = reduce_dimensions(table(spark, sf, "embeddings"), "vec_id").rows
+    found = hdbscan(at.select(F.col("id").alias("vec_id"), F.col("at").alias("embedding")), "vec_id")
+    return found.groupBy("label").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"))
+
+
 def gr_components(spark, sf):
     """Customers tied by shared suppliers of small orders: connected components."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
@@ -113,6 +157,11 @@ QUERIES = {
     "gr_01_agg_17_citation_nodes": (gr_01_nodes, EDGES_SQL + " SELECT 'b' || item_id AS paper_id, count(source) AS in_degree, 10 + 5 * count(source) AS size, count(source) >= 5 AS hub FROM benchmark LEFT JOIN edges ON target = 'b' || item_id GROUP BY 1"),
     "gr_02_title_index": (gr_02, f"WITH {PAPERS}, t AS (SELECT paper_id, {sql_title_tokens('title')} AS t FROM papers WHERE length(title) >= 15) SELECT paper_id, array_to_string(list_sort(t), ' ') AS tokens FROM t WHERE len(t) >= 3"),
     "gr_03_similarity_graph": (gr_03, None),
+    "gr_04_cosine_join": (gr_04_join, f"WITH {V} SELECT src, dst, round(score, 6) AS score FROM s WHERE score > 0 AND round(score, 9) >= 0.35"),
+    "topk_06_nearest_others": (topk_06_cells, "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT src, dst, round(d, 6) AS distance, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM d QUALIFY rank <= 10"),
+    "ml_01_layout": (ml_01_layout, None),
+    "ml_02_hdbscan": (ml_02_hdbscan, None),
+    "ml_03_layout_clusters": (ml_03_run, None),
     "gr_05_ego_network": (gr_05, f"WITH {V}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM s WHERE score > 0) SELECT dst, round(score, 4) AS score, CAST(15 + floor(15 * round(score, 4)) AS INTEGER) AS size FROM r WHERE src = 7 AND k <= 20"),
     "gr_components": (gr_components, "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, comp) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(r.comp) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS h ON h.node = e.b WHERE r.comp < h.comp GROUP BY e.b)) SELECT node, comp AS component FROM r"),
     "ml_01_projection": (ml_01, None),

@@ -160,6 +160,24 @@ def snk_04(spark, sf):
     return ST.delete_papers(p, p.where("collection = 'src1'"))
 
 
+def snk_05_06(spark, sf):
+    """Papers in a transaction log: one scope replaced, one deleted, folders compacted, what no version needs removed."""
+    import uuid
+
+    from lumenarc.sources.log import TableLog
+
+    p = papers(spark, sf).select("paper_id", "collection")
+    log = TableLog(spark, f"{ST.shared_folder(spark)}/lumenarc/log-{uuid.uuid4().hex}")
+    log.create(p)
+    log.append(p)
+    scope = p.where("collection = 'src2'")
+    log.replace(scope.withColumn("collection", F.lit("new")), scope, "paper_id")
+    log.delete(spark.createDataFrame([("src3",)], "collection string"), "collection")
+    log.compact()
+    log.vacuum(keep=1, grace=0)
+    return log.read()
+
+
 def snk_05(spark, sf):
     p = papers(spark, sf).select("paper_id", "collection")
     new = p.withColumn("collection", F.lit("new"))
@@ -398,6 +416,7 @@ QUERIES = {
     "snk_03_add_chunks": (snk_03, "WITH n AS (SELECT vec_id + 2 AS chunk_id FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 8 <> 0) SELECT chunk_id, 99 AS label FROM n UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM n)"),
     "snk_04_delete_papers": (snk_04, f"WITH {PAPERS} SELECT paper_id, collection FROM papers WHERE collection <> 'src1'"),
     "snk_05_replace_papers": (snk_05, f"WITH {PAPERS} SELECT paper_id, CASE WHEN collection = 'src2' THEN 'new' ELSE collection END AS collection FROM papers WHERE collection <> 'src3'"),
+    "snk_05_06_transaction_log": (snk_05_06, f"WITH {PAPERS} SELECT paper_id, CASE WHEN collection = 'src2' THEN 'new' ELSE collection END AS collection FROM papers WHERE collection <> 'src3'"),
     "snk_08_csv_export": (snk_08, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '''=' ELSE '' END || p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part"),
     "snk_09_10_bibtex_export": (snk_09, "SELECT p_partkey, '@article{k' || p_partkey || ',' || chr(10) || '  title = {' || p_name || ' \\& co},' || chr(10) || '  year = {' || p_size || '}' || CASE WHEN p_partkey % 2 = 0 THEN ',' || chr(10) || '  journal = {' || replace(p_brand, '#', '\\#') || '}' ELSE '' END || chr(10) || '}' AS entry FROM part"),
     "snk_11_markdown": (snk_11, f"WITH {PAPERS} SELECT paper_id, md5('### ' || pos || '. ' || title || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || ')' || chr(10) || chr(10) || 'Score: 50.0%' || chr(10) || chr(10) || '> ' || CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END) AS md FROM papers"),

@@ -28,6 +28,30 @@ def topk_01_post(spark, sf_dir):
     return near.select("chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def indexed(spark, rows, key):
+    import uuid
+
+    from lumenarc.operators.vector_index import VectorIndex
+    from lumenarc.sources.store import shared_folder
+
+    return VectorIndex.build(rows, f"{shared_folder(spark)}/lumenarc/index-{uuid.uuid4().hex}", key, "embedding")
+
+
+def topk_01_index(spark, sf_dir):
+    """The same search as topk_01, through an index of all chunks."""
+    index = indexed(spark, chunks(spark, sf_dir), "chunk_id")
+    near = index.search_exact(query_vector(spark, sf_dir), 20, where=F.col("year").between(1995, 2015))
+    return near.select("chunk_id", "paper_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def topk_01_batch(spark, sf_dir):
+    """Every fiftieth vector asks for its ten nearest in an index of all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = indexed(spark, vectors, "vec_id").search_batch(asked, 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 def topk_03(spark, sf_dir):
     hits = S.search_papers(chunks(spark, sf_dir).drop("year", "collection"), query_vector(spark, sf_dir), 10)
     found = S.enrich(hits, papers(spark, sf_dir).select("paper_id", "title", "item_type", "year"))
@@ -137,6 +161,8 @@ def win_08(spark, sf_dir):
 
 QUERIES = {
     "topk_01_vector_search": (topk_01, f"WITH {CHUNKS}, {NEAR} SELECT chunk_id, paper_id, round(1 / (1 + distance), 6) AS score, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near WHERE year BETWEEN 1995 AND 2015 ORDER BY distance, chunk_id LIMIT 20"),
+    "topk_01_index_exact": (topk_01_index, f"WITH {CHUNKS}, {NEAR} SELECT chunk_id, paper_id, round(1 / (1 + distance), 6) AS score, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near WHERE year BETWEEN 1995 AND 2015 ORDER BY distance, chunk_id LIMIT 20"),
+    "topk_01_index_batch": (topk_01_batch, None),
     "topk_01_flt_03_collections_after_topk": (topk_01_post, f"WITH {CHUNKS}, {NEAR}, top AS (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near ORDER BY distance, chunk_id LIMIT 20) SELECT chunk_id, round(1 / (1 + distance), 6) AS score, rank FROM top WHERE collection IN ('src0', 'src1', 'src2', 'src3')"),
     "topk_03_search_enriched": (topk_03, f"WITH {CHUNKS}, {PAPERS}, {NEAR}, top AS (SELECT * FROM near ORDER BY distance, chunk_id LIMIT 30), best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY distance, chunk_id) = 1 ORDER BY distance, chunk_id LIMIT 10) SELECT row_number() OVER (ORDER BY distance, chunk_id) AS rank, best.paper_id, chunk_id, round(1 / (1 + distance), 4) AS score, p.title, p.item_type, p.year FROM best LEFT JOIN papers p USING (paper_id)"),
     "topk_05_search_dimension_group": (topk_05, f"WITH {CHUNKS}, {NEAR}, top AS (SELECT * FROM near WHERE chunk_type IN ('dim_q03', 'dim_q04') ORDER BY distance, chunk_id LIMIT 15), best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY distance, chunk_id) = 1 ORDER BY distance, chunk_id LIMIT 5) SELECT row_number() OVER (ORDER BY distance, chunk_id) AS rank, paper_id, chunk_type, round(1 / (1 + distance), 4) AS score FROM best"),
