@@ -39,7 +39,7 @@ def brute_components(prints, radius):
     return forest(len(fps), i, j).tolist()
 
 
-@pytest.mark.parametrize(("radius", "tile"), [(2, 2048), (5, 16)])
+@pytest.mark.parametrize(("radius", "tile"), [(2, 2048), (5, 16), (6, 16)])
 def test_simhash_components_equal_all_pairs(spark, near_copies, radius, tile, monkeypatch):
     monkeypatch.setattr(S.fingerprint_links, "__defaults__", (radius, tile))  # small tiles: classes are split
     rows = near_copies.orderBy("doc_id").collect()
