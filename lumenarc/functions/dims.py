@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +52,47 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, dimension string, section string, alias string, chunk_type string, core boolean")
 
 
-def scalar_text(v: Column) -> Column:
-    """A JSON scalar's text, trimmed; blank and null as null."""
-    return F.nullif(F.trim(F.regexp_replace(v, r'^"|"$', "")), F.lit(""))
+#: Keys whose texts come first, in order.
+TEXT_KEYS = "description summary analysis answer text explanation rationale value finding claim recommendation implication note".split()
+
+
+def nested_text(value) -> str | None:
+    """One text of a parsed JSON value, from inside out: in lists and maps the texts of what they hold, texts under TEXT_KEYS first, then `key: text`,
+    each once. A map without any text is its own JSON."""
+    if value is None or isinstance(value, str):
+        return (value or "").strip() or None
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, list):
+        held = [nested_text(v) for v in value]
+    elif isinstance(value, dict):
+        first = {k: nested_text(value[k]) for k in TEXT_KEYS if k in value}
+        rest = ((k, nested_text(v)) for k, v in value.items() if k not in first)
+        held = [*first.values(), *(f"{k.replace('_', ' ')}: {t}" for k, t in rest if t)]
+    else:
+        return str(value)
+    text = "; ".join(dict.fromkeys(t for t in held if t))
+    return text or (json.dumps(value, ensure_ascii=False, sort_keys=True) if isinstance(value, dict) else None)
 
 
 def normalize_value(value: Column | str) -> Column:
-    """An answer as one text: lists and maps (two levels) joined by '; ', repeats and blanks dropped; blank and null as null."""
+    """An answer as one text; JSON lists and maps of any depth are folded, other texts trimmed. Blank and null as null.
+
+    Only lists and maps reach Python: neither a Column expression nor SQL can recurse.
+    """
     v = F.trim(col(value))
-    items = F.from_json(v, "array<string>")
-    pairs = F.from_json(v, "map<string,string>")
-    clean = lambda a: F.nullif(F.array_join(F.array_distinct(F.filter(F.transform(a, scalar_text), lambda x: x.isNotNull())), "; "), F.lit(""))
-    listed = F.transform(F.map_entries(pairs), lambda e: F.when(scalar_text(e["value"]).isNotNull(), F.concat(e["key"], F.lit(": "), scalar_text(e["value"]))))
-    mapped = F.nullif(F.array_join(F.filter(listed, lambda x: x.isNotNull()), "; "), F.lit(""))
-    return F.when(v.startswith("["), clean(items)).when(v.startswith("{"), mapped).when(v == "null", None).otherwise(F.nullif(v, F.lit("")))
+    nested = v.startswith("[") | v.startswith("{")
+
+    @F.arrow_udf("string")
+    def fold(texts):
+        import pyarrow as pa
+
+        def one(text):
+            try:
+                return nested_text(json.loads(text)) if text is not None else None
+            except (ValueError, RecursionError):
+                return text
+
+        return pa.array([one(t.as_py()) for t in texts], pa.string())
+
+    return F.when(nested, fold(F.when(nested, v))).when(v == "null", None).otherwise(F.nullif(v, F.lit("")))

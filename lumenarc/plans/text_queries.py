@@ -257,6 +257,15 @@ def json_01(spark, sf):
     return e.select("p_partkey", normalize_value("v").alias("value"))
 
 
+def json_01_nested(spark, sf):
+    """Answers nested three deep, made of the parts' columns."""
+    from lumenarc.functions.dims import normalize_value
+
+    inner = F.struct(F.col("p_size").alias("unit_size"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("note"))
+    whole = F.struct(F.array("p_brand", "p_brand", "p_type").alias("made_by"), F.array(inner, inner).alias("details"), F.col("p_name").alias("summary"), F.lit(None).cast("string").alias("empty"))
+    return table(spark, sf, "part").select("p_partkey", normalize_value(F.to_json(whole, {"ignoreNullFields": "false"})).alias("value"))
+
+
 def json_02(spark, sf):
     from lumenarc.functions.dims import canonical_map
 
@@ -342,6 +351,7 @@ QUERIES = {
     "prj_05_derived_columns": (prj_05, f"WITH {PAPERS} SELECT paper_id || '_' || collection AS id, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END AS title, year FROM papers"),
     "prj_07_udf_05_chunks": (prj_07, f"WITH {PAPERS}, {ANSWERS}, c AS (SELECT paper_id || '_abstract' AS chunk_id, 'abstract' AS chunk_type, text AS t, year FROM papers UNION ALL SELECT p.paper_id || '_dim_' || dimension, 'dim_' || dimension, value, year FROM papers p JOIN answers a ON a.paper_id = p.paper_id), g AS (SELECT *, substr(t, 1, 2048) AS cut FROM c WHERE trim(t) <> ''), h AS (SELECT *, CASE WHEN contains(cut, ' ') THEN 2048 - instr(reverse(cut), ' ') ELSE -1 END AS gap FROM g) SELECT chunk_id, chunk_type, CAST(CASE WHEN length(t) <= 2048 THEN length(t) WHEN gap > 2048 * 0.8 THEN gap + 3 ELSE 2051 END AS INTEGER) AS chars, year FROM h"),
     "json_01_normalize_value": (json_01, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'a; b' WHEN 2 THEN 'x: 1; y: true' WHEN 3 THEN NULL ELSE '12' END AS value FROM part"),
+    "json_01_nested_values": (json_01_nested, "SELECT p_partkey, p_name || '; made by: ' || p_brand || '; ' || p_type || '; details: ' || CASE WHEN p_size % 2 = 0 THEN p_type || '; ' ELSE '' END || 'unit size: ' || p_size AS value FROM part"),
     "json_02_prj_04_canonical_map": (json_02, f"WITH {ANSWERS}, k AS (SELECT * FROM (VALUES {ALIAS_ROWS}) k(alias, name)) SELECT paper_id, CAST(count(DISTINCT name) AS INTEGER) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM answers JOIN k ON dimension = alias WHERE value IS NOT NULL GROUP BY 1"),
     "json_06_parse_props": (json_06, "WITH k AS (SELECT event_id, list_sort(json_keys(props)) AS k FROM events) SELECT event_id, CAST(len(k) AS INTEGER) AS n, array_to_string(k[1:3], ',') AS names FROM k"),
     "json_07_migrate_flat": (json_07, "SELECT p_partkey, 'q01_name' AS dimension, p_name AS value FROM part UNION ALL SELECT p_partkey, 'q02_brand', p_brand FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, 'q03_type', p_type FROM part"),
