@@ -7,7 +7,10 @@ from difflib import SequenceMatcher
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenarc.functions.ids import normalize_doi
 from lumenarc.functions.text import col, normalize_title
+from lumenarc.operators.graph import components
+from lumenarc.sources.store import shared_folder, staged
 
 
 def survivors(papers: DataFrame, score: Column, skip: list[str] | None = None) -> DataFrame:
@@ -35,15 +38,142 @@ def sequence_ratio(a: str | None, b: str | None) -> float:
 
 
 def title_ratio(a: Column | str, b: Column | str) -> Column:
+    """sequence_ratio of two columns, batch by batch; meant for the few pairs that `similar_titles` leaves."""
+
     @F.arrow_udf("double")
     def ratio(x, y):
         import pyarrow as pa
 
-        return pa.array([sequence_ratio(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.float64())
+        matcher, held, out = SequenceMatcher(None), None, []
+        for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
+            p, q = (p or "").lower().strip(), (q or "").lower().strip()
+            if q != held:  # what a second title needs is worked out once
+                matcher.set_seq2(q)
+                held = q
+            matcher.set_seq1(p)
+            out.append(matcher.ratio() if p and q else 0.0)
+        return pa.array(out, pa.float64())
 
     return ratio(col(a), col(b))
 
 
+def similar_titles(rows: DataFrame, threshold: float, title: str = "title") -> DataFrame:
+    """a, b, ratio: all ordered pairs of different titles (lower case, trimmed) whose ratio reaches the threshold. Blank titles match nothing.
+
+    Matching blocks hold M characters, and the ratio is 2 M over both lengths. M is at most the number of characters that two titles share, each
+    counted as often as both have it. So a title is a set of numbered characters (the third e, the first z), a pair that matches has a set
+    similarity of threshold / (2 - threshold) or more, and such pairs share one of the rarest few of either's set: these meet in a join. Lengths,
+    then shared characters are compared before any ratio is worked out, and nothing is lost.
+    """
+    least = threshold / (2 - threshold)
+    t = F.lower(F.trim(F.col(title)))
+    titles = rows.select(F.trim(t).alias("t")).where("t <> ''").distinct()
+    sized = titles.withColumn("n", F.length("t"))
+    chars = sized.select("t", "n", F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("t", "n", "c").agg(F.count("*").cast("int").alias("k"))
+    bags = chars.groupBy("t", "n").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("bag"))  # as many as there are letters
+    numbered = chars.select("t", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.struct(F.col("c"), i.alias("i")))).alias("x"))
+    spread = numbered.groupBy("x").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("t").orderBy("df", "x"))
+    rare = numbered.join(spread, "x").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    one, two = (rare.select("x", F.col("t").alias(f"t{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    met = one.join(two, "x").where((F.col("t1") < F.col("t2")) & (F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-9)).select("t1", "t2", "n1", "n2").distinct()
+    bag = lambda i: bags.select(F.col("t").alias(f"t{i}"), F.col("bag").alias(f"b{i}"))
+    shared = F.aggregate(F.map_entries("b1"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at("b2", e["key"]), F.lit(0))))
+    close = met.join(bag(1), "t1").join(bag(2), "t2").where(2 * shared >= threshold * (F.col("n1") + F.col("n2")) - 1e-9)
+    both = close.select("t1", "t2").unionByName(close.select(F.col("t2").alias("t1"), F.col("t1").alias("t2")))
+    return both.select(F.col("t1").alias("a"), F.col("t2").alias("b"), title_ratio("t1", "t2").alias("ratio")).where(F.col("ratio") >= threshold)
+
+
+#: Rows of a group of similar titles that one task replays in order; larger groups are settled in rounds.
+REPLAY_ROWS = 5000
+
+
+def replay(order: list, weight: dict, earlier: dict) -> set:
+    """What stays when rows come in order: a row meets its first similar row that stayed, and takes its place if it weighs more; else it goes. Rows
+    without an entry in `earlier` stay when they come."""
+    kept: set = set()
+    for r in order:
+        rival = next((e for e in earlier.get(r, ()) if e in kept), None)
+        if rival is None:
+            kept.add(r)
+        elif weight[r] > weight[rival]:
+            kept.discard(rival)
+            kept.add(r)
+    return kept
+
+
+def settle_in_rounds(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The replay for groups of any size. rows: pos, weight; edges: pos, rival (earlier). A row is settled when all earlier rows are that could still
+    change what it meets: its rivals, and the rows before it that meet one of them. pos of what stays."""
+    spark = rows.sparkSession
+    state = staged(spark, rows.join(edges.select("pos").distinct().withColumn("open", F.lit(True)), "pos", "left").select("pos", "weight", F.coalesce("open", F.lit(False)).alias("open"), F.col("open").isNull().alias("kept")), "settled")
+    while not state.where("open").isEmpty():
+        rival = state.select(F.col("pos").alias("rival"), F.col("weight").alias("w2"), F.col("open").alias("open2"), F.col("kept").alias("kept2"))
+        known = edges.join(state, "pos").join(rival, "rival")
+        waiting = known.where("open").groupBy("rival").agg(F.min("pos").alias("first"))
+        mine = known.where("open").join(waiting, "rival")
+        seen = mine.groupBy("pos", "weight").agg(F.bool_and((F.col("first") == F.col("pos")) & ~F.col("open2")).alias("ready"), F.min(F.when(F.col("kept2"), F.struct("rival", "w2"))).alias("meets"))
+        done = staged(spark, seen.where("ready").select("pos", (F.col("meets").isNull() | (F.col("weight") > F.col("meets.w2"))).alias("stays"), F.when(F.col("weight") > F.col("meets.w2"), F.col("meets.rival")).alias("out")), "done")
+        out = done.where("out is not null").select(F.col("out").alias("pos")).distinct().withColumn("gone", F.lit(True))
+        moved = state.join(done.select("pos", "stays"), "pos", "left").join(out, "pos", "left")
+        state = staged(spark, moved.select("pos", "weight", (F.col("open") & F.col("stays").isNull()).alias("open"), (F.coalesce("stays", "kept") & F.col("gone").isNull()).alias("kept")), "settled")
+    return state.where("kept").select("pos")
+
+
+def merge_results(results: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """results (pos, doi, title, score, weight, ...): one row for each DOI and each group of similar titles, as a scan in order of pos would keep them.
+
+    Of a DOI's rows the one with the best weighted score (the first of equals) stays, in the place of the DOI's first row; rows without a DOI come after those, in
+    order, each against what stayed so far: it replaces the first similar row if it weighs more, else goes.
+    """
+    spark = results.sparkSession
+    shared_folder(spark)
+    weighted = staged(spark, results.withColumn("__w", F.col("score") * F.col("weight")), "results")
+    found = F.coalesce(normalize_doi("doi"), F.lit(""))
+    best = weighted.where(found != "").groupBy(found.alias("d")).agg(F.min("pos").alias("first"), F.max_by("pos", F.struct("__w", -F.col("pos"))).alias("pos"))
+    # Rows with a DOI come first; both kinds keep their order.
+    keyed = weighted.join(best.select("pos", "first"), "pos", "left").where((found == "") | F.col("first").isNotNull())
+    seat = F.struct(F.col("first").isNull().alias("late"), F.coalesce("first", "pos").alias("at"))
+    rows = staged(spark, keyed.select(seat.alias("seat"), "pos", F.trim(F.lower(F.trim("title"))).alias("t"), F.col("__w").alias("weight")), "seated")
+    pairs = staged(spark, similar_titles(rows, threshold, "t"), "similar")
+    same = rows.where("t <> ''").groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    pairs = pairs.select("a", "b").unionByName(same.select(F.col("t").alias("a"), F.col("t").alias("b")))
+    late = rows.where("seat.late").select("seat", "t").join(pairs, F.col("t") == F.col("a")).select("seat", "b")
+    edges = late.join(rows.select(F.col("seat").alias("rival"), F.col("t").alias("t2")), F.col("b") == F.col("t2")).where("rival < seat").select("seat", "rival")
+    edges = staged(spark, edges, "rivals")
+    return weighted.join(survivors_of(rows.select("seat", "pos", "weight"), edges), "pos", "left_semi").drop("__w")
+
+
+def survivors_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """pos of the rows (seat, pos, weight) that the replay keeps; edges: seat, rival. Groups of rows tied by edges are replayed side by side."""
+    spark = rows.sparkSession
+    at = lambda c: F.col(c)["at"] * 2 + F.col(c)["late"].cast("long")
+    key = lambda c: F.struct(F.col(c)["late"], F.col(c)["at"])
+    group = staged(spark, components(edges.select(at("seat").alias("a"), at("rival").alias("b"))), "groups")
+    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
+    own = rows.withColumn("node", at("seat")).join(group, "node", "left").join(sizes, "component", "left")
+    alone = own.where("component is null").select("pos")
+    lists = edges.groupBy("seat").agg(F.array_sort(F.collect_list(key("rival"))).alias("rivals"))  # below REPLAY_ROWS where it is used
+    small = own.where(F.col("n") <= REPLAY_ROWS).join(lists, "seat", "left")
+
+    def run(table):
+        import pyarrow as pa
+
+        seats = [(s["late"], s["at"]) for s in table.column("seat").to_pylist()]
+        weight = dict(zip(seats, table.column("weight").to_pylist(), strict=True))
+        earlier = {s: [tuple(r.values()) for r in e] for s, e in zip(seats, table.column("rivals").to_pylist(), strict=True) if e}
+        kept = replay(sorted(seats), weight, earlier)
+        return pa.table({"pos": pa.array([p for s, p in zip(seats, table.column("pos").to_pylist(), strict=True) if s in kept], pa.int64())})
+
+    replayed = small.select("component", "seat", F.col("pos").cast("long").alias("pos"), "weight", "rivals").groupBy("component").applyInArrow(run, "pos long")
+    large = own.where(F.col("n") > REPLAY_ROWS)
+    done = alone.select(F.col("pos").cast("long").alias("pos")).unionByName(replayed)
+    if not large.isEmpty():
+        left = settle_in_rounds(large.select(F.col("seat").alias("pos"), "weight"), edges.join(large.select("seat"), "seat", "left_semi").select(F.col("seat").alias("pos"), "rival"))
+        done = done.unionByName(large.join(left.select(F.col("pos").alias("seat")), "seat", "left_semi").select(F.col("pos").cast("long").alias("pos")))
+    return done
+
+
 def greedy_distinct(rows: DataFrame, group: list[str], order: list, similar, columns: list[str]) -> DataFrame:
     """In each group, in the given order, rows that `similar` no kept row. `similar(row, kept_row)` sees dicts of `columns`; groups are bounded result lists."""
     names = rows.columns

@@ -229,6 +229,22 @@ def er_04(spark, sf):
     return E.merge_by_doi(rows).select("paper_id", "doi")
 
 
+def page_titles(spark, sf):
+    return table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("pos"), "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
+
+
+def er_04_titles(spark, sf):
+    """Pages as results of two indexes: one for each DOI and each group of similar titles."""
+    doi = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("10.1000/X"), F.col("pos") % 50))
+    rows = page_titles(spark, sf).select("pos", "url", doi.alias("doi"), "title", (F.col("pos") % 100 / 100).alias("score"), F.when(F.col("pos") % 2 == 0, 1.0).otherwise(0.5).alias("weight"))
+    return E.merge_results(rows, 0.85).select("url", "title")
+
+
+def er_05_join(spark, sf):
+    """Pairs of pages' titles that are similar by their matching blocks."""
+    return E.similar_titles(page_titles(spark, sf), 0.85).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
 def er_05(spark, sf):
     p = table(spark, sf, "part")
     return p.select("p_partkey", F.round(E.title_ratio("p_name", F.concat("p_name", F.lit(" x"))), 6).alias("ratio"), F.length("p_name").alias("n")).where("ratio > 0")
@@ -425,6 +441,8 @@ QUERIES = {
     "er_02_survivors": (er_02, f"WITH {PAPERS}, k AS (SELECT *, CASE WHEN {sql_normal_title('title')} IN ('', 'untitled') THEN chr(1) || paper_id ELSE {sql_normal_title('title')} END AS norm, CASE WHEN doi IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN year IS NOT NULL THEN 1 ELSE 0 END + 2 AS s FROM papers), b AS (SELECT norm, arg_min(paper_id, (-s, pos)) AS survivor, count(*) AS group_size FROM k GROUP BY 1) SELECT paper_id, survivor, group_size FROM k JOIN b USING (norm)"),
     "er_03_redirect_edges": (er_03, "WITH e AS (SELECT CASE WHEN l_orderkey % 3 = 0 AND l_orderkey IN (SELECT p_partkey FROM part) THEN l_orderkey - 1 ELSE l_orderkey END AS source, CASE WHEN l_partkey % 3 = 0 AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey - 1 ELSE l_partkey END AS target FROM lineitem) SELECT source, count(DISTINCT target) AS edges, min(target) AS first FROM e WHERE source <> target GROUP BY 1"),
     "er_04_merge_by_doi": (er_04, f"WITH {PAPERS}, r AS (SELECT paper_id, collection AS source, lower(doi) AS doi, (pos % 100) / 100 * CASE WHEN pos % 2 = 0 THEN 1.0 ELSE 0.5 END AS w FROM papers) SELECT paper_id, doi FROM r QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY doi ORDER BY w DESC, source, paper_id) = 1"),
+    "er_04_merge_by_titles": (er_04_titles, None),
+    "er_05_similar_titles": (er_05_join, None),
     "er_05_title_ratio": (er_05, "SELECT p_partkey, round(2 * length(p_name) / (2 * length(p_name) + 2), 6) AS ratio, CAST(length(p_name) AS INTEGER) AS n FROM part"),
     "er_06_greedy_questions": (er_06, None),
     "er_07_duplicate_groups": (er_07, f"WITH {PAPERS}, g AS (SELECT *, coalesce({NORM_DOI}, {sql_normal_title('title')}) AS g FROM papers) SELECT g, paper_id, count(*) OVER (PARTITION BY g) AS n FROM g QUALIFY n > 1 AND row_number() OVER (PARTITION BY g ORDER BY year DESC NULLS LAST, length(text) DESC, pos) = 1"),
