@@ -169,22 +169,50 @@ def rank_questions(questions: DataFrame, relevance: float = 0.6, diversity: floa
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.round("combined", 12).desc(), "pos")))
 
 
-def triage(title: Column | str) -> Column:
-    """Repair category of an item without authors: identifier, garbled, no publication, government, other."""
+#: Titles that scanners and exports give, titles of what is no publication, and titles of government and policy reports; in order.
+GARBLED = ("^KMBT_", "^214ps", "^Scannable Document", "^Scanned using", "^pdf$", r"^\d+$", "^__$")
+NO_PUBLICATION = (
+    r"^cc\d", r"^Activity \d", "concept map", "^DRAFT ", "PROGRESS REPORT", "Template-", "cheatsheet", r"\.docx?$", r"\.pptx?$", r"\.jpg$", "ACFT-Score", "ARTIFACT ARCHIVE",
+    "User Agreement", "biosketch", "^annotated-", "^bisht ", "^moore ", "Learning Outcomes", "CHECKLIST", "Recruitment-Script", "STAC ActionPlan", "Score-Cart", "File Styles", "Knitting Tips",
+)
+GOVERNMENT = (
+    "GAO", "ODNI", "NCSC", "FAA", "Biden", "White House", "National Strategy", r"CALL \d", "Army", "Defense", "Strategic Guidance", "Threat Assessment", "NAS Roadmap",
+    "Rule Part 107", "DOD", "Emerging Tech.*Factsheet",
+)
+
+
+def any_of(patterns: tuple[str, ...]) -> str:
+    return "(?i)" + "|".join(patterns)
+
+
+def triage(title: Column | str, doi: Column | str) -> Column:
+    """Repair category of an item: A has a DOI, E a garbled title, D is no publication, C a government report, B the rest."""
     t = F.coalesce(col(title), F.lit(""))
-    return (
-        F.when(t.rlike(r"10\.\d{4,9}/"), "A")
-        .when((F.length(t) < 5) | t.rlike(r"^[^A-Za-z]*$") | t.rlike(r"(?i)^(untitled|microsoft word|document\d*)"), "E")
-        .when(t.rlike(r"(?i)\b(slides?|invoice|agenda|minutes|syllabus|receipt)\b"), "D")
-        .when(t.rlike(r"(?i)\b(department of|ministry|government|congress|agency|federal)\b"), "C")
-        .otherwise("B")
-    )
+    known = F.coalesce(col(doi), F.lit("")) != ""
+    return F.when(known, "A").when(t.rlike(any_of(GARBLED)), "E").when(t.rlike(any_of(NO_PUBLICATION)), "D").when(t.rlike(any_of(GOVERNMENT)), "C").otherwise("B")
+
+
+#: How model names of a provider begin, and which provider is asked after which.
+MODEL_STARTS = {"anthropic": ("claude",), "openai": ("gpt-", "o1", "o3", "o4"), "google": ("gemini",), "ollama": ("llama", "qwen", "mistral")}
+OPPOSITES = {"anthropic": "openai", "openai": "anthropic"}
 
 
 def provider_of(model: Column | str) -> Column:
-    """The provider that a model name belongs to, by its prefix."""
-    m = F.lower(col(model))
-    return F.when(m.rlike("^(gpt|o1|o3|o4|chatgpt)"), "openai").when(m.rlike("^gemini"), "google").when(m.rlike("^(llama|mistral|qwen|phi)"), "ollama").when(m.rlike("^(claude|opus|sonnet|haiku)"), "anthropic")
+    """The provider of a model name; `synthesis:` names one itself, as far as it serves by name. Others null."""
+    m = F.lower(F.trim(col(model)))
+    named = F.substring(m, len("synthesis:") + 1, 100)
+    out = F.when(m.startswith("synthesis:"), F.when(named.isin("anthropic", "openai", "google"), named))
+    for provider, starts in MODEL_STARTS.items():
+        out = out.when(m.rlike("^(" + "|".join(starts) + ")"), provider)
+    return out
+
+
+def gap_fill_provider(extraction_model: Column | str, model: Column | str, filled_by: Column | str, override: str | None = None) -> Column:
+    """Who fills an answer's gaps: the opposite of the provider that gave the answer (its extraction's model, else the entry's), else of the one that filled it before, else anthropic."""
+    if override:
+        return F.lit(override)
+    opposite = F.create_map(*[F.lit(x) for kv in OPPOSITES.items() for x in kv])
+    return F.coalesce(opposite[provider_of(F.coalesce(col(extraction_model), col(model)))], opposite[col(filled_by)], F.lit("anthropic"))
 
 
 def validation_issues(confidence: Column, answered: Column, missing_required: Column, title_share: Column) -> Column:

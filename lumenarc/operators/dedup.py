@@ -212,3 +212,21 @@ def best_candidate(candidates: DataFrame, threshold: float, year: Column | str)
     )
     pick = F.when(F.col("same.ratio") >= threshold - 0.1, F.col("same")).when(F.col("any.ratio") >= threshold, F.col("any"))
     return top.select("item", pick["cand"].alias("cand"), pick["ratio"].alias("ratio"))
+
+
+def duplicate_groups(records: DataFrame) -> DataFrame:
+    """records (item_id, item_type, title, doi, n_pdfs, n_pdf_paths, metadata_score, modified, added): source, group_key, item_id, keeper for each
+    member of a group of two or more.
+
+    Records with a DOI are grouped by it, others by their title (lower case, blanks collapsed; blank titles too); a group of titles counts only if some have a PDF
+    and some have none. Attachments are left out. The keeper is no web page, has a PDF, has one PDF path, has more metadata,
+    was modified, then added last; in that order of weight, the first item of equals. Groups of any size: counts, a maximum and a join.
+    """
+    doi = F.nullif(F.regexp_replace(F.lower(F.trim("doi")), r"^https?://(?:dx\.)?doi\.org/", ""), F.lit(""))
+    title = F.regexp_replace(F.lower(F.trim(F.coalesce("title", F.lit("")))), r"\s+", " ")
+    rows = records.where("item_type is distinct from 'attachment'").withColumn("source", F.when(doi.isNotNull(), "doi").otherwise("title")).withColumn("group_key", F.coalesce(doi, title))
+    has = F.coalesce("n_pdfs", F.lit(0)) > 0
+    worth = F.struct(F.coalesce(F.col("item_type") != "webpage", F.lit(True)).alias("a"), has.alias("b"), F.coalesce(F.col("n_pdf_paths") == 1, F.lit(False)).alias("c"), "metadata_score", "modified", "added", (-F.col("item_id")).alias("d"))
+    best = rows.groupBy("source", "group_key").agg(F.max_by("item_id", worth).alias("keeper"), F.count("*").alias("n"), F.bool_or(has).alias("some"), F.bool_or(~has).alias("none"))
+    kept = best.where("n > 1 and (source = 'doi' or (some and none))").select("source", "group_key", "keeper")
+    return rows.select("source", "group_key", "item_id").join(kept, ["source", "group_key"])

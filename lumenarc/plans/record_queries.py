@@ -259,12 +259,11 @@ def er_06(spark, sf):
 
 
 def er_07(spark, sf):
-    from lumenarc.functions.ids import normalize_doi
-    from lumenarc.functions.text import normalize_title
-
-    p = papers(spark, sf).withColumn("g", F.coalesce(normalize_doi("doi"), normalize_title("title")))
-    w = Window.partitionBy("g").orderBy(F.col("year").desc_nulls_last(), F.length("text").desc(), "pos")
-    return p.withColumn("n", F.count("*").over(Window.partitionBy("g"))).withColumn("r", F.row_number().over(w)).where("n > 1 and r = 1").select("g", "paper_id", "n")
+    p = papers(spark, sf)
+    kind = F.when(F.col("pos") % 5 == 0, "webpage").when(F.col("pos") % 11 == 0, "attachment").otherwise("book")
+    score = F.when(F.col("title") != "", 1).otherwise(0) + F.when(F.col("doi").isNotNull(), 1).otherwise(0) + F.when(F.col("year").isNotNull(), 1).otherwise(0)
+    rows = p.select(F.col("pos").alias("item_id"), kind.alias("item_type"), "title", F.when(F.col("pos") % 3 == 0, F.col("doi")).alias("doi"), (F.col("pos") % 3).alias("n_pdfs"), (F.col("pos") % 3).alias("n_pdf_paths"), score.alias("metadata_score"), F.col("year").cast("string").alias("modified"), F.col("collection").alias("added"))
+    return E.duplicate_groups(rows)
 
 
 def er_08(spark, sf):
@@ -368,14 +367,24 @@ def ml_17(spark, sf):
     return p.select("p_partkey", F.array_join(issues, ",").alias("issues"))
 
 
+def triage_titles():
+    """Part names as items' titles: with numbers, endings and names of offices that the columns choose."""
+    size = F.col("p_size")
+    shaped = F.when(size % 7 == 0, F.col("p_partkey").cast("string")).when(size % 7 == 1, F.concat("p_name", F.lit(".docx"))).when(size % 7 == 2, F.concat("p_type", F.lit(" Army "), "p_name")).when(size % 7 == 3, F.concat(F.lit("Activity "), size.cast("string"))).otherwise(F.concat("p_name", F.lit(" "), "p_type"))
+    return shaped, F.when(F.col("p_retailprice") > 1500, F.concat(F.lit("10.1000/"), "p_partkey"))
+
+
 def ml_18(spark, sf):
-    t = F.element_at(F.array(F.lit("10.1234/abc"), F.lit("x"), F.lit("Course syllabus"), F.lit("Department of Energy"), F.col("p_name")), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", K.triage(t).alias("category"))
+    title, doi = triage_titles()
+    return table(spark, sf, "part").select("p_partkey", K.triage(title, doi).alias("category"))
 
 
 def ml_19(spark, sf):
-    m = F.element_at(F.array(F.lit("gpt-4o"), F.lit("gemini-pro"), F.lit("llama3"), F.lit("unknown")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, sf, "part").groupBy(K.provider_of(m).alias("provider")).agg(F.count("*").alias("n"))
+    """Conversations' roles as what answered, or filled a gap: who is asked next."""
+    c = table(spark, sf, "conversations")
+    model = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("synthesis:"), F.when(F.col("role") == "user", "openai").otherwise("other"))).when(F.col("role") == "user", F.concat(F.lit("claude-"), "turn")).when(F.col("turn") % 2 == 0, F.concat(F.lit("gpt-"), "turn"))
+    filled = F.when(F.col("conv_id") % 2 == 0, "anthropic")
+    return c.groupBy(K.provider_of(model).alias("provider"), K.gap_fill_provider(F.lit(None).cast("string"), model, filled).alias("next")).agg(F.count("*").alias("n"))
 
 
 def udf_02(spark, sf):
@@ -445,7 +454,7 @@ QUERIES = {
     "er_05_similar_titles": (er_05_join, None),
     "er_05_title_ratio": (er_05, "SELECT p_partkey, round(2 * length(p_name) / (2 * length(p_name) + 2), 6) AS ratio, CAST(length(p_name) AS INTEGER) AS n FROM part"),
     "er_06_greedy_questions": (er_06, None),
-    "er_07_duplicate_groups": (er_07, f"WITH {PAPERS}, g AS (SELECT *, coalesce({NORM_DOI}, {sql_normal_title('title')}) AS g FROM papers) SELECT g, paper_id, count(*) OVER (PARTITION BY g) AS n FROM g QUALIFY n > 1 AND row_number() OVER (PARTITION BY g ORDER BY year DESC NULLS LAST, length(text) DESC, pos) = 1"),
+    "er_07_duplicate_groups": (er_07, f"WITH {PAPERS}, i AS (SELECT pos AS item_id, CASE WHEN pos % 5 = 0 THEN 'webpage' WHEN pos % 11 = 0 THEN 'attachment' ELSE 'book' END AS kind, CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN doi IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN year IS NOT NULL THEN 1 ELSE 0 END AS meta, CAST(year AS VARCHAR) AS modified, collection AS added, CASE WHEN pos % 3 = 0 THEN regexp_replace(lower(trim(doi)), '^https?://(?:dx\\.)?doi\\.org/', '') END AS d, regexp_replace(lower(trim(coalesce(title, ''))), '\\s+', ' ', 'g') AS t FROM papers), g AS (SELECT *, CASE WHEN d IS NOT NULL THEN 'doi' ELSE 'title' END AS source, coalesce(d, t) AS group_key FROM i WHERE kind <> 'attachment'), k AS (SELECT *, count(*) OVER w AS n, bool_or(item_id % 3 > 0) OVER w AS has_pdf, bool_or(item_id % 3 = 0) OVER w AS has_none, first_value(item_id) OVER (PARTITION BY source, group_key ORDER BY kind <> 'webpage' DESC, item_id % 3 > 0 DESC, item_id % 3 = 1 DESC, meta DESC, modified DESC NULLS LAST, added DESC NULLS LAST, item_id) AS keeper FROM g WINDOW w AS (PARTITION BY source, group_key)) SELECT source, group_key, item_id, keeper FROM k WHERE n > 1 AND (source = 'doi' OR (has_pdf AND has_none))"),
     "er_08_best_candidate": (er_08, "WITH c AS (SELECT l_orderkey AS item, l_partkey AS cand, l_quantity / 50 AS ratio, l_linenumber % 3 AS y FROM lineitem), t AS (SELECT item, arg_max(cand, (ratio, cand)) AS ac, max(ratio) AS ar, arg_max(cand, (ratio, cand)) FILTER (y = 1) AS sc, max(ratio) FILTER (y = 1) AS sr FROM c GROUP BY 1) SELECT item, CASE WHEN sr >= 0.85 - 0.1 THEN sc WHEN ar >= 0.85 THEN ac END AS cand, CASE WHEN sr >= 0.85 - 0.1 THEN sr WHEN ar >= 0.85 THEN ar END AS ratio FROM t"),
     "er_09_source_precedence": (er_09, "SELECT CASE WHEN p_size < 10 THEN 'doi' WHEN p_size < 20 THEN 'isbn' WHEN p_size < 30 THEN 'title' ELSE 'none' END AS source, CAST(CASE WHEN p_size < 10 THEN 0.95 WHEN p_size < 20 THEN 0.85 WHEN p_size < 30 THEN 0.75 ELSE 0 END AS DOUBLE) AS confidence, count(*) AS n FROM part GROUP BY ALL"),
     "er_10_overlap_coefficient": (er_10, f"WITH b AS (SELECT item_id, {sql_title_tokens('text')} AS t FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS overlap FROM b a JOIN b ON a.item_id + 1 = b.item_id"),
@@ -466,8 +475,8 @@ QUERIES = {
     "ml_13_gap_fill_scope": (ml_13, f"WITH {ANSWERS}, h AS (SELECT paper_id, dimension FROM answers GROUP BY ALL HAVING count(value) = 0) SELECT paper_id, string_agg(dimension, ',' ORDER BY dimension) AS ask_again FROM h GROUP BY 1"),
     "ml_15_parse_questions": (ml_15, "SELECT p_partkey, 'Why ' || p_name || '?' AS question FROM part UNION ALL SELECT p_partkey, 'How ' || p_brand || '?' FROM part"),
     "ml_17_validation": (ml_17, "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 > 0 THEN 'missing_required' END, CASE WHEN p_size / 50 < 0.5 THEN 'low_confidence' WHEN p_size / 50 < 0.7 THEN 'medium_confidence' END, CASE WHEN p_partkey % 10 < 5 THEN 'few_dimensions' END, CASE WHEN p_size / 100 < 0.3 THEN 'title_mismatch' END) AS issues FROM part"),
-    "ml_18_triage": (ml_18, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'E' WHEN 2 THEN 'D' WHEN 3 THEN 'C' ELSE 'B' END AS category FROM part"),
-    "ml_19_providers": (ml_19, "SELECT CASE p_partkey % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'google' WHEN 2 THEN 'ollama' END AS provider, count(*) AS n FROM part GROUP BY 1"),
+    "ml_18_triage": (ml_18, "SELECT p_partkey, CASE WHEN p_retailprice > 1500 THEN 'A' WHEN p_size % 7 = 0 THEN 'E' WHEN p_size % 7 IN (1, 3) THEN 'D' WHEN p_size % 7 = 2 THEN 'C' ELSE 'B' END AS category FROM part"),
+    "ml_19_providers": (ml_19, "WITH m AS (SELECT CASE WHEN turn % 3 = 0 THEN CASE WHEN role = 'user' THEN 'openai' END WHEN role = 'user' THEN 'anthropic' WHEN turn % 2 = 0 THEN 'openai' END AS provider, conv_id FROM conversations) SELECT provider, CASE provider WHEN 'openai' THEN 'anthropic' WHEN 'anthropic' THEN 'openai' ELSE CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END END AS next, count(*) AS n FROM m GROUP BY ALL"),
     "udf_02_model_calls": (udf_02, "SELECT p_partkey, p_name AS prompt, 'echo: ' || p_name AS reply FROM part"),
     "udf_08_memory_rows": (udf_08, "SELECT DISTINCT 'session' || conv_id AS name, 'session' AS kind FROM conversations WHERE role = 'user' UNION ALL SELECT 'session' || conv_id || '->' || turn, 'relation' FROM conversations WHERE role = 'user'"),
 }

@@ -30,8 +30,22 @@ def stm_02(spark, sf):
 
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("mark"))
     diff = snapshot_diff(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 <> 1"), "o_orderkey", "mark")
-    plan = SY.plan_sync({"schema": 1, "embedding": "a"}, {"schema": 1, "embedding": "a"}, diff)
-    return spark.createDataFrame([(plan["mode"], plan["counts"].get("new", 0), plan["counts"].get("deleted", 0))], "mode string, added long, deleted long")
+    pending = o.where("o_orderkey % 97 = 5").select(F.lit("embeddings").alias("stage"), F.col("o_orderkey").alias("paper_id"))
+    held = {"schema": 1, "embedding": "a", "extraction": "x"}
+    runs = {
+        "as it is": (held, held, {}),
+        "other embedding": (held, held | {"embedding": "b"}, {}),
+        "other embedding, update": (held, held | {"embedding": "b"}, {"requested": "update"}),
+        "other extraction, new only": (held, held | {"extraction": "y"}, {"limit": "new"}),
+        "no manifest": ("missing", held, {}),
+    }
+    out = None
+    for name, (manifest, wanted, more) in runs.items():
+        plan = SY.plan_sync(manifest, wanted, diff, pending, **more)
+        row = plan.changes.groupBy("change").agg(F.count("*").alias("n")).where("change <> 'unchanged'")
+        row = row.select(F.lit(name).alias("run"), F.lit(plan.mode).alias("mode"), F.lit(plan.noop).alias("noop"), F.lit(len(plan.reasons)).alias("reasons"), F.lit(len(plan.advisories)).alias("advisories"), "change", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def stm_03(spark, sf):
@@ -86,7 +100,7 @@ QUERIES = {
     "stm_01_tumbling_windows": (stm_01_tumbling, f"SELECT {BUCKET.format(21600)} AS start, {BUCKET.format(21600)} + 21600 AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "stm_01_sliding_windows": (stm_01_sliding, f"SELECT {BUCKET.format(3600)} - 3600 * i AS start, event_type, count(*) AS n FROM events, range(2) r(i) GROUP BY ALL"),
     "stm_01_session_windows": (stm_01_sessions, f"WITH {SESSIONS} SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS \"end\", count(*) AS n FROM s GROUP BY user_id, k"),
-    "stm_02_plan_sync": (stm_02, "SELECT 'update' AS mode, count(*) FILTER (o_orderkey % 10 = 0) AS added, count(*) FILTER (o_orderkey % 10 = 1) AS deleted FROM orders"),
+    "stm_02_plan_sync": (stm_02, "WITH r AS (SELECT * FROM (VALUES ('as it is', 'update', 0, 0, true), ('other embedding', 'full', 1, 0, true), ('other embedding, update', 'invalid', 1, 0, true), ('other extraction, new only', 'update', 0, 1, false), ('no manifest', 'full', 1, 0, true)) r(run, mode, reasons, advisories, every)), c AS (SELECT 'new' AS change, count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'deleted', count(*) FROM orders WHERE o_orderkey % 10 = 1) SELECT run, mode, false AS noop, CAST(reasons AS INTEGER) AS reasons, CAST(advisories AS INTEGER) AS advisories, change, n FROM r, c WHERE n > 0 AND (every OR change = 'new')"),
     "stm_03_pending_work": (stm_03, "SELECT stage, paper_id FROM (SELECT DISTINCT l_returnflag AS stage, l_orderkey AS paper_id FROM lineitem WHERE l_linenumber <= 3 EXCEPT SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_linestatus = 'F') UNION SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_quantity > 45"),
     "stm_04_ledger": (stm_04, "SELECT user_id AS paper_id, CASE WHEN arg_max(event_type, event_id) = 'click' THEN 'failed' ELSE 'processed' END AS status, count(*) FILTER (event_type = 'click') AS failures, count(*) AS tries FROM events GROUP BY 1"),
     "stm_04_07_resume": (stm_04_resume, "SELECT c_custkey AS paper_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) = 'click')"),

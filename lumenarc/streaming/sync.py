@@ -2,24 +2,84 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.operators.corpus import upsert
 
 
-def plan_sync(manifest: dict, wanted: dict, changes: DataFrame) -> dict:
-    """mode (full, update, invalid, noop), reasons and counts from version keys and a diff's changes."""
+#: What a manifest says of the run that wrote it, and why a rebuild is due where that differs from what is wanted.
+REBUILDS = {
+    "schema": "manifest schema changed",
+    "source": "source scope changed",
+    "classification": "classification policy changed",
+    "embedding": "embedding configuration changed",
+    "chunks": "chunk schema changed",
+    "overviews": "overview schema changed",
+    "similarity": "similarity schema changed",
+}
+MANIFEST_ERRORS = {"missing": "manifest is missing", "corrupt": "manifest is corrupt"}
+
+
+@dataclass
+class SyncPlan:
+    """changes: key, change (new, modified, deleted, unchanged), after the run's limits. mode: full, update or invalid."""
+
+    requested: str
+    mode: str
+    reasons: list[str]
+    advisories: list[str]
+    changes: DataFrame
+    counts: dict[str, int]
+    noop: bool = False
+    full_rebuild: bool = False
+    clear_vectors: bool = False
+    full_extraction: bool = False
+
+
+def plan_sync(
+    manifest: dict | str, wanted: dict, changes: DataFrame, pending: DataFrame | None = None, requested: str = "auto", incremental: bool = True,
+    consistent: bool = True, store_problem: str | None = None, targets: int = 0, unmatched: list[str] | None = None, limit: str | None = None,
+) -> SyncPlan:
+    """What a run has to do.
+
+    manifest, wanted: fingerprints under the keys of REBUILDS and `extraction`; manifest may be `missing` or `corrupt`. pending (stage, paper_id): work that earlier
+    runs left. incremental: the source can tell its changes. consistent: the stored tables are those the manifest counts. targets: how many
+    papers the run was asked for. limit: `new` or `delete`, changes of other kinds are left out.
+
+    Differences make a full run due; where an update was asked for, the plan is invalid instead. Another extraction set-up is only an advisory. An update with
+    neither changes nor pending work is a noop.
+    """
+    if limit == "new":
+        changes = changes.where("change not in ('modified', 'deleted')")
+    elif limit == "delete":
+        changes = changes.where("change not in ('new', 'modified')")
+    reasons = ["source cannot tell its changes"] if requested == "auto" and not incremental else []
+    if requested == "update" and not incremental:
+        return SyncPlan(requested, "invalid", ["updates need a source that can tell its changes"], [], changes.limit(0), {})
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}  # four rows
-    touched = sum(counts.get(c, 0) for c in ("new", "modified", "deleted"))
-    if not manifest:
-        return {"mode": "full", "reasons": ["no manifest"], "counts": counts}
-    if manifest.get("schema", 0) > wanted.get("schema", 0):
-        return {"mode": "invalid", "reasons": ["manifest is newer than this code"], "counts": counts}
-    differing = [k for k in sorted(wanted) if manifest.get(k) != wanted[k] and k != "advisory"]
-    if differing:
-        return {"mode": "full", "reasons": [f"{k} changed" for k in differing], "counts": counts}
-    return {"mode": "update" if touched else "noop", "reasons": [], "counts": counts}
+    due, advisories = [], []
+    if isinstance(manifest, str):
+        due.append(MANIFEST_ERRORS[manifest])
+    else:
+        due += [why for key, why in REBUILDS.items() if manifest.get(key) != wanted.get(key)]
+        if manifest.get("extraction") != wanted.get("extraction"):
+            advisories.append(f"extraction set-up differs: {manifest.get('extraction')} before, {wanted.get('extraction')} now; answers are kept")
+        due += ([] if consistent else ["stored tables differ from the manifest"]) + ([store_problem] if store_problem else [])
+    if unmatched:
+        reasons.append("unmatched targets: " + ", ".join(sorted(unmatched)))
+    if requested == "update" and due:
+        return SyncPlan(requested, "invalid", due + reasons, advisories, changes, counts, full_extraction=not consistent)
+    full = requested == "full" or bool(due) or not incremental
+    if full and requested != "full":
+        reasons = due + reasons
+    if targets and requested == "full":
+        reasons.append("a full run of named papers only refreshes these")
+    touched = any(counts.get(c) for c in ("new", "modified", "deleted"))
+    owed = not full and not touched and pending is not None and not pending.isEmpty()
+    return SyncPlan(requested, "full" if full else "update", reasons, advisories, changes, counts, noop=not full and not touched and not owed, full_rebuild=full, clear_vectors=full and not targets, full_extraction=not consistent)
 
 
 def pending_work(state: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:

@@ -165,12 +165,55 @@ def test_upsert_stream(spark, tmp_path):
 
 
 def test_sync_plan(spark):
-    none = spark.createDataFrame([("a", "unchanged")], "k string, change string")
-    some = spark.createDataFrame([("a", "new")], "k string, change string")
-    assert SY.plan_sync({}, {"schema": 1}, none)["mode"] == "full"
-    assert SY.plan_sync({"schema": 1}, {"schema": 1}, none)["mode"] == "noop"
-    assert SY.plan_sync({"schema": 1}, {"schema": 1}, some)["mode"] == "update"
-    assert SY.plan_sync({"schema": 2}, {"schema": 1}, some)["mode"] == "invalid"
+    frame = lambda *c: spark.createDataFrame([(x, c) for x, c in c], "k string, change string")
+    none, some = frame(("a", "unchanged")), frame(("a", "new"), ("b", "deleted"), ("c", "modified"))
+    held = {"schema": 1, "source": "s", "embedding": "e", "extraction": "x"}
+    plan = lambda m=held, w=held, c=some, **k: SY.plan_sync(m, w, c, **k)
+    first = plan("missing")
+    assert (first.mode, first.full_rebuild, first.clear_vectors, first.noop) == ("full", True, True, False)
+    assert plan("corrupt").reasons == ["manifest is corrupt"]
+    assert plan("missing", requested="update").mode == "invalid"
+    assert (plan().mode, plan().noop, plan().counts) == ("update", False, {"new": 1, "deleted": 1, "modified": 1})
+    assert plan(c=none).noop
+    owed = spark.createDataFrame([("embeddings", "a")], "stage string, paper_id string")
+    assert not plan(c=none, pending=owed).noop and plan(c=none, pending=owed.limit(0)).noop
+    for change in ({"schema": 2}, {"embedding": "f"}, {"schema": 0}):
+        other = plan(w=held | change)
+        assert other.mode == "full" and len(other.reasons) == 1
+        assert plan(w=held | change, requested="update").mode == "invalid"
+    drift = plan(w=held | {"extraction": "y"}, c=none)
+    assert drift.mode == "update" and drift.noop and len(drift.advisories) == 1
+    assert plan(consistent=False).full_extraction and plan(consistent=False).mode == "full"
+    assert plan(store_problem="vectors are gone").reasons == ["vectors are gone"]
+    assert plan(incremental=False).mode == "full" and plan(incremental=False, requested="update").mode == "invalid"
+    asked = plan(requested="full", targets=2, unmatched=["z", "y"])
+    assert not asked.clear_vectors and asked.reasons[0] == "unmatched targets: y, z" and len(asked.reasons) == 2
+    assert plan(limit="new").counts == {"new": 1} and plan(limit="delete").counts == {"deleted": 1}
+
+
+def test_duplicate_groups(spark):
+    rows = [
+        (1, "webpage", "A  Title", None, 1, 1, 5, "2024", "2020"), (2, "book", "a title", None, 0, 0, 3, "2020", "2020"), (3, "attachment", "a title", None, 0, 0, 3, "2020", "2020"),
+        (4, "book", "No Pdf", "", 0, 0, 3, "2020", "2020"), (5, "book", "no pdf", None, 0, 0, 3, "2020", "2020"), (6, "book", "x", "10.1/A", 1, 2, 5, "2024", "2020"),
+        (7, "book", "y", "https://doi.org/10.1/a", 1, 1, 3, "2020", "2020"), (8, "book", "z", "10.1/a", 0, 0, 5, "2025", "2025"), (9, "book", "alone", "10.1/b", 1, 1, 5, "2", "2"), (10, "book", "y", "10.1/A", 1, 1, 3, "2020", "2020"),
+    ]
+    df = spark.createDataFrame(rows, "item_id long, item_type string, title string, doi string, n_pdfs int, n_pdf_paths int, metadata_score int, modified string, added string")
+    got = {(r["source"], r["group_key"], r["item_id"], r["keeper"]) for r in E.duplicate_groups(df).collect()}
+    assert got == {("title", "a title", 1, 2), ("title", "a title", 2, 2), *(("doi", "10.1/a", i, 7) for i in (6, 7, 8, 10))}
+
+
+def test_triage_and_gap_fill_providers(spark):
+    one = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c).first()[0]
+    cases = {"KMBT_12": "E", "12345": "E", "PDF": "E", "Activity 3": "D", "notes.DOCX": "D", "A concept map of it": "D", "the Army manual": "C", "Emerging Tech: a factsheet": "C", "Deep learning": "B", "10.1234/abc in a title": "B"}
+    for title, want in cases.items():
+        assert one(K.triage("t", "d"), t=title, d=None) == want
+    assert one(K.triage("t", "d"), t="KMBT_1", d="10.1/x") == "A" and one(K.triage("t", "d"), t=None, d="") == "B"
+    for model, want in {"Claude-3": "anthropic", "gpt-5": "openai", "o3-mini": "openai", "gemini-2": "google", "qwen2": "ollama", "synthesis:openai": "openai", "synthesis:ollama": None, "chatgpt": None, "opus": None, "": None}.items():
+        assert one(K.provider_of("m"), m=model) == want
+    of = lambda e, m, f, **k: one(K.gap_fill_provider("e", "m", "f", **k), e=e, m=m, f=f)
+    assert of("claude-3", "gpt-5", None) == "openai" and of(None, "gpt-5", None) == "anthropic"
+    assert of("gemini-2", None, "anthropic") == "openai" and of("llama3", None, "google") == "anthropic" and of(None, None, None) == "anthropic"
+    assert of("gpt-5", None, None, override="google") == "google"
 
 
 def test_api_validates(spark):
