@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenarc.functions.dims import DIMENSIONS, dimension_value
 from lumenarc.functions.text import col, score_quality
 
 #: Item types of the library and the document types they mean.
@@ -218,3 +219,41 @@ def gap_fill_provider(extraction_model: Column | str, model: Column | str, fille
 def validation_issues(confidence: Column, answered: Column, missing_required: Column, title_share: Column) -> Column:
     """Issues of an extraction, in order."""
     return F.array_compact(F.array(F.when(missing_required > 0, F.lit("missing_required")), F.when(confidence < 0.5, F.lit("low_confidence")).when(confidence < 0.7, F.lit("medium_confidence")), F.when(answered < 5, F.lit("few_dimensions")), F.when(title_share < 0.3, F.lit("title_mismatch"))))
+
+
+#: The dimensions that an extraction of each document type must have, and those it should have.
+TYPE_FIELDS = {
+    "research_paper": ("q02_thesis q07_methods q04_evidence", "q01_research_question q22_contribution"),
+    "review_paper": ("q02_thesis q03_key_claims", "q07_methods q22_contribution"),
+    "book_monograph": ("q02_thesis q03_key_claims", "q22_contribution q21_summary"),
+    "thesis": ("q02_thesis q07_methods q04_evidence q01_research_question", "q22_contribution q05_limitations"),
+    "report": ("q04_evidence q22_contribution", "q03_key_claims"),
+    "reference_material": ("q17_field q22_contribution", "q02_thesis"),
+    "non_academic": ("", "keywords"),
+}
+
+
+def title_containment(title: Column | str, text: Column | str) -> Column:
+    """Share of a title's words that a text's first 1000 characters hold; 1 where there is no text, no title or too short a title."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
+    t = words(F.coalesce(col(title), F.lit("")))
+    both = F.size(F.array_intersect(t, words(F.substring(col(text), 1, 1000)))) / F.size(t)
+    return F.when(col(text).isNull() | F.coalesce(col(title) == "Untitled", F.lit(True)) | (F.size(t) < 3), 1.0).otherwise(both)
+
+
+def validate_extraction(dims: Column | str, document_type: Column | str, confidence: Column | str, claims: Column | str, title: Column | str, text: Column | str, min_confidence: float = 0.5) -> Column:
+    """valid, issues, warnings, answered of an extraction (dims: dimension -> answer) by the rules of its document type; unknown and missing types as research papers, and
+    without a type key claims are required too."""
+    kind = F.when(col(document_type).isin(list(TYPE_FIELDS)), col(document_type)).otherwise("research_paper")
+    named = sorted({f for pair in TYPE_FIELDS.values() for part in pair for f in part.split()})
+    filled = lambda f: F.trim(F.coalesce(dimension_value(dims, f), F.lit(""))) != ""
+    has = F.create_map(*[c for f in named for c in (F.lit(f), filled(f))])
+    lists = lambda i: F.create_map(*[c for k, v in TYPE_FIELDS.items() for c in (F.lit(k), F.array(*map(F.lit, v[i].split())).cast("array<string>"))])[kind]
+    missing = lambda i, what: F.transform(F.filter(lists(i), lambda f: ~has[f]), lambda f: F.concat(F.lit(f"missing {what}: "), f))
+    score = F.coalesce(col(confidence).cast("double"), F.lit(0.0))
+    answered = F.size(F.filter(F.array(*[filled(d) for d, _ in DIMENSIONS]), lambda x: x))
+    one = lambda cond, what: F.when(cond, F.array(F.lit(what))).otherwise(F.array().cast("array<string>"))
+    no_claims = col(document_type).isNull() & (F.trim(F.coalesce(col(claims), F.lit(""))) == "")
+    issues = F.concat(one(title_containment(title, text) < 0.3, "title mismatch"), one(score < min_confidence, "confidence too low"), missing(0, "required"), one(no_claims, "missing key claims"))
+    warnings = F.concat(one(score < 0.7, "low confidence"), missing(1, "recommended"), one(answered < 5, "few dimensions"))
+    return F.struct((F.size(issues) == 0).alias("valid"), issues.alias("issues"), warnings.alias("warnings"), answered.alias("answered"))

@@ -367,6 +367,16 @@ def ml_17(spark, sf):
     return p.select("p_partkey", F.array_join(issues, ",").alias("issues"))
 
 
+def ml_17_types(spark, sf):
+    """Conversations' turns as answers of a document, validated by the rules of its type."""
+    m = answers(spark, sf).where("value is not null").groupBy("paper_id", "conv_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "value"))).alias("dims"))
+    kind = F.when(F.col("conv_id") % 4 == 0, "research_paper").when(F.col("conv_id") % 4 == 1, "review_paper").when(F.col("conv_id") % 4 == 2, "report")
+    rows = m.join(papers(spark, sf).select("paper_id", "title", "text"), "paper_id", "left").withColumn("kind", kind)
+    rows = rows.withColumn("confidence", F.col("conv_id") % 10 / 10).withColumn("claims", F.when(F.col("conv_id") % 3 == 0, "yes"))
+    v = K.validate_extraction("dims", "kind", "confidence", "claims", "title", "text")
+    return rows.select("paper_id", v.alias("v")).select("paper_id", "v.valid", F.array_join("v.issues", ",").alias("issues"), F.array_join("v.warnings", ",").alias("warnings"), "v.answered")
+
+
 def triage_titles():
     """Part names as items' titles: with numbers, endings and names of offices that the columns choose."""
     size = F.col("p_size")
@@ -475,6 +485,12 @@ QUERIES = {
     "ml_13_gap_fill_scope": (ml_13, f"WITH {ANSWERS}, h AS (SELECT paper_id, dimension FROM answers GROUP BY ALL HAVING count(value) = 0) SELECT paper_id, string_agg(dimension, ',' ORDER BY dimension) AS ask_again FROM h GROUP BY 1"),
     "ml_15_parse_questions": (ml_15, "SELECT p_partkey, 'Why ' || p_name || '?' AS question FROM part UNION ALL SELECT p_partkey, 'How ' || p_brand || '?' FROM part"),
     "ml_17_validation": (ml_17, "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 > 0 THEN 'missing_required' END, CASE WHEN p_size / 50 < 0.5 THEN 'low_confidence' WHEN p_size / 50 < 0.7 THEN 'medium_confidence' END, CASE WHEN p_partkey % 10 < 5 THEN 'few_dimensions' END, CASE WHEN p_size / 100 < 0.3 THEN 'title_mismatch' END) AS issues FROM part"),
+    "ml_17_validation_by_type": (ml_17_types, f"""WITH {PAPERS}, {ANSWERS}, d AS (SELECT DISTINCT paper_id, conv_id, dimension, trim(value) <> '' AS ok FROM answers WHERE value IS NOT NULL), h AS (SELECT paper_id, conv_id, CAST(count(*) FILTER (ok) AS INTEGER) AS answered, list(dimension) FILTER (ok) AS q, CASE conv_id % 4 WHEN 0 THEN 'research_paper' WHEN 1 THEN 'review_paper' WHEN 2 THEN 'report' END AS kind, (conv_id % 10) / 10 AS conf FROM d GROUP BY 1, 2),
+    w AS (SELECT h.*, p.text, p.title, list_distinct(regexp_extract_all(lower(coalesce(p.title, '')), '[a-z]{{3,}}')) AS t, list_distinct(regexp_extract_all(lower(substr(p.text, 1, 1000)), '[a-z]{{3,}}')) AS x,
+    CASE kind WHEN 'review_paper' THEN ['q02_thesis', 'q03_key_claims'] WHEN 'report' THEN ['q04_evidence', 'q22_contribution'] ELSE ['q02_thesis', 'q07_methods', 'q04_evidence'] END AS must, CASE kind WHEN 'review_paper' THEN ['q07_methods', 'q22_contribution'] WHEN 'report' THEN ['q03_key_claims'] ELSE ['q01_research_question', 'q22_contribution'] END AS should FROM h LEFT JOIN papers p USING (paper_id)),
+    i AS (SELECT paper_id, answered, CASE WHEN text IS NOT NULL AND title <> 'Untitled' AND len(t) >= 3 AND len(list_intersect(t, x)) / len(t) < 0.3 THEN ['title mismatch'] ELSE [] END || CASE WHEN conf < 0.5 THEN ['confidence too low'] ELSE [] END || list_transform(list_filter(must, lambda f: NOT list_contains(coalesce(q, []), f[1:3])), lambda f: 'missing required: ' || f) || CASE WHEN kind IS NULL AND conv_id % 3 <> 0 THEN ['missing key claims'] ELSE [] END AS issues,
+    CASE WHEN conf < 0.7 THEN ['low confidence'] ELSE [] END || list_transform(list_filter(should, lambda f: NOT list_contains(coalesce(q, []), f[1:3])), lambda f: 'missing recommended: ' || f) || CASE WHEN answered < 5 THEN ['few dimensions'] ELSE [] END AS warnings FROM w)
+    SELECT paper_id, len(issues) = 0 AS valid, array_to_string(issues, ',') AS issues, array_to_string(warnings, ',') AS warnings, answered FROM i"""),
     "ml_18_triage": (ml_18, "SELECT p_partkey, CASE WHEN p_retailprice > 1500 THEN 'A' WHEN p_size % 7 = 0 THEN 'E' WHEN p_size % 7 IN (1, 3) THEN 'D' WHEN p_size % 7 = 2 THEN 'C' ELSE 'B' END AS category FROM part"),
     "ml_19_providers": (ml_19, "WITH m AS (SELECT CASE WHEN turn % 3 = 0 THEN CASE WHEN role = 'user' THEN 'openai' END WHEN role = 'user' THEN 'anthropic' WHEN turn % 2 = 0 THEN 'openai' END AS provider, conv_id FROM conversations) SELECT provider, CASE provider WHEN 'openai' THEN 'anthropic' WHEN 'anthropic' THEN 'openai' ELSE CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END END AS next, count(*) AS n FROM m GROUP BY ALL"),
     "udf_02_model_calls": (udf_02, "SELECT p_partkey, p_name AS prompt, 'echo: ' || p_name AS reply FROM part"),

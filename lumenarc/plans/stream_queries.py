@@ -65,6 +65,24 @@ def stm_04_resume(spark, sf):
     return SY.resume(c, SY.ledger(e))
 
 
+def stm_04_stream(spark, sf):
+    """The events as a stream of tries through keyed state into a transaction log; equals the batch ledger."""
+    import uuid
+
+    from lumenarc.sources.log import TableLog
+    from lumenarc.sources.store import shared_folder
+    from lumenarc.streaming import state as T
+
+    path, root = f"{sf}/events.parquet", f"{shared_folder(spark)}/lumenarc/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/event[s].parquet")  # a pattern, since the table may be one file
+    status = F.when(F.col("event_id") % 5 == 0, "failed").when(F.col("event_id") % 3 == 0, "skipped").otherwise("processed")
+    tries = events.select(F.concat(F.lit("p"), "user_id").alias("paper_id"), status.alias("status"), F.col("event_id").alias("pos"))
+    log = TableLog(spark, f"{root}/log")
+    log.create(spark.createDataFrame([], T.LEDGER))
+    T.run_available(T.try_ledger(tries, wait_ms=10**9), T.commit_to(log, "tries", "paper_id"), f"{root}/checkpoint")
+    return log.read().select("paper_id", "status", "failures", "tries")
+
+
 def stm_05(spark, sf):
     return SY.history(table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus"))
 
@@ -104,6 +122,7 @@ QUERIES = {
     "stm_03_pending_work": (stm_03, "SELECT stage, paper_id FROM (SELECT DISTINCT l_returnflag AS stage, l_orderkey AS paper_id FROM lineitem WHERE l_linenumber <= 3 EXCEPT SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_linestatus = 'F') UNION SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_quantity > 45"),
     "stm_04_ledger": (stm_04, "SELECT user_id AS paper_id, CASE WHEN arg_max(event_type, event_id) = 'click' THEN 'failed' ELSE 'processed' END AS status, count(*) FILTER (event_type = 'click') AS failures, count(*) AS tries FROM events GROUP BY 1"),
     "stm_04_07_resume": (stm_04_resume, "SELECT c_custkey AS paper_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) = 'click')"),
+    "stm_04_stream_ledger": (stm_04_stream, "SELECT 'p' || user_id AS paper_id, arg_max(CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'processed' END, event_id) AS status, count(*) FILTER (event_id % 5 = 0) AS failures, count(*) AS tries FROM events GROUP BY user_id"),
     "stm_05_history": (stm_05, "SELECT o_orderkey AS pos, o_orderstatus FROM orders ORDER BY 1 DESC LIMIT 100"),
     "stm_06_digest_state": (stm_06, "SELECT 'p' || doc_id AS paper_id FROM documents WHERE NOT contains('p' || doc_id, '7')"),
     "stm_08_backfill": (stm_08, "SELECT 'p' || (p_partkey % 50) AS paper_id, 'd' || p_partkey AS dimension, p_brand AS section, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size > 48) THEN lower(p_type) ELSE p_name END AS value FROM part"),

@@ -216,6 +216,21 @@ def test_triage_and_gap_fill_providers(spark):
     assert of("gpt-5", None, None, override="google") == "google"
 
 
+def test_validation_by_type(spark):
+    full = {"q02": "t", "q07_methods": "m", "evidence": "e", "q01": "q", "q22_contribution": "c"}
+    rows = [(1, full, "research_paper", 0.9, None), (2, {"q02": "t"}, "review_paper", 0.6, None), (3, {}, "non_academic", 0.4, None), (4, full, None, 0.9, "c"), (5, full, None, 0.9, None), (6, {"q02": " "}, "poem", None, None)]
+    df = spark.createDataFrame(rows, "id int, dims map<string,string>, kind string, confidence double, claims string")
+    got = {r["id"]: r["v"] for r in df.select("id", K.validate_extraction("dims", "kind", "confidence", "claims", F.lit(None).cast("string"), F.lit(None).cast("string")).alias("v")).collect()}
+    assert got[1]["valid"] and got[1]["warnings"] == [] and got[1]["answered"] == 5
+    assert got[2]["issues"] == ["missing required: q03_key_claims"] and got[2]["warnings"][0] == "low confidence" and got[2]["warnings"][-1] == "few dimensions"
+    assert got[3]["issues"] == ["confidence too low"] and "missing recommended: keywords" in got[3]["warnings"]
+    assert got[4]["valid"] and got[5]["issues"] == ["missing key claims"]
+    assert len(got[6]["issues"]) == 4
+    one = lambda t, x: spark.createDataFrame([(t, x)], "t string, x string").select(K.title_containment("t", "x")).first()[0]
+    assert one("Deep graph networks here", "on deep GRAPH things") == 0.5 and one("Deep graph", "x") == 1 and one("Untitled", "x") == 1 and one("one two three", None) == 1
+    assert one("alpha beta gamma", " " * 1000 + "alpha beta gamma") == 0
+
+
 def test_api_validates(spark):
     with pytest.raises(api.ToolError, match="VALIDATION_ERROR"):
         api.check_query(" ")
