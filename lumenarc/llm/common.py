@@ -58,6 +58,17 @@ def drop_caches(but: str = "") -> None:
         _trim(0)
 
 
+def trim_workers(spark: SparkSession) -> None:
+    """Lets the executors' idle Python workers give back what earlier stages left in them: workers are handed out in turn, so some small tasks reach all."""
+
+    def trim(batches):
+        drop_caches()
+        yield from ()
+
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).mapInArrow(trim, "id long").count()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenarc/{name}-{uuid.uuid4().hex}"
 

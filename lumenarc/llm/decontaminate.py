@@ -380,6 +380,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
                         at = pa.array(d)
                         cols = [part.column(c).take(at) for c in keep] + [pa.array([items.ids[x] for x in i], item_type), pa.array(dist, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
                         yield pa.record_batch(cols, names=[*keep, "item_id", "distance", "start", "end"])
+            del items
+            drop_caches()
 
         return plain.mapInArrow(find, schema)
 
