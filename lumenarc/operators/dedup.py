@@ -230,3 +230,23 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
     best = rows.groupBy("source", "group_key").agg(F.max_by("item_id", worth).alias("keeper"), F.count("*").alias("n"), F.bool_or(has).alias("some"), F.bool_or(~has).alias("none"))
     kept = best.where("n > 1 and (source = 'doi' or (some and none))").select("source", "group_key", "keeper")
     return rows.select("source", "group_key", "item_id").join(kept, ["source", "group_key"])
+
+
+def overlap_matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """left (a, ta), right (b, tb): ids with distinct title words. a, b, overlap: pairs whose shared words are at least this share of the smaller set.
+
+    The smaller set of such a pair has one of its rarest words in the other: as many of them as it can lack, and one. Only these are joined with the other side's words.
+    """
+    sides = {"a": left.where("size(ta) > 0"), "b": right.where("size(tb) > 0")}
+    words = {k: df.select(k, F.col(f"t{k}").alias("t"), F.size(f"t{k}").alias(f"n{k}"), F.explode(f"t{k}").alias("w")) for k, df in sides.items()}
+    spread = words["a"].select("w").unionByName(words["b"].select("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def rare(k: str) -> DataFrame:
+        n = F.col(f"n{k}")
+        place = F.row_number().over(Window.partitionBy(k).orderBy("df", "w"))
+        return words[k].drop("t").join(spread, "w").withColumn("p", place).where(F.col("p") <= n - F.ceil(n * threshold - 1e-9) + 1).select("w", k, f"n{k}")
+
+    every = {k: w.select("w", k, f"n{k}") for k, w in words.items()}
+    met = rare("a").join(every["b"], "w").where("na <= nb").select("a", "b").unionByName(rare("b").join(every["a"], "w").where("nb < na").select("a", "b")).distinct()
+    both = met.join(sides["a"].select("a", "ta"), "a").join(sides["b"].select("b", "tb"), "b")
+    return both.select("a", "b", (F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))).alias("overlap")).where(F.col("overlap") >= threshold)

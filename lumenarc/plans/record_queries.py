@@ -283,6 +283,14 @@ def er_10(spark, sf):
     return pairs.select(F.col("a.item_id").alias("i"), F.col("b.item_id").alias("j"), F.round(overlap_coefficient("a.t", "b.t"), 6).alias("overlap"))
 
 
+def er_10_matches(spark, sf):
+    """Benchmark items as titles found on the web, matched with the documents' first lines."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("a"), title_tokens("text").alias("ta"))
+    lines = papers(spark, sf).select(F.col("paper_id").alias("b"), title_tokens("title").alias("tb"))
+    found = E.overlap_matches(items, lines)
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("paper_id"), F.round("overlap", 6).alias("overlap"))
+
+
 def er_11(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
     found = V.resolve_targets(table(spark, sf, "customer"), o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), "c_custkey")
@@ -468,6 +476,7 @@ QUERIES = {
     "er_08_best_candidate": (er_08, "WITH c AS (SELECT l_orderkey AS item, l_partkey AS cand, l_quantity / 50 AS ratio, l_linenumber % 3 AS y FROM lineitem), t AS (SELECT item, arg_max(cand, (ratio, cand)) AS ac, max(ratio) AS ar, arg_max(cand, (ratio, cand)) FILTER (y = 1) AS sc, max(ratio) FILTER (y = 1) AS sr FROM c GROUP BY 1) SELECT item, CASE WHEN sr >= 0.85 - 0.1 THEN sc WHEN ar >= 0.85 THEN ac END AS cand, CASE WHEN sr >= 0.85 - 0.1 THEN sr WHEN ar >= 0.85 THEN ar END AS ratio FROM t"),
     "er_09_source_precedence": (er_09, "SELECT CASE WHEN p_size < 10 THEN 'doi' WHEN p_size < 20 THEN 'isbn' WHEN p_size < 30 THEN 'title' ELSE 'none' END AS source, CAST(CASE WHEN p_size < 10 THEN 0.95 WHEN p_size < 20 THEN 0.85 WHEN p_size < 30 THEN 0.75 ELSE 0 END AS DOUBLE) AS confidence, count(*) AS n FROM part GROUP BY ALL"),
     "er_10_overlap_coefficient": (er_10, f"WITH b AS (SELECT item_id, {sql_title_tokens('text')} AS t FROM benchmark) SELECT a.item_id AS i, b.item_id AS j, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS overlap FROM b a JOIN b ON a.item_id + 1 = b.item_id"),
+    "er_10_title_matches": (er_10_matches, f"WITH {PAPERS}, i AS (SELECT item_id, {sql_title_tokens('text')} AS t FROM benchmark), p AS (SELECT paper_id, {sql_title_tokens('title')} AS u FROM papers), o AS (SELECT item_id, paper_id, len(list_intersect(t, u)) / least(len(t), len(u)) AS x FROM i, p WHERE len(t) > 0 AND len(u) > 0) SELECT item_id, paper_id, round(x, 6) AS overlap FROM o WHERE x >= 0.5"),
     "er_11_resolve_targets": (er_11, "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'current' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'deleted' ELSE 'unmatched' END AS state, count(*) AS n FROM customer GROUP BY 1"),
     "agg_18_consensus": (agg_18, CONSENSUS),
     "agg_19_council_longest": (council("longest"), f"WITH {ANSWERS} SELECT paper_id, md5({LONGEST}) AS value FROM answers WHERE value IS NOT NULL AND value <> '' GROUP BY 1"),

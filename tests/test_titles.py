@@ -66,3 +66,14 @@ def test_few_and_odd_rows(spark):
     rows = [(0, None, None, 1.0, 1.0), (1, None, None, 1.0, 1.0), (2, "10.1000/a", None, 0.1, 1.0), (3, "10.1000/A", "x", 0.2, 1.0)]
     got = E.merge_results(spark.createDataFrame(rows, SCHEMA).withColumn("seat", F.lit("s")))
     assert sorted(r["pos"] for r in got.collect()) == [0, 1, 3] and "seat" in got.columns
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 1.0])
+def test_overlap_matches_equal_all_pairs(spark, threshold):
+    rng = random.Random(6)
+    sets = lambda n: [sorted(set(rng.choices("abcdefghijklmnop", k=rng.randrange(7)))) for _ in range(n)]
+    one, two = sets(40), sets(50)
+    frame = lambda rows, k: spark.createDataFrame(list(enumerate(rows)), f"{k} int, t{k} array<string>")
+    got = {(r["a"], r["b"]): r["overlap"] for r in E.overlap_matches(frame(one, "a"), frame(two, "b"), threshold).collect()}
+    of = lambda x, y: len({*x} & {*y}) / min(len(x), len(y)) if x and y else 0
+    assert got == {(i, j): of(x, y) for i, x in enumerate(one) for j, y in enumerate(two) if of(x, y) >= threshold}
