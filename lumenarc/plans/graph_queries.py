@@ -102,7 +102,7 @@ def unit_cells(spark, sf):
 def gr_04_join(spark, sf):
     from lumenarc.operators import cells as C
 
-    return C.similar_pairs(unit_cells(spark, sf), 0.35, digits=9).select("src", "dst", F.round("score", 6).alias("score"))
+    return C.similar_pairs(unit_cells(spark, sf), 0.35, digits=5)
 
 
 def topk_06_cells(spark, sf):
@@ -157,7 +157,7 @@ QUERIES = {
     "gr_01_agg_17_citation_nodes": (gr_01_nodes, EDGES_SQL + " SELECT 'b' || item_id AS paper_id, count(source) AS in_degree, 10 + 5 * count(source) AS size, count(source) >= 5 AS hub FROM benchmark LEFT JOIN edges ON target = 'b' || item_id GROUP BY 1"),
     "gr_02_title_index": (gr_02, f"WITH {PAPERS}, t AS (SELECT paper_id, {sql_title_tokens('title')} AS t FROM papers WHERE length(title) >= 15) SELECT paper_id, array_to_string(list_sort(t), ' ') AS tokens FROM t WHERE len(t) >= 3"),
     "gr_03_similarity_graph": (gr_03, None),
-    "gr_04_cosine_join": (gr_04_join, f"WITH {V} SELECT src, dst, round(score, 6) AS score FROM s WHERE score > 0 AND round(score, 9) >= 0.35"),
+    "gr_04_cosine_join": (gr_04_join, f"WITH {V} SELECT src, dst, round(score, 5) AS score FROM s WHERE score > 0 AND round(score, 5) >= 0.35"),
     "topk_06_nearest_others": (topk_06_cells, "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT src, dst, round(d, 6) AS distance, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM d QUALIFY rank <= 10"),
     "ml_01_layout": (ml_01_layout, None),
     "ml_02_hdbscan": (ml_02_hdbscan, None),
