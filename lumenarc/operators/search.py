@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import col
+from lumenarc.operators.blocks import Blocks, nearest_in_blocks, pairs_in_blocks
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:
@@ -144,49 +145,17 @@ def merge_results(primary: DataFrame, others: DataFrame, k: int, how: str = "int
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).drop("__second")
 
 
-#: Rows of a block in all-pairs similarity: a task holds two blocks, whatever the table's size.
-BLOCK_ROWS = 512
+def neighbours(vectors: DataFrame, key: str, n: int | None = 20, parts: int | None = None, digits: int = 4, least: float = 0.0, asked: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """src, dst, score, rank: the n most similar others of each vector, only positive scores; ties by key. With `asked` (rows of the same columns)
+    only of these, in one pass over the vectors. With n None all others whose rounded score is at least `least`, without rank; `once` gives each pair
+    in one order, src < dst.
 
-
-def neighbours(vectors: DataFrame, key: str, n: int | None = 20, parts: int | None = None, digits: int = 4, least: float = 0.0) -> DataFrame:
-    """src, dst, score, rank: the n most similar others of each vector, only positive scores; ties by key.
-    With n None all others whose rounded score is at least `least`, without rank.
-
-    Blocks of rows meet in pairs as matrices (numpy), each side's n best per block go on, and the
-    per-source choice ends in a window that takes n rows from each block. Exact, and so quadratic in
-    the rows; the result is meant to be kept as a table.
+    Blocks of rows meet in pairs as matrices, each side's n best per block go on, and the per-source choice ends in a window that takes n rows
+    from each block. Exact, and so quadratic in the rows unless few are asked; the result is meant to be kept as a table.
     """
-    import numpy as np
-
-    parts = parts or max(1, -(-vectors.count() // BLOCK_ROWS))
-    tagged = vectors.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    left = tagged.select(F.col("id").alias("src"), "v", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"), F.lit(0).alias("side"))
-    right = tagged.select(F.col("id").alias("src"), "v", F.col("b").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.lit(1).alias("side")).select("src", "v", "b", "o", "side")
-
-    def block(pdf):
-        import pandas as pd
-
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = {"src": [], "dst": [], "score": []}
-        if len(a) and len(b):
-            unit = lambda v: v / np.where((s := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, s)
-            ids_a, ids_b = a["src"].to_numpy(), b["src"].to_numpy()
-            order = np.argsort(ids_b, kind="stable")
-            ids_b = ids_b[order]
-            sims = unit(np.stack(a["v"].to_numpy())) @ unit(np.stack(b["v"].to_numpy())[order]).T
-            sims = np.round(sims, 12)
-            for i, row in enumerate(sims):
-                row = np.where(ids_b == ids_a[i], -1.0, row)
-                top = np.argsort(-row, kind="stable")[:n] if n is not None else np.flatnonzero(row >= least - 10.0**-digits)
-                top = top[row[top] > 0]
-                out["src"] += [ids_a[i]] * len(top)
-                out["dst"] += ids_b[top].tolist()
-                out["score"] += row[top].tolist()
-        return pd.DataFrame(out)
-
-    kind = dict(vectors.dtypes)[key]
-    found = left.unionByName(right).groupBy("b", "o").applyInPandas(block, f"src {kind}, dst {kind}, score double")
+    rows = lambda df: df.select(F.col(key).alias("id"), F.col("embedding").alias("v"))
+    blocks = Blocks(rows(vectors), parts=parts)
     if n is None:
-        return found.withColumn("score", F.round("score", digits)).where(F.col("score") >= least)
-    w = Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("score", F.round("score", digits))
+        return pairs_in_blocks(blocks, least, digits, once)
+    found = nearest_in_blocks(blocks, Blocks(rows(asked)) if asked is not None else None, n)
+    return found.withColumn("score", F.round("score", digits)).select("src", "dst", "score", "rank")

@@ -23,3 +23,70 @@ def test_the_last_line_of_an_order_is_the_first_in_the_files(spark, tmp_path):
         duckdb.sql(f"copy (select i % 10 as l_orderkey, 7 as l_linenumber, {base} + i as l_partkey from range({rows}) t(i)) to '{tmp_path}/lineitem.parquet/{name}.parquet' (format parquet)")
     got, want = both(spark, "src_19_keep_last", tmp_path, "lineitem")
     assert got == want and len(got) == 10
+
+
+def vectors(spark, n=300, copies=40, width=8):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.standard_normal((n, width)), 3)
+    v[:copies] = v[0]  # ties
+    v[n - 1] = 0
+    return v, spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+
+
+def cosines(v):
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(size == 0, 1, size)
+    return np.round((u[:, None] * u[None]).sum(2), 12)
+
+
+def test_blocks_find_the_nearest_of_all_pairs(spark):
+    from lumenarc.operators.blocks import Blocks, nearest_in_blocks
+
+    v, df = vectors(spark)
+    s, n = cosines(v), len(v)
+    rows = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    want = {(i * 3, j * 3) for i in range(n) for j in sorted((j for j in range(n) if j != i and s[i, j] > 0), key=lambda j: (-s[i, j], j))[:7]}
+    assert {(r["src"], r["dst"]) for r in nearest_in_blocks(Blocks(rows, parts=4), None, 7).collect()} == want
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    want = {(i * 3, j * 3) for i in range(n) for j in sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:7]}
+    assert {(r["src"], r["dst"]) for r in nearest_in_blocks(Blocks(rows, unit=False, parts=4), None, 7).collect()} == want
+
+
+def test_blocks_give_pairs_and_links_of_a_bound(spark):
+    from lumenarc.operators import graph as G
+    from lumenarc.operators.blocks import Blocks, links_in_blocks, pairs_in_blocks
+
+    v, df = vectors(spark)
+    s, n = cosines(v), len(v)
+    blocks = Blocks(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), parts=3)
+    want = {(i * 3, j * 3) for i in range(n) for j in range(n) if i < j and s[i, j] >= 0.8}
+    assert {(r["src"], r["dst"]) for r in pairs_in_blocks(blocks, 0.8, 9, once=True).collect()} == want
+    links = links_in_blocks(blocks, 0.8, 9)
+    pairs = spark.createDataFrame(sorted(want), "a long, b long")
+    assert sorted(G.components(links).collect()) == sorted(G.components(pairs).collect())
+    assert links.count() < len(want) / 2  # before, every pair was shuffled
+
+
+@pytest.mark.parametrize("replayed", [0, 100_000])
+def test_a_graph_made_in_tiers_equals_the_scan(spark, monkeypatch, replayed):
+    from lumenarc.operators import graph as G
+
+    monkeypatch.setattr(G, "REPLAY_EDGES", replayed)
+    monkeypatch.setattr(G, "TIER_EDGES", 1)
+    v, df = vectors(spark, 120, 10)
+    s, used, want = np.round(cosines(v), 9), np.zeros(len(v), int), set()
+    for _, i, j in sorted((-s[i, j], i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= 0.35):
+        if used[i] < 2 and used[j] < 2:
+            used[i] += 1
+            used[j] += 1
+            want.add((i * 3, j * 3))
+    assert {(r["source"], r["target"]) for r in G.capped_similarity_graph(df, "vec_id", 2, 0.35).collect()} == want
+
+
+def test_one_asked_vector_is_not_compared_with_all_pairs(spark):
+    from lumenarc.operators import search as S
+
+    v, df = vectors(spark)
+    one = S.neighbours(df, "vec_id", 5, asked=df.where("vec_id = 33"))
+    every = S.neighbours(df, "vec_id", 5).where("src = 33")
+    assert sorted(one.collect()) == sorted(every.collect()) and {r["src"] for r in one.collect()} == {33}
