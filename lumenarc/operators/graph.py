@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions.ids import find_dois, normalize_doi
 from lumenarc.functions.text import normalize_title, title_tokens
+from lumenarc.operators.blocks import Blocks, pairs_in_blocks
 
 CHAPTER = r"(?i)(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)"
 
@@ -122,8 +123,12 @@ def sized_nodes(nodes: DataFrame, edges: DataFrame, key: str = "paper_id") -> Da
     return out.withColumn("size", 10 + 5 * F.col("in_degree")).withColumn("hub", F.col("in_degree") >= 5)
 
 
-def capped_edges(pairs: DataFrame, cap: int) -> DataFrame:
-    """The edges a greedy scan by (score desc, source, target) accepts while both ends have fewer than `cap`.
+#: Open edges from which the rest of a greedy scan is replayed in one task.
+REPLAY_EDGES = 100_000
+
+
+def capped_edges(pairs: DataFrame, cap: int, before: DataFrame | None = None) -> DataFrame:
+    """The edges a greedy scan by (score desc, source, target) accepts while both ends have fewer than `cap`. before (source, target): accepted earlier.
 
     In rounds: an open edge is accepted when it is among the first (cap - accepted) open edges of both
     its ends, and dropped when an end is full. This gives the scan's edges without one sequential task.
@@ -132,9 +137,9 @@ def capped_edges(pairs: DataFrame, cap: int) -> DataFrame:
     open_, taken = pairs.select("source", "target", "score"), None
     while True:
         ends = open_.select("*", F.explode(F.array("source", "target")).alias("node"))
-        left = ends
-        if taken is not None:
-            used = taken.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+        held = [df.select("source", "target") for df in (before, taken) if df is not None]
+        if held:
+            used = reduce(lambda a, b: a.unionByName(b), held).select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
             left = ends.join(used, "node", "left")
         else:
             left = ends.withColumn("used", F.lit(0))
@@ -144,11 +149,79 @@ def capped_edges(pairs: DataFrame, cap: int) -> DataFrame:
         good = state.where("ok").select("source", "target", "score")
         taken = good if taken is None else taken.unionByName(good)
         open_ = state.where("not ok and not full").select("source", "target", "score")
-        if open_.isEmpty():
+        left = open_.limit(REPLAY_EDGES + 1).count()
+        if not left:
             break
+        if left <= REPLAY_EDGES:
+            return taken.unionByName(scanned(open_, [df.select("source", "target") for df in (before, taken) if df is not None], cap))
     return taken
 
 
+def scanned(edges: DataFrame, held: list[DataFrame], cap: int) -> DataFrame:
+    """What the scan accepts of at most REPLAY_EDGES edges, after those in held, in one task."""
+    used = reduce(lambda a, b: a.unionByName(b), held).select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+    for end in ("source", "target"):
+        edges = edges.join(used.select(F.col("node").alias(end), F.col("used").alias(f"{end}_used")), end, "left")
+
+    def scan(table):
+        import pyarrow as pa
+
+        rows, count, keep = table.to_pylist(), {}, []
+        for r in rows:
+            for end in ("source", "target"):
+                count[r[end]] = r[f"{end}_used"] or 0
+        for i in sorted(range(len(rows)), key=lambda i: (-rows[i]["score"], rows[i]["source"], rows[i]["target"])):
+            one, two = rows[i]["source"], rows[i]["target"]
+            if count[one] < cap and count[two] < cap:
+                count[one] += 1
+                count[two] += 1
+                keep.append(i)
+        return table.select(["source", "target", "score"]).take(pa.array(keep, pa.int64()))
+
+    schema = ", ".join(f"{c} {t}" for c, t in edges.select("source", "target", "score").dtypes)
+    return edges.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(scan, schema)
+
+
+#: Vectors of the sample that sets where a tier of scores ends, and edges to a vector that a tier should have for each edge it may keep.
+TIER_SAMPLE, TIER_EDGES = 2048, 8
+
+
+def capped_similarity_graph(vectors: DataFrame, key: str, cap: int, least: float, digits: int = 9) -> DataFrame:
+    """source, target, score: what `capped_edges` accepts of all pairs of vectors (source < target) whose rounded cosine is at least `least`.
+
+    Scores are gone through in tiers from the highest down. The scan never looks at lower edges of a vector that is full, so each tier is compared only
+    among vectors with room, and its edges stay in proportion to them. Where a tier ends comes from a sample; the result does not depend on it.
+    """
+    import numpy as np
+
+    from lumenarc.sources.store import staged
+
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).alias("id"), F.col("embedding").alias("v")).where("v is not null")
+    taken, below, n = None, float("inf"), rows.count()
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < -(-2 * TIER_SAMPLE * (1 << 30) // max(n, 1))).orderBy(F.xxhash64("id")).limit(TIER_SAMPLE)
+    x, scores = np.array([r["v"] for r in some.select("v").collect()], float), np.zeros(0)
+    if len(x) > 1:
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        scores = np.sort((x @ x.T)[np.triu_indices(len(x), 1)])[::-1]
+        scores = scores[scores >= least]
+    open_ = rows
+    while n > 1:
+        here = scores[scores < below]
+        most = int(TIER_EDGES * cap * len(x) * (len(x) - 1) / (n - 1))  # the sample's share of the tier's edges
+        floor = round(max(float(here[most]), least), digits) if 0 < most < len(here) else least
+        floor = floor if floor < below else least
+        pairs = pairs_in_blocks(Blocks(open_), floor, digits, True, below)
+        good = capped_edges(pairs.select(F.col("src").alias("source"), F.col("dst").alias("target"), "score"), cap, taken)
+        taken = staged(spark, good if taken is None else taken.unionByName(good), "accepted")
+        if floor <= least:
+            return taken
+        full = taken.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= cap)
+        open_, below = staged(spark, rows.join(full, "id", "left_anti"), "open"), floor
+        n = open_.count()
+    return taken if taken is not None else spark.createDataFrame([], f"source {dict(rows.dtypes)['id']}, target {dict(rows.dtypes)['id']}, score double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node): alternating star contraction with checkpoints."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
