@@ -57,31 +57,96 @@ def title_ratio(a: Column | str, b: Column | str) -> Column:
     return ratio(col(a), col(b))
 
 
+#: Titles of a block and of a tile, and columns of a title's character and pair counts.
+TITLE_ROWS, TITLE_TILE, COUNTS = 4096, 512, 512
+
+
+def title_counts(titles: list[str]):
+    """Counts of the numbered characters (the third e, the first z) and of the character pairs of each title, in COUNTS columns."""
+    import numpy as np
+
+    one, two = np.zeros((len(titles), COUNTS), np.float32), np.zeros((len(titles), COUNTS), np.int16)
+    for r, t in enumerate(titles):
+        seen: dict[str, int] = {}
+        for c in t:
+            seen[c] = seen.get(c, 0) + 1
+            one[r, (ord(c) + 31 * seen[c]) % COUNTS] += 1
+        for c, d in zip(t, t[1:]):
+            two[r, (37 * ord(c) + ord(d)) % COUNTS] += 1
+    return one, two
+
+
+def longest_common(a: str, places: dict[str, int], b: str) -> int:
+    """Length of the longest common subsequence; places: the bits at which each character stands in a."""
+    full = (1 << len(a)) - 1
+    s = full
+    for c in b:
+        u = s & places.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return len(a) - s.bit_count()
+
+
+def close_titles(one: list[str], two: list[str], threshold: float, same: bool):
+    """Indices of the pairs that may reach the threshold. The ratio is 2 M over both lengths, and M characters stand in both titles in one order: so M is
+    at most what bags of characters share, and the longest common subsequence; all but one of each run's characters begin a pair that both have, and there
+    are at most as many runs as characters left out, and one. Columns that two characters share only raise what seems shared."""
+    import numpy as np
+
+    n1, n2 = (np.array([len(t) for t in side]) for side in (one, two))
+    (a1, a2), (b1, b2) = title_counts(one), title_counts(two)
+    b1 = np.ascontiguousarray(b1.T)
+    for at in range(0, len(one), TITLE_TILE):
+        size = n1[at : at + TITLE_TILE, None] + n2
+        i, j = np.divmod(np.flatnonzero((2 * (a1[at : at + TITLE_TILE] @ b1) >= threshold * size - 1e-3).ravel()), len(two))
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 8192):
+            p, q = i[k : k + 8192], j[k : k + 8192]
+            size = n1[p] + n2[q]
+            least = np.ceil(threshold * size / 2 - 1e-9)
+            ok = np.minimum(a2[p], b2[q]).sum(1) >= 3 * least - size - 1
+            for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+                yield x, y
+
+
 def similar_titles(rows: DataFrame, threshold: float, title: str = "title") -> DataFrame:
     """a, b, ratio: all ordered pairs of different titles (lower case, trimmed) whose ratio reaches the threshold. Blank titles match nothing.
 
-    Matching blocks hold M characters, and the ratio is 2 M over both lengths. M is at most the number of characters that two titles share, each
-    counted as often as both have it. So a title is a set of numbered characters (the third e, the first z), a pair that matches has a set
-    similarity of threshold / (2 - threshold) or more, and such pairs share one of the rarest few of either's set: these meet in a join. Lengths,
-    then shared characters are compared before any ratio is worked out, and nothing is lost.
+    Blocks of titles meet once each in tasks; what pairs can share at most is worked out for whole tiles (`close_titles`), then by the longest common
+    subsequence, and ratios only of what is left. Nothing is lost, only titles and matches are shuffled; the tiles are quadratic in different titles.
     """
-    least = threshold / (2 - threshold)
-    t = F.lower(F.trim(F.col(title)))
-    titles = rows.select(F.trim(t).alias("t")).where("t <> ''").distinct()
-    sized = titles.withColumn("n", F.length("t"))
-    chars = sized.select("t", "n", F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("t", "n", "c").agg(F.count("*").cast("int").alias("k"))
-    bags = chars.groupBy("t", "n").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("bag"))  # as many as there are letters
-    numbered = chars.select("t", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.struct(F.col("c"), i.alias("i")))).alias("x"))
-    spread = numbered.groupBy("x").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("t").orderBy("df", "x"))
-    rare = numbered.join(spread, "x").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    one, two = (rare.select("x", F.col("t").alias(f"t{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    met = one.join(two, "x").where((F.col("t1") < F.col("t2")) & (F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-9)).select("t1", "t2", "n1", "n2").distinct()
-    bag = lambda i: bags.select(F.col("t").alias(f"t{i}"), F.col("bag").alias(f"b{i}"))
-    shared = F.aggregate(F.map_entries("b1"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at("b2", e["key"]), F.lit(0))))
-    close = met.join(bag(1), "t1").join(bag(2), "t2").where(2 * shared >= threshold * (F.col("n1") + F.col("n2")) - 1e-9)
-    both = close.select("t1", "t2").unionByName(close.select(F.col("t2").alias("t1"), F.col("t1").alias("t2")))
-    return both.select(F.col("t1").alias("a"), F.col("t2").alias("b"), title_ratio("t1", "t2").alias("ratio")).where(F.col("ratio") >= threshold)
+    import math
+
+    spark = rows.sparkSession
+    titles = staged(spark, rows.select(F.lower(F.trim(F.col(title))).alias("t")).where("t <> ''").distinct(), "titles")
+    n = titles.count()
+    size = min(TITLE_ROWS, max(256, math.ceil(n / math.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    count = max(1, -(-n // size))
+    blocks = titles.groupBy(F.pmod(F.xxhash64(F.lit(19), "t"), F.lit(count)).cast("int").alias("b")).agg(F.collect_list("t").alias("t"))  # about `size` titles
+    blocks = staged(spark, blocks, "title-blocks")
+    left = blocks.select(F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(count - 1))).alias("j"), F.lit(0).alias("side"), "t")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "t")
+
+    def match(table):
+        import pyarrow as pa
+
+        sides = dict(zip(table.column("side").to_pylist(), table.column("t").to_pylist(), strict=True))
+        out = []
+        if len(sides) == 2:
+            plain = [[t.lower().strip() for t in sides[s]] for s in (0, 1)]
+            held, places = None, {}
+            for x, y in close_titles(*plain, threshold, table.column("i")[0] == table.column("j")[0]):
+                p, q = plain[0][x], plain[1][y]
+                if x != held:
+                    held, places = x, {}
+                    for k, c in enumerate(p):
+                        places[c] = places.get(c, 0) | 1 << k
+                if p and q and 2 * longest_common(p, places, q) >= threshold * (len(p) + len(q)) - 1e-9:
+                    out += [(a, b, r) for a, b in ((sides[0][x], sides[1][y]), (sides[1][y], sides[0][x])) if (r := sequence_ratio(a, b)) >= threshold]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["a", "b", "ratio"])
+
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(match, "a string, b string, ratio double")
 
 
 #: Rows of a group of similar titles that one task replays in order; larger groups are settled in rounds.

@@ -90,3 +90,34 @@ def test_one_asked_vector_is_not_compared_with_all_pairs(spark):
     one = S.neighbours(df, "vec_id", 5, asked=df.where("vec_id = 33"))
     every = S.neighbours(df, "vec_id", 5).where("src = 33")
     assert sorted(one.collect()) == sorted(every.collect()) and {r["src"] for r in one.collect()} == {33}
+
+
+def test_coverage_makes_no_row_for_a_set_and_a_paper(spark):
+    """Common tokens: before, each of 300 sets met each of 400 papers in a row of the plan."""
+    from lumenarc.operators import corpus as C
+
+    rng = np.random.default_rng(3)
+    sets = [sorted({f"w{k}" for k in rng.integers(0, 30, rng.integers(1, 5))}) for _ in range(300)] + [[], ["unknown"]]
+    papers = [sorted({f"w{k}" for k in rng.integers(0, 30, 60)}) for _ in range(400)]
+    found = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(sets)], "norm string, tokens array<string>")
+    index = spark.createDataFrame([(f"p{i}", t) for i, ts in enumerate(papers) for t in ts], "paper_id string, token string")
+    done = C.direction_coverage(found, index)
+    assert {r["norm"]: r["covered"] for r in done.collect()} == {f"n{i}": sum(bool(s) and {*s} <= {*p} for p in papers) for i, s in enumerate(sets)}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "rest" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_titles_meet_in_blocks(spark, monkeypatch, threshold):
+    """Few letters, so that all titles share their rarest characters; the plan holds no row for a character."""
+    from lumenarc.operators import dedup as E
+
+    monkeypatch.setattr(E, "TITLE_ROWS", 40)
+    rng = np.random.default_rng(8)
+    titles = ["".join(rng.choice(list("abé "), rng.integers(1, 30))) + "\t" * int(rng.integers(0, 2)) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    done = E.similar_titles(df, threshold)
+    plain = sorted({t.strip(" ").lower() for t in titles} - {""})
+    want = {(a, b): r for a in plain for b in plain if a != b and (r := E.sequence_ratio(a, b)) >= threshold}
+    assert {(r["a"], r["b"]): r["ratio"] for r in done.collect()} == pytest.approx(want) and want
+    assert "Generate explode(split" not in done._jdf.queryExecution().optimizedPlan().toString()
