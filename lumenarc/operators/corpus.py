@@ -150,22 +150,65 @@ def directions(rows: DataFrame, field: str, first_tokens: int = 4) -> DataFrame:
     )
 
 
+#: Rows of the index in one task, token sets that meet them at once, and papers of a bitmap.
+INDEX_ROWS, SET_ROWS, MAP_PAPERS = 4_000_000, 4_000_000, 2048
+
+
 def direction_coverage(found: DataFrame, index: DataFrame) -> DataFrame:
     """found (norm, tokens) with `covered`: papers that hold all the tokens (relational division).
 
-    Each distinct token set meets the index with its rarest token only; the few papers that hold it are then asked for the other tokens.
+    Papers are dealt to groups. A task keeps a bitmap of papers for each token, MAP_PAPERS at a time, and a set's papers are the bits that its tokens'
+    maps share, so nothing is made for a set and a paper that meet. Sets go to each group as hashes (XXH64 of tokens), with a count coming back.
     """
+    from lumenarc.sources.store import staged
+
+    spark = found.sparkSession
     own = F.array_sort(F.array_distinct("tokens"))
-    sets = found.select(own.alias("set")).where("size(set) > 0").distinct()
-    df = index.groupBy("token").agg(F.count("*").alias("n"))
-    each = sets.select("set", F.explode("set").alias("token")).join(df, "token", "left")
-    rarest = each.groupBy("set").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
-    first = rarest.join(index, "token").select("set", "paper_id", F.array_remove("set", F.col("token")).alias("rest"))
-    others = first.select("set", "paper_id", F.explode("rest").alias("token")).join(index, ["token", "paper_id"])
-    all_ = others.groupBy("set", "paper_id").agg(F.count("*").alias("have")).where("have = size(set) - 1")
-    held = all_.select("set", "paper_id").unionByName(first.where("size(rest) = 0").select("set", "paper_id"))
-    counts = held.groupBy("set").agg(F.count("*").alias("covered"))
-    return found.withColumn("set", own).join(counts, "set", "left").drop("set").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
+    hashes = F.transform(own, lambda t: F.xxhash64(t))
+    sets = staged(spark, found.select(F.xxhash64(own).alias("k"), hashes.alias("set")).where("size(set) > 0").distinct(), "token-sets")
+    held = staged(spark, index.select(F.xxhash64("paper_id").alias("p"), F.xxhash64("token").alias("t")), "token-index")
+    groups = max(spark.sparkContext.defaultParallelism, -(-held.count() // INDEX_ROWS))
+    parts = max(1, -(-sets.count() // SET_ROWS))
+    left = sets.withColumn("s", F.pmod("k", F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    right = held.withColumn("g", F.pmod(F.xxhash64(F.lit(17), "p"), F.lit(groups))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def count(asked, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        lists = asked.column("set").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        known, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        table = np.full((len(sizes), sizes.max(initial=1)), len(known))  # a set's tokens, filled up with one that all papers hold
+        table[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = code
+        total = np.zeros(len(sizes), np.int64)
+        token, paper = rows.column("t").to_numpy(), np.unique(rows.column("p").to_numpy(), return_inverse=True)[1]
+        place = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+        used = known[place] == token if len(known) else np.zeros(len(token), bool)
+        place, paper = place[used], paper[used]
+        order = np.argsort(paper, kind="stable")
+        place, paper = place[order], paper[order]
+        for first in range(0, int(paper[-1]) + 1 if len(paper) else 0, MAP_PAPERS):
+            b, e = np.searchsorted(paper, [first, first + MAP_PAPERS])
+            here, at = np.unique(place[b:e], return_inverse=True)
+            off = paper[b:e] - first
+            bits = np.zeros((len(here) + 1, MAP_PAPERS // 64), np.uint64)
+            np.bitwise_or.at(bits, (at, off >> 6), np.uint64(1) << (off & 63).astype(np.uint64))
+            bits[-1] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            row = np.full(len(known) + 1, -1)
+            row[here], row[-1] = np.arange(len(here)), len(here)
+            full = np.flatnonzero((row[table] >= 0).all(1))
+            for i in range(0, len(full), 65536):
+                some = full[i : i + 65536]
+                both = bits[row[table[some, 0]]]
+                for c in range(1, table.shape[1]):
+                    both &= bits[row[table[some, c]]]
+                total[some] += np.bitwise_count(both).sum(1, dtype=np.int64)
+        hit = np.flatnonzero(total)
+        return pa.table({"k": asked.column("k").combine_chunks().take(pa.array(hit)), "n": total[hit]})
+
+    counts = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("covered"))
+    return found.withColumn("k", F.xxhash64(own)).join(counts, "k", "left").drop("k").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, mark: str, forced: DataFrame | None = None) -> DataFrame:
