@@ -76,6 +76,10 @@ def reference_edges(references: DataFrame, papers: DataFrame, threshold: float =
     return by_doi.unionByName(by_title).where("source <> target")
 
 
+#: Tasks that share the pairs of a key.
+DEAL = 16
+
+
 def part_of(papers: DataFrame) -> DataFrame:
     """child, parent, kind, by three rules; a child of one rule is not asked by the next.
 
@@ -91,8 +95,14 @@ def part_of(papers: DataFrame) -> DataFrame:
         keyed = p.where("coalesce(library_key, '') <> ''")
         books = keyed.where("item_type = 'book'").select("library_key", F.col("paper_id").alias("parent"))
         parts = keyed.where("item_type = 'bookSection'").select("library_key", F.col("paper_id").alias("child"))
-        found.append(parts.join(books, "library_key").where("child <> parent").select("child", "parent", F.lit("chapter_in_book").alias("kind")))
-        p = p.join(found[0].select(F.col("child").alias("paper_id")).distinct(), "paper_id", "left_anti")
+        # A key may have many parts and books, and each pair of them is a row: a key's parts are dealt to DEAL tasks, with its books in each.
+        tasks = 8 * papers.sparkSession.sparkContext.defaultParallelism
+        parts = parts.withColumn("__s", F.pmod(F.xxhash64("child"), F.lit(DEAL))).repartition(tasks, "library_key", "__s")
+        books = books.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long")))).repartition(tasks, "library_key", "__s")
+        found.append(parts.join(books, ["library_key", "__s"]).where("child <> parent").select("child", "parent", F.lit("chapter_in_book").alias("kind")))
+        sections = keyed.where("item_type = 'bookSection'").join(keyed.where("item_type = 'book'").groupBy("library_key").agg(F.min("paper_id").alias("__lo"), F.max("paper_id").alias("__hi")), "library_key")
+        # A section has a book if one of its key's books is not the section itself.
+        p = p.join(sections.where("__lo <> paper_id or __hi <> paper_id").select("paper_id").distinct(), "paper_id", "left_anti")
     if "thesis" in names:
         named = papers.withColumn("__n", normalize_title(F.coalesce("title", F.lit("")))).where("__n not in ('', 'untitled')")
         thesis = F.nullif(F.trim("thesis"), F.lit(""))

@@ -121,3 +121,14 @@ def test_titles_meet_in_blocks(spark, monkeypatch, threshold):
     want = {(a, b): r for a in plain for b in plain if a != b and (r := E.sequence_ratio(a, b)) >= threshold}
     assert {(r["a"], r["b"]): r["ratio"] for r in done.collect()} == pytest.approx(want) and want
     assert "Generate explode(split" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_one_key_are_dealt_to_tasks(spark):
+    """A key's sections stood in one task with all its books."""
+    from lumenarc.operators import graph as G
+
+    rows = [(i, f"p{i}", f"t{i}", None, "book" if i % 8 == 0 else "bookSection", "K") for i in range(80)]
+    df = spark.createDataFrame(rows, "pos int, paper_id string, title string, author_string string, item_type string, library_key string").coalesce(1)
+    got = G.part_of(df).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["child"], r["parent"]) for r in got} == {(f"p{i}", f"p{j}") for i in range(80) if i % 8 for j in range(0, 80, 8)} and len(got) == 700
+    assert len({r["task"] for r in got}) > 4
