@@ -62,15 +62,15 @@ def reference_edges(references: DataFrame, papers: DataFrame, threshold: float =
     refs = references.withColumn("d", normalize_doi("doi"))
     by_doi = refs.join(known, "d").select(F.col("paper_id").alias("source"), "ref_pos", "target", F.lit(1.0).alias("confidence")).distinct()
     rest = refs.join(known.select("d"), "d", "left_anti").select("paper_id", "ref_pos", F.array_sort(title_tokens("title")).alias("r")).where("size(r) > 0").distinct()
-    index = papers.select("pos", F.col("paper_id").alias("target"), title_tokens("title").alias("t")).where("size(t) > 0")
-    # Equal titles are asked once, by as many of their rarest tokens as a match cannot lack.
-    tokens = index.select("pos", "target", "t", F.explode("t").alias("w"))
+    # Of papers of one title only the first can be the target; equal titles are asked once, by as many of their rarest tokens as a match cannot lack.
+    index = papers.select(F.struct("pos", F.col("paper_id").alias("target")).alias("hit"), title_tokens("title").alias("t")).where("size(t) > 0").groupBy("t").agg(F.min("hit").alias("hit"))
+    tokens = index.select("hit", "t", F.explode("t").alias("w"))
     each = rest.select("r").distinct().select("r", F.explode("r").alias("w")).join(tokens.groupBy("w").agg(F.count("*").alias("df")), "w", "left")
     place = F.row_number().over(Window.partitionBy("r").orderBy(F.coalesce("df", F.lit(0)), "w"))
     probe = each.withColumn("__n", place).where(F.col("__n") <= F.size("r") - F.ceil(F.size("r") * threshold) + 1)
-    near = probe.join(tokens, "w").where((F.size("r") >= threshold * F.size("t")) & (F.size("t") >= threshold * F.size("r"))).select("r", "pos", "target", "t").distinct()
+    near = probe.join(tokens, "w").where((F.size("r") >= threshold * F.size("t")) & (F.size("t") >= threshold * F.size("r"))).select("r", "hit", "t").distinct()
     both = F.size(F.array_intersect("r", "t"))
-    first = near.where(both / (F.size("r") + F.size("t") - both) >= threshold).groupBy("r").agg(F.min(F.struct("pos", "target")).alias("hit"))
+    first = near.where(both / (F.size("r") + F.size("t") - both) >= threshold).groupBy("r").agg(F.min("hit").alias("hit"))
     first = first.join(rest, "r").groupBy("paper_id", "ref_pos").agg(F.min("hit")["target"].alias("target"))
     by_title = first.select(F.col("paper_id").alias("source"), "ref_pos", "target", F.lit(0.95).alias("confidence"))
     return by_doi.unionByName(by_title).where("source <> target")

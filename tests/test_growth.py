@@ -132,3 +132,14 @@ def test_pairs_of_one_key_are_dealt_to_tasks(spark):
     got = G.part_of(df).withColumn("task", F.spark_partition_id()).collect()
     assert {(r["child"], r["parent"]) for r in got} == {(f"p{i}", f"p{j}") for i in range(80) if i % 8 for j in range(0, 80, 8)} and len(got) == 700
     assert len({r["task"] for r in got}) > 4
+
+
+def test_copies_of_a_title_are_one_candidate(spark):
+    """Each of 500 copies of a title met each different title that was asked."""
+    from lumenarc.operators import graph as G
+
+    papers = spark.createDataFrame([(i, f"p{i}", "graph neural citation forecasting" if i % 2 else "deep vector index search", None) for i in range(1000, 0, -1)], "pos int, paper_id string, title string, doi string")
+    refs = spark.createDataFrame([("a", 0, "Graph neural citation forecasting", None), ("b", 1, "deep vector index search", None), ("p1", 2, "graph neural citation forecasting", None)], "paper_id string, ref_pos int, title string, doi string")
+    done = G.reference_edges(refs, papers)
+    assert {(r["source"], r["target"]) for r in done.collect()} == {("a", "p1"), ("b", "p2")}
+    assert "min(hit" in done._jdf.queryExecution().optimizedPlan().toString().split("Generate")[-1]
