@@ -6,6 +6,9 @@ decided in the query's task from the pivots alone. Queries and rows meet cell by
 bounded size on both sides, so that a cell that holds any share of the rows spans tasks. Nothing is lost: a
 query whose reach is unknown visits every cell.
 
+Where a sample of the queries reaches so many cells that sending packed blocks (`blocks`) to meet block by block is less
+to send, all pairs are compared in that form instead; both are exact.
+
 `nearest_others` finds k nearest rows (a first visit to the own cell gives the reach), `similar_pairs` joins by cosine
 similarity. How much is left out depends on how far the data lie in groups; `visited_share` tells.
 """
@@ -18,12 +21,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenarc.operators.blocks import Blocks, nearest_in_blocks
 from lumenarc.operators.vector_index import k_means, matrix_of, nearest_centre
 from lumenarc.sources.store import staged
 
 SAMPLE_ROWS = 65_536
 #: Rows of a part of a cell, and queries that meet it at once.
 PART_ROWS, PART_QUERIES = 2048, 2048
+#: Queries of the sample that tells how many cells are reached.
+PROBES = 2048
 
 
 def slack(x):
@@ -35,7 +41,7 @@ class Cells:
     """rows: id, v (doubles of one length, no nulls). Ids are distinct. The dealt rows are a table in the shared folder."""
 
     def __init__(self, rows: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS):
-        self.spark = rows.sparkSession
+        self.spark, self._blocks = rows.sparkSession, None
         self.kind = dict(rows.dtypes)["id"]
         key = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
         n = rows.count()
@@ -68,6 +74,12 @@ class Cells:
         self.part_count = F.coalesce(F.create_map(*[F.lit(x) for kv in wide.items() for x in kv])[F.col("cell")], F.lit(1)) if wide else F.lit(1)
         self.rows = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), self.part_count).cast("int"))
 
+    def blocks(self) -> Blocks:
+        """The rows packed for comparison of all pairs, made once."""
+        if self._blocks is None:
+            self._blocks = Blocks(self.rows.select("id", "v"), unit=False)
+        return self._blocks
+
     def visits(self, q: Column, reach: Column) -> Column:
         """The cells that a query can reach (null: all)."""
         pivots, radii = self.pivots, self.radii
@@ -96,6 +108,12 @@ class Cells:
         n, met = asked.agg(F.count("*"), F.sum(F.size(self.visits(F.col("v"), F.col("reach"))))).first()
         return met / (n * len(self.parts)) if n else 0.0
 
+    def blocks_are_cheaper(self, asked: DataFrame, n: int, blocks: Blocks, own: int) -> bool:
+        """Whether n queries, of which `asked` (v, reach) are a sample, and all rows send fewer rows as blocks (queries: `own` blocks) than to the cells they reach."""
+        seen = asked.agg(F.avg(F.size(self.visits(F.col("v"), F.col("reach"))))).first()[0] or 0.0
+        met = seen * n
+        return n * blocks.count + self.n * own < met + self.n * max(1.0, met / (len(self.parts) * PART_QUERIES))
+
     def meet(self, visiting: DataFrame, work, schema: str, rows: DataFrame | None = None) -> DataFrame:
         """work(queries, rows) of Arrow tables for each part of each cell; rows default to all rows of the cells."""
         rows = self.rows if rows is None else rows
@@ -131,6 +149,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def sampled(rows: DataFrame, n: int) -> DataFrame:
+    """About PROBES of n rows, by their ids' hashes."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < -(-PROBES * (1 << 30) // max(n, 1))) if n > PROBES else rows
+
+
 def nearest_others(cells: Cells, k: int, asked: DataFrame | None = None, themselves: bool = False) -> DataFrame:
     """id, other, distance, rank: the k nearest rows of each query; ties by id. asked (id, v): the rows themselves unless given. A row of the query's id counts only with `themselves`."""
     width, kind = cells.pivots.shape[1], cells.kind
@@ -156,20 +179,28 @@ def nearest_others(cells: Cells, k: int, asked: DataFrame | None = None, themsel
     schema = f"id {kind}, other {kind}, distance double"
     if not cells.n:
         return cells.spark.createDataFrame([], schema + ", rank int")
-    if asked is None:
-        own = cells.meet(cells.rows.select("id", "v", "cell"), best, schema)
-    else:
-        pivots = cells.pivots
-
-        @F.arrow_udf("int")
-        def home(v):
-            import pyarrow as pa
+    pivots = cells.pivots
 
-            return pa.array(nearest_centre(matrix_of(v, width), pivots), pa.int32())
+    @F.arrow_udf("int")
+    def home(v):
+        import pyarrow as pa
 
-        own = cells.meet(queries.withColumn("cell", home("v")), best, schema)
-    kth = own.groupBy("id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select("id", F.get("d", F.lit(k - 1)).alias("reach"))  # k numbers a part of the own cell
-    visiting = staged(cells.spark, cells.visited(queries.join(kth, "id", "left")).drop("reach"), "visits")
+        return pa.array(nearest_centre(matrix_of(v, width), pivots), pa.int32())
+
+    def reaching(queries, homed):
+        """The queries with the distance that the k-th nearest row of the own cell is off."""
+        own = cells.meet(homed.select("id", "v", "cell"), best, schema)
+        kth = own.groupBy("id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select("id", F.get("d", F.lit(k - 1)).alias("reach"))  # k numbers a part of the own cell
+        return queries.join(kth, "id", "left")
+
+    homed = cells.rows if asked is None else queries.withColumn("cell", home("v"))
+    blocks = cells.blocks()
+    theirs = blocks if asked is None else Blocks(queries, unit=False)
+    some = staged(cells.spark, sampled(homed.select("id", "v", "cell"), theirs.n), "probes")
+    if cells.blocks_are_cheaper(reaching(some.select("id", "v"), some), theirs.n, blocks, theirs.count):
+        found = nearest_in_blocks(blocks, theirs, k, themselves)
+        return found.select(F.col("src").alias("id"), F.col("dst").alias("other"), (-F.col("score")).alias("distance"), "rank")
+    visiting = staged(cells.spark, cells.visited(reaching(queries, homed)).drop("reach"), "visits")
     found = cells.meet(visiting, best, schema)
     w = Window.partitionBy("id").orderBy("distance", "other")  # k rows a visited part
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -26,7 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenarc.operators.cells import Cells, distances, nearest_others, table_matrix
+from lumenarc.operators.blocks import TILE_COLUMNS, TILE_ROWS, Blocks
+from lumenarc.operators.cells import Cells, distances, nearest_others, sampled, table_matrix
 from lumenarc.operators.graph import components
 from lumenarc.sources.store import shared_folder, staged
 
@@ -64,10 +65,46 @@ def nearest_outside(cells: Cells, asked: DataFrame, members: DataFrame) -> DataF
         keep = np.isfinite(least)
         return pa.table({"id": a.column("id").filter(pa.array(keep)), "other": b.column("id").take(order[top[keep]]), "w": least[keep]})
 
+    n = asked.count()
+    if not n:
+        return cells.spark.createDataFrame([], f"id {kind}, other {kind}, w double")
+    blocks = cells.blocks()
+    if cells.blocks_are_cheaper(sampled(asked, n), n, blocks, max(1, -(-n * blocks.count // cells.n))):
+        found = outside_in_blocks(Blocks(members.select("id", "v", "core", "comp"), unit=False, extra=("core", "comp")), Blocks(asked.select("id", "v", "core", "comp"), unit=False, extra=("core", "comp")))
+        return found.groupBy("id").agg(F.min(F.struct("w", "other")).alias("e")).select("id", "e.other", "e.w")
     found = cells.meet(cells.visited(asked), best, f"id {kind}, other {kind}, w double", members)
     return found.groupBy("id").agg(F.min(F.struct("w", "other")).alias("e")).select("id", "e.other", "e.w")
 
 
+def outside_in_blocks(rows: Blocks, asked: Blocks) -> DataFrame:
+    """id, other, w: for each asked row the lightest edge to another component in each block. Both hold core and comp."""
+
+    def best(a, x, b, y, same):
+        import pyarrow as pa
+
+        order = np.argsort(np.array(b.column("id").to_pylist(), object), kind="stable")
+        b, y = b.take(pa.array(order)), y[order]
+        number: dict = {}
+        comp, comps = (np.array([number.setdefault(c, len(number)) for c in t.column("comp").to_pylist()]) for t in (a, b))
+        core, cores = a.column("core").to_numpy(), b.column("core").to_numpy()
+        least, place = np.full(len(x), np.inf), np.zeros(len(x), int)
+        for at in range(0, len(x), TILE_ROWS):
+            mine = slice(at, at + TILE_ROWS)
+            for to in range(0, len(y), TILE_COLUMNS):
+                their = slice(to, to + TILE_COLUMNS)
+                w = np.maximum(np.maximum(distances(x[mine], y[their]), core[mine, None]), cores[None, their])
+                w[comp[mine, None] == comps[None, their]] = np.inf
+                top = w.argmin(1)
+                low = w[np.arange(len(w)), top]
+                less = low < least[mine]
+                least[mine][less] = low[less]
+                place[mine][less] = top[less] + to
+        keep = np.isfinite(least)
+        return pa.table({"id": a.column("id").filter(pa.array(keep)), "other": b.column("id").take(pa.array(place[keep])), "w": least[keep]})
+
+    return rows.meet(best, f"id {rows.kind}, other {rows.kind}, w double", asked)
+
+
 def spanning_tree(cells: Cells, near: DataFrame, core: DataFrame) -> DataFrame:
     """a, b, w: a minimum spanning tree by mutual reachability. near: nearest_others with at least min_samples neighbours."""
     spark, n = cells.spark, cells.n
