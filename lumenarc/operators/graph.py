@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.ids import find_dois, normalize_doi
@@ -232,6 +232,17 @@ def capped_similarity_graph(vectors: DataFrame, key: str, cap: int, least: float
     return taken if taken is not None else spark.createDataFrame([], f"source {dict(rows.dtypes)['id']}, target {dict(rows.dtypes)['id']}, score double")
 
 
+#: Edges of a node from which its rows stay where they are as its smallest neighbour is joined to them.
+HUB_EDGES = 1 << 14
+
+
+def with_least(edges: DataFrame, both: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m, the least of u's neighbours in `both`, and a row for each u. Nodes of many edges (fewer than edges / HUB_EDGES) are broadcast, so that no task gets all edges of one."""
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", least.alias("m"), "n").checkpoint()
+    hubs, plain = (F.broadcast(low.where(F.col("n") > HUB_EDGES).select("u", "m")), low.where(F.col("n") <= HUB_EDGES).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(plain, "u")), low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node): alternating star contraction with checkpoints."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
@@ -239,10 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        large, _ = with_least(both.where("v > u"), both, F.least("u", "m"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        small, low = with_least(large, large, F.col("m"))
+        e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         after = mark(e)
         if after == before:
             break
