@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenarc.functions.ids import find_dois, normalize_doi
 from lumenarc.functions.text import normalize_title, title_tokens
 from lumenarc.operators.blocks import Blocks, pairs_in_blocks
+from lumenarc.sources.store import staged
 
 CHAPTER = r"(?i)(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)"
 
@@ -43,9 +44,11 @@ def title_edges(texts: DataFrame, index: DataFrame, threshold: float = 0.85) ->
     full token sets decide.
     """
     each = index.select("target", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    words = texts.select(F.col("paper_id").alias("source"), title_tokens("text").alias("all"))
-    held = words.select("source", F.explode("all").alias("w"))
-    rare = held.join(each.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    # Texts are cut into words once; only words of titles stay.
+    cut = texts.select(F.col("paper_id").alias("source"), F.explode(title_tokens("text")).alias("w"))
+    held = staged(texts.sparkSession, cut.join(each.select("w").distinct(), "w", "left_semi").select("source", "w"), "title-words")
+    words = held.groupBy("source").agg(F.collect_set("w").alias("all"))  # distinct words of titles in a text
+    rare = held.groupBy("w").agg(F.count("*").alias("df"))
     order = Window.partitionBy("target").orderBy(F.coalesce("df", F.lit(0)), "w")
     probe = each.join(rare, "w", "left").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     pairs = held.join(probe.select("w", "target"), "w").where("source <> target").select("source", "target").distinct()

@@ -40,3 +40,12 @@ def test_vectors_without_groups_are_sent_as_blocks(spark, monkeypatch):
     order = np.argsort(d, axis=1)[:, :5]
     assert not visits and len(got) == 4500
     assert all(got[i, k + 1][0] == order[i, k] and abs(got[i, k + 1][1] - d[i, order[i, k]]) < 1e-9 for i in range(900) for k in range(5))
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """What follows the table of words does not read the texts."""
+    texts = spark.createDataFrame([("a", "on neural retrieval of citation graphs and more"), ("b", "nothing here")], "paper_id string, text string")
+    titles = spark.createDataFrame([("t", "Neural retrieval of citation graphs")], "paper_id string, title string")
+    edges = G.title_edges(texts, G.title_index(titles))
+    assert "text#" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in edges.collect()] == [("a", "t", 0.9)]
