@@ -227,10 +227,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
 
-def keep_last(rows: DataFrame, key: str, pos: str, ties: list[str] | None = None) -> DataFrame:
-    """Later duplicates of a key replace earlier ones; rows without a key go. Of rows of one pos the first by the columns `ties` stays."""
+def keep_last(rows: DataFrame, key: str, pos: str, ties: list[str] | None = None, keyless: bool = False) -> DataFrame:
+    """Later duplicates of a key replace earlier ones; rows without a key go, or with `keyless` share one. Of rows of one pos the first by the columns `ties` stays."""
     w = Window.partitionBy(key).orderBy(F.col(pos).desc(), *(ties or []))
-    return rows.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return (rows if keyless else rows.where(F.col(key).isNotNull())).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def profile_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def src_19(spark, sf):
     # Rows of one order and line stand in the order of the files.
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("pos"), "l_partkey", *place)
-    return keep_last(li, "paper_id", "pos", ["file", "row"]).drop("file", "row")
+    return keep_last(li, "paper_id", "pos", ["file", "row"], keyless=True).drop("file", "row")
 
 
 def src_20(spark, sf):

@@ -25,6 +25,17 @@ def test_the_last_line_of_an_order_is_the_first_in_the_files(spark, tmp_path):
     assert got == want and len(got) == 10
 
 
+def test_lines_without_an_order_share_a_last_line(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").mkdir()
+    lines = "(values (1, 1, 10), (1, 2, 11), (null, 1, 12), (null, 3, 13), (2, null, 14)) t(l_orderkey, l_linenumber, l_partkey)"
+    duckdb.sql(f"copy (select * from {lines}) to '{tmp_path}/lineitem.parquet/a.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/a.parquet')")
+    want = con.execute(registry.oracle_sql()["src_19_keep_last"]).fetchall()
+    got = registry.queries()["src_19_keep_last"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == set(want) and len(got) == len(want) == 3
+
+
 def vectors(spark, n=300, copies=40, width=8):
     rng = np.random.default_rng(5)
     v = np.round(rng.standard_normal((n, width)), 3)
