@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,9 +136,14 @@ def islands(values: DataFrame, name: str) -> DataFrame:
     return n(starts, "start").join(n(ends, "end"), "__n").drop("__n").withColumn("length", F.col("end") - F.col("start") + 1)
 
 
+def token_lists(rows: DataFrame, text: str) -> DataFrame:
+    """paper_id, tokens: those of each row once."""
+    return rows.select("paper_id", F.array_distinct(topic_tokens(text)).alias("tokens"))
+
+
 def token_index(rows: DataFrame, text: str) -> DataFrame:
     """token, paper_id: each once."""
-    return rows.select("paper_id", F.explode(F.array_distinct(topic_tokens(text))).alias("token"))
+    return token_lists(rows, text).select("paper_id", F.explode("tokens").alias("token"))
 
 
 def directions(rows: DataFrame, field: str, first_tokens: int = 4) -> DataFrame:
@@ -150,15 +157,16 @@ def directions(rows: DataFrame, field: str, first_tokens: int = 4) -> DataFrame:
     )
 
 
-#: Rows of the index in one task, token sets that meet them at once, and papers of a bitmap.
+#: Tokens of papers in one task, token sets that meet them at once, and papers of a bitmap.
 INDEX_ROWS, SET_ROWS, MAP_PAPERS = 4_000_000, 4_000_000, 2048
 
 
 def direction_coverage(found: DataFrame, index: DataFrame) -> DataFrame:
-    """found (norm, tokens) with `covered`: papers that hold all the tokens (relational division).
+    """found (norm, tokens) with `covered`: papers that hold all the tokens (relational division). index: paper_id and token, or tokens.
 
     Papers are dealt to groups. A task keeps a bitmap of papers for each token, MAP_PAPERS at a time, and a set's papers are the bits that its tokens'
-    maps share, so nothing is made for a set and a paper that meet. Sets go to each group as hashes (XXH64 of tokens), with a count coming back.
+    maps share, so nothing is made for a set and a paper that meet. Sets go to each group as hashes (XXH64 of tokens), with a count coming back;
+    only as many groups as there are cores get theirs at once, so that the sets on disk grow with their number alone.
     """
     from lumenarc.sources.store import staged
 
@@ -166,11 +174,15 @@ def direction_coverage(found: DataFrame, index: DataFrame) -> DataFrame:
     own = F.array_sort(F.array_distinct("tokens"))
     hashes = F.transform(own, lambda t: F.xxhash64(t))
     sets = staged(spark, found.select(F.xxhash64(own).alias("k"), hashes.alias("set")).where("size(set) > 0").distinct(), "token-sets")
-    held = staged(spark, index.select(F.xxhash64("paper_id").alias("p"), F.xxhash64("token").alias("t")), "token-index")
-    groups = max(spark.sparkContext.defaultParallelism, -(-held.count() // INDEX_ROWS))
+    words = F.array("token") if "token" in index.columns else F.col("tokens")
+    held = index.select(F.xxhash64("paper_id").alias("p"), F.transform(words, lambda t: F.xxhash64(t)).alias("t")).where("size(t) > 0")
+    held = staged(spark, held, "token-index")
+    at_once = spark.sparkContext.defaultParallelism
+    groups = max(at_once, -(-(held.agg(F.sum(F.size("t"))).first()[0] or 0) // INDEX_ROWS))
     parts = max(1, -(-sets.count() // SET_ROWS))
-    left = sets.withColumn("s", F.pmod("k", F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = held.withColumn("g", F.pmod(F.xxhash64(F.lit(17), "p"), F.lit(groups))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    sets = sets.withColumn("s", F.pmod("k", F.lit(parts)))
+    held = held.withColumn("g", F.pmod(F.xxhash64(F.lit(17), "p"), F.lit(groups)))
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
 
     def count(asked, rows):
         import numpy as np
@@ -182,7 +194,8 @@ def direction_coverage(found: DataFrame, index: DataFrame) -> DataFrame:
         table = np.full((len(sizes), sizes.max(initial=1)), len(known))  # a set's tokens, filled up with one that all papers hold
         table[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = code
         total = np.zeros(len(sizes), np.int64)
-        token, paper = rows.column("t").to_numpy(), np.unique(rows.column("p").to_numpy(), return_inverse=True)[1]
+        words = rows.column("t").combine_chunks()
+        token, paper = words.flatten().to_numpy(), np.repeat(np.unique(rows.column("p").to_numpy(), return_inverse=True)[1], np.diff(words.offsets.to_numpy()))
         place = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
         used = known[place] == token if len(known) else np.zeros(len(token), bool)
         place, paper = place[used], paper[used]
@@ -207,7 +220,16 @@ def direction_coverage(found: DataFrame, index: DataFrame) -> DataFrame:
         hit = np.flatnonzero(total)
         return pa.table({"k": asked.column("k").combine_chunks().take(pa.array(hit)), "n": total[hit]})
 
-    counts = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("covered"))
+    def counted(first: int) -> DataFrame:
+        """k, n of the groups from `first` on that are dealt with at once."""
+        last = min(first + at_once, groups) - 1
+        left = sets.withColumn("g", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+        right = held.where(F.col("g").between(first, last)).withColumn("s", slices)
+        return left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(count, "k long, n long")
+
+    *done, last = range(0, groups, at_once)
+    each = [staged(spark, counted(first).groupBy("k").agg(F.sum("n").alias("n")), "covered") for first in done]
+    counts = reduce(DataFrame.unionByName, each, counted(last)).groupBy("k").agg(F.sum("n").alias("covered"))
     return found.withColumn("k", F.xxhash64(own)).join(counts, "k", "left").drop("k").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
 
 

@@ -140,7 +140,7 @@ def join_08(spark, sf):
 
 def join_10(spark, sf):
     d = C.directions(table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("pos"), F.concat(F.lit("p"), "doc_id").alias("paper_id"), F.split("text", "\n")[0].alias("t")), "t")
-    index = C.token_index(papers(spark, sf).where("item_type = 'en'"), "text")
+    index = C.token_lists(papers(spark, sf).where("item_type = 'en'"), "text")
     out = C.direction_coverage(d.where("size(tokens) >= 2"), index)
     return out.select("norm", "mentions", F.array_join("tokens", " ").alias("tokens"), "covered")
 

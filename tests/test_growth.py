@@ -118,6 +118,25 @@ def test_coverage_makes_no_row_for_a_set_and_a_paper(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "rest" not in plan
 
 
+def test_coverage_sends_sets_to_as_many_groups_as_run_at_once(spark, monkeypatch):
+    """Papers as lists, one of them in two rows, in 24 groups; before, each set was sent to all of them in one shuffle."""
+    from lumenarc.operators import corpus as C
+    from lumenarc.sources import store
+
+    rng = np.random.default_rng(4)
+    sets = [sorted({f"w{k}" for k in rng.integers(0, 30, rng.integers(1, 5))}) for _ in range(300)]
+    papers = [sorted({f"w{k}" for k in rng.integers(0, 30, 60)}) for _ in range(400)]
+    found = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(sets)], "norm string, tokens array<string>")
+    lists = [(f"p{i}", t) for i, t in enumerate(papers)] + [("p0", ["w0", "w29"]), ("none", [])]
+    papers[0] = {*papers[0], "w0", "w29"}
+    monkeypatch.setattr(C, "INDEX_ROWS", 440)
+    passes, staged = [], store.staged
+    monkeypatch.setattr(store, "staged", lambda spark, df, name: passes.append(name) or staged(spark, df, name))
+    done = C.direction_coverage(found, spark.createDataFrame(lists, "paper_id string, tokens array<string>"))
+    assert {r["norm"]: r["covered"] for r in done.collect()} == {f"n{i}": sum({*s} <= {*p} for p in papers) for i, s in enumerate(sets)}
+    assert passes.count("covered") >= 3  # on four cores, and the last one in the result
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.85])
 def test_titles_meet_in_blocks(spark, monkeypatch, threshold):
     """Few letters, so that all titles share their rarest characters; the plan holds no row for a character."""
