@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,22 +150,23 @@ def similar_titles(rows: DataFrame, threshold: float, title: str = "title") -> D
     return left.unionByName(right).groupBy("i", "j").applyInArrow(match, "a string, b string, ratio double")
 
 
-#: Rows of a group of similar titles that one task replays in order; larger groups are settled in rounds.
-REPLAY_ROWS = 5000
+#: Rows of a group of similar titles that one task replays in order; larger groups are settled in rounds, of which copies of a title need one each.
+REPLAY_ROWS = 1_000_000
 
 
-def replay(order: list, weight: dict, earlier: dict) -> set:
-    """What stays when rows come in order: a row meets its first similar row that stayed, and takes its place if it weighs more; else it goes. Rows
-    without an entry in `earlier` stay when they come."""
-    kept: set = set()
-    for r in order:
-        rival = next((e for e in earlier.get(r, ()) if e in kept), None)
-        if rival is None:
-            kept.add(r)
-        elif weight[r] > weight[rival]:
-            kept.discard(rival)
-            kept.add(r)
-    return kept
+def replay(rows: list, similar: dict) -> set:
+    """pos of what stays when rows (seat, pos, title, weight) come in order of seat: a late row meets the first row that stayed of those with its title or
+    a similar one, and takes its place if it weighs more; else it goes. Others stay when they come. What a row meets is the first of its title."""
+    held: dict = {}
+    for seat, pos, title, weight in sorted(rows):
+        first = [h[0] for t in (title, *similar.get(title, ())) if (h := held.get(t))] if seat[0] else ()
+        if first:
+            rival = min(first)
+            if weight <= rival[3]:
+                continue
+            held[rival[2]].popleft()
+        held.setdefault(title, deque()).append((seat, pos, title, weight))
+    return {r[1] for h in held.values() for r in h}
 
 
 def settle_in_rounds(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -201,40 +203,39 @@ def merge_results(results: DataFrame, threshold: float = 0.85) -> DataFrame:
     seat = F.struct(F.col("first").isNull().alias("late"), F.coalesce("first", "pos").alias("at"))
     rows = staged(spark, keyed.select(seat.alias("seat"), "pos", F.trim(F.lower(F.trim("title"))).alias("t"), F.col("__w").alias("weight")), "seated")
     pairs = staged(spark, similar_titles(rows, threshold, "t"), "similar")
-    same = rows.where("t <> ''").groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    pairs = pairs.select("a", "b").unionByName(same.select(F.col("t").alias("a"), F.col("t").alias("b")))
-    late = rows.where("seat.late").select("seat", "t").join(pairs, F.col("t") == F.col("a")).select("seat", "b")
-    edges = late.join(rows.select(F.col("seat").alias("rival"), F.col("t").alias("t2")), F.col("b") == F.col("t2")).where("rival < seat").select("seat", "rival")
-    edges = staged(spark, edges, "rivals")
-    return weighted.join(survivors_of(rows.select("seat", "pos", "weight"), edges), "pos", "left_semi").drop("__w")
+    return weighted.join(survivors_of(rows, pairs.select("a", "b")), "pos", "left_semi").drop("__w")
 
 
-def survivors_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """pos of the rows (seat, pos, weight) that the replay keeps; edges: seat, rival. Groups of rows tied by edges are replayed side by side."""
+def survivors_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pos of the rows (seat, pos, t, weight) that the replay keeps; pairs: titles a that are similar to b. Groups of titles tied by pairs are replayed side by side."""
     spark = rows.sparkSession
-    at = lambda c: F.col(c)["at"] * 2 + F.col(c)["late"].cast("long")
-    key = lambda c: F.struct(F.col(c)["late"], F.col(c)["at"])
-    group = staged(spark, components(edges.select(at("seat").alias("a"), at("rival").alias("b"))), "groups")
-    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
-    own = rows.withColumn("node", at("seat")).join(group, "node", "left").join(sizes, "component", "left")
-    alone = own.where("component is null").select("pos")
-    lists = edges.groupBy("seat").agg(F.array_sort(F.collect_list(key("rival"))).alias("rivals"))  # below REPLAY_ROWS where it is used
-    small = own.where(F.col("n") <= REPLAY_ROWS).join(lists, "seat", "left")
-
-    def run(table):
+    node = lambda c: F.xxhash64(c)
+    group = staged(spark, components(pairs.select(node("a").alias("a"), node("b").alias("b"))), "groups")
+    keyed = rows.where("t <> ''").withColumn("node", node("t")).join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = keyed.groupBy("component").agg(F.count("*").alias("n"))
+    own = staged(spark, keyed.drop("node").join(sizes, "component"), "grouped")
+    tied = pairs.withColumn("node", node("a")).join(group, "node").select("component", "a", "b")
+
+    def run(members, near):
         import pyarrow as pa
 
-        seats = [(s["late"], s["at"]) for s in table.column("seat").to_pylist()]
-        weight = dict(zip(seats, table.column("weight").to_pylist(), strict=True))
-        earlier = {s: [tuple(r.values()) for r in e] for s, e in zip(seats, table.column("rivals").to_pylist(), strict=True) if e}
-        kept = replay(sorted(seats), weight, earlier)
-        return pa.table({"pos": pa.array([p for s, p in zip(seats, table.column("pos").to_pylist(), strict=True) if s in kept], pa.int64())})
+        similar: dict = {}
+        for a, b in zip(near.column("a").to_pylist(), near.column("b").to_pylist(), strict=True):
+            similar.setdefault(a, []).append(b)
+        seats = [(s["late"], s["at"]) for s in members.column("seat").to_pylist()]
+        return pa.table({"pos": pa.array(sorted(replay(list(zip(seats, *(members.column(c).to_pylist() for c in ("pos", "t", "weight")), strict=True)), similar)), pa.int64())})
 
-    replayed = small.select("component", "seat", F.col("pos").cast("long").alias("pos"), "weight", "rivals").groupBy("component").applyInArrow(run, "pos long")
-    large = own.where(F.col("n") > REPLAY_ROWS)
+    small = own.where((F.col("n") > 1) & (F.col("n") <= REPLAY_ROWS)).select("component", "seat", F.col("pos").cast("long").alias("pos"), "t", "weight")
+    replayed = small.groupBy("component").cogroup(tied.groupBy("component")).applyInArrow(run, "pos long")
+    alone = rows.where("t is null or t = ''").select("pos").unionByName(own.where("n = 1").select("pos"))
     done = alone.select(F.col("pos").cast("long").alias("pos")).unionByName(replayed)
+    large = own.where(F.col("n") > REPLAY_ROWS)
     if not large.isEmpty():
-        left = settle_in_rounds(large.select(F.col("seat").alias("pos"), "weight"), edges.join(large.select("seat"), "seat", "left_semi").select(F.col("seat").alias("pos"), "rival"))
+        met = pairs.unionByName(large.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select(F.col("t").alias("a"), F.col("t").alias("b")))
+        late = large.where("seat.late").select("seat", "t").join(met, F.col("t") == F.col("a")).select("seat", "b")
+        edges = late.join(large.select(F.col("seat").alias("rival"), F.col("t").alias("t2")), F.col("b") == F.col("t2")).where("rival < seat")
+        edges = staged(spark, edges.select(F.col("seat").alias("pos"), "rival"), "rivals")
+        left = settle_in_rounds(large.select(F.col("seat").alias("pos"), "weight"), edges)
         done = done.unionByName(large.join(left.select(F.col("pos").alias("seat")), "seat", "left_semi").select(F.col("pos").cast("long").alias("pos")))
     return done
 

@@ -77,3 +77,12 @@ def test_overlap_matches_equal_all_pairs(spark, threshold):
     got = {(r["a"], r["b"]): r["overlap"] for r in E.overlap_matches(frame(one, "a"), frame(two, "b"), threshold).collect()}
     of = lambda x, y: len({*x} & {*y}) / min(len(x), len(y)) if x and y else 0
     assert got == {(i, j): of(x, y) for i, x in enumerate(one) for j, y in enumerate(two) if of(x, y) >= threshold}
+
+
+def test_copies_of_a_title_make_no_row_for_each_pair(spark, monkeypatch):
+    rows = [(i, None, f"one title that is told {'twice' if i % 9 else 'again'}", 1.0 + i % 5, 1.0) for i in range(300)]
+    sizes, staged = [], E.staged
+    monkeypatch.setattr(E, "staged", lambda spark, df, name: sizes.append((got := staged(spark, df, name)).count()) or got)
+    got = E.merge_results(spark.createDataFrame(rows, SCHEMA).repartition(3), 0.85)
+    assert sorted(r["pos"] for r in got.collect()) == scan(rows, 0.85)
+    assert max(sizes) <= 300
